@@ -4,17 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventloom.llm import simhash
+from eventloom.llm import media, mixing, simhash, urls
 from eventloom.llm.common import table
 
 
+def op2_mixing(spark, sf_dir):
+    """How many words the mix takes from each document."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_media(spark, sf_dir):
+    """Every text stored as NPY tiles, read back and described."""
+    return media.described(media.text_media(table(spark, sf_dir, "documents")))
+
+
 def op8_simhash(spark, sf_dir):
     """Fingerprints and near-duplicate components of all documents."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_urls(spark, sf_dir):
+    """Every page's url judged by the fixed rules."""
+    return urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark))
+
+
 QUERIES = {
+    "op2_mixing": op2_mixing,
+    "op4_media": op4_media,
     "op8_simhash": op8_simhash,
+    "op9_urls": op9_urls,
+}
+ORACLES = {
+    "op2_mixing": mixing.ORACLE,
+    "op9_urls": urls.ORACLE,
 }
-ORACLES: dict[str, str] = {}
