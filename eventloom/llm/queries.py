@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventloom.llm import media, mixing, simhash, urls
+from eventloom.llm import media, mixing, quality, simhash, topk, urls
 from eventloom.llm.common import table
 
 
@@ -18,6 +18,11 @@ def op4_media(spark, sf_dir):
     return media.described(media.text_media(table(spark, sf_dir, "documents")))
 
 
+def op6_quality(spark, sf_dir):
+    """The quality of every document, learned from the rows that are not held out."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_simhash(spark, sf_dir):
     """Fingerprints and near-duplicate components of all documents."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -29,13 +34,21 @@ def op9_urls(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark))
 
 
+def op10_topk(spark, sf_dir):
+    """The five best rows for every 50th vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op4_media": op4_media,
+    "op6_quality": op6_quality,
     "op8_simhash": op8_simhash,
     "op9_urls": op9_urls,
+    "op10_topk": op10_topk,
 }
 ORACLES = {
     "op2_mixing": mixing.ORACLE,
     "op9_urls": urls.ORACLE,
+    "op10_topk": topk.ORACLE,
 }
