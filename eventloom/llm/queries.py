@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventloom.llm import media, mixing, quality, simhash, topk, urls
+from eventloom.llm import media, mixing, pii, quality, simhash, topk, urls
 from eventloom.llm.common import table
 
 
@@ -13,6 +13,11 @@ def op2_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_pii(spark, sf_dir):
+    """Personal data in every document, by pattern and by what its neighbours reveal."""
+    return pii.described(pii.sensitive(table(spark, sf_dir, "documents")))
+
+
 def op4_media(spark, sf_dir):
     """Every text stored as NPY tiles, read back and described."""
     return media.described(media.text_media(table(spark, sf_dir, "documents")))
@@ -41,6 +46,7 @@ def op10_topk(spark, sf_dir):
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op3_pii": op3_pii,
     "op4_media": op4_media,
     "op6_quality": op6_quality,
     "op8_simhash": op8_simhash,
