@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventloom.llm import media, mixing, pii, quality, simhash, topk, urls
+from eventloom.llm import media, mixing, pieces, pii, quality, simhash, topk, urls
 from eventloom.llm.common import table
 
 
+def op1_pieces(spark, sf_dir):
+    """The ids of every document, and whether decoding gives its text back."""
+    model = pieces.Pieces()
+    found = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", (F.xxhash64("text") == F.col("text_key")).alias("round_trip"))
+
+
 def op2_mixing(spark, sf_dir):
     """How many words the mix takes from each document."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -45,6 +52,7 @@ def op10_topk(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_pieces": op1_pieces,
     "op2_mixing": op2_mixing,
     "op3_pii": op3_pii,
     "op4_media": op4_media,
