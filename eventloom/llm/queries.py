@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventloom.llm import media, mixing, pieces, pii, quality, simhash, topk, urls
+from eventloom.llm import languages, licenses, media, mixing, pieces, pii, quality, simhash, topk, urls
 from eventloom.llm.common import table
 
 
@@ -30,11 +30,23 @@ def op4_media(spark, sf_dir):
     return media.described(media.text_media(table(spark, sf_dir, "documents")))
 
 
+def op5_licenses(spark, sf_dir):
+    """Every document's license, its own or its directory's; a document lies in source/language/last two digits of its id."""
+    place = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.pmod("doc_id", F.lit(100)).cast("string"), F.col("doc_id").cast("string"))
+    files = table(spark, sf_dir, "documents").select("doc_id", place.alias("path"), "text")
+    return licenses.scan(files, licenses.template_table(spark))
+
+
 def op6_quality(spark, sf_dir):
     """The quality of every document, learned from the rows that are not held out."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_languages(spark, sf_dir):
+    """Every page's language; 3-grams are learned from the documents' labels."""
+    return languages.identify(table(spark, sf_dir, "pages"), languages.fit(table(spark, sf_dir, "documents")))
+
+
 def op8_simhash(spark, sf_dir):
     """Fingerprints and near-duplicate components of all documents."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -56,7 +68,9 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_pii": op3_pii,
     "op4_media": op4_media,
+    "op5_licenses": op5_licenses,
     "op6_quality": op6_quality,
+    "op7_languages": op7_languages,
     "op8_simhash": op8_simhash,
     "op9_urls": op9_urls,
     "op10_topk": op10_topk,
