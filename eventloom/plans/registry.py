@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from eventloom.plans import timebase
+
+QUERIES = dict(timebase.QUERIES)
+ORACLES = dict(timebase.ORACLES)
