@@ -45,14 +45,12 @@ def within(events: DataFrame, intervals: DataFrame, keys: list[str], width_us: i
     how: inner, left, left_semi or left_anti.
     """
     cells = _bucketed(intervals, width_us)
-    if how in ("left_semi", "left_anti"):
-        cells = cells.select(*keys, "_bucket", "t0_us", "t1_us")
+    cells = cells.select(*(F.col(c).alias(f"_i_{c}") for c in cells.columns))
     placed = events.withColumn("_bucket", F.floor(F.col("t_us") / width_us))
-    on = [placed[k] == cells[k] for k in (*keys, "_bucket")] + [placed["t_us"] >= cells["t0_us"], placed["t_us"] < cells["t1_us"]]
+    on = [F.col(k) == F.col(f"_i_{k}") for k in (*keys, "_bucket")] + [F.col("t_us") >= F.col("_i_t0_us"), F.col("t_us") < F.col("_i_t1_us")]
     joined = placed.join(cells, on, how)
     if how in ("inner", "left"):
-        extra = [cells[c] for c in intervals.columns if c not in keys]
-        return joined.select(*(placed[c] for c in events.columns), *extra)
+        return joined.select(*events.columns, *(F.col(f"_i_{c}").alias(c) for c in intervals.columns if c not in keys))
     return joined.drop("_bucket")
 
 

@@ -107,11 +107,12 @@ def near_any(events: DataFrame, others: DataFrame, keys: list[str], tol: int) ->
     return out.select(*keys, "t_us", *([F.col(f"_row.{c}") for c in cols]), "near")
 
 
-def run_delta(before: DataFrame, after: DataFrame, others_before: DataFrame, others_after: DataFrame, keys: list[str], tol: int) -> DataFrame:
+def run_delta(before: DataFrame, after: DataFrame, others_before: DataFrame, others_after: DataFrame, keys: list[str], tol: int, near_tol: int | None = None) -> DataFrame:
     """Per (keys less chan), what a changed detector added and removed, how many, and the share with another detector's event near, looked up in the run the event is from."""
+    reach = tol if near_tol is None else near_tol
     found = match(before, after, keys, tol).where("partner is null")
-    removed = near_any(found.where("side = 0").drop("partner", "side"), others_before, keys, tol).withColumn("change", F.lit("removed"))
-    added = near_any(found.where("side = 1").drop("partner", "side"), others_after, keys, tol).withColumn("change", F.lit("added"))
+    removed = near_any(found.where("side = 0").drop("partner", "side"), others_before, keys, reach).withColumn("change", F.lit("removed"))
+    added = near_any(found.where("side = 1").drop("partner", "side"), others_after, keys, reach).withColumn("change", F.lit("added"))
     return removed.unionByName(added).groupBy("run_id", "change").agg(F.count("*").alias("n"), F.avg(F.col("near").cast("double")).alias("corroborated"))
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from eventloom.plans import timebase
+from eventloom.plans import matching, rates, timebase
 
-QUERIES = dict(timebase.QUERIES)
-ORACLES = dict(timebase.ORACLES)
+FAMILIES = (timebase, matching, rates)
+QUERIES = {k: v for m in FAMILIES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in FAMILIES for k, v in m.ORACLES.items()}
