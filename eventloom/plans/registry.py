@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from eventloom.plans import matching, rates, timebase
+from eventloom.plans import matching, rates, structure, timebase
 
-FAMILIES = (timebase, matching, rates)
+FAMILIES = (timebase, matching, rates, structure)
 QUERIES = {k: v for m in FAMILIES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in FAMILIES for k, v in m.ORACLES.items()}
