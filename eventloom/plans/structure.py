@@ -86,7 +86,7 @@ def x6_chance(t):
 
 _WIDTHS = [DAY // 2, DAY, 2 * DAY, 3 * DAY, 7 * DAY]
 _W = "(select unnest([" + ", ".join(map(str, _WIDTHS)) + "]::bigint[]) as w)"
-_BINS = f", ws as {_W}, bw as (select run_id, detector, chan, w, t_us // w as bin, count(*) as n from det, ws group by all having t_us // w < {TOTAL} // w), rt as (select run_id, detector, chan, count(*) / ({TOTAL} / {DAY}) as rate from det group by all)"
+_BINS = f", ws as {_W}, bw as (select run_id, detector, chan, w, t_us // w as bin, count(*) as n from det, ws where t_us // w < {TOTAL} // w group by all), rt as (select run_id, detector, chan, count(*) / ({TOTAL} / {DAY}) as rate from det group by all)"
 
 
 @query(_BINS + f", m as (select run_id, detector, chan, w, sum(n) / ({TOTAL} // w) as mu, sum(n * n) / ({TOTAL} // w) as q from bw where w <= {TOTAL} / 8 group by run_id, detector, chan, w) select m.run_id, m.detector, w as width_us, round(median((q - mu * mu) / mu), 6) as fano, count(*) as channels from m join rt using (run_id, detector, chan) where rate > 0.2 group by all")
