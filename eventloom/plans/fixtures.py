@@ -22,7 +22,7 @@ class Tables:
     """The model's tables over one folder."""
 
     def __init__(self, spark, sf_dir: str):
-        self.spark = spark
+        self.spark, self.sf_dir = spark, sf_dir
         self.events = events(spark, sf_dir)
         self.channels = self.events.select("run_id", "chan").distinct().withColumn("name", F.concat(F.lit("A_"), "chan")).withColumn("is_ez", F.col("chan") % 7 == 0)
         self.raw = self.events.where(F.col("event_type").isin(*DETECTORS)).select("run_id", F.col("event_type").alias("detector"), "chan", "t_us", "value", "event_id")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from eventloom.plans import matching, rates, scoring, structure, timebase
+from eventloom.plans import matching, rates, scoring, signals, sources, structure, timebase
 
-FAMILIES = (timebase, matching, rates, structure, scoring)
+FAMILIES = (timebase, matching, rates, structure, scoring, signals, sources)
 QUERIES = {k: v for m in FAMILIES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in FAMILIES for k, v in m.ORACLES.items()}
