@@ -40,7 +40,8 @@ def spearman(pairs: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
 def correlation(x: str, y: str) -> Column:
     """Pearson's correlation as an aggregate; null, not NaN, for constant columns."""
-    return F.when((F.var_pop(x) > 0) & (F.var_pop(y) > 0), F.corr(x, y))
+    spread = F.var_pop(x) * F.var_pop(y)
+    return F.covar_pop(x, y) / F.sqrt(F.when(spread > 0, spread))
 
 
 def paired(rated: DataFrame, detectors: list[str], keys: list[str]) -> DataFrame:
@@ -103,7 +104,7 @@ def condition_effect(both: DataFrame, by: list[str]) -> DataFrame:
     """Per group over channels measured ON and OFF: mean rates, pooled and median ratio (zeros included), channels down and at zero, and the signed-rank sums of log ratios (zeros out)."""
     rows = both.withColumn("ratio", F.col("on_rate") / F.when(F.col("off_rate") > 0, F.col("off_rate")))
     plain = rows.groupBy(*by).agg(
-        F.avg("on_rate").alias("mean_on"), F.avg("off_rate").alias("mean_off"), (F.sum("on_rate") / F.sum("off_rate")).alias("pooled"), F.median("ratio").alias("median_ratio"),
+        F.avg("on_rate").alias("mean_on"), F.avg("off_rate").alias("mean_off"), F.try_divide(F.sum("on_rate"), F.sum("off_rate")).alias("pooled"), F.median("ratio").alias("median_ratio"),
         F.sum((F.col("ratio") < 1).cast("long")).alias("n_down"), F.sum((F.col("ratio") == 0).cast("long")).alias("n_zero"), F.count("ratio").alias("n"),
     )
     logs = rows.where("ratio > 0 and ratio <> 1").withColumn("log", F.round(F.log("ratio"), 12)).withColumn("size", F.abs("log"))

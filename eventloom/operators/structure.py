@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def isi_summary(isi: DataFrame, by: list[str], burst_us: int) -> DataFrame:
     """Per group, channels pooled: CV of intervals (population), their median and least, and intervals under burst_us per event."""
     mean = F.avg("isi_us")
-    return isi.groupBy(*by).agg((F.stddev_pop("isi_us") / mean).alias("cv"), F.median("isi_us").alias("median_us"), F.min("isi_us").alias("min_us"), (F.sum((F.col("isi_us") < burst_us).cast("long")) / F.count("*")).alias("burst_fraction"))
+    return isi.groupBy(*by).agg(F.try_divide(F.stddev_pop("isi_us"), mean).alias("cv"), F.median("isi_us").alias("median_us"), F.min("isi_us").alias("min_us"), (F.sum((F.col("isi_us") < burst_us).cast("long")) / F.count("*")).alias("burst_fraction"))
 
 
 def isi_histogram(isi: DataFrame, by: list[str], low: float, high: float, bins: int = 59, log: bool = True) -> DataFrame:
@@ -83,8 +83,9 @@ def activity(events: DataFrame, groups: DataFrame, by: list[str], width_us: int,
     hits = events.groupBy(*by, F.floor(F.col("t_us") / width_us).alias("bin")).agg(F.count("*").alias("n"))
     grid = groups.select(*by).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
     rows = grid.join(hits, [*by, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    cv = F.when(F.lit(bins >= 4), F.stddev_samp("n") / F.avg("n"))
+    cv = F.when(F.lit(bins >= 4), F.try_divide(F.stddev_samp("n"), F.avg("n")))
     mean = F.avg("n").over(W.partitionBy(*by))
+    mean = F.when(mean > 0, mean)
     return rows.groupBy(*by).agg(cv.alias("cv"), (cv * F.sqrt(F.avg("n"))).alias("over_poisson")), rows.select(*by, "bin", "n", (F.col("n") / mean).alias("relative"), (1 / F.sqrt(mean)).alias("band"))
 
 
