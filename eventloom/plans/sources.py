@@ -53,9 +53,9 @@ def s3_expert_tables(t):
     return found.groupBy("subject").agg(F.count("*").alias("n"), F.sum("t_us").alias("sum_t"), F.sum(F.size("chans")).alias("contacts"))
 
 
-@query(" select run_id::varchar as patient, name from channels where is_ez and run_id <> 1 union all select '1', null")
+@query(" select run_id::varchar as patient, name from channels where is_ez and run_id <> 1 union all select run_id::varchar, null from spans where run_id = 1 or run_id not in (select run_id from channels where is_ez)")
 def s4_onset_lists(t):
-    """Onset lists as JSON; a patient with a null list keeps one row."""
+    """Onset lists as JSON; a patient with a null or empty list keeps one row."""
     path = scratch(t, "onset")
     lists = t.channels.groupBy(F.col("run_id").cast("string").alias("patient")).agg(F.array_sort(F.collect_list(F.when(F.col("is_ez"), F.col("name")))).alias("EZ"))
     lists.withColumn("EZ", F.when(F.col("patient") != "1", F.col("EZ"))).write.json(path)
