@@ -291,6 +291,33 @@ def test_languages_fuse_evidence(spark):
     assert [r.lang for r in languages.identify(df.limit(1), languages.fit(docs.where("false"))).collect()] == [None]
 
 
+def test_posterior_equals_plain_python(spark):
+    rnd = random.Random(5)
+    words = {"de": "der die und nicht".split(), "en": "the and of with".split()}
+    say = lambda x, n: " ".join(rnd.choice(words[x]) for _ in range(n))
+    model = languages.fit(spark.createDataFrame([(i, x, say(x, 20)) for i, x in enumerate(["de", "en"] * 20)], "doc_id long, lang string, text string"))
+    pages = [(i, f"http://{rnd.choice(['a.x.de', 'b.x.de', 'c.y.com'])}/{rnd.choice(['de/', 'en/', ''])}p", f'<html lang="{rnd.choice(["de", "en"])}">{say(rnd.choice(["de", "en"]), rnd.randint(0, 3))}') for i in range(60)]
+    names = model.languages
+    facts = []
+    for i, url, page in pages:
+        host = url.split("/")[2]
+        ll = languages.likelihood(languages.plain(page), model.rows, model.logs)
+        suffix = languages.SUFFIXES.get(host.split(".")[-1], host.split(".")[-1])
+        facts.append((i, host, ".".join(host.split(".")[-2:]), suffix, (re.findall("/(de|en)/", url) or [""])[0], re.findall('lang="(..)"', page)[0], ll, names[int(ll.argmax())] if ll.any() else None))
+    count = lambda keep: np.array([sum(f[7] == x for f in facts if keep(f)) for x in names], float)
+    whole = count(lambda f: True)
+    smooth = lambda n, above: (n + languages.BELIEF * above) / (n.sum() + languages.BELIEF)
+    got = {r.page_id: r for r in languages.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), model).collect()}
+    for f in facts:
+        prior = smooth(count(lambda g: g[1] == f[1]), smooth(count(lambda g: g[2] == f[2]), (whole + 1) / (whole.sum() + len(names))))
+        score = f[6] + np.log(prior)
+        for k in (3, 4, 5):
+            score = score + np.log((count(lambda g: g[k] == f[k]) + languages.ADDED) / (whole + languages.ADDED * len({g[k] for g in facts})))
+        share = np.exp(score - score.max())
+        share /= share.sum()
+        assert got[f[0]].lang == names[int(share.argmax())] and got[f[0]].posterior == pytest.approx(share.max(), rel=1e-6)
+
+
 def test_likelihood_by_hand():
     rows, logs = {" a ": 0}, np.log(np.array([[0.5, 0.1], [0.01, 0.02]]))
     assert languages.likelihood("a", rows, logs) == pytest.approx(logs[0]) and languages.likelihood("1 2", rows, logs).tolist() == [0, 0]

@@ -26,6 +26,13 @@ def texts():
     return [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 12))) for _ in range(40)]
 
 
+def best_sum(word, scores):
+    """The highest sum of scores over all ways to cut a word into pieces."""
+    if not word:
+        return 0.0
+    return max(scores[word[:n]] + best_sum(word[n:], scores) for n in range(1, min(16, len(word)) + 1) if word[:n] in scores)
+
+
 @pytest.mark.parametrize("most", [1 << 20, 3])
 @pytest.mark.parametrize("kind", ["bpe", "unigram"])
 def test_ids_equal_the_library_and_round_trip(spark, kind, most):
@@ -39,8 +46,10 @@ def test_ids_equal_the_library_and_round_trip(spark, kind, most):
             if kind == "bpe":
                 assert list(got[i].ids) == lib.encode(t), repr(t)
             else:
+                # the library's own sums are single precision, spoilt by pieces of score -1e9
                 score = lambda ids: sum(lib.get_score(x) for x in ids)
-                assert score(got[i].ids) == pytest.approx(score(lib.encode(t)))
+                best = sum(best_sum(w, {p: s for p, _, s in model.table}) for w in P.words_of(t))
+                assert score(got[i].ids) == pytest.approx(best) and best >= score(lib.encode(t)) - 1e-3
     if kind == "bpe":
         assert list(got[40 + ODD.index("x" * 300)].ids) == lib.encode("x" * 300)
 

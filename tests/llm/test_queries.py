@@ -17,14 +17,3 @@ def test_query(spark, name):
     else:
         assert df.count()
 
-
-def test_pipeline_stages(spark):
-    import corpus_pipeline as c
-
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    columns, n = docs.columns, docs.count()
-    for name, stage in c.STAGES:
-        docs = c.written(stage(spark, docs, DATA), "test-stage")
-        assert (docs.columns == columns) == (name != "tokens")
-        assert 0 < docs.count() <= 3 * n
-    assert c.run(spark, DATA).count() == docs.count()
