@@ -11,22 +11,30 @@ from __future__ import annotations
 import heapq
 import os
 import re
+import string
+import uuid
 from collections import Counter
 from itertools import repeat
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import rows_as, written
+from eventloom.llm.common import rows_as, shared_dir, written
 
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 #: Words whose ids are looked up: the most frequent ones of the corpus, this many at most, none longer than WORD_CHARS.
-DICTIONARY, WORD_CHARS = 1 << 19, 64
-HELD_WORDS = 300_000
+#: The most frequent of them are looked up by name, the others by a 128-bit digest, which takes a fraction of the memory.
+DICTIONARY, BY_NAME, WORD_CHARS = 1 << 21, 1 << 17, 60
+#: Distinct words that a Python worker counts before it passes them on, and texts whose edges it holds at once.
+HELD_WORDS, HELD_TEXTS = 200_000, 64
+#: Words in one task that groups edges, about: each has some thirty.
+LATTICE_WORDS = 8192
 #: Scores under this mark pieces that are never to be chosen; a character in no piece costs this much more than the worst other.
 UNUSED, UNKNOWN = -1e8, 10.0
 
@@ -58,8 +66,11 @@ class Pieces:
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.table = [(names[i].replace("▁", " "), i, float(model.get_score(i))) for i in every if not odd[i]]
         self.raw = [bytes([int(n[3:5], 16)]) if model.is_byte(i) else b"" if odd[i] else n.replace("▁", " ").encode() for i, n in enumerate(names)]
-        if any(re.search(r"[^ ] |.\n|\n.", p) for p, _, _ in self.table):
+        if any(re.search(r"(?s)[^ ] |.\n|\n.", p) for p, _, _ in self.table):
             raise ValueError("a piece crosses the end of a word: words can't be encoded one by one")
+        # signs that no piece has behind a Latin letter: no edge crosses that place, so words may be cut there, which leaves fewer different ones
+        signs = [c for c in string.punctuation if not any(c in p[1:] and re.search("[A-Za-z\u00c0-\u024f]" + re.escape(c), p) for p, _, _ in self.table)]
+        self.cut = re.compile("[" + re.escape("".join(signs)) + "](?<=[A-Za-z\u00c0-\u024f].)") if signs else None
         self.longest = max(len(p) for p, _, _ in self.table)
         self.floor = min(s for _, _, s in self.table if s > UNUSED) - UNKNOWN
 
@@ -69,20 +80,30 @@ class Pieces:
 
 
 #: A word is a run of spaces with what follows it up to a space or line end, or one line end. No piece crosses its ends, so the best path of a text is that of its words.
-_WORD = re.compile(r" *[^ \n]+|\n| +")
+_WORD, _CUT_WORD = re.compile(r" *[^ \n]+|\n| +"), re.compile(r" *[^ \n\0]+|\n| +")
 
 
-def words_of(text: str | None) -> list[str]:
-    """The words of a text, with the space that the model puts before it; an empty text has none."""
-    return _WORD.findall(" " + text) if text else []
+def words_of(text: str | None, cut: re.Pattern | None = None) -> list[str]:
+    """The words of a text, with the space that the model puts before it, and cut further at `cut` (see Pieces); an empty text has none."""
+    if not text:
+        return []
+    text = " " + text
+    if "\0" in text:
+        return _WORD.findall(text)
+    if cut:
+        text = cut.sub("\0\\g<0>", text)
+    if "  " in text:
+        return _CUT_WORD.findall(text)
+    return list(filter(None, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))  # the same, in a fifth of the time
 
 
-#: What an edge says: where it starts (from 1), how many characters it has, its piece's id (-1: in no piece) and score.
-EDGE = "struct<start:int,len:int,id:int,score:double>"
+#: What an edge says: its piece's score, its start (from 1) turned negative, so that the best edge, ties to the leftmost, is
+#: the greatest; its length; its piece's id (-1: in no piece); its two ends, and all places from one to the other, as bits.
+EDGE = "struct<score:double,turned:int,len:int,id:int,ends:bigint,span:bigint>"
 
 
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, edges): for each word an array of edges (start, len, id, score).
+    """(word, n, edges): for each word (with any number n) an array of its edges, as EDGE says.
 
     All substrings up to the longest piece are exploded and joined to the broadcast piece table; single characters
     in no piece have an edge of id -1. Words stand once, so their edges are grouped where the words lie.
@@ -91,8 +112,13 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     starts = words.withColumn("start", F.explode(F.sequence(F.lit(1), F.length("word"))))
     parts = starts.withColumn("len", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("word") - F.col("start") + 1))))
     edges = parts.withColumn("piece", F.substring("word", F.col("start"), F.col("len"))).join(table, "piece", "left").where("id is not null or len = 1")
-    edge = F.struct("start", "len", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(pieces.floor)).alias("score"))
-    return edges.groupBy("word").agg(F.collect_list(edge).alias("edges"))
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at)
+    first, last = F.col("start"), F.col("start") + F.col("len")
+    edge = F.struct(
+        F.coalesce("score", F.lit(pieces.floor)).alias("score"), (-first).alias("turned"), "len", F.coalesce("id", F.lit(-1)).alias("id"),
+        bit(first).bitwiseOR(bit(last)).alias("ends"), (bit(last + 1) - bit(first)).alias("span"),
+    )
+    return edges.groupBy("word", "n").agg(F.collect_list(edge).alias("edges"))
 
 
 def _bound(value: Column, use) -> Column:
@@ -105,11 +131,11 @@ def viterbi(word: Column, edges: Column) -> Column:
 
     The best path has the highest sum of scores; ties go to the longer last edge.
     """
-    sort = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.filter(edges, lambda e: e["start"] + e["len"] - 1 == i))
+    sort = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.filter(edges, lambda e: e["len"] - e["turned"] - 1 == i))
     first = F.array(F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("len"), F.lit(0).alias("start"), F.lit(0).alias("id")))
 
     def forth(done, into):
-        reached = F.transform(into, lambda e: F.struct((F.element_at(done, -e["len"])["sum"] + e["score"]).alias("sum"), e["len"].alias("len"), e["start"].alias("start"), e["id"].alias("id")))
+        reached = F.transform(into, lambda e: F.struct((F.element_at(done, -e["len"])["sum"] + e["score"]).alias("sum"), e["len"].alias("len"), (-e["turned"]).alias("start"), e["id"].alias("id")))
         return F.concat(done, F.array(F.array_max(reached)))
 
     def back(path, at):
@@ -127,25 +153,28 @@ def viterbi(word: Column, edges: Column) -> Column:
 def merges(word: Column, edges: Column) -> Column:
     """A word's edges after merging: a fold that, once a character at most, joins the two neighbours whose joint edge has the best score.
 
-    The state is the array of cuts between symbols; an edge can be merged if just one cut lies inside it. Ties go
-    to the leftmost.
+    The state is the cuts between symbols, as bits of a long, and the edges whose two ends are still cuts. An edge can
+    be merged if just one cut lies inside it; ties go to the leftmost. At the end the edges between neighbouring cuts
+    are the word's pieces.
     """
-    pairs = F.transform(F.filter(edges, lambda e: e["len"] > 1), lambda e: F.struct(e["score"].alias("score"), (-e["start"]).alias("turned"), (e["start"] + e["len"]).alias("end")))
+    pairs = F.filter(edges, lambda e: e["len"] > 1)
+    none = F.slice(pairs, F.lit(1), F.lit(0))
 
-    def fold(pairs):
-        def step(cuts, _):
-            open_ = F.filter(pairs, lambda e: F.get(cuts, F.array_position(cuts, -e["turned"]).cast("int") + 1) == e["end"])
-            join = lambda best: F.when(best.isNull(), cuts).otherwise(F.array_remove(cuts, F.element_at(cuts, F.array_position(cuts, -best["turned"]).cast("int") + 1)))
-            return _bound(F.array_max(F.filter(open_, lambda e: F.array_position(cuts, -e["turned"]) > 0)), join)
+    def step(state, _):
+        ready = F.filter(state["live"], lambda e: F.bit_count(e["span"].bitwiseAND(state["cuts"])) == 3)
 
-        return F.aggregate(F.slice(F.sequence(F.lit(1), F.length(word)), F.lit(2), F.length(word)), F.sequence(F.lit(1), F.length(word) + 1), step)
+        def join(best):
+            left = state["cuts"].bitwiseAND(F.bitwise_not(best["span"].bitwiseXOR(best["ends"])))
+            return _bound(left, lambda cuts: F.struct(cuts.alias("cuts"), F.filter(state["live"], lambda e: (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (e["span"] != best["span"])).alias("live")))
 
-    def named(cuts):
-        of = lambda at, end: F.filter(edges, lambda e: (e["start"] == at) & (e["len"] == end - at))[0]
-        kept = F.zip_with(F.slice(cuts, F.lit(1), F.size(cuts) - 1), F.slice(cuts, F.lit(2), F.size(cuts) - 1), of)
-        return F.transform(kept, lambda e: F.struct(e["start"].alias("start"), e["len"].alias("len"), e["id"].alias("id")))
+        stop = F.struct(state["cuts"].alias("cuts"), none.alias("live"))
+        return F.when(F.size(state["live"]) == 0, state).otherwise(_bound(F.array_max(ready), lambda best: F.when(best.isNull(), stop).otherwise(join(best))))
 
-    return _bound(_bound(pairs, fold), named)
+    every = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(word) + 2) - F.lit(2).cast("long")
+    steps = F.slice(F.sequence(F.lit(1), F.length(word)), F.lit(2), F.length(word))
+    kept = lambda cuts: F.filter(edges, lambda e: e["span"].bitwiseAND(cuts) == e["ends"])
+    chosen = _bound(F.aggregate(steps, F.struct(every.alias("cuts"), pairs.alias("live")), step)["cuts"], kept)
+    return F.array_sort(F.transform(chosen, lambda e: F.struct((-e["turned"]).alias("start"), e["len"].alias("len"), e["id"].alias("id"))))
 
 
 def ids_of(word: Column, edges: Column, pieces: Pieces) -> Column:
@@ -198,14 +227,14 @@ def spell_long(word: str, table: dict, byte_ids: list[int], longest: int, kind:
     return [i for p in path for i in ([table[p][0]] if p in table else [byte_ids[c] for c in p.encode()])]
 
 
-def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def word_counts(docs: DataFrame, text_col: str = "text", cut: re.Pattern | None = None) -> DataFrame:
     """(word, n) of all words of all texts."""
 
     def batches(rows):
         held: Counter = Counter()
         for b in rows:
             for t in b.column(0):
-                held.update(words_of(t.as_py()))
+                held.update(words_of(t.as_py(), cut))
             if len(held) > HELD_WORDS:
                 yield pa.RecordBatch.from_pydict({"word": list(held), "n": list(held.values())})
                 held.clear()
@@ -217,17 +246,90 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def dictionary(docs: DataFrame, pieces: Pieces, text_col: str = "text", most: int = DICTIONARY) -> DataFrame:
-    """(word, ids) of the most frequent words, `most` at most: all whose count is over a bound that leaves no more."""
-    counts = written(word_counts(docs, text_col).where(f"length(word) <= {WORD_CHARS}"), "piece-words")
+    """(word, often, ids) of the most frequent words, `most` at most: all whose count is over a bound that leaves no more; often marks BY_NAME of them in the same way."""
+    counts = written(word_counts(docs, text_col, pieces.cut).where(f"length(word) <= {WORD_CHARS}"), "piece-words")
     level = F.floor(F.log2("n") * 8).cast("int")
-    bound, total = -1, 0
-    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
-        total += r["count"]
-        if total > most:
-            bound = r["level"]
-            break
-    words = counts.where(level > bound).select("word").distinct()
-    return lattice(words, pieces).select("word", ids_of(F.col("word"), F.col("edges"), pieces).alias("ids"))
+    sizes = [(r["level"], r["count"]) for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()]
+
+    def bound(room: int) -> tuple[int, int]:
+        kept = 0
+        for at, n in sizes:
+            if kept + n > room:
+                return at, kept
+            kept += n
+        return -1, kept
+
+    (rare, kept), (common, _) = bound(most), bound(min(most, BY_NAME))
+    words = counts.select("word", "n", level.alias("level")).where(F.col("level") > rare).select("word", (F.col("level") > common).alias("n")).repartition(kept // LATTICE_WORDS + 1, "word")
+    return lattice(words, pieces).select("word", F.col("n").alias("often"), ids_of(F.col("word"), F.col("edges"), pieces).alias("ids"))
+
+
+def packed(known: DataFrame) -> tuple:
+    """A dictionary on the driver as ({word: place} of those looked up by name, both halves of all digests in order, lengths, starts, ids): some thirty bytes a word.
+
+    Digests are made in Spark, and fetched in order and in parts, so that the driver holds little more than the result.
+    """
+
+    def digested(rows):
+        for b in rows:
+            words, ids = b.column(0).to_pylist(), b.column(2)
+            raw = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.int64).reshape(-1, 2)
+            ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype(np.int32).tobytes()
+            packed_ids = pa.array([flat[4 * x : 4 * y] for x, y in zip(ends, ends[1:])], pa.binary())
+            names = pa.array([w if o else None for w, o in zip(words, b.column(1).to_pylist())], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(raw[:, 0]), pa.array(raw[:, 1]), names, packed_ids], ["high", "low", "name", "ids"])
+
+    spark = known.sparkSession
+    path = f"{shared_dir(spark)}/piece-dictionary-{uuid.uuid4().hex}"
+    halves = known.mapInArrow(digested, "high long, low long, name string, ids binary").withColumn("part", F.shiftright("high", 60))
+    halves.repartition(16, "part").write.partitionBy("part").parquet(path)
+    table = spark.read.schema("high long, low long, name string, ids binary, part long").parquet(path)
+    names: dict = {}
+    parts: list = []
+    count = 0
+    for top in range(-8, 8):
+        part = table.where(F.col("part") == top).select("high", "low", "name", "ids").toArrow().sort_by([("high", "ascending"), ("low", "ascending")]).combine_chunks()
+        if part.num_rows:
+            ids = pa.concat_arrays(part.column("ids").chunks)
+            flat = np.frombuffer(b"".join(ids.to_pylist()), np.int32)
+            parts.append((part.column("high").to_numpy(), part.column("low").to_numpy(), pc.binary_length(ids).to_numpy(zero_copy_only=False) // 4, flat.astype(np.uint16 if not len(flat) or flat.max() < 1 << 16 else np.int32)))
+            names.update((w, count + i) for i, w in enumerate(part.column("name").to_pylist()) if w is not None)
+            count += part.num_rows
+    none = (np.zeros(0, np.int64),) * 4
+    first, second, lengths, flat = (np.concatenate(c) for c in zip(*(parts or [none])))
+    return names, first, second, lengths.astype(np.int32), (np.cumsum(lengths) - lengths).astype(np.int32), flat
+
+
+def by_digest(words: list[str], first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The places of words among the digests; -1 for words not among them."""
+    if not words or not len(first):
+        return np.full(len(words), -1, np.int64)
+    own = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.int64).reshape(-1, 2)
+    at = np.minimum(np.searchsorted(first, own[:, 0]), len(first) - 1)
+    return np.where((first[at] == own[:, 0]) & (second[at] == own[:, 1]), at, -1)
+
+
+def edges_of(words: list[str], finder, facts: list[np.ndarray], singles: set[str], floor: float) -> tuple[np.ndarray, ...]:
+    """(word, start from 1, length, id, score) of all edges of words no longer than WORD_CHARS, word by word; one automaton finds all pieces in all words."""
+    short = np.array([k for k, w in enumerate(words) if len(w) <= WORD_CHARS], np.int64)
+    joined = "\n\n".join(words[k] for k in short)  # no piece has a line end beside anything
+    begins = np.concatenate(([0], np.cumsum([len(words[k]) + 2 for k in short])))[:-1].astype(np.int64)
+    lengths = np.array([len(words[k]) for k in short], np.int64)
+    word_at = lambda at: np.searchsorted(begins, at, "right") - 1
+    in_word = lambda at: at - begins[word_at(at)] < lengths[word_at(at)] if len(at) else np.zeros(0, bool)
+    hits = np.array(list(finder.iter(joined)), np.int64).reshape(-1, 2)
+    hits = hits[in_word(hits[:, 0])]
+    end, which = hits[:, 0], hits[:, 1]
+    inside = np.array([i for i, c in enumerate(joined) if c not in singles] if set(joined) - singles else [], np.int64)
+    inside = inside[in_word(inside)]
+    ends = np.concatenate((end, inside))
+    order = np.argsort(ends, kind="stable")
+    size = np.concatenate((facts[1][which], np.ones(len(inside), np.int64)))[order].astype(np.int64)
+    name = np.concatenate((facts[0][which], np.full(len(inside), -1)))[order]
+    score = np.concatenate((facts[2][which], np.full(len(inside), floor)))[order]
+    ends = ends[order]
+    k = word_at(ends)
+    return short[k], ends - size + 1 - begins[k] + 1, size, name, score
 
 
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", most: int = DICTIONARY) -> DataFrame:
@@ -243,76 +345,66 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     gives an empty result.
     """
     spark = docs.sparkSession
-    known = dictionary(docs, pieces, text_col, most).toArrow()
-    ids = known.column("ids").combine_chunks()
-    if isinstance(ids, pa.ChunkedArray):
-        ids = ids.chunk(0) if ids.num_chunks else pa.array([], pa.list_(pa.int32()))
-    shared = spark.sparkContext.broadcast((known.column("word").to_pylist(), ids.value_lengths().to_numpy(zero_copy_only=False), ids.flatten().to_numpy(zero_copy_only=False)))
-    table, longest, floor, kind, byte_ids = {p: (i, s) for p, i, s in pieces.table}, pieces.longest, pieces.floor, pieces.kind, pieces.bytes
-    lists = lambda kind: pa.list_(kind)
+    shared = spark.sparkContext.broadcast(packed(dictionary(docs, pieces, text_col, most)))
+    cut, table, floor, kind, byte_ids, longest = pieces.cut, {p: (i, s) for p, i, s in pieces.table}, pieces.floor, pieces.kind, pieces.bytes, pieces.longest
+    singles = {p for p, _, _ in pieces.table if len(p) == 1}
+    facts = [np.array(x) for x in zip(*((i, len(p), s) for p, i, s in pieces.table))]
     looked_up: dict = {}
+    found_by: list = []
+    pieces_in_order = pieces.table
 
     def places(rows):
-        """Per text: its words' places in the dictionary (or -1 - k for its k-th other word), the others, and their edges or, if long, ids."""
-        if not looked_up:
-            looked_up.update((w, i) for i, w in enumerate(shared.value[0]))
-        for b in rows:
-            at, keys, words, word_ends, edge_ends, done = [], [], [], [0], [0], []
-            start, size, name, score = [], [], [], []
+        """Per text: the ids of its words in the dictionary, cut where another word stands; which of the others stands there; the others with their edges or, if long, ids."""
+        names, first, second, lengths, starts, flat = shared.value
+        if not found_by:
+            looked_up.update(names)
+            finder = ahocorasick.Automaton()
+            for k, (p, _, _) in enumerate(pieces_in_order):
+                finder.add_word(p, k)
+            finder.make_automaton()
+            found_by.append(finder)
+        for b in (b.slice(k, HELD_TEXTS) for b in rows for k in range(0, b.num_rows, HELD_TEXTS)):
+            keys, others, order, runs, run_ends, run_counts, other_ends, order_ends, done = [], [], [], [], [np.zeros(1, np.int64)], [0], [0], [0], []
+            so_far = 0
             for t in b.column(1):
                 text = t.as_py() or ""
                 key = xxhash.xxh64_intdigest(text.encode(), 42)
                 keys.append(key - (1 << 64) if key >> 63 else key)
-                found = words_of(text)
-                where = np.fromiter(map(looked_up.get, found, repeat(-1)), np.int32, len(found))
+                found = words_of(text, cut)
+                where = np.fromiter(map(looked_up.get, found, repeat(-1)), np.int64, len(found))
+                new = np.flatnonzero(where < 0)
+                where[new] = by_digest([found[k] for k in new.tolist()], first, second)
+                new = new[where[new] < 0]
                 mine: dict = {}
-                for k in np.flatnonzero(where < 0).tolist():
-                    where[k] = -1 - mine.setdefault(found[k], len(mine))
-                at.append(where)
-                for w in mine:
-                    long = len(w) > WORD_CHARS
-                    done.append(spell_long(w, table, byte_ids, longest, kind, floor) if long else None)
-                    for a in () if long else range(len(w)):
-                        for n in range(1, min(longest, len(w) - a) + 1):
-                            hit = table.get(w[a : a + n]) or ((-1, floor) if n == 1 else None)
-                            if hit:
-                                start.append(a + 1)
-                                size.append(n)
-                                name.append(hit[0])
-                                score.append(hit[1])
-                    words.append(w)
-                    edge_ends.append(len(start))
-                word_ends.append(len(words))
-            edges = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(name, pa.int32()), pa.array(score, pa.float64())], ["start", "len", "id", "score"])
-            other = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.ListArray.from_arrays(pa.array(edge_ends, pa.int32()), edges), pa.array(done, lists(pa.int32()))], ["word", "edges", "ids"])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, lists(pa.int32())), pa.ListArray.from_arrays(pa.array(word_ends, pa.int32()), other), pa.array(keys, pa.int64())], ["doc_id", "at", "others", "text_key"])
-
-    def joined(rows):
-        """The ids of each text's words in their order."""
-        _, lengths, flat = shared.value
-        starts = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else np.zeros(0, np.int64)
-        for b in rows:
-            out = []
-            for where, rest in zip(b.column(1), b.column(2)):
-                where = where.values.to_numpy()
-                rest = rest.values
-                own, own_flat = rest.value_lengths().to_numpy(zero_copy_only=False), rest.flatten().to_numpy(zero_copy_only=False)
-                own_starts = len(flat) + np.concatenate(([0], np.cumsum(own)))[: len(own)]
-                low = where < 0
-                n, start = np.zeros(len(where), np.int64), np.zeros(len(where), np.int64)
-                n[~low], start[~low] = lengths[where[~low]], starts[where[~low]]
-                n[low], start[low] = own[-1 - where[low]], own_starts[-1 - where[low]]
-                take = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
-                old = take < len(flat)
-                ids = np.empty(len(take), np.int32)
-                ids[old], ids[~old] = flat[take[old]], own_flat[take[~old] - len(flat)]
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, lists(pa.int32())), b.column(3)], ["doc_id", "ids", "text_key"])
+                order += [mine.setdefault(found[k], len(mine)) for k in new.tolist()]
+                order_ends.append(len(order))
+                n = np.where(where < 0, 0, lengths[where]) if len(lengths) else np.zeros(len(where), np.int64)
+                upto = np.cumsum(n)
+                total = int(upto[-1]) if len(upto) else 0
+                take = np.repeat((starts[where] if len(lengths) else n) - upto + n, n) + np.arange(total)
+                runs.append(flat[take].astype(np.int32))
+                run_ends.append(np.append(upto[new], total) + so_far)
+                run_counts.append(run_counts[-1] + len(new) + 1)
+                so_far += total
+                others += mine
+                done += [spell_long(w, table, byte_ids, longest, kind, floor) if len(w) > WORD_CHARS else None for w in mine]
+                other_ends.append(len(others))
+            owner, start, size, name, score = edges_of(others, found_by[0], facts, singles, floor)
+            edge_ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(others)))))
+            lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(np.asarray(ends), pa.int32()), values)
+            stop = start + size
+            bits = [(1 << start) | (1 << stop), (2 << stop) - (1 << start)]
+            edges = pa.StructArray.from_arrays([pa.array(score, pa.float64()), pa.array(-start, pa.int32()), pa.array(size, pa.int32()), pa.array(name, pa.int32()), *map(pa.array, bits)], ["score", "turned", "len", "id", "ends", "span"])
+            other = pa.StructArray.from_arrays([pa.array(others, pa.string()), lists(edge_ends, edges), pa.array(done, pa.list_(pa.int32()))], ["word", "edges", "ids"])
+            run = lists(np.concatenate(run_ends), pa.array(np.concatenate(runs) if runs else [], pa.int32()))
+            columns = [b.column(0), lists(run_counts, run), lists(order_ends, pa.array(order, pa.int32())), lists(other_ends, other), pa.array(keys, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "runs", "order", "others", "text_key"])
 
     kept = rows_as(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    split = kept.mapInArrow(places, f"doc_id long, at array<int>, others array<struct<word:string,edges:array<{EDGE}>,ids:array<int>>>, text_key long")
+    split = kept.mapInArrow(places, f"doc_id long, runs array<array<int>>, order array<int>, others array<struct<word:string,edges:array<{EDGE}>,ids:array<int>>>, text_key long")
     found = F.transform("others", lambda o: F.coalesce(o["ids"], ids_of(o["word"], o["edges"], pieces)))
-    return split.select("doc_id", "at", found.alias("rest"), "text_key").mapInArrow(joined, "doc_id long, ids array<int>, text_key long")
+    joined = lambda rest: F.flatten(F.flatten(F.zip_with("runs", "order", lambda run, k: F.when(k.isNull(), F.array(run)).otherwise(F.array(run, F.get(rest, k))))))
+    return split.select("doc_id", _bound(found, joined).alias("ids"), "text_key")
 
 
 def decode(encoded: DataFrame, pieces: Pieces, ids_col: str = "ids") -> DataFrame:
@@ -321,18 +413,23 @@ def decode(encoded: DataFrame, pieces: Pieces, ids_col: str = "ids") -> DataFram
     Control and unknown ids, ids outside the table and null ids stand for nothing; bytes that are no UTF-8 become
     U+FFFD; null ids give a null text.
     """
-    raw = pieces.raw
+    raw = np.frombuffer(b"".join(pieces.raw), np.uint8)
+    sizes = np.array([len(r) for r in pieces.raw] + [0], np.int64)
+    firsts = np.cumsum(sizes) - sizes
 
     def batches(rows):
-        for b in rows:
+        for b in (b.slice(k, HELD_TEXTS) for b in rows for k in range(0, b.num_rows, HELD_TEXTS)):
             ids = b.column(b.schema.get_field_index(ids_col))
+            at = ids.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+            at = np.where((at >= 0) & (at < len(sizes) - 1), at, len(sizes) - 1)
+            n = sizes[at]
+            upto = np.cumsum(n)
+            joined = raw[np.repeat(firsts[at] - upto + n, n) + np.arange(n.sum())].tobytes()
+            ends = np.concatenate(([0], upto))[np.concatenate(([0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))].tolist()
             out = []
-            for x in ids:
-                if not x.is_valid:
-                    out.append(None)
-                    continue
-                text = b"".join([raw[i] for i in x.as_py() if i is not None and 0 <= i < len(raw)])
-                out.append((text[1:] if text[:1] == b" " else text).decode("utf-8", "replace"))
+            for a, z, there in zip(ends, ends[1:], ids.is_valid().to_pylist()):
+                text = joined[a:z]
+                out.append((text[1:] if text[:1] == b" " else text).decode("utf-8", "replace") if there else None)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "text"])
 
     kept = encoded.drop("text")
