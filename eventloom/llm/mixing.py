@@ -11,6 +11,8 @@ from eventloom.llm.common import cut, rows_as
 WEIGHTS, REPEATS = (5, 2, 1), 3
 #: Rows aimed at in one slice of a source or one range of finish times, and the most slices and ranges.
 SLICE_ROWS, MOST_SLICES = 256, 65536
+#: Ranges whose sums one task runs up.
+BLOCK_RANGES = 512
 KEY_BITS = 60
 
 
@@ -79,7 +81,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
     item = lambda turn: F.struct(finish(turn).alias("f"), F.col("rank").alias("r"), turn.cast("int").alias("e"), F.col("key").alias("k"), F.col("doc_id").alias("d"), F.col("size").alias("s"))
     items = queue.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).select(item(F.col("turn")).alias("item")).withColumn("part", F.floor(F.col("item.f") / width))
     parts = items.groupBy("part").agg(F.sum("item.s").alias("sum"))
-    parts = parts.select("part", F.coalesce(F.sum("sum").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    # ranges stand in blocks: sums run inside a block, and over the blocks, of which there are few
+    parts = parts.withColumn("block", F.floor(F.col("part") / BLOCK_RANGES))
+    blocks = parts.groupBy("block").agg(F.sum("sum").alias("all"))
+    blocks = blocks.select("block", F.coalesce(F.sum("all").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    inner = F.coalesce(F.sum("sum").over(W.partitionBy("block").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("inner", inner).join(blocks, "block").select("part", (F.col("earlier") + F.col("inner")).alias("before"))
     ranged = items.join(parts, "part").withColumn("sofar", F.col("before") + F.sum("item.s").over(W.partitionBy("part").orderBy("item").rowsBetween(W.unboundedPreceding, 0)))
     last = cut(ranged.where(F.col("sofar") <= top["total"]).agg(F.max("item").alias("last")))
     times = sum((F.when(item(F.lit(e)) <= F.col("last"), 1).otherwise(0) for e in range(repeats)), F.lit(0))
