@@ -49,3 +49,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def rows_as(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named input columns, under fixed names, so that extra or clashing columns do no harm."""
     return df.select(*(F.col(f"`{source}`").alias(name) for name, source in columns.items()))
+
+
+def row_key(doc_id, text):
+    """A 64-bit number of a row's id and text."""
+    return F.xxhash64(doc_id.cast("long"), F.coalesce(text.cast("string"), F.lit("")))

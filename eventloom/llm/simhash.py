@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import cut, rows_as
 from eventloom.llm.components import components
+from eventloom.llm.copies import one_of_each  # noqa: F401
 
 SEED, SHINGLE, BITS = 42, 3, 3
 #: Generator polynomial of the perfect binary Golay code (23, 12), whose covering radius is 3.
@@ -116,9 +117,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(least.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(classes.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
-
-
-def one_of_each(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """The documents that stay: the row whose doc_id is its component's id, once. All columns are kept."""
-    found = near_duplicates(docs, bits=bits).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_kept"]), "left_semi").dropDuplicates(["doc_id"])
