@@ -16,12 +16,13 @@ BLOCK_RANGES = 512
 KEY_BITS = 60
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, key): size in words that white space parts; key: a 60-bit hash that shuffles."""
-    kept = rows_as(docs, doc_id=id_col, text=text_col, source=source_col)
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """(doc_id, source, size, key): size in words that white space parts; key: a 60-bit hash that shuffles. With row_col, that too."""
+    more = {row_col: row_col} if row_col else {}
+    kept = rows_as(docs, doc_id=id_col, text=text_col, source=source_col, **more)
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long")
     key = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, KEY_BITS // 4), 16, 10).cast("long")
-    return kept.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), key.alias("key"))
+    return kept.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), key.alias("key"), *more)
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
@@ -51,7 +52,7 @@ def _slices(rows: str) -> str:
     return f"cast(least(ceil(log2(greatest({rows} / {SLICE_ROWS}, 1))), log2({MOST_SLICES})) as int)"
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, times, finish) for every row.
 
     Each source's documents stand in a shuffled order that a hash of doc_id fixes, repeats times over. A document's
@@ -63,18 +64,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
     Null and empty texts have size 0 and take nothing; a null source is a source of its own, the last one; rows
     with equal doc_id and size are taken alike; extra columns are ignored; an empty table gives an empty result.
     """
-    rows = cut(sized(docs, id_col, text_col, source_col))
+    more = [row_col] if row_col else []
+    rows = cut(sized(docs, id_col, text_col, source_col, row_col))
     by_source = cut(targets(rows, weights, repeats).withColumn("bits", F.expr(_slices("rows_in"))))
     placed = rows.join(F.broadcast(by_source) if by_source.count() <= 100_000 else by_source, rows["source"].eqNullSafe(by_source["source"])).drop(by_source["source"])
     placed = placed.withColumn("slice", F.expr(f"shiftright(key, {KEY_BITS} - bits)"))
     sums = placed.groupBy("rank", "slice").agg(F.sum("size").alias("sum"))
     sums = sums.select("rank", "slice", F.coalesce(F.sum("sum").over(W.partitionBy("rank").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = W.partitionBy("rank", "slice").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("rank", "slice").orderBy("key", "doc_id", "size", *more).rowsBetween(W.unboundedPreceding, 0)
     queue = cut(placed.join(sums, ["rank", "slice"]).withColumn("done", F.col("before") + F.sum("size").over(inside)))
 
     top = queue.agg(F.count("*").alias("n"), F.max((F.lit(repeats) * F.col("source_size")) / F.col("weight")).alias("last"), F.max("total").alias("total")).first()
     if not top["n"] or not top["total"]:
-        return queue.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(0).alias("times"), F.lit(0.0).alias("finish"))
+        return queue.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(0).alias("times"), F.lit(0.0).alias("finish"), *more)
     level = queue.agg(F.max(F.col("target") / F.col("weight"))).first()[0]
     width = level / min(max(repeats * top["n"] // SLICE_ROWS, 1), MOST_SLICES // 4)
     finish = lambda turn: (turn * F.col("source_size") + F.col("done")).cast("double") / F.col("weight").cast("double")
@@ -91,14 +93,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
     last = cut(ranged.where(F.col("sofar") <= top["total"]).agg(F.max("item").alias("last")))
     times = sum((F.when(item(F.lit(e)) <= F.col("last"), 1).otherwise(0) for e in range(repeats)), F.lit(0))
     out = queue.crossJoin(F.broadcast(last)).withColumn("times", F.coalesce(times, F.lit(0)))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"), "times", finish(F.lit(0)).alias("finish"))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"), "times", finish(F.lit(0)).alias("finish"), *more)
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, rows not taken left out; all columns are kept."""
-    counts = mix(docs, **how).where("times > 0 and size > 0").select(F.col("doc_id").alias("_id"), "times").dropDuplicates(["_id"])
-    out = docs.join(counts, F.col("doc_id").cast("long").eqNullSafe(counts["_id"]))
-    return out.withColumn("times", F.explode(F.sequence(F.lit(1), "times"))).select(*(docs[f"`{c}`"] for c in docs.columns))
+    """The mix itself: each row of docs as often as it is taken, rows not taken left out; all columns are kept.
+
+    Rows are told apart by all their columns; rows that agree in all share what is taken of them.
+    """
+    keyed = docs.withColumn("_row", F.xxhash64(*(docs[f"`{c}`"] for c in docs.columns)))
+    counts = mix(keyed, row_col="_row", **how).where("times > 0 and size > 0").groupBy("_row").agg(F.sum("times").cast("int").alias("times"))
+    out = keyed.dropDuplicates(["_row"]).join(counts, "_row")
+    return out.withColumn("times", F.explode(F.sequence(F.lit(1), "times"))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 ORACLE = f"""

@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import cut, rows_as
+from eventloom.llm.common import cut, row_key, rows_as
 
 #: The most labelled rows that a fit uses: a sample by hash of doc_id when there are more.
 TRAIN_ROWS = 20_000
@@ -39,16 +39,17 @@ def statistics_of(text: str | None) -> tuple[float, ...]:
     )
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the statistics of every whole text as doubles; nothing else of a row enters."""
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id and the statistics of every whole text as doubles; nothing else of a row enters. With row_col, row too."""
 
     def batches(rows):
         for b in rows:
             found = list(zip(*(statistics_of(t.as_py()) for t in b.column(1)))) or [()] * len(STATISTICS)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.float64()) for x in found)], ["doc_id", *STATISTICS])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.float64()) for x in found), *b.columns[2:]], ["doc_id", *STATISTICS, *b.schema.names[2:]])
 
-    kept = rows_as(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    return kept.mapInArrow(batches, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
+    more = {"row": row_col} if row_col else {}
+    kept = rows_as(docs, doc_id=id_col, text=text_col, **more).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", *more)
+    return kept.mapInArrow(batches, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS) + (", row long" if row_col else ""))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -133,8 +134,9 @@ def classify(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, t
 
 
 def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not rejected, with all their columns."""
-    stats = cut(statistics(docs))
+    """The rows whose own text is not rejected, with all their columns; rows are told apart by doc_id and text."""
+    named = docs.select("doc_id", "text", row_key(docs["doc_id"], docs["text"]).alias("row"))
+    stats = cut(statistics(named, row_col="row"))
     score = fit(stats, labels).score()
-    bad = stats.where(score < THRESHOLD).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_bad"]), "left_anti")
+    bad = stats.where(score < THRESHOLD).select(F.col("row").alias("_bad")).distinct()
+    return docs.join(bad, row_key(docs["doc_id"], docs["text"]) == bad["_bad"], "left_anti")
