@@ -2,8 +2,9 @@
 
 Words are exploded into bounded-length substrings, joined to the piece table, and their edges grouped by word; a
 higher-order aggregate folds the edges to ids. For a unigram model that fold is Viterbi's. A BPE model's ids are not
-the best path of its scores (they are merge ranks), so there the fold applies the best merge among the edges until
-none is left, which gives the model's own ids.
+the best path of its scores (they are merge ranks), so there the fold applies merges among the edges, best first,
+which gives the model's own ids. Every distinct word of a corpus is folded once; ids come back to the texts by a
+broadcast for the frequent words and by a join on the word for all others.
 """
 
 from __future__ import annotations
@@ -11,12 +12,10 @@ from __future__ import annotations
 import heapq
 import os
 import re
-import string
 import uuid
 from collections import Counter
 from itertools import repeat
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,10 +27,12 @@ from pyspark.sql import functions as F
 from eventloom.llm.common import rows_as, shared_dir, written
 
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
-#: Words whose ids are looked up: the most frequent ones of the corpus, this many at most, none longer than WORD_CHARS.
-#: The most frequent of them are looked up by name, the others by a 128-bit digest, which takes a fraction of the memory.
-DICTIONARY, BY_NAME, WORD_CHARS = 1 << 21, 1 << 17, 60
-#: Distinct words that a Python worker counts before it passes them on, and texts whose edges it holds at once.
+#: Words whose ids are broadcast: the most frequent ones of the corpus, this many at most; all others are joined. The most
+#: frequent of them are looked up by name, the others by a 128-bit digest, which takes a fraction of the memory.
+DICTIONARY, BY_NAME = 1 << 20, 1 << 17
+#: Characters of the longest word that goes through the folds, whose places are the bits of a long.
+WORD_CHARS = 60
+#: Distinct words that a Python worker counts before it passes them on, and rows whose ids it turns to text at once.
 HELD_WORDS, HELD_TEXTS = 200_000, 64
 #: Words in one task that groups edges, about: each has some thirty.
 LATTICE_WORDS = 8192
@@ -68,38 +69,41 @@ class Pieces:
         self.raw = [bytes([int(n[3:5], 16)]) if model.is_byte(i) else b"" if odd[i] else n.replace("▁", " ").encode() for i, n in enumerate(names)]
         if any(re.search(r"(?s)[^ ] |.\n|\n.", p) for p, _, _ in self.table):
             raise ValueError("a piece crosses the end of a word: words can't be encoded one by one")
-        # signs that no piece has behind a Latin letter: no edge crosses that place, so words may be cut there, which leaves fewer different ones
-        signs = [c for c in string.punctuation if not any(c in p[1:] and re.search("[A-Za-z\u00c0-\u024f]" + re.escape(c), p) for p, _, _ in self.table)]
-        self.cut = re.compile("[" + re.escape("".join(signs)) + "](?<=[A-Za-z\u00c0-\u024f].)") if signs else None
+        better: dict = {}
+        for p, _, score in self.table:
+            for part in {x for n in range(2, len(p)) for x in (p[:n], p[-n:])}:
+                better[part] = max(score, better.get(part, -float("inf")))
+        self.risky = {p for p, _, score in self.table if better.get(p, -float("inf")) > score}
+        letters = {c: i + 1 for i, c in enumerate(sorted({c for p, _, _ in self.table for c in p}))}
+        self.letter = np.zeros(0x110000, np.uint16 if len(letters) < 1 << 16 else np.uint32)
+        self.letter[[ord(c) for c in letters]] = list(letters.values())
+        self.beside = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        for pair in {x for p, _, _ in self.table for x in zip(p, p[1:])}:
+            self.beside[letters[pair[0]], letters[pair[1]]] = True
         self.longest = max(len(p) for p, _, _ in self.table)
         self.floor = min(s for _, _, s in self.table if s > UNUSED) - UNKNOWN
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        """(piece, id, score)."""
-        return spark.createDataFrame(self.table, "piece string, id int, score double")
-
-
-#: A word is a run of spaces with what follows it up to a space or line end, or one line end. No piece crosses its ends, so the best path of a text is that of its words.
-_WORD, _CUT_WORD = re.compile(r" *[^ \n]+|\n| +"), re.compile(r" *[^ \n\0]+|\n| +")
-
-
-def words_of(text: str | None, cut: re.Pattern | None = None) -> list[str]:
-    """The words of a text, with the space that the model puts before it, and cut further at `cut` (see Pieces); an empty text has none."""
-    if not text:
-        return []
-    text = " " + text
-    if "\0" in text:
-        return _WORD.findall(text)
-    if cut:
-        text = cut.sub("\0\\g<0>", text)
-    if "  " in text:
-        return _CUT_WORD.findall(text)
-    return list(filter(None, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")))  # the same, in a fifth of the time
+        """(piece, id, score, risky): risky pieces start or end a piece of a better score."""
+        return spark.createDataFrame([(*row, row[0] in self.risky) for row in self.table], "piece string, id int, score double, risky boolean")
+
+    def words_of(self, text: str | None) -> list[str]:
+        """The words of a text, with the space that the model puts before it: cut wherever no piece has the two neighbouring
+        characters side by side, which no edge and so no merge or path can cross. An empty text has none.
+        """
+        if not text:
+            return []
+        text = " " + text
+        kinds = self.letter[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        ends = (np.flatnonzero(~self.beside[kinds[:-1], kinds[1:]]) + 1).tolist()
+        ends.append(len(text))
+        return [text[a:b] for a, b in zip([0, *ends], ends)]
 
 
 #: What an edge says: its piece's score, its start (from 1) turned negative, so that the best edge, ties to the leftmost, is
-#: the greatest; its length; its piece's id (-1: in no piece); its two ends, and all places from one to the other, as bits.
-EDGE = "struct<score:double,turned:int,len:int,id:int,ends:bigint,span:bigint>"
+#: the greatest; its length; its piece's id (-1: in no piece); its two ends, and all places from one to the other, as bits;
+#: whether its piece starts or ends a piece of a better score.
+EDGE = "struct<score:double,turned:int,len:int,id:int,ends:bigint,span:bigint,risky:boolean>"
 
 
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -116,7 +120,7 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     first, last = F.col("start"), F.col("start") + F.col("len")
     edge = F.struct(
         F.coalesce("score", F.lit(pieces.floor)).alias("score"), (-first).alias("turned"), "len", F.coalesce("id", F.lit(-1)).alias("id"),
-        bit(first).bitwiseOR(bit(last)).alias("ends"), (bit(last + 1) - bit(first)).alias("span"),
+        bit(first).bitwiseOR(bit(last)).alias("ends"), (bit(last + 1) - bit(first)).alias("span"), F.coalesce("risky", F.lit(False)).alias("risky"),
     )
     return edges.groupBy("word", "n").agg(F.collect_list(edge).alias("edges"))
 
@@ -150,31 +154,51 @@ def viterbi(word: Column, edges: Column) -> Column:
     return _bound(F.aggregate(sort, first, forth), line)
 
 
+def _path(edges: Column, cuts: Column) -> Column:
+    """The edges between neighbouring cuts, in order."""
+    kept = F.filter(edges, lambda e: e["span"].bitwiseAND(cuts) == e["ends"])
+    return F.array_sort(F.transform(kept, lambda e: F.struct((-e["turned"]).alias("start"), e["len"].alias("len"), e["id"].alias("id"))))
+
+
+def _whole(word: Column) -> Column:
+    """The cuts before any merge: all places of a word, as bits from 1."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.length(word) + 2) - F.lit(2).cast("long")
+
+
+def _can_merge(e: Column, cuts: Column) -> Column:
+    """Whether an edge's two ends are cuts with just one cut between them."""
+    return _bound(e["span"].bitwiseAND(cuts), lambda x: (x.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(x) == 3))
+
+
 def merges(word: Column, edges: Column) -> Column:
-    """A word's edges after merging: a fold that, once a character at most, joins the two neighbours whose joint edge has the best score.
+    """A word's edges after merging: a fold over its edges, best first, ties to the leftmost, that merges each that can be.
 
-    The state is the cuts between symbols, as bits of a long, and the edges whose two ends are still cuts. An edge can
-    be merged if just one cut lies inside it; ties go to the leftmost. At the end the edges between neighbouring cuts
-    are the word's pieces.
+    The state is the cuts between symbols, as bits of a long. Going through the edges once gives what merging the best
+    one each time gives, unless a merge makes an earlier, better edge possible. Only the merge of a risky edge, one
+    whose piece starts or ends a better piece, can do so; where it does, the state becomes 0, and merges_again() decides.
     """
-    pairs = F.filter(edges, lambda e: e["len"] > 1)
-    none = F.slice(pairs, F.lit(1), F.lit(0))
+    pairs = F.sort_array(F.filter(edges, lambda e: e["len"] > 1), asc=False)
 
-    def step(state, _):
-        ready = F.filter(state["live"], lambda e: F.bit_count(e["span"].bitwiseAND(state["cuts"])) == 3)
+    def step(cuts, e, line):
+        left = cuts.bitwiseAND(F.bitwise_not(e["span"].bitwiseXOR(e["ends"])))
+        late = lambda now: F.exists(line, lambda g: (g["score"] > e["score"]) & _can_merge(g, now))
+        after = F.when(e["risky"], _bound(left, lambda now: F.when(late(now), F.lit(0).cast("long")).otherwise(now))).otherwise(left)
+        return F.when(_can_merge(e, cuts), after).otherwise(cuts)
 
-        def join(best):
-            left = state["cuts"].bitwiseAND(F.bitwise_not(best["span"].bitwiseXOR(best["ends"])))
-            return _bound(left, lambda cuts: F.struct(cuts.alias("cuts"), F.filter(state["live"], lambda e: (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (e["span"] != best["span"])).alias("live")))
+    done = _bound(pairs, lambda line: F.aggregate(line, _whole(word), lambda cuts, e: step(cuts, e, line)))
+    return _bound(done, lambda cuts: F.when(cuts == 0, merges_again(word, edges)).otherwise(_path(edges, cuts)))
 
-        stop = F.struct(state["cuts"].alias("cuts"), none.alias("live"))
-        return F.when(F.size(state["live"]) == 0, state).otherwise(_bound(F.array_max(ready), lambda best: F.when(best.isNull(), stop).otherwise(join(best))))
 
-    every = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(word) + 2) - F.lit(2).cast("long")
+def merges_again(word: Column, edges: Column) -> Column:
+    """The same for any word, slower: a fold that, once a character at most, looks for the best edge that can be merged."""
+    pairs = F.filter(edges, lambda e: e["len"] > 1)
     steps = F.slice(F.sequence(F.lit(1), F.length(word)), F.lit(2), F.length(word))
-    kept = lambda cuts: F.filter(edges, lambda e: e["span"].bitwiseAND(cuts) == e["ends"])
-    chosen = _bound(F.aggregate(steps, F.struct(every.alias("cuts"), pairs.alias("live")), step)["cuts"], kept)
-    return F.array_sort(F.transform(chosen, lambda e: F.struct((-e["turned"]).alias("start"), e["len"].alias("len"), e["id"].alias("id"))))
+
+    def step(cuts, _):
+        best = F.array_max(F.filter(pairs, lambda e: _can_merge(e, cuts)))
+        return _bound(best, lambda e: F.when(e.isNull(), cuts).otherwise(cuts.bitwiseAND(F.bitwise_not(e["span"].bitwiseXOR(e["ends"])))))
+
+    return _bound(F.aggregate(steps, _whole(word), step), lambda cuts: _path(edges, cuts))
 
 
 def ids_of(word: Column, edges: Column, pieces: Pieces) -> Column:
@@ -227,41 +251,49 @@ def spell_long(word: str, table: dict, byte_ids: list[int], longest: int, kind:
     return [i for p in path for i in ([table[p][0]] if p in table else [byte_ids[c] for c in p.encode()])]
 
 
-def word_counts(docs: DataFrame, text_col: str = "text", cut: re.Pattern | None = None) -> DataFrame:
-    """(word, n) of all words of all texts."""
+def word_counts(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> DataFrame:
+    """(word, n) of all words of all texts that are no longer than WORD_CHARS."""
+    split = pieces.words_of
+
+    def packed_counts(held):
+        kept = {w: n for w, n in held.items() if len(w) <= WORD_CHARS}
+        return pa.RecordBatch.from_pydict({"word": list(kept), "n": list(kept.values())})
 
     def batches(rows):
         held: Counter = Counter()
         for b in rows:
             for t in b.column(0):
-                held.update(words_of(t.as_py(), cut))
-            if len(held) > HELD_WORDS:
-                yield pa.RecordBatch.from_pydict({"word": list(held), "n": list(held.values())})
-                held.clear()
+                held.update(split(t.as_py()))
+                if len(held) > HELD_WORDS:
+                    yield packed_counts(held)
+                    held.clear()
         if held:
-            yield pa.RecordBatch.from_pydict({"word": list(held), "n": list(held.values())})
+            yield packed_counts(held)
 
     parts = rows_as(docs, text=text_col).selectExpr("cast(text as string) text").mapInArrow(batches, "word string, n long")
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def dictionary(docs: DataFrame, pieces: Pieces, text_col: str = "text", most: int = DICTIONARY) -> DataFrame:
-    """(word, often, ids) of the most frequent words, `most` at most: all whose count is over a bound that leaves no more; often marks BY_NAME of them in the same way."""
-    counts = written(word_counts(docs, text_col, pieces.cut).where(f"length(word) <= {WORD_CHARS}"), "piece-words")
+def word_ids(docs: DataFrame, pieces: Pieces, text_col: str = "text", most: int = DICTIONARY) -> DataFrame:
+    """(word, ids, kind) of every distinct word, each encoded once by lattice and fold, written to the shared folder.
+
+    kind is 2 for the BY_NAME most frequent words, 1 for the rest of the `most` most frequent, 0 for all others; both
+    bounds are counts of words, moved down so that none of the words of one count level is split off.
+    """
+    counts = written(word_counts(docs, pieces, text_col), "piece-words")
     level = F.floor(F.log2("n") * 8).cast("int")
     sizes = [(r["level"], r["count"]) for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()]
 
-    def bound(room: int) -> tuple[int, int]:
-        kept = 0
+    def bound(room: int) -> int:
         for at, n in sizes:
-            if kept + n > room:
-                return at, kept
-            kept += n
-        return -1, kept
+            room -= n
+            if room < 0:
+                return at
+        return -1
 
-    (rare, kept), (common, _) = bound(most), bound(min(most, BY_NAME))
-    words = counts.select("word", "n", level.alias("level")).where(F.col("level") > rare).select("word", (F.col("level") > common).alias("n")).repartition(kept // LATTICE_WORDS + 1, "word")
-    return lattice(words, pieces).select("word", F.col("n").alias("often"), ids_of(F.col("word"), F.col("edges"), pieces).alias("ids"))
+    kind = (level > bound(most)).cast("int") + (level > bound(min(most, BY_NAME))).cast("int")
+    words = counts.select("word", kind.alias("n")).repartition(sum(n for _, n in sizes) // LATTICE_WORDS + 1, "word")
+    return written(lattice(words, pieces).select("word", ids_of(F.col("word"), F.col("edges"), pieces).alias("ids"), F.col("n").alias("kind")), "piece-ids")
 
 
 def packed(known: DataFrame) -> tuple:
@@ -309,102 +341,85 @@ def by_digest(words: list[str], first: np.ndarray, second: np.ndarray) -> np.nda
     return np.where((first[at] == own[:, 0]) & (second[at] == own[:, 1]), at, -1)
 
 
-def edges_of(words: list[str], finder, facts: list[np.ndarray], singles: set[str], floor: float) -> tuple[np.ndarray, ...]:
-    """(word, start from 1, length, id, score) of all edges of words no longer than WORD_CHARS, word by word; one automaton finds all pieces in all words."""
-    short = np.array([k for k, w in enumerate(words) if len(w) <= WORD_CHARS], np.int64)
-    joined = "\n\n".join(words[k] for k in short)  # no piece has a line end beside anything
-    begins = np.concatenate(([0], np.cumsum([len(words[k]) + 2 for k in short])))[:-1].astype(np.int64)
-    lengths = np.array([len(words[k]) for k in short], np.int64)
-    word_at = lambda at: np.searchsorted(begins, at, "right") - 1
-    in_word = lambda at: at - begins[word_at(at)] < lengths[word_at(at)] if len(at) else np.zeros(0, bool)
-    hits = np.array(list(finder.iter(joined)), np.int64).reshape(-1, 2)
-    hits = hits[in_word(hits[:, 0])]
-    end, which = hits[:, 0], hits[:, 1]
-    inside = np.array([i for i, c in enumerate(joined) if c not in singles] if set(joined) - singles else [], np.int64)
-    inside = inside[in_word(inside)]
-    ends = np.concatenate((end, inside))
-    order = np.argsort(ends, kind="stable")
-    size = np.concatenate((facts[1][which], np.ones(len(inside), np.int64)))[order].astype(np.int64)
-    name = np.concatenate((facts[0][which], np.full(len(inside), -1)))[order]
-    score = np.concatenate((facts[2][which], np.full(len(inside), floor)))[order]
-    ends = ends[order]
-    k = word_at(ends)
-    return short[k], ends - size + 1 - begins[k] + 1, size, name, score
-
-
-def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", most: int = DICTIONARY) -> DataFrame:
-    """(doc_id, ids, text_key): the ids of every whole text, and the text's 64-bit key.
-
-    The corpus' most frequent words are encoded once, in Spark, and their ids, a table of bounded size, are
-    broadcast. The words of a text that are not among them bring their lattice edges along in their row and go
-    through the same fold there, so that no text is ever shuffled. Words of over WORD_CHARS characters are spelled
-    by a helper in the task.
-
-    Characters in no piece become the ids of their UTF-8 bytes, U+2581 among them, so decoding gives the text back
-    exactly. A null text counts as empty: no ids. Repeated rows stay; extra columns are ignored; an empty table
-    gives an empty result.
+def split_texts(docs: DataFrame, pieces: Pieces, frequent: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, doc_id, text_key, ids, gaps, words) for every row of docs: the ids of the text's broadcast words and long words as
+    packed numbers, before how many of these ids another word stands, and those words, in order. row tells rows apart.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(packed(dictionary(docs, pieces, text_col, most)))
-    cut, table, floor, kind, byte_ids, longest = pieces.cut, {p: (i, s) for p, i, s in pieces.table}, pieces.floor, pieces.kind, pieces.bytes, pieces.longest
-    singles = {p for p, _, _ in pieces.table if len(p) == 1}
-    facts = [np.array(x) for x in zip(*((i, len(p), s) for p, i, s in pieces.table))]
+    shared = docs.sparkSession.sparkContext.broadcast(packed(frequent))
+    split, table, floor, kind, byte_ids, longest = pieces.words_of, {p: (i, s) for p, i, s in pieces.table}, pieces.floor, pieces.kind, pieces.bytes, pieces.longest
     looked_up: dict = {}
-    found_by: list = []
-    pieces_in_order = pieces.table
 
-    def places(rows):
-        """Per text: the ids of its words in the dictionary, cut where another word stands; which of the others stands there; the others with their edges or, if long, ids."""
+    def batches(rows):
         names, first, second, lengths, starts, flat = shared.value
-        if not found_by:
+        if not looked_up:
             looked_up.update(names)
-            finder = ahocorasick.Automaton()
-            for k, (p, _, _) in enumerate(pieces_in_order):
-                finder.add_word(p, k)
-            finder.make_automaton()
-            found_by.append(finder)
-        for b in (b.slice(k, HELD_TEXTS) for b in rows for k in range(0, b.num_rows, HELD_TEXTS)):
-            keys, others, order, runs, run_ends, run_counts, other_ends, order_ends, done = [], [], [], [], [np.zeros(1, np.int64)], [0], [0], [0], []
-            so_far = 0
+        for b in rows:
+            keys, known, gaps, words = [], [], [], []
             for t in b.column(1):
                 text = t.as_py() or ""
                 key = xxhash.xxh64_intdigest(text.encode(), 42)
                 keys.append(key - (1 << 64) if key >> 63 else key)
-                found = words_of(text, cut)
+                found = split(text)
                 where = np.fromiter(map(looked_up.get, found, repeat(-1)), np.int64, len(found))
                 new = np.flatnonzero(where < 0)
                 where[new] = by_digest([found[k] for k in new.tolist()], first, second)
                 new = new[where[new] < 0]
-                mine: dict = {}
-                order += [mine.setdefault(found[k], len(mine)) for k in new.tolist()]
-                order_ends.append(len(order))
                 n = np.where(where < 0, 0, lengths[where]) if len(lengths) else np.zeros(len(where), np.int64)
                 upto = np.cumsum(n)
                 total = int(upto[-1]) if len(upto) else 0
-                take = np.repeat((starts[where] if len(lengths) else n) - upto + n, n) + np.arange(total)
-                runs.append(flat[take].astype(np.int32))
-                run_ends.append(np.append(upto[new], total) + so_far)
-                run_counts.append(run_counts[-1] + len(new) + 1)
-                so_far += total
-                others += mine
-                done += [spell_long(w, table, byte_ids, longest, kind, floor) if len(w) > WORD_CHARS else None for w in mine]
-                other_ends.append(len(others))
-            owner, start, size, name, score = edges_of(others, found_by[0], facts, singles, floor)
-            edge_ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(others)))))
-            lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(np.asarray(ends), pa.int32()), values)
-            stop = start + size
-            bits = [(1 << start) | (1 << stop), (2 << stop) - (1 << start)]
-            edges = pa.StructArray.from_arrays([pa.array(score, pa.float64()), pa.array(-start, pa.int32()), pa.array(size, pa.int32()), pa.array(name, pa.int32()), *map(pa.array, bits)], ["score", "turned", "len", "id", "ends", "span"])
-            other = pa.StructArray.from_arrays([pa.array(others, pa.string()), lists(edge_ends, edges), pa.array(done, pa.list_(pa.int32()))], ["word", "edges", "ids"])
-            run = lists(np.concatenate(run_ends), pa.array(np.concatenate(runs) if runs else [], pa.int32()))
-            columns = [b.column(0), lists(run_counts, run), lists(order_ends, pa.array(order, pa.int32())), lists(other_ends, other), pa.array(keys, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "runs", "order", "others", "text_key"])
+                ids = flat[np.repeat((starts[where] if len(lengths) else n) - upto + n, n) + np.arange(total)] if total else np.zeros(0, flat.dtype)
+                rare = [found[k] for k in new.tolist()]
+                at = upto[new]
+                if any(len(w) > WORD_CHARS for w in rare):
+                    long = [k for k, w in enumerate(rare) if len(w) > WORD_CHARS]
+                    spelt = [spell_long(rare[k], table, byte_ids, longest, kind, floor) for k in long]
+                    ids = np.insert(ids.astype(np.int32), np.repeat(at[long], [len(x) for x in spelt]), [i for x in spelt for i in x])
+                    more = np.zeros(len(rare), np.int64)
+                    more[long] = [len(x) for x in spelt]
+                    at = at + np.cumsum(more) - more
+                    short = [k for k in range(len(rare)) if len(rare[k]) <= WORD_CHARS]
+                    rare, at = [rare[k] for k in short], at[short]
+                known.append(ids.astype(np.int32).tobytes() if len(ids) and ids.max() >= 1 << 16 else b"\0" + ids.astype(np.uint16).tobytes())
+                gaps.append(at.astype(np.int32))
+                words.append(rare)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(known, pa.binary()), pa.array(gaps, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.string()))], ["doc_id", "text_key", "ids", "gaps", "words"])
 
     kept = rows_as(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    split = kept.mapInArrow(places, f"doc_id long, runs array<array<int>>, order array<int>, others array<struct<word:string,edges:array<{EDGE}>,ids:array<int>>>, text_key long")
-    found = F.transform("others", lambda o: F.coalesce(o["ids"], ids_of(o["word"], o["edges"], pieces)))
-    joined = lambda rest: F.flatten(F.flatten(F.zip_with("runs", "order", lambda run, k: F.when(k.isNull(), F.array(run)).otherwise(F.array(run, F.get(rest, k))))))
-    return split.select("doc_id", _bound(found, joined).alias("ids"), "text_key")
+    return kept.mapInArrow(batches, "doc_id long, text_key long, ids binary, gaps array<int>, words array<string>").withColumn("row", F.monotonically_increasing_id())
+
+
+def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", most: int = DICTIONARY) -> DataFrame:
+    """(doc_id, ids, text_key): the ids of every whole text, and the text's 64-bit key.
+
+    Every distinct word of the corpus is encoded once, by lattice and fold. The ids of the most frequent words, a table
+    of bounded size, are broadcast and put in place where the texts lie; each occurrence of any other word is joined to
+    its ids by the word and sent to its row, so no text is shuffled, only ids. Words of over WORD_CHARS characters are
+    spelled by a helper in the task.
+
+    Characters in no piece become the ids of their UTF-8 bytes, U+2581 among them, so decoding gives the text back
+    exactly. A null text counts as empty: no ids. Repeated rows stay; extra columns are ignored; an empty table
+    gives an empty result.
+    """
+    known = word_ids(docs, pieces, text_col, most)
+    split = written(split_texts(docs, pieces, known.where("kind > 0").select("word", (F.col("kind") == 2).alias("often"), "ids"), id_col, text_col), "piece-texts")
+    rare = split.select("row", F.posexplode("words").alias("place", "word")).join(known.where("kind = 0").select("word", "ids"), "word")
+    rare = rare.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "ids"))), lambda x: x["ids"]).alias("rare"))
+    joined = split.where("size(words) > 0").drop("words").join(rare, "row").select("doc_id", "text_key", "ids", "gaps", "rare")
+    whole = split.where("size(words) = 0").select("doc_id", "text_key", "ids", "gaps", F.expr("cast(array() as array<array<int>>)").alias("rare"))
+
+    def batches(rows):
+        for b in rows:
+            out = []
+            for ids, gaps, rare in zip(b.column(2), b.column(3), b.column(4)):
+                raw = ids.as_py()
+                ids = np.frombuffer(raw, np.uint16, offset=1).astype(np.int32) if len(raw) % 2 else np.frombuffer(raw, np.int32)
+                if len(rare.values):
+                    ends = rare.values.offsets.to_numpy()
+                    ids = np.insert(ids, np.repeat(gaps.values.to_numpy(), np.diff(ends)), rare.values.flatten().to_numpy())
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32())), b.column(1)], ["doc_id", "ids", "text_key"])
+
+    return joined.unionByName(whole).mapInArrow(batches, "doc_id long, ids array<int>, text_key long")
 
 
 def decode(encoded: DataFrame, pieces: Pieces, ids_col: str = "ids") -> DataFrame:

@@ -48,7 +48,7 @@ def test_ids_equal_the_library_and_round_trip(spark, kind, most):
             else:
                 # the library's own sums are single precision, spoilt by pieces of score -1e9
                 score = lambda ids: sum(lib.get_score(x) for x in ids)
-                best = sum(best_sum(w, {p: s for p, _, s in model.table}) for w in P.words_of(t))
+                best = sum(best_sum(w, {p: s for p, _, s in model.table}) for w in model.words_of(t))
                 assert score(got[i].ids) == pytest.approx(best) and best >= score(lib.encode(t)) - 1e-3
     if kind == "bpe":
         assert list(got[40 + ODD.index("x" * 300)].ids) == lib.encode("x" * 300)
@@ -72,3 +72,30 @@ def test_decoding_odd_ids(spark):
 
 def test_empty_table(spark):
     assert P.encode(spark.createDataFrame([], "doc_id long, text string"), P.Pieces()).count() == 0
+
+
+def fold(spark, words, model):
+    df = spark.createDataFrame([(w, 0) for w in words], "word string, n int")
+    edges = P.lattice(df, model)
+    both = edges.select("word", P.merges(F.col("word"), F.col("edges")).alias("a"), P.merges_again(F.col("word"), F.col("edges")).alias("b"))
+    return {r.word: ([x.id for x in r.a], [x.id for x in r.b]) for r in both.collect()}
+
+
+def test_both_folds_equal_the_library_on_random_words(spark):
+    model, lib = P.Pieces(), library("bpe")
+    rnd = random.Random(5)
+    parts = [p for p, _, _ in model.table if p.isascii() and p.isalpha()]
+    words = {" " + "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 6)))[:55] for _ in range(1500)}
+    for w, (once, again) in fold(spark, sorted(words), model).items():
+        assert once == again == lib.encode(w[1:]), w
+
+
+def test_words_are_cut_only_where_no_piece_crosses():
+    model = P.Pieces()
+    pieces = {p for p, _, _ in model.table}
+    rnd = random.Random(6)
+    for text in [*texts(), *filter(None, ODD), "".join(rnd.choice("ab éŁ(.)\n0漢") for _ in range(500))]:
+        words = model.words_of(text)
+        assert "".join(words) == " " + text
+        for a, b in zip(words, words[1:]):
+            assert not any(a[-k:] + b[:n] in pieces for k in range(1, 16) for n in range(1, 16) if k <= len(a) and n <= len(b))
