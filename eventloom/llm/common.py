@@ -13,9 +13,13 @@ BATCH_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the given folder; sets the batch size for the Python operators on it."""
+    """A table of the given folder; sets the batch size for the Python operators on it.
+
+    A table of fewer splits than there are cores, so of bounded size, is dealt out to all cores.
+    """
     bound_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -24,9 +28,11 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, only where that is unset, a folder of this machine."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session on one machine may leave it unset."""
     set_to = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not set_to:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         set_to = tempfile.mkdtemp(prefix="spark-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(set_to)

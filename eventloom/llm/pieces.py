@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from eventloom.llm.common import rows_as, shared_dir, written
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 #: Words whose ids are broadcast: the most frequent ones of the corpus, this many at most; all others are joined. The most
 #: frequent of them are looked up by name, the others by a 128-bit digest, which takes a fraction of the memory.
-DICTIONARY, BY_NAME = 1 << 20, 1 << 17
+DICTIONARY, BY_NAME = 1 << 21, 1 << 17
 #: Characters of the longest word that goes through the folds, whose places are the bits of a long.
 WORD_CHARS = 60
 #: Distinct words that a Python worker counts before it passes them on, and rows whose ids it turns to text at once.
@@ -74,12 +75,7 @@ class Pieces:
             for part in {x for n in range(2, len(p)) for x in (p[:n], p[-n:])}:
                 better[part] = max(score, better.get(part, -float("inf")))
         self.risky = {p for p, _, score in self.table if better.get(p, -float("inf")) > score}
-        letters = {c: i + 1 for i, c in enumerate(sorted({c for p, _, _ in self.table for c in p}))}
-        self.letter = np.zeros(0x110000, np.uint16 if len(letters) < 1 << 16 else np.uint32)
-        self.letter[[ord(c) for c in letters]] = list(letters.values())
-        self.beside = np.zeros((len(letters) + 1, len(letters) + 1), bool)
-        for pair in {x for p, _, _ in self.table for x in zip(p, p[1:])}:
-            self.beside[letters[pair[0]], letters[pair[1]]] = True
+        self.splitter = Splitter("".join(sorted({c for p, _, _ in self.table for c in p})), frozenset(x + y for p, _, _ in self.table for x, y in zip(p, p[1:])))
         self.longest = max(len(p) for p, _, _ in self.table)
         self.floor = min(s for _, _, s in self.table if s > UNUSED) - UNKNOWN
 
@@ -87,15 +83,33 @@ class Pieces:
         """(piece, id, score, risky): risky pieces start or end a piece of a better score."""
         return spark.createDataFrame([(*row, row[0] in self.risky) for row in self.table], "piece string, id int, score double, risky boolean")
 
+
+class Splitter:
+    """Cuts texts into words, from the characters of a piece table and the pairs that stand side by side in a piece. Its tables are made where it is first used."""
+
+    def __init__(self, letters: str, pairs: frozenset[str]):
+        self.letters, self.pairs, self.tables = letters, pairs, None
+
+    def __getstate__(self):
+        return {"letters": self.letters, "pairs": self.pairs, "tables": None}
+
     def words_of(self, text: str | None) -> list[str]:
         """The words of a text, with the space that the model puts before it: cut wherever no piece has the two neighbouring
         characters side by side, which no edge and so no merge or path can cross. An empty text has none.
         """
         if not text:
             return []
+        if not self.tables:
+            number = {c: i + 1 for i, c in enumerate(self.letters)}
+            kinds = np.zeros(0x110000, np.uint32)
+            kinds[[ord(c) for c in number]] = list(number.values())
+            beside = np.zeros((len(number) + 1, len(number) + 1), bool)
+            for a, b in self.pairs:
+                beside[number[a], number[b]] = True
+            self.tables = kinds, beside
         text = " " + text
-        kinds = self.letter[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        ends = (np.flatnonzero(~self.beside[kinds[:-1], kinds[1:]]) + 1).tolist()
+        kinds = self.tables[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        ends = (np.flatnonzero(~self.tables[1][kinds[:-1], kinds[1:]]) + 1).tolist()
         ends.append(len(text))
         return [text[a:b] for a, b in zip([0, *ends], ends)]
 
@@ -253,7 +267,7 @@ def spell_long(word: str, table: dict, byte_ids: list[int], longest: int, kind:
 
 def word_counts(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> DataFrame:
     """(word, n) of all words of all texts that are no longer than WORD_CHARS."""
-    split = pieces.words_of
+    splitter = pieces.splitter
 
     def packed_counts(held):
         kept = {w: n for w, n in held.items() if len(w) <= WORD_CHARS}
@@ -263,7 +277,7 @@ def word_counts(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> Data
         held: Counter = Counter()
         for b in rows:
             for t in b.column(0):
-                held.update(split(t.as_py()))
+                held.update(splitter.words_of(t.as_py()))
                 if len(held) > HELD_WORDS:
                     yield packed_counts(held)
                     held.clear()
@@ -341,85 +355,104 @@ def by_digest(words: list[str], first: np.ndarray, second: np.ndarray) -> np.nda
     return np.where((first[at] == own[:, 0]) & (second[at] == own[:, 1]), at, -1)
 
 
-def split_texts(docs: DataFrame, pieces: Pieces, frequent: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, text_key, ids, gaps, words) for every row of docs: the ids of the text's broadcast words and long words as
-    packed numbers, before how many of these ids another word stands, and those words, in order. row tells rows apart.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(packed(frequent))
-    split, table, floor, kind, byte_ids, longest = pieces.words_of, {p: (i, s) for p, i, s in pieces.table}, pieces.floor, pieces.kind, pieces.bytes, pieces.longest
-    looked_up: dict = {}
+def to_packet(places: np.ndarray, words: list[str]) -> bytes:
+    """A split text in few bytes: the places of its broadcast words plus one, seven bits a byte (0: another word stands here), and those other words."""
+    digits = np.stack([places >> 7 * k & 127 for k in range(5)], axis=1)
+    kept = np.stack([places >= 0, *(places >> 7 * k > 0 for k in range(1, 5))], axis=1)
+    digits[:, :4] += 128 * kept[:, 1:]
+    raw = [w.encode() for w in words]
+    head = np.array([len(raw), *map(len, raw)], np.uint32).tobytes()
+    return zstandard.compress(head + b"".join(raw) + digits.astype(np.uint8)[kept].tobytes())
 
-    def batches(rows):
-        names, first, second, lengths, starts, flat = shared.value
-        if not looked_up:
-            looked_up.update(names)
-        for b in rows:
-            keys, known, gaps, words = [], [], [], []
-            for t in b.column(1):
-                text = t.as_py() or ""
-                key = xxhash.xxh64_intdigest(text.encode(), 42)
-                keys.append(key - (1 << 64) if key >> 63 else key)
-                found = split(text)
-                where = np.fromiter(map(looked_up.get, found, repeat(-1)), np.int64, len(found))
-                new = np.flatnonzero(where < 0)
-                where[new] = by_digest([found[k] for k in new.tolist()], first, second)
-                new = new[where[new] < 0]
-                n = np.where(where < 0, 0, lengths[where]) if len(lengths) else np.zeros(len(where), np.int64)
-                upto = np.cumsum(n)
-                total = int(upto[-1]) if len(upto) else 0
-                ids = flat[np.repeat((starts[where] if len(lengths) else n) - upto + n, n) + np.arange(total)] if total else np.zeros(0, flat.dtype)
-                rare = [found[k] for k in new.tolist()]
-                at = upto[new]
-                if any(len(w) > WORD_CHARS for w in rare):
-                    long = [k for k, w in enumerate(rare) if len(w) > WORD_CHARS]
-                    spelt = [spell_long(rare[k], table, byte_ids, longest, kind, floor) for k in long]
-                    ids = np.insert(ids.astype(np.int32), np.repeat(at[long], [len(x) for x in spelt]), [i for x in spelt for i in x])
-                    more = np.zeros(len(rare), np.int64)
-                    more[long] = [len(x) for x in spelt]
-                    at = at + np.cumsum(more) - more
-                    short = [k for k in range(len(rare)) if len(rare[k]) <= WORD_CHARS]
-                    rare, at = [rare[k] for k in short], at[short]
-                known.append(ids.astype(np.int32).tobytes() if len(ids) and ids.max() >= 1 << 16 else b"\0" + ids.astype(np.uint16).tobytes())
-                gaps.append(at.astype(np.int32))
-                words.append(rare)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(known, pa.binary()), pa.array(gaps, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.string()))], ["doc_id", "text_key", "ids", "gaps", "words"])
 
-    kept = rows_as(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    return kept.mapInArrow(batches, "doc_id long, text_key long, ids binary, gaps array<int>, words array<string>").withColumn("row", F.monotonically_increasing_id())
+def words_in(packet: bytes) -> tuple[list[str], bytes]:
+    """The other words of a packet, and what follows them."""
+    data = zstandard.decompress(packet)
+    n = int(np.frombuffer(data, np.uint32, 1)[0])
+    ends = 4 * n + 4 + np.concatenate(([0], np.cumsum(np.frombuffer(data, np.uint32, n, 4), dtype=np.int64)))
+    return [data[a:b].decode() for a, b in zip(ends.tolist(), ends[1:].tolist())], data[ends[-1] :]
+
+
+def places_in(rest: bytes) -> np.ndarray:
+    """The numbers written seven bits a byte."""
+    digits = np.frombuffer(rest, np.uint8).astype(np.int64)
+    if not len(digits):
+        return digits
+    starts = np.concatenate(([0], np.flatnonzero(digits < 128)[:-1] + 1))
+    at = np.arange(len(digits)) - np.repeat(starts, np.diff(np.append(starts, len(digits))))
+    return np.add.reduceat((digits & 127) << 7 * at, starts)
 
 
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", most: int = DICTIONARY) -> DataFrame:
     """(doc_id, ids, text_key): the ids of every whole text, and the text's 64-bit key.
 
-    Every distinct word of the corpus is encoded once, by lattice and fold. The ids of the most frequent words, a table
-    of bounded size, are broadcast and put in place where the texts lie; each occurrence of any other word is joined to
-    its ids by the word and sent to its row, so no text is shuffled, only ids. Words of over WORD_CHARS characters are
-    spelled by a helper in the task.
+    Every distinct word of the corpus is encoded once, by lattice and fold. A table of bounded size, the most frequent
+    words, is broadcast; a text becomes the places of its words in it, in few bytes, with all other words beside them.
+    These are joined to their ids by the word and come back to their row, where places and ids are put together. Texts
+    are read and never shuffled. Words of over WORD_CHARS characters are spelled by a helper in the task.
 
     Characters in no piece become the ids of their UTF-8 bytes, U+2581 among them, so decoding gives the text back
     exactly. A null text counts as empty: no ids. Repeated rows stay; extra columns are ignored; an empty table
     gives an empty result.
     """
     known = word_ids(docs, pieces, text_col, most)
-    split = written(split_texts(docs, pieces, known.where("kind > 0").select("word", (F.col("kind") == 2).alias("often"), "ids"), id_col, text_col), "piece-texts")
-    rare = split.select("row", F.posexplode("words").alias("place", "word")).join(known.where("kind = 0").select("word", "ids"), "word")
-    rare = rare.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "ids"))), lambda x: x["ids"]).alias("rare"))
-    joined = split.where("size(words) > 0").drop("words").join(rare, "row").select("doc_id", "text_key", "ids", "gaps", "rare")
-    whole = split.where("size(words) = 0").select("doc_id", "text_key", "ids", "gaps", F.expr("cast(array() as array<array<int>>)").alias("rare"))
+    shared = docs.sparkSession.sparkContext.broadcast(packed(known.where("kind > 0").select("word", (F.col("kind") == 2).alias("often"), "ids")))
+    splitter, table, floor, model_kind, byte_ids, longest = pieces.splitter, {p: (i, s) for p, i, s in pieces.table}, pieces.floor, pieces.kind, pieces.bytes, pieces.longest
+    looked_up: dict = {}
 
-    def batches(rows):
+    def packets(rows):
+        names, first, second = shared.value[:3]
+        if not looked_up:
+            looked_up.update(names)
+        for b in rows:
+            keys, out = [], []
+            for t in b.column(1):
+                text = t.as_py() or ""
+                key = xxhash.xxh64_intdigest(text.encode(), 42)
+                keys.append(key - (1 << 64) if key >> 63 else key)
+                found = splitter.words_of(text)
+                where = np.fromiter(map(looked_up.get, found, repeat(-1)), np.int64, len(found))
+                new = np.flatnonzero(where < 0)
+                where[new] = by_digest([found[k] for k in new.tolist()], first, second)
+                out.append(to_packet(where + 1, [found[k] for k in new[where[new] < 0].tolist()]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "text_key", "packet"])
+
+    def others(rows):
+        for b in rows:
+            at, place, words = [], [], []
+            for row, packet in zip(b.column(0).to_pylist(), b.column(1).field("packet")):
+                for k, w in enumerate(words_in(packet.as_py())[0]):
+                    if len(w) <= WORD_CHARS:
+                        at.append(row)
+                        place.append(k)
+                        words.append(w)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(place, pa.int32()), pa.array(words, pa.string())], ["row", "place", "word"])
+
+    def whole(rows):
+        _, _, _, lengths, starts, flat = shared.value
         for b in rows:
             out = []
-            for ids, gaps, rare in zip(b.column(2), b.column(3), b.column(4)):
-                raw = ids.as_py()
-                ids = np.frombuffer(raw, np.uint16, offset=1).astype(np.int32) if len(raw) % 2 else np.frombuffer(raw, np.int32)
-                if len(rare.values):
-                    ends = rare.values.offsets.to_numpy()
-                    ids = np.insert(ids, np.repeat(gaps.values.to_numpy(), np.diff(ends)), rare.values.flatten().to_numpy())
+            for packet, rare in zip(b.column(2), b.column(3)):
+                words, rest = words_in(packet.as_py())
+                where = places_in(rest) - 1
+                n = np.where(where < 0, 0, lengths[where]) if len(lengths) else np.zeros(len(where), np.int64)
+                upto = np.cumsum(n, dtype=np.int64)
+                total = int(upto[-1]) if len(upto) else 0
+                ids = flat[np.repeat((starts[where] if len(lengths) else n) - upto + n, n) + np.arange(total)].astype(np.int32) if total else np.zeros(0, np.int32)
+                if words:
+                    short = iter(rare.as_py() or ())
+                    more = [spell_long(w, table, byte_ids, longest, model_kind, floor) if len(w) > WORD_CHARS else next(short) for w in words]
+                    ids = np.insert(ids, np.repeat(upto[where < 0], [len(x) for x in more]), [i for x in more for i in x])
                 out.append(ids)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32())), b.column(1)], ["doc_id", "ids", "text_key"])
 
-    return joined.unionByName(whole).mapInArrow(batches, "doc_id long, ids array<int>, text_key long")
+    kept = rows_as(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    texts = kept.mapInArrow(packets, "doc_id long, text_key long, packet binary").withColumn("row", F.monotonically_increasing_id())
+    # dealt out by row once, for both uses, which take all of it, so that Spark sees one shuffle
+    texts = texts.select("row", F.struct("doc_id", "text_key", "packet").alias("all")).select("row", F.when(F.col("row") >= 0, F.col("all")).alias("all")).repartition("row")
+    words = texts.mapInArrow(others, "row long, place int, word string")
+    rare = words.join(known.where("kind = 0").select("word", "ids"), "word").groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "ids"))), lambda x: x["ids"]).alias("rare"))
+    return texts.join(rare, "row", "left").select("all.doc_id", "all.text_key", "all.packet", "rare").mapInArrow(whole, "doc_id long, ids array<int>, text_key long")
 
 
 def decode(encoded: DataFrame, pieces: Pieces, ids_col: str = "ids") -> DataFrame:

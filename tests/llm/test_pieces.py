@@ -48,7 +48,7 @@ def test_ids_equal_the_library_and_round_trip(spark, kind, most):
             else:
                 # the library's own sums are single precision, spoilt by pieces of score -1e9
                 score = lambda ids: sum(lib.get_score(x) for x in ids)
-                best = sum(best_sum(w, {p: s for p, _, s in model.table}) for w in model.words_of(t))
+                best = sum(best_sum(w, {p: s for p, _, s in model.table}) for w in model.splitter.words_of(t))
                 assert score(got[i].ids) == pytest.approx(best) and best >= score(lib.encode(t)) - 1e-3
     if kind == "bpe":
         assert list(got[40 + ODD.index("x" * 300)].ids) == lib.encode("x" * 300)
@@ -95,7 +95,7 @@ def test_words_are_cut_only_where_no_piece_crosses():
     pieces = {p for p, _, _ in model.table}
     rnd = random.Random(6)
     for text in [*texts(), *filter(None, ODD), "".join(rnd.choice("ab éŁ(.)\n0漢") for _ in range(500))]:
-        words = model.words_of(text)
+        words = model.splitter.words_of(text)
         assert "".join(words) == " " + text
         for a, b in zip(words, words[1:]):
             assert not any(a[-k:] + b[:n] in pieces for k in range(1, 16) for n in range(1, 16) if k <= len(a) and n <= len(b))
