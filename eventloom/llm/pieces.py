@@ -12,7 +12,6 @@ from __future__ import annotations
 import heapq
 import os
 import re
-import uuid
 from collections import Counter
 from itertools import repeat
 
@@ -25,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import rows_as, shared_dir, written
+from eventloom.llm.common import rows_as, written
 
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 #: Words whose ids are broadcast: the most frequent ones of the corpus, this many at most; all others are joined. The most
@@ -80,8 +79,10 @@ class Pieces:
         self.floor = min(s for _, _, s in self.table if s > UNUSED) - UNKNOWN
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        """(piece, id, score, risky): risky pieces start or end a piece of a better score."""
-        return spark.createDataFrame([(*row, row[0] in self.risky) for row in self.table], "piece string, id int, score double, risky boolean")
+        """(piece, id, score, code): code is what an edge of the piece says, as CODE, less its start."""
+        place = {x: i for i, x in enumerate(sorted({x for _, _, x in self.table}, reverse=True))}
+        codes = [place[x] << RANK | len(p) << LEN | (p in self.risky) << RISKY | i + 1 for p, i, x in self.table]
+        return spark.createDataFrame([(*row, c) for row, c in zip(self.table, codes)], "piece string, id int, score double, code long")
 
 
 class Splitter:
@@ -100,42 +101,49 @@ class Splitter:
         if not text:
             return []
         if not self.tables:
-            number = {c: i + 1 for i, c in enumerate(self.letters)}
-            kinds = np.zeros(0x110000, np.uint32)
-            kinds[[ord(c) for c in number]] = list(number.values())
-            beside = np.zeros((len(number) + 1, len(number) + 1), bool)
-            for a, b in self.pairs:
-                beside[number[a], number[b]] = True
-            self.tables = kinds, beside
+            self.tables = self._made()
         text = " " + text
-        kinds = self.tables[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        ends = (np.flatnonzero(~self.tables[1][kinds[:-1], kinds[1:]]) + 1).tolist()
+        try:
+            raw = np.frombuffer(text.encode("latin-1"), np.uint8)
+            apart = self.tables[2][raw[:-1].astype(np.uint16) << 8 | raw[1:]]
+        except UnicodeEncodeError:
+            kinds = self.tables[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+            apart = self.tables[1][kinds[:-1], kinds[1:]]
+        ends = (np.flatnonzero(apart) + 1).tolist()
         ends.append(len(text))
         return [text[a:b] for a, b in zip([0, *ends], ends)]
 
+    def _made(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The number of each character, whether two numbers stand apart, and the same for two of the first 256 characters."""
+        number = {c: i + 1 for i, c in enumerate(self.letters)}
+        kinds = np.zeros(0x110000, np.uint32)
+        kinds[[ord(c) for c in number]] = list(number.values())
+        apart = np.ones((len(number) + 1, len(number) + 1), bool)
+        for a, b in self.pairs:
+            apart[number[a], number[b]] = False
+        return kinds, apart, np.ascontiguousarray(apart[kinds[:256][:, None], kinds[:256][None]]).ravel()
 
-#: What an edge says: its piece's score, its start (from 1) turned negative, so that the best edge, ties to the leftmost, is
-#: the greatest; its length; its piece's id (-1: in no piece); its two ends, and all places from one to the other, as bits;
-#: whether its piece starts or ends a piece of a better score.
-EDGE = "struct<score:double,turned:int,len:int,id:int,ends:bigint,span:bigint,risky:boolean>"
+
+#: What an edge says in a long, as the lowest bit of each part: the rank of its piece's score, its start (from 1), its length,
+#: whether its piece is risky, and its piece's id plus one (0: in no piece). The best edge, ties to the leftmost, is the least.
+RANK, START, LEN, RISKY, ID = 33, 27, 21, 20, 0
+_SIX, _TWENTY = 63, (1 << 20) - 1
 
 
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, n, edges): for each word (with any number n) an array of its edges, as EDGE says.
+    """(word, n, edges): for each word (with any number n) an array of its edges: for BPE longs as above, for unigrams (score, start, len, id), id -1 for no piece.
 
     All substrings up to the longest piece are exploded and joined to the broadcast piece table; single characters
-    in no piece have an edge of id -1. Words stand once, so their edges are grouped where the words lie.
+    in no piece have an edge of their own. Words stand once, so their edges are grouped where the words lie.
     """
     table = F.broadcast(pieces.frame(words.sparkSession))
     starts = words.withColumn("start", F.explode(F.sequence(F.lit(1), F.length("word"))))
     parts = starts.withColumn("len", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("word") - F.col("start") + 1))))
     edges = parts.withColumn("piece", F.substring("word", F.col("start"), F.col("len"))).join(table, "piece", "left").where("id is not null or len = 1")
-    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at)
-    first, last = F.col("start"), F.col("start") + F.col("len")
-    edge = F.struct(
-        F.coalesce("score", F.lit(pieces.floor)).alias("score"), (-first).alias("turned"), "len", F.coalesce("id", F.lit(-1)).alias("id"),
-        bit(first).bitwiseOR(bit(last)).alias("ends"), (bit(last + 1) - bit(first)).alias("span"), F.coalesce("risky", F.lit(False)).alias("risky"),
-    )
+    if pieces.kind == "bpe":
+        edge = F.coalesce("code", F.lit(_TWENTY << RANK | 1 << LEN)).bitwiseOR(F.shiftleft(F.col("start").cast("long"), START))
+    else:
+        edge = F.struct(F.coalesce("score", F.lit(pieces.floor)).alias("score"), "start", "len", F.coalesce("id", F.lit(-1)).alias("id"))
     return edges.groupBy("word", "n").agg(F.collect_list(edge).alias("edges"))
 
 
@@ -149,11 +157,11 @@ def viterbi(word: Column, edges: Column) -> Column:
 
     The best path has the highest sum of scores; ties go to the longer last edge.
     """
-    sort = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.filter(edges, lambda e: e["len"] - e["turned"] - 1 == i))
+    sort = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.filter(edges, lambda e: e["start"] + e["len"] - 1 == i))
     first = F.array(F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("len"), F.lit(0).alias("start"), F.lit(0).alias("id")))
 
     def forth(done, into):
-        reached = F.transform(into, lambda e: F.struct((F.element_at(done, -e["len"])["sum"] + e["score"]).alias("sum"), e["len"].alias("len"), (-e["turned"]).alias("start"), e["id"].alias("id")))
+        reached = F.transform(into, lambda e: F.struct((F.element_at(done, -e["len"])["sum"] + e["score"]).alias("sum"), e["len"].alias("len"), e["start"].alias("start"), e["id"].alias("id")))
         return F.concat(done, F.array(F.array_max(reached)))
 
     def back(path, at):
@@ -168,35 +176,53 @@ def viterbi(word: Column, edges: Column) -> Column:
     return _bound(F.aggregate(sort, first, forth), line)
 
 
-def _path(edges: Column, cuts: Column) -> Column:
-    """The edges between neighbouring cuts, in order."""
-    kept = F.filter(edges, lambda e: e["span"].bitwiseAND(cuts) == e["ends"])
-    return F.array_sort(F.transform(kept, lambda e: F.struct((-e["turned"]).alias("start"), e["len"].alias("len"), e["id"].alias("id"))))
+def _part(e: Column, bit: int, mask: int = _SIX) -> Column:
+    return (F.shiftright(e, bit) if bit else e).bitwiseAND(F.lit(mask).cast("long"))
 
 
-def _whole(word: Column) -> Column:
-    """The cuts before any merge: all places of a word, as bits from 1."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), F.length(word) + 2) - F.lit(2).cast("long")
+def _left(x, by: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(x).cast("long") if isinstance(x, int) else x, by.cast("int"))
+
+
+def _inside(e: Column, cuts: Column) -> Column:
+    """The cuts from an edge's start to its end, as bits from 0."""
+    return F.call_function("shiftright", cuts, _part(e, START).cast("int")).bitwiseAND(_left(2, _part(e, LEN)) - 1)
 
 
 def _can_merge(e: Column, cuts: Column) -> Column:
     """Whether an edge's two ends are cuts with just one cut between them."""
-    return _bound(e["span"].bitwiseAND(cuts), lambda x: (x.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(x) == 3))
+    x = _inside(e, cuts)
+    return (F.bit_count(x) == 3) & (x.bitwiseAND(F.lit(1).cast("long")) == 1) & (x >= _left(1, _part(e, LEN)))
+
+
+def _merged(e: Column, cuts: Column) -> Column:
+    """The cuts without those inside an edge."""
+    return cuts.bitwiseAND(F.bitwise_not(_left(_left(1, _part(e, LEN)) - 2, _part(e, START))))
+
+
+def _path(edges: Column, cuts: Column) -> Column:
+    """The edges between neighbouring cuts, in order: start, length and id plus one, from the 26th, 20th and 0th bit."""
+    kept = F.filter(edges, lambda e: _inside(e, cuts) == _left(1, _part(e, LEN)) + 1)
+    return F.sort_array(F.transform(kept, lambda e: F.shiftleft(_part(e, START), 26).bitwiseOR(F.shiftleft(_part(e, LEN), 20)).bitwiseOR(_part(e, ID, _TWENTY))))
+
+
+def _whole(word: Column) -> Column:
+    """The cuts before any merge: all places of a word, as bits from 1."""
+    return _left(1, F.length(word) + 2) - 2
 
 
 def merges(word: Column, edges: Column) -> Column:
-    """A word's edges after merging: a fold over its edges, best first, ties to the leftmost, that merges each that can be.
+    """A word's path, as _path says, after merging: a fold over its edges, best first, ties to the leftmost, that merges each that can be.
 
     The state is the cuts between symbols, as bits of a long. Going through the edges once gives what merging the best
     one each time gives, unless a merge makes an earlier, better edge possible. Only the merge of a risky edge, one
     whose piece starts or ends a better piece, can do so; where it does, the state becomes 0, and merges_again() decides.
     """
-    pairs = F.sort_array(F.filter(edges, lambda e: e["len"] > 1), asc=False)
+    pairs = F.sort_array(F.filter(edges, lambda e: _part(e, LEN) > 1))
 
     def step(cuts, e, line):
-        left = cuts.bitwiseAND(F.bitwise_not(e["span"].bitwiseXOR(e["ends"])))
-        late = lambda now: F.exists(line, lambda g: (g["score"] > e["score"]) & _can_merge(g, now))
-        after = F.when(e["risky"], _bound(left, lambda now: F.when(late(now), F.lit(0).cast("long")).otherwise(now))).otherwise(left)
+        late = lambda now: F.exists(line, lambda g: (F.shiftright(g, RANK) < F.shiftright(e, RANK)) & _can_merge(g, now))
+        after = F.when(_part(e, RISKY, 1) == 1, _bound(_merged(e, cuts), lambda now: F.when(late(now), F.lit(0).cast("long")).otherwise(now))).otherwise(_merged(e, cuts))
         return F.when(_can_merge(e, cuts), after).otherwise(cuts)
 
     done = _bound(pairs, lambda line: F.aggregate(line, _whole(word), lambda cuts, e: step(cuts, e, line)))
@@ -205,12 +231,12 @@ def merges(word: Column, edges: Column) -> Column:
 
 def merges_again(word: Column, edges: Column) -> Column:
     """The same for any word, slower: a fold that, once a character at most, looks for the best edge that can be merged."""
-    pairs = F.filter(edges, lambda e: e["len"] > 1)
+    pairs = F.filter(edges, lambda e: _part(e, LEN) > 1)
     steps = F.slice(F.sequence(F.lit(1), F.length(word)), F.lit(2), F.length(word))
 
     def step(cuts, _):
-        best = F.array_max(F.filter(pairs, lambda e: _can_merge(e, cuts)))
-        return _bound(best, lambda e: F.when(e.isNull(), cuts).otherwise(cuts.bitwiseAND(F.bitwise_not(e["span"].bitwiseXOR(e["ends"])))))
+        best = F.array_min(F.filter(pairs, lambda e: _can_merge(e, cuts)))
+        return _bound(best, lambda e: F.when(e.isNull(), cuts).otherwise(_merged(e, cuts)))
 
     return _bound(F.aggregate(steps, _whole(word), step), lambda cuts: _path(edges, cuts))
 
@@ -219,12 +245,16 @@ def ids_of(word: Column, edges: Column, pieces: Pieces) -> Column:
     """The ids of a word by the fold of the model's kind; edges in no piece become the ids of their UTF-8 bytes."""
     ids = F.array(*map(F.lit, pieces.bytes))
 
-    def spelled(e):
-        digits = F.hex(F.encode(F.substring(word, e["start"], e["len"]), "UTF-8"))
-        codes = F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda k: F.element_at(ids, F.conv(F.substring(digits, k, F.lit(2)), 16, 10).cast("int") + 1))
-        return F.when(e["id"] >= 0, F.array(e["id"])).otherwise(codes)
+    def spelled(start, size):
+        digits = F.hex(F.encode(F.substring(word, start, size), "UTF-8"))
+        return F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda k: F.element_at(ids, F.conv(F.substring(digits, k, F.lit(2)), 16, 10).cast("int") + 1))
 
-    return F.flatten(F.transform((viterbi if pieces.kind == "unigram" else merges)(word, edges), spelled))
+    if pieces.kind == "unigram":
+        return F.flatten(F.transform(viterbi(word, edges), lambda e: F.when(e["id"] >= 0, F.array(e["id"])).otherwise(spelled(e["start"], e["len"]))))
+    own = lambda k: _part(k, ID, _TWENTY)
+    plain = lambda k: (own(k) - 1).cast("int")
+    long = lambda path: F.flatten(F.transform(path, lambda k: F.when(own(k) > 0, F.array(plain(k))).otherwise(spelled(_part(k, 26).cast("int"), _part(k, 20).cast("int")))))
+    return _bound(merges(word, edges), lambda path: F.when(F.exists(path, lambda k: own(k) == 0), long(path)).otherwise(F.transform(path, plain)))
 
 
 def spell_long(word: str, table: dict, byte_ids: list[int], longest: int, kind: str, floor: float) -> list[int]:
@@ -289,7 +319,7 @@ def word_counts(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> Data
 
 
 def word_ids(docs: DataFrame, pieces: Pieces, text_col: str = "text", most: int = DICTIONARY) -> DataFrame:
-    """(word, ids, kind) of every distinct word, each encoded once by lattice and fold, written to the shared folder.
+    """(word, ids, n, kind) of every distinct word, each encoded once by lattice and fold, written to the shared folder.
 
     kind is 2 for the BY_NAME most frequent words, 1 for the rest of the `most` most frequent, 0 for all others; both
     bounds are counts of words, moved down so that none of the words of one count level is split off.
@@ -306,53 +336,58 @@ def word_ids(docs: DataFrame, pieces: Pieces, text_col: str = "text", most: int
         return -1
 
     kind = (level > bound(most)).cast("int") + (level > bound(min(most, BY_NAME))).cast("int")
-    words = counts.select("word", kind.alias("n")).repartition(sum(n for _, n in sizes) // LATTICE_WORDS + 1, "word")
-    return written(lattice(words, pieces).select("word", ids_of(F.col("word"), F.col("edges"), pieces).alias("ids"), F.col("n").alias("kind")), "piece-ids")
+    words = counts.repartition(sum(n for _, n in sizes) // LATTICE_WORDS + 1, "word")
+    found = lattice(words, pieces).select("word", ids_of(F.col("word"), F.col("edges"), pieces).alias("ids"), "n")
+    return written(found.withColumn("kind", kind), "piece-ids")
 
 
 def packed(known: DataFrame) -> tuple:
-    """A dictionary on the driver as ({word: place} of those looked up by name, both halves of all digests in order, lengths, starts, ids): some thirty bytes a word.
+    """A dictionary (word, often, n, ids) on the driver as ({word: place} of those looked up by name, both halves of all digests in order, their places, lengths, starts, ids): some thirty bytes a word.
 
-    Digests are made in Spark, and fetched in order and in parts, so that the driver holds little more than the result.
+    Places go by frequency, the most frequent word first. Digests are made in Spark, and fetched in order and in parts,
+    so that the driver holds little more than the result.
     """
 
     def digested(rows):
         for b in rows:
-            words, ids = b.column(0).to_pylist(), b.column(2)
+            words, ids = b.column(0).to_pylist(), b.column(3)
             raw = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.int64).reshape(-1, 2)
             ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype(np.int32).tobytes()
             packed_ids = pa.array([flat[4 * x : 4 * y] for x, y in zip(ends, ends[1:])], pa.binary())
             names = pa.array([w if o else None for w, o in zip(words, b.column(1).to_pylist())], pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(raw[:, 0]), pa.array(raw[:, 1]), names, packed_ids], ["high", "low", "name", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(raw[:, 0]), pa.array(raw[:, 1]), names, b.column(2), packed_ids], ["high", "low", "name", "n", "ids"])
 
-    spark = known.sparkSession
-    path = f"{shared_dir(spark)}/piece-dictionary-{uuid.uuid4().hex}"
-    halves = known.mapInArrow(digested, "high long, low long, name string, ids binary").withColumn("part", F.shiftright("high", 60))
-    halves.repartition(16, "part").write.partitionBy("part").parquet(path)
-    table = spark.read.schema("high long, low long, name string, ids binary, part long").parquet(path)
+    halves = known.select("word", "often", "n", "ids").mapInArrow(digested, "high long, low long, name string, n long, ids binary")
+    table = written(halves.withColumn("part", F.shiftright("high", 60)).repartition(16, "part"), "piece-dictionary")
     names: dict = {}
     parts: list = []
     count = 0
     for top in range(-8, 8):
-        part = table.where(F.col("part") == top).select("high", "low", "name", "ids").toArrow().sort_by([("high", "ascending"), ("low", "ascending")]).combine_chunks()
+        part = table.where(F.col("part") == top).select("high", "low", "name", "n", "ids").toArrow().sort_by([("high", "ascending"), ("low", "ascending")]).combine_chunks()
         if part.num_rows:
             ids = pa.concat_arrays(part.column("ids").chunks)
             flat = np.frombuffer(b"".join(ids.to_pylist()), np.int32)
-            parts.append((part.column("high").to_numpy(), part.column("low").to_numpy(), pc.binary_length(ids).to_numpy(zero_copy_only=False) // 4, flat.astype(np.uint16 if not len(flat) or flat.max() < 1 << 16 else np.int32)))
+            parts.append((part.column("high").to_numpy(), part.column("low").to_numpy(), part.column("n").to_numpy(), pc.binary_length(ids).to_numpy(zero_copy_only=False) // 4, flat.astype(np.uint16 if not len(flat) or flat.max() < 1 << 16 else np.int32)))
             names.update((w, count + i) for i, w in enumerate(part.column("name").to_pylist()) if w is not None)
             count += part.num_rows
-    none = (np.zeros(0, np.int64),) * 4
-    first, second, lengths, flat = (np.concatenate(c) for c in zip(*(parts or [none])))
-    return names, first, second, lengths.astype(np.int32), (np.cumsum(lengths) - lengths).astype(np.int32), flat
-
-
-def by_digest(words: list[str], first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """The places of words among the digests; -1 for words not among them."""
+    none = (np.zeros(0, np.int64),) * 5
+    first, second, n, lengths, flat = (np.concatenate(c) for c in zip(*(parts or [none])))
+    order = np.argsort(-n, kind="stable")
+    places = np.empty(len(order), np.int32)
+    places[order] = np.arange(len(order))
+    starts, sizes = (np.cumsum(lengths) - lengths)[order], lengths[order]
+    upto = np.cumsum(sizes)
+    flat = flat[np.repeat(starts - upto + sizes, sizes) + np.arange(int(upto[-1]) if len(upto) else 0)]
+    return {w: int(places[i]) for w, i in names.items()}, first, second, places, sizes.astype(np.int32), (upto - sizes).astype(np.int32), flat
+
+
+def by_digest(words: list[str], first: np.ndarray, second: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The places of words by their digests; -1 for words not among them."""
     if not words or not len(first):
         return np.full(len(words), -1, np.int64)
     own = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.int64).reshape(-1, 2)
     at = np.minimum(np.searchsorted(first, own[:, 0]), len(first) - 1)
-    return np.where((first[at] == own[:, 0]) & (second[at] == own[:, 1]), at, -1)
+    return np.where((first[at] == own[:, 0]) & (second[at] == own[:, 1]), places[at], -1)
 
 
 def to_packet(places: np.ndarray, words: list[str]) -> bytes:
@@ -396,12 +431,12 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     gives an empty result.
     """
     known = word_ids(docs, pieces, text_col, most)
-    shared = docs.sparkSession.sparkContext.broadcast(packed(known.where("kind > 0").select("word", (F.col("kind") == 2).alias("often"), "ids")))
+    shared = docs.sparkSession.sparkContext.broadcast(packed(known.where("kind > 0").select("word", (F.col("kind") == 2).alias("often"), "n", "ids")))
     splitter, table, floor, model_kind, byte_ids, longest = pieces.splitter, {p: (i, s) for p, i, s in pieces.table}, pieces.floor, pieces.kind, pieces.bytes, pieces.longest
     looked_up: dict = {}
 
     def packets(rows):
-        names, first, second = shared.value[:3]
+        names, first, second, places = shared.value[:4]
         if not looked_up:
             looked_up.update(names)
         for b in rows:
@@ -413,7 +448,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
                 found = splitter.words_of(text)
                 where = np.fromiter(map(looked_up.get, found, repeat(-1)), np.int64, len(found))
                 new = np.flatnonzero(where < 0)
-                where[new] = by_digest([found[k] for k in new.tolist()], first, second)
+                where[new] = by_digest([found[k] for k in new.tolist()], first, second, places)
                 out.append(to_packet(where + 1, [found[k] for k in new[where[new] < 0].tolist()]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "text_key", "packet"])
 
@@ -429,7 +464,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(place, pa.int32()), pa.array(words, pa.string())], ["row", "place", "word"])
 
     def whole(rows):
-        _, _, _, lengths, starts, flat = shared.value
+        lengths, starts, flat = shared.value[4:]
         for b in rows:
             out = []
             for packet, rare in zip(b.column(2), b.column(3)):
