@@ -1,4 +1,4 @@
-"""URL filters: nested prefix rules as intervals of reversed-host keys, found by one sorted sweep."""
+"""URL filters: nested prefix rules as intervals of reversed-host keys and of path keys, found by two sorted sweeps."""
 
 from __future__ import annotations
 
@@ -28,53 +28,86 @@ def key_of(host):
     return F.when(host == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "."), F.lit(".")))
 
 
+def path_key(path):
+    """A text as hexadecimal digits of its UTF-8 bytes: in the same order, and any letter from G on comes after all that it starts."""
+    return F.hex(F.encode(path, "UTF-8"))
+
+
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
     """Rules as a table (action, host, path)."""
-    return spark.createDataFrame(list(rules), "action string, host string, path string")
+    listed = F.array(*(F.struct(F.lit(a).alias("action"), F.lit(h).alias("host"), F.lit(p).alias("path")) for a, h, p in rules))
+    return spark.range(1).select(F.inline(listed))
 
 
-def segments(rules: DataFrame) -> DataFrame:
-    """(top, at, stack): from key `at` on, until the next row of the same top label, the rules in `stack` are active.
+def host_marks(rules: DataFrame) -> DataFrame:
+    """(top, at, hosts): from key `at` on, until the next mark of the same top label, the rule hosts in `hosts` are active.
 
-    Rules of one host share the interval [key, key with its closing dot raised by one). Intervals nest, so the
-    stack that a sweep holds after a push is a host's own rules and those of its ancestors, and after a pop that
-    of the nearest ancestor with rules. Hosts have few labels, so ancestors come from an equi-join on their keys.
+    A host's interval is [key, key with its closing dot raised by one). Intervals nest, so the stack that a sweep holds
+    after a push is a host and its ancestors with rules, and after a pop that of the nearest of these. Hosts have few
+    labels, so ancestors come from an equi-join on their keys.
     """
-    kept = rules.where("host is not null and path is not null and host <> ''").select(F.translate("host", UPPER, LOWER).alias("host"), "path", "action").distinct()
-    hosts = kept.groupBy("host").agg(F.collect_list(F.struct((F.length("host") + F.length("path")).alias("size"), F.concat("host", "path").alias("rule"), "path", "action")).alias("own"))
-    hosts = hosts.withColumn("key", key_of(F.col("host")))
+    hosts = rules.select("host").distinct().withColumn("key", key_of(F.col("host")))
     parts = F.split(F.expr("substring(key, 1, length(key) - 1)"), r"\.", -1)
     up = hosts.withColumn("n", F.explode(F.sequence(F.lit(1), F.size(parts)))).select("key", F.concat(F.array_join(F.slice(parts, F.lit(1), F.col("n")), "."), F.lit(".")).alias("above"))
-    active = up.join(hosts.select(F.col("key").alias("above"), "own"), "above").groupBy("key").agg(F.flatten(F.collect_list("own")).alias("stack"), F.collect_list("above").alias("line"))
+    active = up.join(hosts.select(F.col("key").alias("above"), F.col("host").alias("up")), "above").groupBy("key").agg(F.collect_list("up").alias("hosts"), F.collect_list("above").alias("line"))
     outer = F.array_max(F.filter("line", lambda a: a < F.col("key")))
     ends = active.select(F.expr("concat(substring(key, 1, length(key) - 1), '/')").alias("at"), outer.alias("outer"))
-    popped = ends.join(active.select(F.col("key").alias("outer"), "stack"), "outer", "left").select("at", F.coalesce("stack", F.expr("array()").cast(active.schema["stack"].dataType)).alias("stack"))
-    both = active.select(F.col("key").alias("at"), "stack").unionByName(popped)
-    return both.select(F.substring_index("at", ".", 1).alias("top"), "at", "stack").withColumn("top", F.regexp_replace("top", "/$", ""))
+    popped = ends.join(active.select(F.col("key").alias("outer"), "hosts"), "outer", "left").select("at", F.coalesce("hosts", F.expr("cast(array() as array<string>)")).alias("hosts"))
+    both = active.select(F.col("key").alias("at"), "hosts").unionByName(popped)
+    return both.select(F.regexp_replace(F.substring_index("at", ".", 1), "/$", "").alias("top"), "at", "hosts")
+
+
+def path_marks(rules: DataFrame) -> DataFrame:
+    """(rule_host, at, best): on one rule host, from path key `at` on, until the next mark, the rule in `best` is the longest that fits.
+
+    Prefixes nest, so after a push the longest is the rule itself, and after a pop the one that encloses it: the longest
+    of the prefixes of its path that are rules, from an equi-join.
+    """
+    best = F.struct((F.length("host") + F.length("path")).alias("size"), F.concat("host", "path").alias("rule"), "action")
+    known = rules.groupBy("host", "path").agg(F.max("action").alias("action")).select("host", "path", best.alias("best"))
+    shorter = known.where("path <> ''").select("host", "path", F.explode(F.sequence(F.lit(0), F.length("path") - 1)).alias("n")).select("host", "path", F.expr("substring(path, 1, n)").alias("inner"))
+    outer = shorter.join(known.select("host", F.col("path").alias("inner"), F.col("best").alias("outer")), ["host", "inner"]).groupBy("host", "path").agg(F.max("outer").alias("outer"))
+    none = F.struct(F.lit(-1).alias("size"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("action"))
+    ends = known.join(outer, ["host", "path"], "left").select("host", F.concat(path_key(F.col("path")), F.lit("G")).alias("at"), F.coalesce("outer", none).alias("best"))
+    return known.select("host", path_key(F.col("path")).alias("at"), "best").unionByName(ends).withColumnRenamed("host", "rule_host")
+
+
+def swept(points: DataFrame, marks: DataFrame, keys: list[str], value: str, salts: int) -> DataFrame:
+    """points (keys, at, salt, ...) with `value` of the last mark (keys, at, value) at or before their place, null before the first.
+
+    One sort of both by keys and place, and a running last value. It is by keys and part: points lie in one of `salts`
+    parts each, so that no key meets in one task; marks are repeated in each part.
+    """
+    kinds = dict(points.dtypes)
+    own = points.withColumn(value, F.lit(None).cast(dict(marks.dtypes)[value])).withColumn("_point", F.lit(1))
+    theirs = marks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).withColumn("_point", F.lit(0))
+    theirs = theirs.select(*(F.col(c) if c in theirs.columns else F.lit(None).cast(kinds[c]).alias(c) for c in own.columns))
+    # after equal ends of intervals the outermost counts, before equal starts of points all marks
+    order = W.partitionBy(*keys, "salt").orderBy("at", "_point").rowsBetween(W.unboundedPreceding, 0)
+    return own.unionByName(theirs).withColumn(value, F.last(value, ignorenulls=True).over(order)).where("_point = 1").drop("_point")
 
 
 def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", salts: int = 64) -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row; rule is null and verdict the default where none fits.
 
-    Urls and the ends of the rules' intervals are sorted together by key; a running last value carries the stack
-    of active nested rules along, and the longest of its rules whose path starts the url's path decides (ties:
-    the greater rule text, then action). The sort is by top label and `salts` parts of each, so that no host or
-    domain meets in one task; the interval ends, not the urls, are repeated in each part.
+    Two sweeps. Urls and the ends of the rule hosts' intervals are sorted together by reversed host; the running stack
+    gives each url the rule hosts that it lies under, few. Then urls and the ends of the rules' path intervals are sorted
+    together by rule host and path; the top of the running stack is the longest rule of that host, so neither a host's
+    rules nor a rule's urls are ever gathered. Of a url's hosts the longest rule decides (ties: the greater rule text;
+    of one host and path the greater action).
 
-    A null url, or one without ://, has empty host and path and fits no rule. Rules with a null or empty host or
-    a null path are left out; repeated rows stay; extra columns are ignored; empty tables give empty results or
-    defaults. All of it is DataFrame functions.
+    A null url, or one without ://, has empty host and path and fits no rule. Rules with a null or empty host, a null
+    path or a null action are left out; repeated rows stay; extra columns are ignored; empty tables give empty results
+    or defaults. All of it is DataFrame functions.
     """
-    kept = rows_as(pages, page_id=id_col, url=url_col).select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    keyed = kept.withColumn("at", key_of(F.col("host"))).withColumn("top", F.substring_index("at", ".", 1))
-    line = segments(rules)
-    points = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "at", "path"), F.lit(salts))).withColumn("stack", F.lit(None).cast(line.schema["stack"].dataType)).withColumn("is_url", F.lit(1))
-    marks = line.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).select(
-        F.lit(None).cast(kept.schema["page_id"].dataType).alias("page_id"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), "at", "top", "salt", "stack", F.lit(0).alias("is_url"))
-    sweep = W.partitionBy("top", "salt").orderBy("at", "is_url").rowsBetween(W.unboundedPreceding, 0)
-    swept = points.unionByName(marks).withColumn("stack", F.last("stack", ignorenulls=True).over(sweep)).where("is_url = 1")
-    best = F.array_max(F.filter(F.col("stack"), lambda r: F.col("path").startswith(r["path"])))
-    return swept.withColumn("best", best).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    kept = rules.where("host is not null and path is not null and action is not null and host <> ''").select(F.translate("host", UPPER, LOWER).alias("host"), "path", "action").distinct()
+    urls = rows_as(pages, page_id=id_col, url=url_col).select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("row", F.monotonically_increasing_id())
+    salt = F.pmod(F.xxhash64("row"), F.lit(salts))
+    points = urls.withColumn("at", key_of(F.col("host"))).withColumn("top", F.substring_index("at", ".", 1)).withColumn("salt", salt)
+    under = swept(points, host_marks(kept), ["top"], "hosts", salts).select("row", "page_id", "host", "path", F.explode_outer("hosts").alias("rule_host"), "salt")
+    found = swept(under.withColumn("at", path_key(F.col("path"))), path_marks(kept), ["rule_host"], "best", salts)
+    out = found.groupBy("row").agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("path").alias("path"), F.max("best").alias("best"))
+    return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
 
 
 def _fits(host: str, path: str) -> str:
