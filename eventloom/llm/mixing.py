@@ -17,11 +17,11 @@ KEY_BITS = 60
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
-    """(doc_id, source, size, key): size in words that white space parts; key: a 60-bit hash that shuffles. With row_col, that too."""
+    """(doc_id, source, size, key): size in words that white space parts; key: a 60-bit hash of id and text that shuffles. With row_col, that too."""
     more = {row_col: row_col} if row_col else {}
     kept = rows_as(docs, doc_id=id_col, text=text_col, source=source_col, **more)
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long")
-    key = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, KEY_BITS // 4), 16, 10).cast("long")
+    key = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.coalesce("text", F.lit("")))), 1, KEY_BITS // 4), 16, 10).cast("long")
     return kept.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), key.alias("key"), *more)
 
 
@@ -55,20 +55,22 @@ def _slices(rows: str) -> str:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, times, finish) for every row.
 
-    Each source's documents stand in a shuffled order that a hash of doc_id fixes, repeats times over. A document's
+    Each source's documents stand in a shuffled order that a hash of id and text fixes, repeats times over. A document's
     virtual finish time is the source's tokens so far, its own included, over the source's weight. All are sorted
     by finish time and taken while the running total stays within the total budget (the size of all documents).
     Running totals never gather a source: rows lie in slices of the hash, and finish times in ranges of equal
     width, whose sums are added up beforehand, so a source with a third of all rows is many small tasks.
 
-    Null and empty texts have size 0 and take nothing; a null source is a source of its own, the last one; rows
-    with equal doc_id and size are taken alike; extra columns are ignored; an empty table gives an empty result.
+    Null and empty texts have size 0, do not queue and take nothing; a null source is a source of its own, the last one;
+    rows with equal doc_id and text are taken alike; extra columns are ignored; an empty table gives an empty result.
     """
     more = [row_col] if row_col else []
     rows = cut(sized(docs, id_col, text_col, source_col, row_col))
     by_source = cut(targets(rows, weights, repeats).withColumn("bits", F.expr(_slices("rows_in"))))
     placed = rows.join(F.broadcast(by_source) if by_source.count() <= 100_000 else by_source, rows["source"].eqNullSafe(by_source["source"])).drop(by_source["source"])
-    placed = placed.withColumn("slice", F.expr(f"shiftright(key, {KEY_BITS} - bits)"))
+    nothing = [F.lit(0).cast("long").alias("taken"), F.lit(0).alias("times"), F.lit(0.0).alias("finish")]
+    idle = placed.where("size = 0").select("doc_id", "source", "size", "source_size", "target", *nothing, *more)
+    placed = placed.where("size > 0").withColumn("slice", F.expr(f"shiftright(key, {KEY_BITS} - bits)"))
     sums = placed.groupBy("rank", "slice").agg(F.sum("size").alias("sum"))
     sums = sums.select("rank", "slice", F.coalesce(F.sum("sum").over(W.partitionBy("rank").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = W.partitionBy("rank", "slice").orderBy("key", "doc_id", "size", *more).rowsBetween(W.unboundedPreceding, 0)
@@ -76,7 +78,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
 
     top = queue.agg(F.count("*").alias("n"), F.max((F.lit(repeats) * F.col("source_size")) / F.col("weight")).alias("last"), F.max("total").alias("total")).first()
     if not top["n"] or not top["total"]:
-        return queue.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(0).alias("times"), F.lit(0.0).alias("finish"), *more)
+        return idle
     level = queue.agg(F.max(F.col("target") / F.col("weight"))).first()[0]
     width = level / min(max(repeats * top["n"] // SLICE_ROWS, 1), MOST_SLICES // 4)
     finish = lambda turn: (turn * F.col("source_size") + F.col("done")).cast("double") / F.col("weight").cast("double")
@@ -93,7 +95,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
     last = cut(ranged.where(F.col("sofar") <= top["total"]).agg(F.max("item").alias("last")))
     times = sum((F.when(item(F.lit(e)) <= F.col("last"), 1).otherwise(0) for e in range(repeats)), F.lit(0))
     out = queue.crossJoin(F.broadcast(last)).withColumn("times", F.coalesce(times, F.lit(0)))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"), "times", finish(F.lit(0)).alias("finish"), *more)
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken"), "times", finish(F.lit(0)).alias("finish"), *more).unionByName(idle)
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
@@ -109,7 +111,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 
 ORACLE = f"""
 with rows_ as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size,
-    ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, {KEY_BITS // 4}))::bigint as key from documents),
+    ('0x' || substr(md5(coalesce(doc_id::varchar, '') || '/' || coalesce(text, '')), 1, {KEY_BITS // 4}))::bigint as key from documents),
 s0 as (select source, sum(size)::hugeint as source_size, (row_number() over (order by source nulls last) - 1) as rank from rows_ group by source),
 s1 as (select *, case rank % 3 when 0 then {WEIGHTS[0]} when 1 then {WEIGHTS[1]} else {WEIGHTS[2]} end::hugeint as weight, {REPEATS} * source_size as cap, sum(source_size) over () as total from s0),
 s2 as (select *, sum(weight) over () as all_weight,
@@ -122,7 +124,7 @@ queue as (select r.doc_id, r.size, r.key, s4.rank, s4.weight, s4.source_size, s4
     from rows_ r join s4 on r.source is not distinct from s4.source),
 items as (select doc_id, size, rank, key, e, total, (e * source_size + done)::double / weight::double as f from queue, (select unnest(range({REPEATS})) as e)),
 line as (select *, sum(size) over (order by f, rank, e, key, doc_id, size rows unbounded preceding) as sofar from items),
-took as (select doc_id, size, sum(size) filter (where sofar <= total) as taken from line group by doc_id, size, key, rank)
+took as (select doc_id, size, key, rank, sum(size) filter (where sofar <= total) as taken from line group by doc_id, size, key, rank)
 select q.doc_id, q.size, q.source_size::bigint as source_size, q.target, coalesce(t.taken, 0)::bigint as taken
-from queue q join took t on q.doc_id = t.doc_id and q.size = t.size
+from queue q left join took t on q.doc_id is not distinct from t.doc_id and q.size = t.size and q.key = t.key and q.rank = t.rank
 """
