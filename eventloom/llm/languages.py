@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -11,24 +12,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import cut, rows_as
+from eventloom.llm.common import cut, rows_as, written
 from eventloom.llm.urls import host_of
 
-#: Labelled texts that a fit uses at most (a sample by hash of doc_id when there are more), and the most 3-grams kept.
-TRAIN_ROWS, GRAMS = 20_000, 60_000
+#: Labelled texts that a fit uses at most (a sample by hash of doc_id when there are more), and the most frequent 3-grams that
+#: a model has a row for; all others share one row, as 3-grams that no labelled text has do. It bounds what is broadcast.
+TRAIN_ROWS, GRAMS = 20_000, 1 << 18
+#: Different 3-grams that a Python worker counts before it passes them on; parts that a host's pages are joined in.
+HELD_GRAMS, SALTS = 200_000, 16
 #: A text's likelihood counts as that of so many independent 3-grams at most: neighbours overlap.
 EFFECTIVE = 60
 #: Pages' worth of belief that a host has in its domain, and a domain in the whole; added to each count of a pair.
 BELIEF, ADDED = 5.0, 0.5
-_TAGS = re.compile(r"<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>", re.S | re.I)
+#: What is left out as a whole, from its opening to its end.
+_BLOCKS = (("<script", re.compile("</script>", re.I)), ("<style", re.compile("</style>", re.I)), ("<!--", re.compile("-->")))
 _SPACE = re.compile(r"[\W\d_]+")
 #: Country suffixes that speak for a language (fixed values); others, such as com or org, count as themselves.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en"}
 
 
 def plain(page: str | None) -> str:
-    """A page's visible text."""
-    return html.unescape(_TAGS.sub(" ", page or ""))
+    """A page's visible text, in time that grows with its length: scripts, styles and comments go as a whole if they are closed, all other tags one by one."""
+    text = page or ""
+    last, at, out = text.rfind(">"), 0, []
+    ends = [[m.span() for m in end.finditer(text)] for _, end in _BLOCKS] if last >= 0 else []
+    while (i := text.find("<", at)) >= 0 and i < last:
+        out.append(text[at:i])
+        at = text.index(">", i) + 1
+        for (start, _), closed in zip(_BLOCKS, ends):
+            if text[i : i + len(start)].lower() == start and (k := bisect_left(closed, (i + len(start), 0))) < len(closed):
+                at = closed[k][1]
+        out.append(" ")
+    return html.unescape("".join(out) + text[at:])
 
 
 def grams(text: str) -> list[str]:
@@ -63,13 +78,20 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
 
     def batches(rows):
         held: dict[str, Counter] = {}
+
+        def passed_on():
+            for lang, found in held.items():
+                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(found), "gram": list(found), "n": list(found.values())})
+            held.clear()
+
         for b in rows:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
                 held.setdefault(lang, Counter()).update(grams(text.as_py()))
-        for lang, found in held.items():
-            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(found), "gram": list(found), "n": list(found.values())})
+                if sum(map(len, held.values())) > HELD_GRAMS:
+                    yield from passed_on()
+        yield from passed_on()
 
-    counts = kept.select("lang", "text").mapInArrow(batches, "lang string, gram string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    counts = written(kept.select("lang", "text").mapInArrow(batches, "lang string, gram string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")), "language-grams")
     per = counts.groupBy("gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).orderBy(F.desc("all"), "gram").limit(most).toPandas()
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
@@ -124,7 +146,9 @@ def identify(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: s
     smoothed = lambda n, above: F.zip_with(n, above, lambda a, p: (a + BELIEF * p) / (F.aggregate(n, F.lit(0.0), lambda s, v: s + v) + BELIEF))
     domains = scored.groupBy("domain").agg(vector()).select("domain", smoothed(F.col("n"), base).alias("domain_prior"))
     hosts = scored.groupBy("host", "domain").agg(vector()).join(domains, "domain").select("host", smoothed(F.col("n"), F.col("domain_prior")).alias("prior"))
-    out = scored.join(hosts, "host")
+    # a host may have a third of all pages: they meet its row in several parts
+    salted = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    out = scored.withColumn("salt", F.pmod(F.xxhash64("page_id", "ll"), F.lit(SALTS))).join(salted, ["host", "salt"]).drop("salt")
     for kind in ("declared", "suffix", "path_lang"):
         pairs = scored.groupBy(kind).agg(vector())
         kinds = F.lit(float(pairs.count()))
