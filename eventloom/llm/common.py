@@ -45,13 +45,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Tables that written() has made and clear() has not removed, in order.
+_MADE: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: compressed, and safe when executors are lost."""
+    """Write a table to the shared folder and read it back: compressed, and safe when executors are lost. Results may read it until clear() removes it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def made() -> int:
+    """How many tables written() has made that are still there; for clear()."""
+    return len(_MADE)
+
+
+def clear(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Remove the tables that written() made after the first `since`, but the last `keep`: for callers that have saved what they computed."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    while len(_MADE) - since > keep:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop(since))
+        path.getFileSystem(conf).delete(path, True)
+
+
 def rows_as(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named input columns, under fixed names, so that extra or clashing columns do no harm."""
     return df.select(*(F.col(f"`{source}`").alias(name) for name, source in columns.items()))

@@ -145,13 +145,16 @@ SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def described(media: DataFrame) -> DataFrame:
-    """What the stored bytes say when read back: the payload's size and digests, the media's, and the difference hash."""
+    """What the stored bytes say when read back: the payload's size and digests, the media's, and the difference hash. A null media has nulls."""
 
     def batches(rows):
         for b in rows:
             out = []
             for i, n, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 m = m.as_py()
+                if m is None:
+                    out.append((i, n, *[None] * 6))
+                    continue
                 back = from_npy(m)
                 data = back.tobytes()
                 picture = back.reshape(-1, TILE, back.shape[3])
