@@ -31,8 +31,8 @@ def op4_media(spark, sf_dir):
 
 
 def op5_licenses(spark, sf_dir):
-    """Every document's license, its own or its directory's; a document lies in source/language/last two digits of its id."""
-    place = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.pmod("doc_id", F.lit(100)).cast("string"), F.col("doc_id").cast("string"))
+    """Every document's license, its own or that of a license file in its source; a document is a file of its source's directory."""
+    place = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
     files = table(spark, sf_dir, "documents").select("doc_id", place.alias("path"), "text")
     return licenses.scan(files, licenses.template_table(spark))
 
@@ -77,6 +77,7 @@ QUERIES = {
 }
 ORACLES = {
     "op2_mixing": mixing.ORACLE,
+    "op5_licenses": licenses.oracle("select doc_id, coalesce(source, '-') || '/' || coalesce(doc_id::varchar, '-') as path, text from documents"),
     "op9_urls": urls.ORACLE,
     "op10_topk": topk.ORACLE,
 }
