@@ -34,17 +34,54 @@ def pair_off(rows, n_keys: int, tol):
     yield from ((w, None) for w in waiting)
 
 
+#: Tolerances in one time slice: what a window of one busy train sorts at once.
+SLICE_TOLERANCES = 256
+
+
+def islands(rows: DataFrame, keys: list[str], tol, time: str = "t_us") -> DataFrame:
+    """rows with `island`: the first time of the run of events, each at most tol after the one before, that a row is in.
+
+    A train is cut into time slices of many tolerances, so that a busy one is many small sorts. Inside a slice a row's
+    island starts at the last gap before it; a slice without a gap before the row takes what the slices before it, one
+    row each, have last.
+    """
+    width = SLICE_TOLERANCES * max(tol, 1)
+    sliced = rows.withColumn("_slice", F.floor(F.col(time) / width))
+    inside = W.partitionBy(*keys, "_slice").orderBy(time)
+    new = F.when(F.col(time) - F.lag(time).over(inside) > tol, F.col(time))
+    begun = sliced.withColumn("_new", new)
+    per = begun.groupBy(*keys, "_slice").agg(F.min(time).alias("_first"), F.max(time).alias("_last"), F.max("_new").alias("_latest"))
+    line = W.partitionBy(*keys).orderBy("_slice")
+    fresh = F.coalesce(F.col("_first") - F.lag("_last").over(line) > tol, F.lit(True))
+    per = per.withColumn("_begins", F.when(fresh, F.col("_first"))).withColumn("_own", F.coalesce("_latest", "_begins"))
+    held = F.last("_own", ignorenulls=True).over(line.rowsBetween(W.unboundedPreceding, -1))
+    per = per.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_slice").alias("_s"), F.coalesce("_begins", held).alias("_held"))
+    same = F.col("_slice") == F.col("_s")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    out = begun.withColumn("_run", F.last("_new", ignorenulls=True).over(inside)).join(per, same)
+    return out.select(*rows.columns, F.coalesce("_run", "_held").alias("island"))
+
+
 def match(a: DataFrame, b: DataFrame, keys: list[str], tol, time: str = "t_us", carry: tuple[str, ...] = ()) -> DataFrame:
     """(keys, time, carry, side, partner): every event of a (side 0) and b (side 1) with its partner's time, or null.
 
-    Pairs are one-to-one within |a - b| <= tol and greedy in time. carry names columns of both inputs to keep. One
-    shuffle by the keys; a partition is sorted and walked once as a stream that holds the events within one
-    tolerance, so a long train needs neither memory nor grouping. Events with a null time go.
+    Pairs are one-to-one within |a - b| <= tol and greedy in time. carry names columns of both inputs to keep. No pair
+    crosses a gap of more than tol, so trains fall into islands, which are dealt out by their starts: a busy train is
+    spread over tasks. Islands of one side have no pairs, those of one event a side have one; only the others are walked
+    in their tasks, as a stream that holds the events within one tolerance. Events with a null time go.
     """
     cols = [*keys, time, *carry]
     both = a.select(*cols, F.lit(0).alias("side")).unionByName(b.select(*cols, F.lit(1).alias("side"))).where(F.col(time).isNotNull())
-    ordered = both.repartition(*keys).sortWithinPartitions(*keys, time, "side", *carry)
-    n = len(keys)
+    kinds = dict(both.dtypes)
+    whole = W.partitionBy(*keys, "island")
+    counted = islands(both, keys, tol, time).withColumn("_n", F.count("*").over(whole)).withColumn("_b", F.sum("side").over(whole))
+    one_sided, lone = (F.col("_b") == 0) | (F.col("_b") == F.col("_n")), (F.col("_b") == 1) & (F.col("_n") == 2)
+    other = F.sum(time).over(whole) - F.col(time)
+    easy = counted.withColumn("_other", other).where(one_sided | lone).select(*cols, "side", F.when(lone, F.col("_other")).cast(kinds[time]).alias("partner"))
+    mixed = counted.where(~(one_sided | lone)).select(*keys, "island", time, *carry, "side")
+    ordered = mixed.sortWithinPartitions(*keys, "island", time, "side", *carry)
+    n = len(keys) + 1
 
     def walk(batches):
         fields: list = []
@@ -67,8 +104,8 @@ def match(a: DataFrame, b: DataFrame, keys: list[str], tol, time: str = "t_us",
         if done:
             yield packed(done)
 
-    kinds = dict(ordered.dtypes)
-    return ordered.mapInArrow(walk, ", ".join(f"`{c}` {kinds[c]}" for c in ordered.columns) + f", partner {kinds[time]}")
+    schema = ", ".join(f"`{c}` {kinds.get(c, kinds[time])}" for c in ordered.columns) + f", partner {kinds[time]}"
+    return easy.unionByName(ordered.mapInArrow(walk, schema).drop("island"))
 
 
 def detector_pairs(detections: DataFrame, detectors: list[str], keys: list[str] = ["run_id", "chan"]) -> tuple[DataFrame, DataFrame]:
@@ -94,14 +131,18 @@ def agreement(detections: DataFrame, detectors: list[str], tol: int, by: list[st
 def near_any(events: DataFrame, others: DataFrame, keys: list[str], tol: int) -> DataFrame:
     """Events with `near`: whether any of the others has the same keys and lies within tol; one other may serve many events.
 
-    Last other before and first after, from one sorted window over both, instead of a range join.
+    Last other before and first after, each from a running value over a sorted window, instead of a range join. Windows
+    run over time slices, to which the others within tol are copied, so a busy train is many small sorts.
     """
+    width = SLICE_TOLERANCES * max(tol, 1)
     cols = [c for c in events.columns if c not in (*keys, "t_us")]
-    kept = events.select(*keys, "t_us", F.struct(*cols).alias("_row") if cols else F.lit(1).alias("_row"), F.lit(None).cast("long").alias("_o"))
-    marks = others.select(*keys, "t_us", F.lit(None).cast(dict(kept.dtypes)["_row"]).alias("_row"), F.col("t_us").alias("_o"))
-    order = W.partitionBy(*keys).orderBy("t_us")
-    before = F.last("_o", ignorenulls=True).over(order.rangeBetween(W.unboundedPreceding, 0))
-    after = F.first("_o", ignorenulls=True).over(order.rangeBetween(0, W.unboundedFollowing))
+    slice_of = lambda t: F.floor(t / width)
+    kept = events.select(*keys, "t_us", F.struct(*cols).alias("_row") if cols else F.lit(1).alias("_row"), F.lit(None).cast("long").alias("_o"), slice_of(F.col("t_us")).alias("_slice"))
+    reach = F.sequence(slice_of(F.col("t_us") - tol), slice_of(F.col("t_us") + tol))
+    marks = others.select(*keys, "t_us", F.lit(None).cast(dict(kept.dtypes)["_row"]).alias("_row"), F.col("t_us").alias("_o"), F.explode(reach).alias("_slice"))
+    part = W.partitionBy(*keys, "_slice")
+    so_far = lambda order: F.last("_o", ignorenulls=True).over(part.orderBy(order).rangeBetween(W.unboundedPreceding, 0))
+    before, after = so_far(F.asc("t_us")), so_far(F.desc("t_us"))
     near = F.coalesce(F.col("t_us") - before <= tol, F.lit(False)) | F.coalesce(after - F.col("t_us") <= tol, F.lit(False))
     out = kept.unionByName(marks).withColumn("near", near).where("_row is not null")
     return out.select(*keys, "t_us", *([F.col(f"_row.{c}") for c in cols]), "near")

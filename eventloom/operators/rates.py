@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventloom.functions.columns import measured_rate
+from eventloom.functions.pvalues import spearman_p, wilcoxon_p
 
 
 def counts(events: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
@@ -100,18 +101,34 @@ def box(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     return rows.join(q, by).groupBy(*by, "q1", "q2", "q3", "mean").agg(F.min(F.when(inside, F.col(value))).alias("low"), F.max(F.when(inside, F.col(value))).alias("high"), F.sum((~inside).cast("long")).alias("outliers"))
 
 
-def condition_effect(both: DataFrame, by: list[str]) -> DataFrame:
-    """Per group over channels measured ON and OFF: mean rates, pooled and median ratio (zeros included), channels down and at zero, and the signed-rank sums of log ratios (zeros out)."""
-    rows = both.withColumn("ratio", F.col("on_rate") / F.when(F.col("off_rate") > 0, F.col("off_rate")))
+def condition_effect(both: DataFrame, by: list[str], least: int = 3) -> DataFrame:
+    """Per group over channels measured ON and OFF: mean rates and pooled ratio of all; over those with `least` OFF events or more, the median ratio (zeros included), channels down and at zero, and the signed-rank sum of log ratios (zeros out), with what its p-value needs."""
+    rows = both.withColumn("ratio", F.when(F.col("off_n") >= least, F.col("on_rate") / F.when(F.col("off_rate") > 0, F.col("off_rate"))))
     plain = rows.groupBy(*by).agg(
         F.avg("on_rate").alias("mean_on"), F.avg("off_rate").alias("mean_off"), F.try_divide(F.sum("on_rate"), F.sum("off_rate")).alias("pooled"), F.median("ratio").alias("median_ratio"),
         F.sum((F.col("ratio") < 1).cast("long")).alias("n_down"), F.sum((F.col("ratio") == 0).cast("long")).alias("n_zero"), F.count("ratio").alias("n"),
     )
+    plain = plain.fillna(0, ["n_down", "n_zero"])
     logs = rows.where("ratio > 0 and ratio <> 1").withColumn("log", F.round(F.log("ratio"), 12)).withColumn("size", F.abs("log"))
-    signed = logs.withColumn("place", average_rank("size", by)).groupBy(*by).agg(F.sum(F.when(F.col("log") > 0, F.col("place")).otherwise(0.0)).alias("w_plus"), F.count("*").alias("n_signed"))
+    tied = F.count("*").over(W.partitionBy(*by, "size"))
+    signed = logs.withColumn("place", average_rank("size", by)).withColumn("tied", tied).groupBy(*by).agg(
+        F.sum(F.when(F.col("log") > 0, F.col("place")).otherwise(0.0)).alias("w_plus"), F.count("*").alias("n_signed"), F.sum(F.col("tied") * F.col("tied") - 1).cast("double").alias("ties"),
+    )
     return plain.join(signed, by, "left")
 
 
+def with_effect_p(effects: DataFrame, least: int = 6) -> DataFrame:
+    """condition_effect's rows with p, the two-sided p-value of the signed-rank sum; null under `least` channels with a ratio above zero."""
+    p = F.udf(lambda w, n, ties, m: None if w is None or m < least else wilcoxon_p(w, n, ties), "double")
+    return effects.withColumn("p", p("w_plus", "n_signed", "ties", F.col("n") - F.col("n_zero")))
+
+
+def with_correlation_p(found: DataFrame) -> DataFrame:
+    """Rows of (n, rho) with p, the two-sided p-value of a rank correlation; null under three pairs."""
+    p = F.udf(lambda rho, n: None if rho is None else spearman_p(rho, n), "double")
+    return found.withColumn("p", p("rho", "n"))
+
+
 def time_course(counted: DataFrame, by: list[str], least_us: int, unit_us: int) -> DataFrame:
     """Per group and segment (n, t0_us, t1_us): events per unit, over the group's mean of its segments; segments under least_us go."""
     rate = F.col("n") / ((F.col("t1_us") - F.col("t0_us")) / unit_us)

@@ -95,12 +95,12 @@ def average_precision(points: DataFrame, by: list[str]) -> DataFrame:
     return points.withColumn("_g", (F.col("recall") - F.lag("recall", 1, 0.0).over(order)) * F.col("precision")).groupBy(*by).agg(F.sum("_g").alias("ap"))
 
 
-def gates(scores: DataFrame, tol_ms: float) -> DataFrame:
-    """(detector, gate) for every failed check of scores by detector and level (snr): a bias over a fifth of the tolerance, recall under 0.2 at the top level, silence at every level."""
+def gates(scores: DataFrame, tol_ms: float, bias_share: float = 0.2, least_recall: float = 0.2) -> DataFrame:
+    """(detector, gate) for every failed check of scores by detector and level (snr): at the top level a bias over a share of the tolerance and a recall under a bound, and silence at every level."""
     top = W.partitionBy("detector").orderBy(F.desc("snr"))
-    rows = scores.withColumn("_top", F.row_number().over(top) == 1).withColumn("_all", F.sum("n_det").over(W.partitionBy("detector")))
-    failed = F.array_compact(F.array(F.when(F.abs("bias_ms") > 0.2 * tol_ms, "bias"), F.when(F.col("_top") & (F.col("recall") < 0.2), "recall"), F.when(F.col("_all") == 0, "silent")))
-    return rows.select("detector", F.explode(failed).alias("gate")).distinct()
+    rows = scores.withColumn("_top", F.row_number().over(top)).withColumn("_all", F.sum("n_det").over(W.partitionBy("detector"))).where("_top = 1")
+    failed = F.array_compact(F.array(F.when(F.abs("bias_ms") > bias_share * tol_ms, "bias"), F.when(F.col("recall") < least_recall, "recall"), F.when(F.col("_all") == 0, "silent")))
+    return rows.select("detector", F.explode(failed).alias("gate"))
 
 
 def partial_spearman(rows: DataFrame, x: str, y: str, z: str, by: list[str]) -> DataFrame:
@@ -113,6 +113,18 @@ def partial_spearman(rows: DataFrame, x: str, y: str, z: str, by: list[str]) ->
     return out.select(*by, "n", ((F.col("_xy") - F.col("_xz") * F.col("_yz")) / F.sqrt(rest)).alias("rho"))
 
 
+def noise_report(rows: DataFrame, by: list[str], minutes: float, least_span: float = 1.2) -> DataFrame:
+    """Per group: the rank correlations of channel noise with recall (channels with truth) and with false positives a minute (all channels), the true rate held fixed.
+
+    rows has by, noise, n_true, n_det, tp. Where the noisiest channel is not `least_span` times the quietest, a group has no row.
+    """
+    span = rows.groupBy(*by).agg((F.max("noise") / F.greatest(F.min("noise"), F.lit(1e-9))).alias("_span")).where(F.col("_span") >= least_span)
+    kept = rows.join(span, by).withColumn("recall", F.col("tp") / F.when(F.col("n_true") > 0, F.col("n_true"))).withColumn("fp_minute", (F.col("n_det") - F.col("tp")) / minutes)
+    recall = partial_spearman(kept.where("n_true > 0"), "noise", "recall", "n_true", by)
+    false = partial_spearman(kept, "noise", "fp_minute", "n_true", by).select(*by, F.col("n").alias("n_fp"), F.col("rho").alias("rho_fp"))
+    return false.join(recall, by, "left")
+
+
 def pooled_report(scores: DataFrame) -> DataFrame:
     """Per detector over subjects: pooled counts, recall and precision with Wilson bounds, and medians over subjects of their medians.
 
@@ -190,11 +202,13 @@ def pending(grid: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return grid.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def violations(runs: DataFrame, detections: DataFrame, segments: DataFrame, clean_per_slice: DataFrame, channels: DataFrame, slice_us: int) -> DataFrame:
-    """(run_id, rule, detail) for every broken invariant; empty if all hold. runs: run_id, total_us, on_us, off_us.
+def violations(runs: DataFrame, detections: DataFrame, segments: DataFrame, clean_per_slice: DataFrame, channels: DataFrame, slice_us: int, clean: DataFrame | None = None) -> DataFrame:
+    """(run_id, rule, detail) for every broken invariant; empty if all hold. runs: run_id, total_us, on_us, off_us;
+    clean_per_slice: run_id, chan, clean_us; clean: run_id, chan, on_us, off_us, the analysable time by condition.
 
-    Rules: event times inside the recording; channels known; analysable time within a slice; ON and OFF add up to
-    the recording within a second; segments not empty, inside and apart.
+    Rules: event times inside the recording, with a channel that is known and, where detections carry is_on, a flag;
+    analysable time within a slice, and by condition within the recording; ON and OFF add up to the recording, and a
+    channel's analysable ON and OFF to its slices, within a second; segments not empty, inside and apart.
     """
     second = 1_000_000
     say = lambda df, rule, detail: df.select("run_id", F.lit(rule).alias("rule"), detail.cast("string").alias("detail"))
@@ -210,6 +224,13 @@ def violations(runs: DataFrame, detections: DataFrame, segments: DataFrame, clea
         say(seg.where("t0_us < 0 or t1_us > total_us"), "segment outside", F.col("t0_us")),
         say(seg.withColumn("_b", before).where("_b > t0_us"), "segments overlap", F.col("t0_us")),
     ]
+    if "is_on" in detections.columns:
+        parts.append(say(detections.where("is_on is null"), "no flag", F.col("t_us")))
+    if clean is not None:
+        both = clean.join(runs.select("run_id", "total_us"), "run_id")
+        parts += [say(both.where((F.col(c) < 0) | (F.col(c) > F.col("total_us") + second)), "clean time of a condition", F.col(c)) for c in ("on_us", "off_us")]
+        per = clean_per_slice.groupBy("run_id", "chan").agg(F.sum("clean_us").alias("_sum"))
+        parts.append(say(clean.join(per, ["run_id", "chan"]).where(F.abs(F.col("on_us") + F.col("off_us") - F.col("_sum")) > second), "clean time is not that of the slices", F.col("chan")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -9,11 +9,12 @@ import inspect
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventloom.functions import dsp
+from eventloom.operators.matching import islands, near_any
 
 #: Detectors by name: functions of (samples, fs, **parameters) that give (sample, value, weight, density) tuples.
 DETECTORS = {"envelope": dsp.detect}
@@ -34,20 +35,27 @@ def buffers(signals: DataFrame, blocks: int, halo: int) -> DataFrame:
     return signals.withColumn("buffer", F.explode(reach)).withColumn("inner", F.col("buffer") == own)
 
 
+def stretches(rows: pd.DataFrame):
+    """(rows, samples) of each run of blocks that follow each other: a missing block parts them."""
+    rows = rows.sort_values("block")
+    for _, part in rows.groupby((rows["block"].diff().fillna(1) != 1).cumsum()):
+        yield part, np.concatenate([np.asarray(s, float) for s in part["samples"]])
+
+
 def run_detector(signals: DataFrame, name: str, blocks: int, halo: int, **given) -> DataFrame:
-    """(rec_id, chan, t_us, value, weight, density): a detector on every channel's buffers; marks count in the buffer whose own blocks hold them. A task holds one channel's buffer and its halo."""
+    """(rec_id, chan, t_us, value, weight, density): a detector on every channel's buffers; marks count in the buffer whose own blocks hold them. A task holds one channel's buffer and its halo; where a block is missing, either side is a signal by itself."""
     fn, arguments = DETECTORS[name], parameters(name, **given)
+    names = ["rec_id", "chan", "t_us", "value", "weight", "density"]
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block")
-        fs, x = float(rows["fs"].iloc[0]), np.concatenate([np.asarray(s, float) for s in rows["samples"]])
-        start = int(rows["t0_us"].iloc[0])
-        inner = rows[rows["inner"]]
-        if not len(inner):
-            return pd.DataFrame(columns=["rec_id", "chan", "t_us", "value", "weight", "density"])
-        first, last = int(inner["t0_us"].min()), int(inner["t0_us"].max() + len(inner["samples"].iloc[-1]) / fs * 1e6)
-        marks = [(rows["rec_id"].iloc[0], rows["chan"].iloc[0], start + round(i / fs * 1e6), *rest) for i, *rest in fn(x, fs, **arguments)]
-        return pd.DataFrame([m for m in marks if first <= m[2] < last], columns=["rec_id", "chan", "t_us", "value", "weight", "density"])
+        out = []
+        for part, x in stretches(rows):
+            fs, start, inner = float(part["fs"].iloc[0]), int(part["t0_us"].iloc[0]), part[part["inner"]]
+            if len(inner):
+                first, last = int(inner["t0_us"].min()), int(inner["t0_us"].max() + len(inner["samples"].iloc[-1]) / fs * 1e6)
+                marks = [(part["rec_id"].iloc[0], part["chan"].iloc[0], start + round(i / fs * 1e6), *rest) for i, *rest in fn(x, fs, **arguments)]
+                out += [m for m in marks if first <= m[2] < last]
+        return pd.DataFrame(out, columns=names)
 
     kinds = dict(signals.dtypes)
     schema = f"rec_id {kinds['rec_id']}, chan {kinds['chan']}, t_us long, value double, weight double, density double"
@@ -55,66 +63,103 @@ def run_detector(signals: DataFrame, name: str, blocks: int, halo: int, **given)
 
 
 def lognormal_background(samples: DataFrame, keys: list[str], at: str, value: str, before: int, after: int, k1: float, k3: float) -> DataFrame:
-    """Samples with mode, median and mean of a lognormal background over a window of rows, and the threshold; all in SQL windows."""
-    w = W.partitionBy(*keys).orderBy(at).rowsBetween(-before, after)
-    out = samples.withColumn("_m", F.avg(F.log(value)).over(w)).withColumn("_s", F.coalesce(F.stddev_samp(F.log(value)).over(w), F.lit(0.0)))
-    mode, median, mean = F.exp(F.col("_m") - F.col("_s") * F.col("_s")), F.exp("_m"), F.exp(F.col("_m") + F.col("_s") * F.col("_s") / 2)
-    return out.withColumn("mode", mode).withColumn("median", median).withColumn("mean", mean).withColumn("threshold", k1 * (F.col("mode") + F.col("median")) - k3 * (F.col("mean") - F.col("mode"))).drop("_m", "_s")
-
-
-def crossings(samples: DataFrame, keys: list[str], at: str, value: str, bound: str, join: int) -> DataFrame:
-    """(keys, start, stop, peak_at, peak): runs of samples above their bound, runs at most `join` places apart united, with their highest sample (the first of equals)."""
+    """Samples with mode, median and mean of a lognormal background over a window of rows, and the threshold.
+
+    The window's moments are differences of running sums of ln x and its square, so a row costs the same however
+    wide the window is. Sums run over ln x less the channel's mean of it, which keeps them small.
+    """
+    order, whole = W.partitionBy(*keys).orderBy(at), W.partitionBy(*keys)
+    so_far = order.rowsBetween(W.unboundedPreceding, 0)
+    out = samples.withColumn("_x", F.log(value)).withColumn("_c", F.avg("_x").over(whole)).withColumn("_x", F.col("_x") - F.col("_c"))
+    out = out.withColumn("_1", F.count("_x").over(so_far)).withColumn("_2", F.sum("_x").over(so_far)).withColumn("_3", F.sum(F.col("_x") * F.col("_x")).over(so_far))
+    all_of = {"_1": F.count("_x").over(whole), "_2": F.sum("_x").over(whole), "_3": F.sum(F.col("_x") * F.col("_x")).over(whole)}
+    inside = lambda c: F.coalesce(F.lead(c, after).over(order), all_of[c]) - F.coalesce(F.lag(c, before + 1).over(order), F.lit(0))
+    out = out.withColumn("_n", inside("_1")).withColumn("_s1", inside("_2")).withColumn("_s2", inside("_3"))
+    spread = F.when(F.col("_n") > 1, F.greatest(F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("_n"), F.lit(0.0)) / (F.col("_n") - 1)).otherwise(F.lit(0.0))
+    out = out.withColumn("_m", F.col("_c") + F.col("_s1") / F.col("_n")).withColumn("_v", spread)
+    mode, median, mean = F.exp(F.col("_m") - F.col("_v")), F.exp("_m"), F.exp(F.col("_m") + F.col("_v") / 2)
+    out = out.withColumn("mode", mode).withColumn("median", median).withColumn("mean", mean)
+    return out.withColumn("threshold", k1 * (F.col("mode") + F.col("median")) - k3 * (F.col("mean") - F.col("mode"))).drop("_x", "_c", "_1", "_2", "_3", "_n", "_s1", "_s2", "_m", "_v")
+
+
+def crossings(samples: DataFrame, keys: list[str], at: str, value: str, bound: str, join: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, start, stop, peak_at, peak, carry): runs of samples above their bound, runs at most `join` places apart united, with their highest sample (the first of equals) and its other columns named in carry."""
     order = W.partitionBy(*keys).orderBy(at)
     above = samples.where(F.col(value) > F.col(bound)).withColumn("_new", F.when(F.col(at) - F.lag(at).over(order) <= join, 0).otherwise(1))
     runs = above.withColumn("_run", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return runs.groupBy(*keys, "_run").agg(F.min(at).alias("start"), F.max(at).alias("stop"), (-F.max_by(-F.col(at), F.struct(F.col(value), -F.col(at)))).alias("peak_at"), F.max(value).alias("peak")).drop("_run")
+    return runs.groupBy(*keys, "_run").agg(F.min(at).alias("start"), F.max(at).alias("stop"), (-F.max_by(-F.col(at), F.struct(F.col(value), -F.col(at)))).alias("peak_at"), F.max(value).alias("peak"), *(F.max_by(c, F.struct(F.col(value), -F.col(at))).alias(c) for c in carry)).drop("_run")
 
 
 def with_ambiguous(obvious: DataFrame, low: DataFrame, keys: list[str], dt_us: int) -> DataFrame:
     """Obvious marks with con 1, and those of the low threshold that have an obvious mark of any channel within dt, with con 0.5."""
-    from eventloom.operators.matching import near_any
-
     extra = low.join(obvious.select(*keys, "chan", "t_us"), [*keys, "chan", "t_us"], "left_anti")
     kept = near_any(extra.select(*keys, "chan", "t_us"), obvious.select(*keys, "t_us"), keys, dt_us).where("near").select(*keys, "chan", "t_us", F.lit(0.5).alias("con"))
     return obvious.select(*keys, "chan", "t_us", F.lit(1.0).alias("con")).unionByName(kept)
 
 
 def discharges(marks: DataFrame, dt_us: int) -> DataFrame:
-    """(rec_id, event, t0_us, t1_us, chan, marks, value, weight): marks of all channels, each covering dt, united to events; per event and channel the greatest value and weight. Channels without a mark have no row."""
-    order = W.partitionBy("rec_id").orderBy("t_us", "chan")
-    new = F.when(F.col("t_us") - F.lag("t_us").over(order) <= dt_us, 0).otherwise(1)
-    rows = marks.withColumn("_new", new).withColumn("event", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    whole = W.partitionBy("rec_id", "event")
-    rows = rows.withColumn("t0_us", F.min("t_us").over(whole)).withColumn("t1_us", F.max("t_us").over(whole) + dt_us)
-    return rows.groupBy("rec_id", "event", "t0_us", "t1_us", "chan").agg(F.count("*").alias("marks"), F.max("t_us").alias("last_us"), F.max("value").alias("value"), F.max("weight").alias("weight"))
+    """(rec_id, t0_us, t1_us, duration_us, chan, marks, last_us and the greatest of each other column): marks of all channels, each active for dt, united to events.
+
+    Per event and channel: marks, the end of its last activity, and the greatest value, weight, confidence, density or
+    height over the background, whichever the marks have. Channels without a mark have no row. Marks at most dt apart
+    are one event; events are found by time slices, so a busy recording is many small sorts.
+    """
+    rest = [c for c in marks.columns if c not in ("rec_id", "chan", "t_us")]
+    whole = W.partitionBy("rec_id", "island")
+    rows = islands(marks, ["rec_id"], dt_us).withColumn("t1_us", F.max("t_us").over(whole) + dt_us).withColumnRenamed("island", "t0_us")
+    out = rows.groupBy("rec_id", "t0_us", "t1_us", "chan").agg(F.count("*").alias("marks"), (F.max("t_us") + dt_us).alias("last_us"), *(F.max(c).alias(c) for c in rest))
+    return out.withColumn("duration_us", F.col("t1_us") - F.col("t0_us"))
+
 
+def rhythm_mask(signals: DataFrame, window: int, low: float, high: float, blocks: int = 10) -> DataFrame:
+    """(rec_id, chan, t0_us, t1_us) of windows whose autoregressive spectrum peaks between two frequencies.
 
-def rhythm_mask(signals: DataFrame, window: int, low: float, high: float) -> DataFrame:
-    """(rec_id, chan, t0_us, t1_us) of windows whose autoregressive spectrum peaks between two frequencies."""
+    Windows follow each other from the start of each buffer of blocks or, after a missing block, of what follows it; a
+    shorter rest counts as a window.
+    """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block")
-        fs, start, x = float(rows["fs"].iloc[0]), int(rows["t0_us"].iloc[0]), np.concatenate([np.asarray(s, float) for s in rows["samples"]])
         out = []
-        for a in range(0, len(x) - window + 1, window):
-            part = x[a : a + window]
-            if part.std() > 0 and low < dsp.rhythm_peak(part, fs) < high:
-                out.append((rows["rec_id"].iloc[0], rows["chan"].iloc[0], start + round(a / fs * 1e6), start + round((a + window) / fs * 1e6)))
+        for part_rows, x in stretches(rows):
+            fs, start = float(part_rows["fs"].iloc[0]), int(part_rows["t0_us"].iloc[0])
+            for a in range(0, len(x), window):
+                part = x[a : a + window]
+                if len(part) > 12 and part.std() > 0 and low < dsp.rhythm_peak(part, fs) < high:
+                    out.append((part_rows["rec_id"].iloc[0], part_rows["chan"].iloc[0], start + round(a / fs * 1e6), start + round((a + len(part)) / fs * 1e6)))
         return pd.DataFrame(out, columns=["rec_id", "chan", "t0_us", "t1_us"])
 
     kinds = dict(signals.dtypes)
-    return buffers(signals, 10, 0).groupBy("rec_id", "chan", "buffer").applyInPandas(one, f"rec_id {kinds['rec_id']}, chan {kinds['chan']}, t0_us long, t1_us long")
+    return buffers(signals, blocks, 0).groupBy("rec_id", "chan", "buffer").applyInPandas(one, f"rec_id {kinds['rec_id']}, chan {kinds['chan']}, t0_us long, t1_us long")
 
 
-def per_block(signals: DataFrame, fn) -> DataFrame:
-    """Signals with samples replaced by fn(samples, fs) (a numpy helper such as a filter, median or decimation) and fs by what it gives beside."""
+def without_rhythm(marks: DataFrame, mask: DataFrame, width_us: int) -> DataFrame:
+    """Marks outside the windows of a rhythm mask; an anti-join on time cells of width_us."""
+    cells = mask.select("rec_id", "chan", "t0_us", "t1_us", F.explode(F.sequence(F.floor(F.col("t0_us") / width_us), F.floor((F.col("t1_us") - 1) / width_us))).alias("_cell"))
+    m, c = marks.withColumn("_cell", F.floor(F.col("t_us") / width_us)).alias("m"), cells.alias("c")
+    same = (F.col("m.rec_id") == F.col("c.rec_id")) & (F.col("m.chan") == F.col("c.chan")) & (F.col("m._cell") == F.col("c._cell"))
+    return m.join(c, same & (F.col("m.t_us") >= F.col("c.t0_us")) & (F.col("m.t_us") < F.col("c.t1_us")), "left_anti").drop("_cell")
 
-    def one(batches):
-        for rows in batches:
-            done = [fn(np.asarray(s, float), float(f)) for s, f in zip(rows["samples"], rows["fs"])]
-            yield rows.assign(samples=[np.asarray(d[0], np.float32) for d in done], fs=[float(d[1]) for d in done])
 
-    return signals.mapInPandas(one, signals.schema)
+def per_channel(signals: DataFrame, fn, blocks: int, halo: int) -> DataFrame:
+    """Signals with samples replaced by fn(samples, fs), a numpy helper such as a filter, median or decimation, and fs by what it gives beside.
+
+    fn sees a buffer of blocks and `halo` blocks on either side, so block edges do not show; each block of the buffer
+    itself then gets its share of the result. The rate may only change by a factor that divides a block's samples.
+    """
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for part, x in stretches(rows):
+            y, fs = fn(x, float(part["fs"].iloc[0]))
+            ends = np.cumsum([len(s) for s in part["samples"]]) * len(y) // max(len(x), 1)
+            for k, (a, z) in enumerate(zip([0, *ends], ends)):
+                if part["inner"].iloc[k]:
+                    row = part.iloc[k]
+                    out.append((row["rec_id"], row["chan"], row["block"], row["t0_us"], fs, np.asarray(y[a:z], np.float32)))
+        return pd.DataFrame(out, columns=["rec_id", "chan", "block", "t0_us", "fs", "samples"])
+
+    kept = signals.select("rec_id", "chan", "block", "t0_us", "fs", "samples")
+    return buffers(kept, blocks, halo).groupBy("rec_id", "chan", "buffer").applyInPandas(one, kept.schema)
 
 
 def spectra(blocks: DataFrame, keys: list[str], fs: float, window: int, samples: str = "samples") -> DataFrame:
@@ -138,6 +183,26 @@ def band_power(spectrum: DataFrame, keys: list[str], bands: dict[str, tuple[floa
     return spectrum.groupBy(*keys).agg(*(F.avg(F.when((F.col("f") >= a) & (F.col("f") < b), F.col("power"))).alias(n) for n, (a, b) in bands.items()))
 
 
+def relative_band(band: str, references: list[str]) -> Column:
+    """The power in a band over the mean of those beside it; null where these have none."""
+    beside = sum((F.col(r) for r in references), F.lit(0.0)) / len(references)
+    return F.col(band) / F.when(beside > 0, beside)
+
+
+def contamination(spectra: DataFrame, keys: list[str], band: tuple[float, float], references: list[tuple[float, float]], broad: tuple[float, float]) -> DataFrame:
+    """(keys, contam, broad): how much more power a channel has ON than OFF, in doublings: in a band relative to the bands beside it, and over a broad band.
+
+    spectra has keys, is_on, f, power, a row a window and frequency; windows of one condition are averaged first.
+    """
+    names = {"_band": band, "_broad": broad, **{f"_r{k}": r for k, r in enumerate(references)}}
+    mean = spectra.groupBy(*keys, "is_on", "f").agg(F.avg("power").alias("power"))
+    power = band_power(mean, [*keys, "is_on"], names).withColumn("_rel", relative_band("_band", [f"_r{k}" for k in range(len(references))]))
+    side = lambda c, on: F.max(F.when(F.col("is_on") == on, F.col(c)))
+    both = power.groupBy(*keys).agg(*(side(c, on).alias(f"{c}_{on}") for c in ("_rel", "_broad") for on in (True, False)))
+    doublings = lambda c: F.log2(F.when(F.col(f"{c}_True") > 0, F.col(f"{c}_True")) / F.when(F.col(f"{c}_False") > 0, F.col(f"{c}_False")))
+    return both.select(*keys, doublings("_rel").alias("contam"), doublings("_broad").alias("broad"))
+
+
 def peaks(spectrum: DataFrame, keys: list[str], low: float, high: float, n: int = 4) -> DataFrame:
     """Per key the n highest powers between two frequencies."""
     place = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("power"), "f"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -149,9 +151,9 @@ def collapsed(seeds: DataFrame, keys: list[str], window_us: int) -> DataFrame:
                 fields[:] = list(b.schema)
                 yield from zip(*(c.to_pylist() for c in b.columns))
 
-        kept = list(thin_out(rows(), n, window_us))
-        if kept:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept), fields)], [f.name for f in fields])
+        kept = thin_out(rows(), n, window_us)
+        while part := list(islice(kept, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), fields)], [f.name for f in fields])
 
     return ordered.mapInArrow(walk, ordered.schema)
 
@@ -176,13 +178,27 @@ def band_histogram(found: DataFrame, bands: list[int], floor_us: int) -> DataFra
     return found.withColumn("band_us", band).where("band_us is not null").groupBy("band_us").agg(F.count("*").alias("n"))
 
 
-def diverse(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
-    """The first n rows a group, new shafts first, then new channels, then the rest, each in the given order.
+def diverse(rows: DataFrame, by: list[str], order: list[Column], n) -> DataFrame:
+    """The first n rows a group, no channel twice: new shafts first, then the other channels, each in the given order. n is a number or column.
 
-    A shaft's best row comes before any second row of it, and a channel's before any second of it; so only ranks
-    are needed, no walk.
+    A channel's best row comes before any other of it, and a shaft's best row is its channel's; so only ranks are
+    needed, no walk.
     """
     first_of = lambda c: F.row_number().over(W.partitionBy(*by, *c).orderBy(*order))
-    ranked = rows.withColumn("_s", F.least(first_of(["shaft"]), F.lit(2))).withColumn("_c", F.least(first_of(["chan"]), F.lit(2)))
-    turn = F.row_number().over(W.partitionBy(*by).orderBy("_s", "_c", *order))
-    return ranked.withColumn("turn", turn).where(F.col("turn") <= n).drop("_s", "_c")
+    best = rows.withColumn("_c", first_of(["run_id", "chan"])).where("_c = 1").withColumn("_s", F.least(first_of(["shaft"]), F.lit(2)))
+    turn = F.row_number().over(W.partitionBy(*by).orderBy("_s", *order))
+    return best.withColumn("turn", turn).where(F.col("turn") <= n).drop("_s", "_c")
+
+
+def review_pick(rows: DataFrame, by: list[str], ties: list[str], n: int) -> DataFrame:
+    """n candidates a group for review: half of them where detectors disagree most (largest spread, then least gap), the rest nearest the group's median count on other channels.
+
+    rows has by, run_id, chan, shaft, gap_us, most, spread; ties names the columns that settle equal places. `typical` tells the halves apart.
+    """
+    apart = diverse(rows, by, [F.desc("spread"), F.col("gap_us"), *map(F.col, ties)], n // 2)
+    middle = rows.groupBy(*by).agg(F.median("most").alias("_middle"))
+    taken = apart.groupBy(*by).agg(F.count("*").alias("_taken"))
+    others = rows.join(apart.select(*by, "run_id", "chan"), [*by, "run_id", "chan"], "left_anti").join(middle, by).join(taken, by)
+    typical = diverse(others, by, [F.abs(F.col("most") - F.col("_middle")), F.col("spread"), *map(F.col, ties)], n - F.col("_taken"))
+    typical = typical.withColumn("turn", F.col("turn") + F.col("_taken")).select(*apart.columns)
+    return apart.withColumn("typical", F.lit(False)).unionByName(typical.withColumn("typical", F.lit(True)))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,16 @@ def events(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("user_id") % 5).alias("run_id"), F.col("user_id").alias("chan"), "event_type", t.alias("t_us"), "value")
 
 
+def scratch(t, name: str) -> str:
+    """A new path in the folder that driver and executors share, spark.checkpoint.dir. Only a session on one machine may leave it unset."""
+    base = t.spark.sparkContext.getCheckpointDir() or t.spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not t.spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-scratch-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 class Tables:
     """The model's tables over one folder."""
 

@@ -167,7 +167,7 @@ def a10_box(t):
     return rnd(R.box(counts, "n", P.TRAIN), "mean")
 
 
-BOTH = RATED + ", bo as (select a.run_id, a.chan, a.detector, a.rate as on_rate, b.rate as off_rate, a.rate / nullif(b.rate, 0) as ratio from rated a join rated b using (run_id, chan, detector) where a.is_on and not b.is_on and a.rate is not null and b.rate is not null)"
+BOTH = RATED + ", bo as (select a.run_id, a.chan, a.detector, a.rate as on_rate, b.rate as off_rate, b.n as off_n, case when b.n >= 3 then a.rate / nullif(b.rate, 0) end as ratio from rated a join rated b using (run_id, chan, detector) where a.is_on and not b.is_on and a.rate is not null and b.rate is not null)"
 
 
 def both(t):
@@ -177,21 +177,28 @@ def both(t):
 
 
 @query(BOTH + """, lg as (select run_id, detector, round(ln(ratio), 12) as lg, abs(round(ln(ratio), 12)) as sz from bo where ratio > 0 and ratio <> 1),
-rk as (select *, rank() over (partition by run_id, detector order by sz) + (count(*) over (partition by run_id, detector, sz) - 1) / 2.0 as place from lg),
-sg as (select run_id, detector, sum(case when lg > 0 then place else 0 end) as w_plus, count(*) as n_signed from rk group by all)
-select bo.run_id, bo.detector, round(avg(on_rate), 6) as mean_on, round(avg(off_rate), 6) as mean_off, round(sum(on_rate) / sum(off_rate), 6) as pooled, round(median(ratio), 6) as median_ratio, count(*) filter (where ratio < 1) as n_down, count(*) filter (where ratio = 0) as n_zero, count(ratio) as n, any_value(w_plus) as w_plus, any_value(n_signed) as n_signed from bo left join sg using (run_id, detector) group by all""")
+rk as (select *, rank() over (partition by run_id, detector order by sz) + (count(*) over (partition by run_id, detector, sz) - 1) / 2.0 as place, count(*) over (partition by run_id, detector, sz) as tied from lg),
+sg as (select run_id, detector, sum(case when lg > 0 then place else 0 end) as w_plus, count(*) as n_signed, sum(tied * tied - 1)::double as ties from rk group by all)
+select bo.run_id, bo.detector, round(avg(on_rate), 6) as mean_on, round(avg(off_rate), 6) as mean_off, round(sum(on_rate) / sum(off_rate), 6) as pooled, round(median(ratio), 6) as median_ratio, count(*) filter (where ratio < 1) as n_down, count(*) filter (where ratio = 0) as n_zero, count(ratio) as n, any_value(w_plus) as w_plus, any_value(n_signed) as n_signed, any_value(ties) as ties from bo left join sg using (run_id, detector) group by all""")
 def a11_m11_effect(t):
-    """Paired ON/OFF effect with signed-rank sums."""
+    """Paired ON/OFF effect with signed-rank sums; channels with fewer than three OFF events have no ratio."""
     return rnd(R.condition_effect(both(t), ["run_id", "detector"]), "mean_on", "mean_off", "pooled", "median_ratio")
 
 
-@query(f", segs as {SEGS['on']}, g as (select s.*, d.detector from segs s, dets d), c as (select g.run_id, g.detector, g.seg, g.t0_us, g.t1_us, count(d.t_us) as n from g left join det d on d.run_id = g.run_id and d.detector = g.detector and d.t_us >= g.t0_us and d.t_us < g.t1_us group by all), r as (select *, n / ((t1_us - t0_us) / {DAY}) as rate from c) select run_id, detector, seg, n, round(rate / nullif(avg(rate) over (partition by run_id, detector), 0), 6) as relative from r")
+@query()
+def a11_effect_p(t):
+    """The same with the p-value of the signed-rank sum."""
+    return R.with_effect_p(R.condition_effect(both(t), ["run_id", "detector"])).select("run_id", "detector", "n", "n_zero", "w_plus", "n_signed", "ties", F.round("p", 9).alias("p"))
+
+
+@query(BOTH + f", segs as (select run_id, t0_us, t1_us, true as is_on from ons union all select run_id, t0_us, t1_us, false from offs), g as (select s.*, d.detector from segs s, dets d), c as (select g.run_id, g.detector, g.is_on, g.t0_us, g.t1_us, count(d.t_us) as n from g left join (select det.* from det join bo using (run_id, chan, detector)) d on d.run_id = g.run_id and d.detector = g.detector and d.t_us >= g.t0_us and d.t_us < g.t1_us group by all), r as (select *, n / ((t1_us - t0_us) / {DAY}) as rate from c) select run_id, detector, is_on, t0_us, n, round(rate / nullif(avg(rate) over (partition by run_id, detector), 0), 6) as relative from r")
 def a12_time_course(t):
-    """Relative rate of each ON segment."""
-    segments = t.segments("on")
-    hits = I.within(t.detections, segments, ["run_id"], 2 * DAY).groupBy("run_id", "detector", "seg").agg(F.count("*").alias("n"))
-    grid = segments.withColumn("detector", F.explode(F.array(*map(F.lit, ALL)))).join(hits, ["run_id", "detector", "seg"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return rnd(R.time_course(grid, ["run_id", "detector"], DAY, DAY).select("run_id", "detector", "seg", "n", "relative"), "relative")
+    """Relative rate of each ON and OFF segment, over the channels measured in both."""
+    segments = t.segments("on").withColumn("is_on", F.lit(True)).unionByName(t.segments("off").withColumn("is_on", F.lit(False)))
+    kept = t.detections.join(both(t).select("run_id", "chan", "detector"), ["run_id", "chan", "detector"], "left_semi")
+    found = [I.within(kept, t.segments(label), ["run_id"], 3 * DAY).groupBy("run_id", "detector", "seg").agg(F.count("*").alias("n")).withColumn("is_on", F.lit(label == "on")) for label in ("on", "off")]
+    grid = segments.withColumn("detector", F.explode(F.array(*map(F.lit, ALL)))).join(found[0].unionByName(found[1]), ["run_id", "detector", "seg", "is_on"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return rnd(R.time_course(grid, ["run_id", "detector"], DAY, DAY).select("run_id", "detector", "is_on", "t0_us", "n", "relative"), "relative")
 
 
 @query(RATED + "select run_id, chan, round(max(rate) / greatest(min(rate), 1e-9), 3) as spread from rated where not is_on group by all having count(rate) = 3 and max(rate) >= 0.05 order by max(rate) / greatest(min(rate), 1e-9) desc, run_id, chan limit 10")

@@ -8,7 +8,8 @@ from eventloom.functions.columns import wilson
 from eventloom.operators import intervals as I
 from eventloom.operators import postprocess as P
 from eventloom.operators import scoring as S
-from eventloom.plans.fixtures import BASE, DAY, DETECTORS, GUARD, THRESHOLDS, TOL, TOTAL, WINDOW, Tables, matched
+from eventloom.plans.fixtures import BASE, DAY, DETECTORS, GUARD, THRESHOLDS, TOL, TOTAL, WINDOW, Tables, matched, scratch
+from eventloom.sources.runs import write_summary
 
 QUERIES, ORACLES = {}, {}
 MINUTES = (TOTAL - 2 * GUARD) / DAY
@@ -169,23 +170,31 @@ def g7_score_table(t):
     return rnd(S.event_scores(found, ["run_id", "detector"]), "recall", "precision", "f1")
 
 
-@query(_G + f", sc as (select *, row_number() over (partition by detector order by run_id desc) = 1 as top, sum(n_det) over (partition by detector) as every from {_scores('run_id, detector')}) select distinct detector, gate from (select detector, unnest([case when abs(bias_ms) > 0.02 * {TOL / 1000} then 'bias' end, case when top and recall < 0.9 then 'recall' end, case when every = 0 then 'silent' end]) as gate from sc) where gate = 'bias'")
+@query(_G + f", mute as (select run_id, 'mute' as detector, 0::bigint as n_det, 0.0::double as recall, null::double as bias_ms from spans), sc as (select *, row_number() over (partition by detector order by run_id desc) as place, sum(n_det) over (partition by detector) as every from (select run_id, detector, n_det, recall, bias_ms from {_scores('run_id, detector')} union all select * from mute)) select detector, unnest(list_filter([case when abs(bias_ms) > 0.02 * {TOL / 1000} then 'bias' end, case when recall < 0.3 then 'recall' end, case when every = 0 then 'silent' end], lambda x: x is not null)) as gate from sc where place = 1")
 def g8_gates(t):
-    """Failed checks; the run number stands for the level."""
+    """Failed checks at the highest level; the run number stands for the level, and one detector never fires."""
     found, _, _ = guarded(t)
-    return S.gates(S.event_scores(found, ["run_id", "detector"]).withColumn("snr", F.col("run_id")), TOL / 1000 / 10).where("gate = 'bias'")
+    mute = t.spans.select("run_id", F.lit("mute").alias("detector"), F.lit(0).cast("long").alias("n_det"), F.lit(0.0).alias("recall"), F.lit(None).cast("double").alias("bias_ms"))
+    scores = S.event_scores(found, ["run_id", "detector"]).select(*mute.columns).unionByName(mute)
+    return S.gates(scores.withColumn("snr", F.col("run_id")), TOL / 1000 / 10, least_recall=0.3)
 
 
-_COV = _G + ", cv as (select chan, run_id, stddev_samp(value) as noise from ev group by all), cr as (select detector, run_id, chan, count(*) as n_true, count(*) filter (where hit) / count(*) as recall from th group by all), pz as (select cr.*, noise from cr join cv using (run_id, chan))"
+def partial_sql(name: str, rows: str, x: str, y: str, z: str, n: str, rho: str) -> str:
+    """CTEs up to `name` (detector, n, rho): the rank correlation of x and y with z held fixed, over a relation."""
+    ranks = ", ".join(f"rank() over (partition by detector order by {c}) + (count(*) over (partition by detector, {c}) - 1) / 2.0 as r{i}" for i, c in enumerate((x, y, z)))
+    return f"{name}_r as (select detector, {ranks} from {rows}), {name}_c as (select detector, count(*) as n, corr(r0, r1) as xy, corr(r0, r2) as xz, corr(r1, r2) as yz from {name}_r group by 1), {name} as (select detector, n as {n}, round((xy - xz * yz) / sqrt(greatest((1 - xz * xz) * (1 - yz * yz), 1e-12)), 6) as {rho} from {name}_c)"
 
 
-@query(_COV + ", rk as (select detector, " + ", ".join(f"rank() over (partition by detector order by {c}) + (count(*) over (partition by detector, {c}) - 1) / 2.0 as r_{c}" for c in ("noise", "recall", "n_true")) + " from pz), c as (select detector, count(*) as n, corr(r_noise, r_recall) as xy, corr(r_noise, r_n_true) as xz, corr(r_recall, r_n_true) as yz from rk group by 1) select detector, n, round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 6) as rho from c")
+_COV = _G + f", cv as (select chan, run_id, stddev_samp(value) as noise from ev group by all), cr as (select detector, run_id, chan, count(*) as n_true, count(*) filter (where hit) as tp from th group by all), pz as (select p.detector, noise, coalesce(n_true, 0) as n_true, tp / n_true as recall, (coalesce(n_det, 0) - coalesce(tp, 0)) / {MINUTES} as fp from pairs p join cv using (run_id, chan) left join cr using (run_id, chan, detector) left join dn using (run_id, chan, detector) where noise is not null)"
+
+
+@query(_COV + ", " + partial_sql("pa", "(select * from pz where n_true > 0)", "noise", "recall", "n_true", "n", "rho") + ", " + partial_sql("pb", "pz", "noise", "fp", "n_true", "n_fp", "rho_fp") + " select pb.detector, n_fp, rho_fp, n, rho from pb left join pa using (detector) where (select max(noise) / greatest(min(noise), 1e-9) from pz) >= 1.2")
 def g9_partial_spearman(t):
-    """Noise against recall with the rate held fixed."""
+    """Noise against recall, and against false positives a minute, with the rate held fixed."""
     found, _, _ = guarded(t)
     noise = t.events.groupBy("run_id", "chan").agg(F.stddev_samp("value").alias("noise"))
-    rows = S.channel_recall(found, t.channels, ["detector"]).where("n_true > 0").join(noise, ["run_id", "chan"])
-    return rnd(S.partial_spearman(rows, "noise", "recall", "n_true", ["detector"]), "rho")
+    rows = S.channel_recall(found, t.channels, ["detector"]).join(noise, ["run_id", "chan"])
+    return rnd(S.noise_report(rows, ["detector"], MINUTES), "rho", "rho_fp")
 
 
 @query(_SW + "select detector, 'value' as param, round(max(recall) - min(recall), 6) as recall_span, round(max(precision) - min(precision), 6) as precision_span, count(*) as n from br group by 1")
@@ -301,14 +310,18 @@ def g21_quartiles(t):
     return rnd(S.quartile_band(own, CURVE, "recall"), "q25", "q75")
 
 
-@query(f", bad as (select run_id, 'event outside' as rule, t_us::varchar as detail from det where t_us >= {25 * DAY} union all select run_id, 'unknown channel', chan::varchar from det where chan % 10 = 3), sg as (select run_id, t0_us, t1_us from ons union all select run_id, {2 * DAY}::bigint, {4 * DAY}::bigint from spans) select * from bad union all select run_id, 'ON and OFF', '{12 * DAY}' from spans union all select run_id, 'segment outside', t0_us::varchar from sg where t1_us > {25 * DAY} union all select run_id, 'segments overlap', '{2 * DAY}' from spans")
+@query(f", bad as (select run_id, 'event outside' as rule, t_us::varchar as detail from det where t_us >= {25 * DAY} union all select run_id, 'unknown channel', chan::varchar from det where chan % 10 = 3 union all select run_id, 'no flag', t_us::varchar from det where chan % 10 = 5), masked as (select distinct run_id, chan from mask), sg as (select run_id, t0_us, t1_us from ons union all select run_id, {2 * DAY}::bigint, {4 * DAY}::bigint from spans) select * from bad union all select run_id, 'ON and OFF', '{12 * DAY}' from spans union all select run_id, 'segment outside', t0_us::varchar from sg where t1_us > {25 * DAY} union all select run_id, 'segments overlap', '{2 * DAY}' from spans union all select run_id, 'clean time is not that of the slices', chan::varchar from masked where chan % 10 in (4, 7) union all select run_id, 'clean time of a condition', '{26 * DAY}' from masked where chan % 10 = 7")
 def g23_violations(t):
     """Invariants over a run that breaks several."""
     runs = t.spans.select("run_id", F.lit(25 * DAY).cast("long").alias("total_us"), F.lit(12 * DAY).cast("long").alias("on_us"), F.lit(18 * DAY).cast("long").alias("off_us"))
     extra = t.spans.select("run_id", F.lit(2 * DAY).cast("long").alias("t0_us"), F.lit(4 * DAY).cast("long").alias("t1_us"))
     known = t.channels.where("chan % 10 <> 3")
-    clean = I.overlap_per_slice(t.mask(), ["run_id", "chan"], DAY).select("run_id", (DAY - F.col("covered_us")).alias("clean_us"))
-    return S.violations(runs, t.detections, t.on.unionByName(extra), clean, known, DAY)
+    slices = I.overlap_per_slice(t.mask(), ["run_id", "chan"], DAY).select("run_id", "chan", (DAY - F.col("covered_us")).alias("clean_us"))
+    more = F.when(F.col("chan") % 10 == 4, 5_000_000).otherwise(0)
+    sums = slices.groupBy("run_id", "chan").agg(F.sum("clean_us").alias("_sum"))
+    clean = sums.select("run_id", "chan", F.when(F.col("chan") % 10 == 7, 26 * DAY).otherwise(0).alias("on_us"), F.least(F.col("_sum") + more, F.lit(25 * DAY)).alias("off_us"))
+    flagged = t.detections.withColumn("is_on", F.when(F.col("chan") % 10 != 5, F.lit(True)))
+    return S.violations(runs, flagged, t.on.unionByName(extra), slices, known, DAY, clean)
 
 
 _CFG = "select run_id, case when run_id = 3 then 'b' else 'a' end as cfg_hash from spans"
@@ -324,9 +337,12 @@ def s5_configurations(t):
 
 @query(_SW + "select detector, 'value' as param, value::double as value, round(budget, 3) as det_per_chan_min, round(recall, 4) as recall, round(precision, 4) as precision_lower_bound, tp, n_true, n_det from br")
 def s6_s8_summary(t):
-    """The summary table of a sweep."""
+    """The summary table of a sweep, written to the shared folder and read back."""
     c = curve(t)
-    return c.select("detector", F.lit("value").alias("param"), F.col("value").cast("double").alias("value"), F.round("budget", 3).alias("det_per_chan_min"), F.round("recall", 4).alias("recall"), F.round("precision", 4).alias("precision_lower_bound"), "tp", "n_true", "n_det")
+    rows = c.select("detector", F.lit("value").alias("param"), F.col("value").cast("double").alias("value"), F.round("budget", 3).alias("det_per_chan_min"), F.round("recall", 4).alias("recall"), F.round("precision", 4).alias("precision_lower_bound"), "tp", "n_true", "n_det")
+    path = scratch(t, "summary")
+    write_summary(rows, path)
+    return t.spark.read.option("header", True).schema(rows.schema).csv(path).select(*rows.columns)
 
 
 @query(_SW + "select s.run_id as subject, pt.detector, pt.value from spans s, pt where not exists (select 1 from det d where d.run_id = s.run_id and d.detector = pt.detector and d.value >= pt.value and d.value < pt.value + 0.2)")

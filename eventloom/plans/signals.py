@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from eventloom.functions import dsp
 from eventloom.operators import rates as R
 from eventloom.operators import signals as G
-from eventloom.plans.fixtures import BASE, DAY, DETECTORS, EPOCH, HOUR, MERGE, Tables
+from eventloom.plans.fixtures import BASE, DAY, DETECTORS, EPOCH, HOUR, MERGE, Tables, scratch
+from eventloom.plans.rates import BOTH, both
 from eventloom.streaming import jobs
 
 QUERIES, ORACLES = {}, {}
@@ -57,17 +55,18 @@ def d4_background(t):
     return _background(t).groupBy("rec_id", "chan").agg(F.count("*").alias("n"), *(F.round(F.avg(c), 5).alias(c) for c in cols))
 
 
-_CROSS = _BACK + ", ab as (select *, case when hour - lag(hour) over (partition by rec_id, chan order by hour) <= 3 then 0 else 1 end as new from tt where v > threshold), ru as (select *, sum(new) over (partition by rec_id, chan order by hour rows unbounded preceding) as run from ab), cr as (select rec_id, chan, min(hour) as start, max(hour) as stop, arg_max(hour, (v, -hour)) as peak_at, max(v) as peak from ru group by rec_id, chan, run)"
+_CROSS = _BACK + ", ab as (select *, case when hour - lag(hour) over (partition by rec_id, chan order by hour) <= 3 then 0 else 1 end as new from tt where v > threshold), ru as (select *, sum(new) over (partition by rec_id, chan order by hour rows unbounded preceding) as run from ab), cr as (select rec_id, chan, min(hour) as start, max(hour) as stop, arg_max(hour, (v, -hour)) as peak_at, max(v) as peak, arg_max(v - mode - median, (v, -hour)) as height from ru group by rec_id, chan, run)"
 
 
 def _crossings(t):
-    return G.crossings(_background(t), ["rec_id", "chan"], "hour", "v", "threshold", 3)
+    above = _background(t).withColumn("height", F.col("v") - F.col("mode") - F.col("median"))
+    return G.crossings(above, ["rec_id", "chan"], "hour", "v", "threshold", 3, ("height",))
 
 
 @query(_CROSS + " select rec_id, chan, start, stop, peak_at, round(peak, 5) as peak from cr")
 def d5_crossings(t):
     """Runs above the threshold with their peaks."""
-    return _crossings(t).withColumn("peak", F.round("peak", 5))
+    return _crossings(t).withColumn("peak", F.round("peak", 5)).drop("height")
 
 
 _TIERS = _CROSS + f", ob as (select rec_id, chan, (peak_at * {HOUR})::bigint as t_us from cr where peak > 150), lw as (select rec_id, chan, (peak_at * {HOUR})::bigint as t_us from cr where peak <= 150)"
@@ -80,11 +79,12 @@ def d6_ambiguous(t):
     return G.with_ambiguous(marks.where("peak > 150"), marks, ["rec_id"], 2 * HOUR)
 
 
-@query(_CROSS + f", nw as (select rec_id, chan, (peak_at * {HOUR})::bigint as t_us, peak, case when peak_at - lag(peak_at) over (partition by rec_id order by peak_at, chan) <= 2 then 0 else 1 end as new from cr), en as (select *, sum(new) over (partition by rec_id order by t_us, chan rows unbounded preceding) as event from nw), ee as (select rec_id, event, min(t_us) as t0_us, max(t_us) + {2 * HOUR} as t1_us from en group by all) select en.rec_id, t0_us, t1_us, chan, count(*) as marks, max(t_us) as last_us, round(max(peak), 5) as value from en join ee using (rec_id, event) group by all")
+@query(_CROSS + f", nw as (select rec_id, chan, (peak_at * {HOUR})::bigint as t_us, peak, height, case when peak > 150 then 1.0 else 0.5 end as con, case when peak_at - lag(peak_at) over (partition by rec_id order by peak_at, chan) <= 2 then 0 else 1 end as new from cr), en as (select *, sum(new) over (partition by rec_id order by t_us, chan rows unbounded preceding) as event from nw), ee as (select rec_id, event, min(t_us) as t0_us, max(t_us) + {2 * HOUR} as t1_us from en group by all) select en.rec_id, t0_us, t1_us, t1_us - t0_us as duration_us, chan, count(*) as marks, max(t_us) + {2 * HOUR} as last_us, max(con)::double as con, round(max(peak), 5) as value, round(max(height), 5) as height from en join ee using (rec_id, event) group by all")
 def d7_discharges(t):
-    """Marks of all channels united to events."""
-    marks = _crossings(t).select("rec_id", "chan", (F.col("peak_at") * HOUR).alias("t_us"), F.col("peak").alias("value"), F.lit(1.0).alias("weight"))
-    return G.discharges(marks, 2 * HOUR).select("rec_id", "t0_us", "t1_us", "chan", "marks", "last_us", F.round("value", 5).alias("value"))
+    """Marks of all channels united to events: confidence, last activity, duration and height over the background."""
+    con = F.when(F.col("peak") > 150, 1.0).otherwise(0.5)
+    marks = _crossings(t).select("rec_id", "chan", (F.col("peak_at") * HOUR).alias("t_us"), con.alias("con"), F.round("peak", 5).alias("value"), F.round("height", 5).alias("height"))
+    return G.discharges(marks, 2 * HOUR)
 
 
 def _power_sql() -> str:
@@ -137,29 +137,79 @@ def d12_bipolar(t):
     return G.bipolar(blocks(t), contacts).select("rec_id", "shaft", "name", "block", F.round(total, 3).alias("total"))
 
 
-@query(_HOURLY + f", pw as (select rec_id, chan, log2((sum(v * v) filter (where hour // 24 % 5 in (1, 2)) / 288) / (sum(v * v) filter (where hour // 24 % 5 not in (1, 2)) / 432)) as power from hr group by all), er as (select run_id as rec_id, chan, (count(*) filter (where t_us // {DAY} % 5 in (1, 2)) / 12.0) / nullif(count(*) filter (where t_us // {DAY} % 5 not in (1, 2)) / 18.0, 0) as ratio from det group by all), j as (select * from pw join er using (rec_id, chan) where power is not null and ratio is not null), r as (select rec_id, rank() over (partition by rec_id order by power) + (count(*) over (partition by rec_id, power) - 1) / 2.0 as a, rank() over (partition by rec_id order by ratio) + (count(*) over (partition by rec_id, ratio) - 1) / 2.0 as b from j) select rec_id, count(*) as n, round(corr(a, b), 6) as rho from r group by 1")
+#: Bands of a day's spectrum in cycles a day: the one looked at, those beside it, and a broad one.
+_BAND, _BESIDE, _BROAD = (3.5, 4.5), [(1.5, 3.5), (4.5, 7.5)], (0.5, 11.5)
+
+
+def _day_part(f: str) -> str:
+    return f"list_sum(list_transform(range(24), lambda i: (x[i + 1] - mu) * (0.5 - 0.5 * cos(2 * pi() * i / 24)) * {f}(2 * pi() * k * i / 24)))"
+
+
+_CONTAM = _HOURLY + f""", dl as (select rec_id, chan, hour // 24 as day, list(v::float::double order by hour) as x from hr group by all), dm as (select *, list_avg(x) as mu from dl), dk as (select unnest(range(13)) as k),
+df as (select rec_id, chan, day % 5 in (1, 2) as is_on, k, {_day_part('cos')} as re, {_day_part('sin')} as im from dm, dk), dp as (select rec_id, chan, is_on, k, avg((re * re + im * im) * case when k in (0, 12) then 1 else 2 end) as p from df group by all),
+db as (select rec_id, chan, is_on, avg(p) filter (where k = 4) as band, avg(p) filter (where k in (2, 3)) as r0, avg(p) filter (where k in (5, 6, 7)) as r1, avg(p) filter (where k between 1 and 11) as broad from dp group by all),
+dr as (select *, band / nullif((r0 + r1) / 2, 0) as rel from db), ds as (select rec_id, chan, max(rel) filter (where is_on) as rel1, max(rel) filter (where not is_on) as rel0, max(broad) filter (where is_on) as b1, max(broad) filter (where not is_on) as b0 from dr group by all),
+co as (select rec_id, chan, round(case when rel1 > 0 and rel0 > 0 then log2(rel1 / rel0) end, 7) as contam, round(case when b1 > 0 and b0 > 0 then log2(b1 / b0) end, 7) as broad from ds)"""
+
+
+def _contamination(t):
+    """(rec_id, chan, contam, broad) between ON and OFF days."""
+    days = blocks(t).withColumn("is_on", (F.col("block") % 5).isin(1, 2))
+    spectrum = G.spectra(days, ["rec_id", "chan", "block", "is_on"], FS, 24)
+    hz = lambda band: tuple(x * FS / 24 for x in band)
+    found = G.contamination(spectrum, ["rec_id", "chan"], hz(_BAND), [hz(b) for b in _BESIDE], hz(_BROAD))
+    return found.withColumn("contam", F.round("contam", 7)).withColumn("broad", F.round("broad", 7))
+
+
+@query(_CONTAM + " select rec_id, chan, round(contam, 5) as contam, round(broad, 5) as broad from co")
+def d9_relative_band(t):
+    """How much more of a band channels have on ON days, relative to the bands beside it, and over a broad band."""
+    return _contamination(t).select("rec_id", "chan", F.round("contam", 5).alias("contam"), F.round("broad", 5).alias("broad"))
+
+
+_RHO = "(select rec_id, detector, count(*) as n, round(corr(a, b), 6) as rho from (select *, rank() over (partition by rec_id, detector order by {x}) + (count(*) over (partition by rec_id, detector, {x}) - 1) / 2.0 as a, rank() over (partition by rec_id, detector order by ratio) + (count(*) over (partition by rec_id, detector, ratio) - 1) / 2.0 as b from j where {x} is not null) group by all)"
+
+
+@query(BOTH + _CONTAM + ", j as (select bo.run_id as rec_id, bo.detector, bo.chan, round(on_rate / nullif(off_rate, 0), 9) as ratio, contam, broad from bo join co on co.rec_id = bo.run_id and co.chan = bo.chan where off_rate > 0) select rec_id, detector, a.n, a.rho, b.n as n_broad, b.rho as rho_broad from " + _RHO.format(x="contam") + " a full join " + _RHO.format(x="broad") + " b using (rec_id, detector)")
 def a13_contamination(t):
-    """Whether channels with more power while ON also have more events."""
-    on = (F.floor(F.col("hour") / 24) % 5).isin(1, 2)
-    square = lambda c, n: F.sum(F.when(c, F.col("v") * F.col("v"))) / n
-    power = hourly(t).groupBy("rec_id", "chan").agg(F.try_divide(square(on, 288), square(~on, 432)).alias("p")).select("rec_id", "chan", F.when(F.col("p") > 0, F.log2("p")).alias("power"))
-    is_on = (F.floor(F.col("t_us") / DAY) % 5).isin(1, 2)
-    counts = t.detections.groupBy(F.col("run_id").alias("rec_id"), "chan").agg((F.sum(is_on.cast("long")) / 12.0).alias("a"), (F.sum((~is_on).cast("long")) / 18.0).alias("b"))
-    ratio = counts.select("rec_id", "chan", (F.col("a") / F.when(F.col("b") > 0, F.col("b"))).alias("ratio"))
-    return R.spearman(power.join(ratio, ["rec_id", "chan"]), "power", "ratio", ["rec_id"]).withColumn("rho", F.round("rho", 6))
+    """Whether channels with more power in the band while ON also have more events, by detector, over channels measured in both conditions."""
+    return _correlations(t).drop("p")
+
+
+def _correlations(t):
+    ratio = both(t).where("off_rate > 0").select(F.col("run_id").alias("rec_id"), "chan", "detector", F.round(F.col("on_rate") / F.col("off_rate"), 9).alias("ratio"))
+    rows, by = ratio.join(_contamination(t), ["rec_id", "chan"]), ["rec_id", "detector"]
+    broad = R.spearman(rows, "broad", "ratio", by).select(*by, F.col("n").alias("n_broad"), F.round("rho", 6).alias("rho_broad"))
+    return R.with_correlation_p(R.spearman(rows, "contam", "ratio", by)).withColumn("rho", F.round("rho", 6)).join(broad, by, "full")
+
+
+@query()
+def a13_contamination_p(t):
+    """The same with the p-value of the band's correlation."""
+    return _correlations(t).select("rec_id", "detector", "n", "rho", F.round("p", 9).alias("p"))
+
+
+#: The detector's settings for hourly samples: ten-day buffers with three days of halo.
+ENVELOPE = dict(low=FS / 48, high=FS / 6, window=120, step=24, k1=1.5, k3=0.0, join=3)
+#: A band-pass between half a day and four hours, then half the rate.
+PASS = (FS / 12, FS / 4)
+
+
+def filtered(x, fs):
+    """A channel without single spikes, band-passed, and at half the rate."""
+    return dsp.decimate(dsp.zero_phase(dsp.median_filter(x, 3), fs, dsp.band_pass(*PASS, fs)), 2), fs / 2
 
 
 @query()
 def d1_envelope(t):
     """The envelope detector over ten-day buffers with three days of halo."""
-    return G.run_detector(blocks(t), "envelope", 10, 3, low=FS / 48, high=FS / 6, window=120, step=24, k1=1.5, k3=0.0, join=3)
+    return G.run_detector(blocks(t), "envelope", 10, 3, **ENVELOPE)
 
 
 @query()
 def d2_d3_filtered(t):
-    """A band-passed, then decimated copy of every block."""
-    band = dsp.band_pass(FS / 12, FS / 4, FS)
-    return G.per_block(blocks(t), lambda x, fs: (dsp.decimate(dsp.zero_phase(dsp.median_filter(x, 3), fs, band), 2), fs / 2)).select("rec_id", "chan", "block", "fs", "samples")
+    """A filtered, then decimated copy of every channel, over ten-day buffers with ten days of halo."""
+    return G.per_channel(blocks(t), filtered, 10, 10).select("rec_id", "chan", "block", "fs", "samples")
 
 
 @query()
@@ -168,6 +218,12 @@ def d8_rhythm_mask(t):
     return G.rhythm_mask(blocks(t), 120, FS / 48, FS / 12)
 
 
+@query()
+def d8_suppressed(t):
+    """The envelope detector's marks outside these windows."""
+    return G.without_rhythm(d1_envelope(t), d8_rhythm_mask(t), 5 * DAY)
+
+
 def _stream(t):
     """The detections as a stream that reads what is there."""
     schema = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").schema
@@ -178,9 +234,7 @@ def _stream(t):
 
 def _ran(t, df, mode="complete"):
     """A stream's result over what is there. Windows still open at the end of the input come out by complete mode, so the stream equals the batch."""
-    name = "live_" + uuid.uuid4().hex
-    base = t.spark.sparkContext.getCheckpointDir() or t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    return jobs.run_once(df, name, f"{base}/{name}", mode)
+    return jobs.run_once(df, scratch(t, "live"), mode)
 
 
 @query(f" select run_id, floor(t_us / {DAY})::bigint as day, count(*) as n from raw group by all")

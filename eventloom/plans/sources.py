@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
-from eventloom.plans.fixtures import BASE, Tables
+from eventloom.plans.fixtures import BASE, Tables, scratch
 from eventloom.sources import runs as S
 
 QUERIES, ORACLES = {}, {}
@@ -25,12 +22,6 @@ def query(sql: str | None = None):
     return register
 
 
-def scratch(t, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    base = t.spark.sparkContext.getCheckpointDir() or t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-sources-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 @query(" select run_id, detector, count(*) as n, sum(t_us)::bigint as sum_t from det where run_id <> 2 group by all union all select run_id, detector, count(*), sum(t_us)::bigint from det where run_id = 2 and detector = 'click' group by all")
 def s1_s2_runs(t):
     """Runs stored by partition; a second write replaces one run and leaves the others."""
@@ -46,8 +37,8 @@ def s3_expert_tables(t):
     chans = F.when(F.col("chan") % 3 == 0, F.concat(F.lit("A_"), "chan")).otherwise(F.concat(F.lit("A_"), "chan", F.lit("  A_x")))
     marks = t.truth.select(F.col("run_id").cast("string").alias("subject"), (F.col("t_us") / 1e6).cast("decimal(20,6)").cast("string").alias("time_in_sec"), F.lit("mark").alias("annotation"), chans.alias("chans"))
     path = scratch(t, "marks")
-    marks.write.partitionBy("subject").option("sep", "\t").option("header", True).csv(path)
-    rows = t.spark.read.option("sep", "\t").option("header", True).csv(path).withColumn("subject", F.col("subject").cast("string"))
+    marks.withColumn("folder", F.concat(F.lit("sub-"), "subject")).drop("subject").write.partitionBy("folder").option("sep", "\t").option("header", True).csv(path)
+    rows = S.read_tsv(t.spark, path)
     whole = S.complete_subjects(t.spans.where("run_id <> 4").select(F.col("run_id").cast("string").alias("subject")), rows)
     found = S.expert_marks(rows.join(whole, "subject", "left_semi"))
     return found.groupBy("subject").agg(F.count("*").alias("n"), F.sum("t_us").alias("sum_t"), F.sum(F.size("chans")).alias("contacts"))

@@ -183,14 +183,20 @@ def x14_population(t):
 _SHAFT = "chr((65 + chan % 7)::int) as shaft"
 
 
-@query(_CAND + f", r as (select *, {_SHAFT}, case when gap_us < {6 * HOUR} then 0 else 1 end as band from cand where most <= 8), o as (select *, least(row_number() over (partition by band, shaft order by spread desc, gap_us, run_id, chan, t_us), 2) as s, least(row_number() over (partition by band, chan order by spread desc, gap_us, run_id, chan, t_us), 2) as c from r), u as (select *, row_number() over (partition by band order by s, c, spread desc, gap_us, run_id, chan, t_us) as turn from o) select band, turn, run_id, chan, t_us, gap_us, shaft from u where turn <= 10")
+def diverse_sql(name: str, rows: str, by: str, order: str, n: str) -> str:
+    """CTEs up to `name`: the first n rows a group, no channel twice, new shafts first."""
+    return f"{name}_c as (select *, row_number() over (partition by {by}, run_id, chan order by {order}) as c from {rows}), {name}_s as (select *, least(row_number() over (partition by {by}, shaft order by {order}), 2) as s from {name}_c where c = 1), {name} as (select * from (select *, row_number() over (partition by {by} order by s, {order}) as turn from {name}_s) where turn <= {n})"
+
+
+@query(_CAND + f", r as (select *, {_SHAFT}, case when gap_us < {6 * HOUR} then 0 else 1 end as band from cand where most <= 8), " + diverse_sql("ap", "r", "band", "spread desc, gap_us, run_id, chan, t_us", "5") + ", md as (select band, median(most) as middle from r group by 1), tk as (select band, count(*) as taken from ap group by 1), ot as (select r.*, abs(most - middle) as far, taken from r join md using (band) join tk using (band) where not exists (select 1 from ap where ap.band = r.band and ap.run_id = r.run_id and ap.chan = r.chan)), " + diverse_sql("ty", "ot", "band", "far, spread, gap_us, run_id, chan, t_us", "10 - taken") + " select band, turn, false as typical, run_id, chan, t_us, gap_us, shaft from ap union all select band, turn + taken, true, run_id, chan, t_us, gap_us, shaft from ty")
 def w7_pick(t):
-    """Candidates for review: new shafts first, then new channels."""
+    """Candidates for review: half where detectors disagree most, half nearest the band's median count; new shafts first, no channel twice."""
     rows = candidates(t).where("most <= 8").withColumn("shaft", F.chr(65 + F.col("chan") % 7)).withColumn("band", F.when(F.col("gap_us") < 6 * HOUR, 0).otherwise(1))
-    return S.diverse(rows, ["band"], [F.desc("spread"), F.col("gap_us"), F.col("run_id"), F.col("chan"), F.col("t_us")], 10).select("band", "turn", "run_id", "chan", "t_us", "gap_us", "shaft")
+    ties = ["gap_us", "run_id", "chan", "t_us"]
+    return S.review_pick(rows, ["band"], ties, 10).select("band", "turn", "typical", "run_id", "chan", "t_us", "gap_us", "shaft")
 
 
-@query(f", d as (select run_id, chan, t_us, {_SHAFT}, exists (select 1 from det o where o.chan = v.chan and o.detector = 'click' and abs(o.t_us - v.t_us) <= {6 * HOUR}) as near from det v where detector = 'view'), o as (select *, least(row_number() over (partition by near, shaft order by t_us, run_id, chan), 2) as s, least(row_number() over (partition by near, chan order by t_us, run_id, chan), 2) as c from d), u as (select *, row_number() over (partition by near order by s, c, t_us, run_id, chan) as turn from o) select near, turn, run_id, chan, t_us from u where turn <= 12")
+@query(f", d as (select run_id, chan, t_us, {_SHAFT}, exists (select 1 from det o where o.chan = v.chan and o.detector = 'click' and abs(o.t_us - v.t_us) <= {6 * HOUR}) as near from det v where detector = 'view'), " + diverse_sql("u", "d", "near", "t_us, run_id, chan", "12") + " select near, turn, run_id, chan, t_us from u")
 def w8_pick_in_time(t):
     """Events for review in time order, split by corroboration."""
     from eventloom.operators.matching import near_any

@@ -24,8 +24,19 @@ def without_overlap(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["run_id", "detector", "chan", "idx"])
 
 
-def run_once(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there, into a table of the session; for bounded input and tests."""
-    query = df.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+def run_once(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there, into parquet files under a path that all executors share; for bounded input and tests.
+
+    Each batch is a folder of its own, written anew if it is run again. In complete mode the last batch holds the result.
+    """
+    last = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        last[:] = [number]
+
+    query = df.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    if not last:
+        return df.sparkSession.createDataFrame([], df.schema)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows/batch={last[0]}" if mode == "complete" else f"{path}/rows").select(*df.columns)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.functions import columns as C
-from eventloom.functions import tests as T
+from eventloom.functions import pvalues as T
 from eventloom.operators import intervals as I
 from eventloom.operators import matching as M
 from eventloom.operators import postprocess as P
@@ -63,20 +63,21 @@ def events(spark, times):
     return spark.createDataFrame([(1, int(t * S_US)) for t in times], "run_id int, t_us long")
 
 
-def test_intervals_stay_inside_segments(spark):
-    s = segs(spark, [(0, 10), (30, 40)])
-    isi = lambda times: sorted(r[0] / S_US for r in I.isis(events(spark, times), s, ["run_id"], 10 * S_US).where("isi_us is not null").select("isi_us").collect())
-    assert isi([1, 3, 9, 31, 35]) == [2, 4, 6]
-    assert isi([5, 20, 35]) == []
-    assert isi([9, 10]) == [] and isi([30, 32]) == [2]
-
-
-def test_bins_and_counts(spark):
-    s = segs(spark, [(0, 25), (30, 40)])
-    assert sorted(r[0] // S_US for r in I.bins(s, 10 * S_US).select("t0_us").collect()) == [0, 10, 30]
-    s = segs(spark, [(0, 10), (30, 40)])
-    counts = I.filled(I.bin_counts(events(spark, [1, 2, 20, 31]), s, ["run_id"], 10 * S_US, 10 * S_US), events(spark, [1]), s, ["run_id"], 10 * S_US)
-    assert [r[0] for r in counts.orderBy("seg", "bin").select("n").collect()] == [2, 1]
+def test_intervals_and_bins_equal_a_plain_count(spark):
+    rnd = random.Random(12)
+    for _ in range(4):
+        edges = sorted(rnd.sample(range(0, 300), 6))
+        runs = list(zip(edges[::2], edges[1::2]))
+        times = sorted({*(rnd.randint(0, 320) for _ in range(40)), runs[0][0], runs[1][1]})
+        s, e = segs(spark, runs), events(spark, times)
+        inside = [[t for t in times if a <= t < z] for a, z in runs]
+        isi = sorted(r[0] // S_US for r in I.isis(e, s, ["run_id"], 50 * S_US).where("isi_us is not null").select("isi_us").collect())
+        assert isi == sorted(y - x for part in inside for x, y in zip(part, part[1:]))
+        width = rnd.choice([7, 12])
+        starts = [(k, i, a + i * width) for k, (a, z) in enumerate(runs) for i in range((z - a) // width)]
+        assert sorted((r.seg, r.bin, r.t0_us // S_US) for r in I.bins(s, width * S_US).collect()) == starts
+        counts = I.filled(I.bin_counts(e, s, ["run_id"], width * S_US, 50 * S_US), e.limit(1), s, ["run_id"], width * S_US)
+        assert sorted((r.seg, r.bin, r.n) for r in counts.collect()) == [(k, i, sum(t <= x < t + width for x in times)) for k, i, t in starts]
 
 
 def test_complement_and_union(spark):
@@ -90,10 +91,10 @@ def test_complement_and_union(spark):
 
 def test_conditions_partition_the_recording(spark):
     spans = spark.createDataFrame([(1, 100 * S_US)], "run_id int, total_us long")
-    on = segs(spark, [(0, 10), (30, 40)]).drop("seg")
+    on = segs(spark, [(4, 11), (52, 65)]).drop("seg")
     total = lambda label, until=None: I.select_condition(on, spans, label, until).agg(F.sum(F.col("t1_us") - F.col("t0_us"))).first()[0]
     assert total("on") == 20 * S_US and total("off") == 80 * S_US and total("all") == 100 * S_US
-    assert total("on", 35 * S_US) == 15 * S_US
+    assert total("on", 60 * S_US) == 15 * S_US
     with pytest.raises(ValueError):
         I.select_condition(on, spans, "other")
 
@@ -121,9 +122,9 @@ def test_markers_become_samples(spark):
 
 
 def test_rates_need_a_fifth_of_the_time(spark):
-    df = spark.createDataFrame([(60, 600.0), (8, 3.88), (6, 60.0), (21, 120.0)], "n long, clean double")
-    got = [r[0] for r in df.select(C.measured_rate(F.col("n"), F.col("clean"), F.lit(600.0))).collect()]
-    assert got == [0.1, None, None, 0.175]
+    df = spark.createDataFrame([(30, 500.0), (9, 2.5), (6, 99.0), (25, 100.0), (4, 0.0)], "n long, clean double")
+    got = [r[0] for r in df.select(C.measured_rate(F.col("n"), F.col("clean"), F.lit(500.0))).collect()]
+    assert got == [0.06, None, None, 0.25, None]
 
 
 def test_wilson(spark):
@@ -213,6 +214,12 @@ def test_invariants_fire_one_by_one(spark):
     assert rules(segments=segs(spark, [(10, 10)]).drop("seg")) == {"empty segment"}
     assert rules(segments=segs(spark, [(90, 101)]).drop("seg")) == {"segment outside"}
     assert rules(segments=segs(spark, [(10, 25), (20, 30)]).drop("seg")) == {"segments overlap"}
+    assert rules(detections=det.withColumn("is_on", F.lit(True))) == set() and rules(detections=det.withColumn("is_on", F.lit(None).cast("boolean"))) == {"no flag"}
+    slices = spark.createDataFrame([(1, 0, S_US), (1, 0, S_US // 2)], "run_id int, chan int, clean_us long")
+    split = lambda on, off: spark.createDataFrame([(1, 0, on, off)], "run_id int, chan int, on_us long, off_us long")
+    assert rules(clean_per_slice=slices, clean=split(S_US, S_US)) == set()
+    assert rules(clean_per_slice=slices, clean=split(2 * S_US, S_US)) == {"clean time is not that of the slices"}
+    assert rules(clean_per_slice=slices, clean=split(102 * S_US, 0)) == {"clean time of a condition", "clean time is not that of the slices"}
 
 
 def test_fano_without_grids(spark):

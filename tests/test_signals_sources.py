@@ -124,9 +124,9 @@ def test_live_jobs_equal_batch(spark, tmp_path):
     rows = [(1, "d", 1, k, t0 + dt.timedelta(seconds=s)) for k, s in enumerate((0, 5, 14, 24, 60))]
     spark.createDataFrame(rows + rows[:1], "run_id int, detector string, chan int, idx long, ts timestamp").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("run_id int, detector string, chan int, idx long, ts timestamp").parquet(str(tmp_path / "in"))
-    once = jobs.run_once(jobs.without_overlap(stream), "live_a", str(tmp_path / "a"))
+    once = jobs.run_once(jobs.without_overlap(stream), str(tmp_path / "a"))
     assert once.count() == 5
-    merged = jobs.run_once(jobs.merged_marks(stream, 10_000_000), "live_b", str(tmp_path / "b"), "complete").orderBy("ts").collect()
+    merged = jobs.run_once(jobs.merged_marks(stream, 10_000_000), str(tmp_path / "b"), "complete").orderBy("ts").collect()
     assert [(r.ts - t0).seconds for r in merged] == [0, 24, 60]
-    rate = jobs.run_once(jobs.population_rate(stream, "30 seconds"), "live_c", str(tmp_path / "c"), "complete").agg(F.sum("n")).first()[0]
+    rate = jobs.run_once(jobs.population_rate(stream, "30 seconds"), str(tmp_path / "c"), "complete").agg(F.sum("n")).first()[0]
     assert rate == 6
