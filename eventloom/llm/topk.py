@@ -176,8 +176,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec
     Candidates are all rows of the same length but the query's own (rows of its id); ties go to the smaller vec_id; fewer
     rows give fewer results. Queries and data are placed by one tree, whose top the driver builds on a bounded sample:
     leaves of it make cells of data and blocks of queries of bounded size (more rows than that are parted by a hash, so
-    a vector that a third of the rows repeat fills no cell). Each block first meets one part of its own cells, which
-    gives every query a kth score; then a block is sent only to those cells whose balls allow as much as its worst kth
+    a vector that a third of the rows repeat fills no cell). Each query first meets one part of its own cell, which
+    gives it a kth score; then a block is sent only to those cells whose balls allow as much as its worst kth
     score. In a task, cover trees on both sides are searched together. k rows a query and cell are merged at the end.
 
     Rows of one vec_id are one query: the best of all their pairs count; equal query rows count once. Components from
@@ -208,14 +208,14 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec
 
     parted = lambda df, of, parts: df.withColumn("unit", F.element_at(F.lit(of), F.when(F.col("leaf") < 0, len(of)).otherwise(F.col("leaf") + 1))).withColumn("part", F.pmod(F.xxhash64("vec_id", "vector"), F.element_at(F.lit(parts), F.col("unit") + 1)).cast("int"))
     data = parted(placed, cell_of, cell_parts).select(*(F.col(c).alias(c) for c in ("vec_id", "vector", "dim")), F.col("unit").alias("cell"), F.col("part").alias("cell_part"))
-    queries = parted(placed.where(asked), block_of, block_parts).select("vec_id", "vector", "dim", F.col("unit").alias("block"), F.col("part").alias("block_part")).dropDuplicates()
+    queries = parted(placed.where(asked), block_of, block_parts).select("vec_id", "vector", "dim", F.col("unit").alias("block"), F.col("part").alias("block_part"), F.element_at(F.lit(cell_of), F.when(F.col("leaf") < 0, len(cell_of)).otherwise(F.col("leaf") + 1)).alias("own")).dropDuplicates()
 
     def near(queries: DataFrame, meets: list[tuple[int, int, int]]) -> DataFrame:
-        """(block, query_id, vec_id, score) of the k best pairs of each query in each of its cells; meets has (block, cell, parts of the cell that count)."""
+        """(block, query_id, vec_id, score) of the k best pairs of each query in each of its cells; meets has (block, cell, parts of the cell that count). A query with `own` only meets that cell."""
         table = lambda: F.broadcast(spark.createDataFrame(meets, "block int, cell int, parts int"))
         parts = F.element_at(F.lit(block_parts), F.col("block") + 1)
         right = data.join(table(), "cell").where("cell_part < parts").withColumn("block_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-        left = queries.join(table(), "block").withColumn("cell_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        left = queries.join(table(), "block").where("own is null or own = cell").withColumn("cell_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
         def pair(asking: pd.DataFrame, cell: pd.DataFrame) -> pd.DataFrame:
             if not len(asking) or not len(cell):
@@ -244,10 +244,10 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec
         # a query of several rows may owe its kth score to another row: only queries of one row keep theirs
         single = queries.groupBy("vec_id").agg(F.count("*").alias("_n")).where("_n = 1").select(F.col("vec_id").alias("query_id"))
         kth = kth.join(single, "query_id", "left_semi").withColumnRenamed("query_id", "vec_id")
-        queries = queries.join(kth, ["vec_id", "block"], "left").fillna({"known": float("-inf")})
+        queries = queries.drop("own").join(kth, ["vec_id", "block"], "left").fillna({"known": float("-inf")}).withColumn("own", F.lit(None).cast("int"))
         worst = {r["block"]: r["worst"] for r in queries.groupBy("block").agg(F.min("known").alias("worst")).collect()}
     else:
-        queries = queries.withColumn("known", F.lit(float("-inf")))
+        queries = queries.withColumn("known", F.lit(float("-inf"))).withColumn("own", F.lit(None).cast("int"))
     odd_meets = [(b, last_cell, cell_parts[last_cell]) for b in range(last_block)] + [(last_block, c, cell_parts[c]) for c in range(last_cell + 1)]
     meets = odd_meets if odd or not centres else []
     for dim in first:
