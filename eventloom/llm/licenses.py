@@ -43,7 +43,8 @@ def vectors(templates: DataFrame, held: DataFrame, rows: float) -> DataFrame:
     seen = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + F.lit(rows) / (1 + F.coalesce("df", F.lit(0))))
     weighed = listed.join(seen, "term", "left").withColumn("idf", idf).withColumn("w", F.col("n") * F.col("idf"))
-    return weighed.withColumn("share", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("no")))).select("no", "license", "term", "idf", "share")
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("no")))
+    return weighed.withColumn("share", F.try_divide("w", norm)).select("no", "license", "term", "idf", "share")
 
 
 def prefix(known: DataFrame, least: float) -> DataFrame:
@@ -126,7 +127,7 @@ un as (select row, unnest(every) as passage, generate_subscripts(every, 1) as k
 ct as (select row, k, term, count(*) as n from (select row, k, unnest({found('passage')}) as term from un) group by all),
 cw as (select row, k, ct.term, n * coalesce(idf, ln(1 + total)) as w from ct cross join tn left join (select distinct term, idf from tv) using (term)),
 ln_ as (select row, k, sqrt(sum(w * w)) as length from cw group by all),
-sc as (select row, k, no, license, sum(w * share) as dot from cw join tv using (term) group by all),
+sc as (select row, k, no, license, sum(cw.w * share) as dot from cw join tv using (term) group by all),
 bs as (select row, k, license, round(dot / length, 6) as cosine from sc join ln_ using (row, k) where round(dot / length, 6) >= {least}),
 ow as (select row, arg_max(license, (cosine, license)) as license, max(cosine) as cosine, bool_or(k = 1) as whole from bs group by 1),
 pl as (select f.row, doc_id, path, regexp_extract(path, '^((?s).*)/[^/]*$', 1) as directory, regexp_matches(lower(regexp_extract(path, '([^/]*)$', 1)), '{FILE_NAME}') as named, license, cosine, whole from f left join ow using (row)),
