@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventloom.plans.fixtures import BASE, Tables, scratch
+from eventloom.plans.fixtures import BASE, DAY, HOUR, Tables, scratch
+from eventloom.sources import edf
 from eventloom.sources import runs as S
 
 QUERIES, ORACLES = {}, {}
@@ -22,13 +23,13 @@ def query(sql: str | None = None):
     return register
 
 
-@query(" select run_id, detector, count(*) as n, sum(t_us)::bigint as sum_t from det where run_id <> 2 group by all union all select run_id, detector, count(*), sum(t_us)::bigint from det where run_id = 2 and detector = 'click' group by all")
+@query(""" select run_id, detector, '{"tol_ms": 50, "version": 1}' as provenance, count(*) as n, sum(t_us)::bigint as sum_t from det where run_id <> 2 group by all union all select run_id, detector, '{"tol_ms": 40, "version": 2}', count(*), sum(t_us)::bigint from det where run_id = 2 and detector = 'click' group by all""")
 def s1_s2_runs(t):
-    """Runs stored by partition; a second write replaces one run and leaves the others."""
+    """Runs stored by partition with their settings; a second write replaces one run and leaves the others."""
     path = scratch(t, "runs")
-    S.write_runs(t.detections, path)
-    S.write_runs(t.detections.where("run_id = 2 and detector = 'click'"), path)
-    return S.read_runs(t.spark, path).groupBy(F.col("run_id").cast("long").alias("run_id"), "detector").agg(F.count("*").alias("n"), F.sum("t_us").alias("sum_t"))
+    S.write_runs(t.detections, path, version=1, tol_ms=50)
+    S.write_runs(t.detections.where("run_id = 2 and detector = 'click'"), path, version=2, tol_ms=40)
+    return S.read_runs(t.spark, path).groupBy(F.col("run_id").cast("long").alias("run_id"), "detector", "provenance").agg(F.count("*").alias("n"), F.sum("t_us").alias("sum_t"))
 
 
 @query(" select run_id::varchar as subject, count(*) as n, sum(t_us)::bigint as sum_t, sum(2 - (chan % 3 = 0)::int)::bigint as contacts from truth where run_id <> 4 group by 1")
@@ -51,3 +52,22 @@ def s4_onset_lists(t):
     lists = t.channels.groupBy(F.col("run_id").cast("string").alias("patient")).agg(F.array_sort(F.collect_list(F.when(F.col("is_ez"), F.col("name")))).alias("EZ"))
     lists.withColumn("EZ", F.when(F.col("patient") != "1", F.col("EZ"))).write.json(path)
     return S.read_onset(t.spark, path, lines=True)
+
+
+@query(f", n as (select chan // 10 as rec, chan, t_us // {DAY} as block, count(*) as n from ev group by all), c as (select distinct chan // 10 as rec, chan from ev), g as (select c.rec, c.chan, b::bigint as block from c, range(30) r(b)) select 'rec' || g.rec as rec_id, 'A_' || g.chan as name, g.block, (g.block * 1000000)::bigint as t0_us, 24.0::double as fs, round(coalesce(n.n, 0) * 0.1, 3) as total from g left join n using (rec, chan, block)")
+def s9_recordings(t):
+    """Hourly counts of ten channels each, stored as recording files of a day a record, and read back through the data source."""
+    counts = t.events.groupBy("chan", F.floor(F.col("t_us") / HOUR).alias("hour")).agg(F.count("*").cast("int").alias("n"))
+    grid = t.channels.select("chan").distinct().withColumn("hour", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(719).cast("long"))))
+    hourly = grid.join(counts, ["chan", "hour"], "left").fillna(0, ["n"])
+    days = hourly.groupBy("chan", F.floor(F.col("hour") / 24).alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("hour", "n"))), lambda x: x["n"]).alias("samples"))
+    records = days.groupBy(F.floor(F.col("chan") / 10).alias("rec"), "block").agg(F.array_sort(F.collect_list(F.struct("chan", "samples"))).alias("chans"))
+    whole = records.groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("block", "chans"))).alias("blocks"))
+    names = F.transform(F.col("blocks")[0]["chans"], lambda c: F.concat(F.lit("A_"), c["chan"].cast("string")))
+    files = whole.select(F.concat(F.lit("rec"), "rec").alias("rec_id"), names.alias("names"), F.transform("blocks", lambda b: F.transform(b["chans"], lambda c: c["samples"])).alias("records"))
+    path = scratch(t, "recordings")
+    edf.write_files(files, path, 24).write.format("noop").mode("overwrite").save()
+    t.spark.dataSource.register(edf.Edf)
+    found = t.spark.read.format("edf").option("records", 7).load(path)
+    total = F.aggregate("samples", F.lit(0.0), lambda s, v: s + v.cast("double"))
+    return found.select("rec_id", "name", "block", "t0_us", "fs", F.round(total, 3).alias("total"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import struct
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -27,6 +27,28 @@ def read_header(f) -> dict:
     return header_of(start + f.read(256 * int(start[252:256])))
 
 
+def store_of(path: str) -> tuple:
+    """(file system, path in it) of a path or address, for whatever store the address names."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+def files_of(pattern: str) -> list[str]:
+    """The files that a pattern in the last part of a path names, or one file, or all files of a folder, as paths of its store."""
+    from pyarrow import fs
+
+    store, path = store_of(pattern)
+    if not any(c in path for c in "*?["):
+        found = store.get_file_info(path)
+        if found.type == fs.FileType.File:
+            return [path]
+        path = path.rstrip("/") + "/*"
+    folder, _, names = path.rpartition("/")
+    every = store.get_file_info(fs.FileSelector(folder or "/"))
+    return sorted(f.path for f in every if f.type == fs.FileType.File and fnmatch.fnmatchcase(f.base_name, names))
+
+
 class Records(InputPartition):
     """Some records of one file."""
 
@@ -42,8 +64,9 @@ class EdfReader(DataSourceReader):
 
     def partitions(self):
         out = []
-        for path in sorted(glob.glob(self.pattern)):
-            with open(path, "rb") as f:
+        store = store_of(self.pattern)[0]
+        for path in files_of(self.pattern):
+            with store.open_input_file(path) as f:
                 n = read_header(f)["records"]
             out += [Records(path, k, min(k + self.step, n)) for k in range(0, n, self.step)]
         return out or [Records("", 0, 0)]
@@ -54,7 +77,7 @@ class EdfReader(DataSourceReader):
         if not partition.path:
             return
         name = partition.path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-        with open(partition.path, "rb") as f:
+        with store_of(self.pattern)[0].open_input_file(partition.path) as f:
             head = read_header(f)
             width = 2 * sum(head["samples"])
             f.seek(256 * (1 + len(head["names"])) + partition.first * width)
@@ -68,7 +91,7 @@ class EdfReader(DataSourceReader):
 
 
 class Edf(DataSource):
-    """spark.read.format("edf").option("records", 300).load(pattern): one row a channel and record. Files must lie where all executors see them."""
+    """spark.read.format("edf").option("records", 300).load(pattern): one row a channel and record. Files lie in any store that pyarrow reaches from all executors."""
 
     @classmethod
     def name(cls):
@@ -82,10 +105,28 @@ class Edf(DataSource):
 
 
 def sample_file(names: list[str], records: list[list[list[int]]], fs: int, low: float = -3276.8, high: float = 3276.7) -> bytes:
-    """The bytes of a small file with one-second records, for tests: records[r][chan] are digital samples."""
+    """The bytes of a file with one-second records: records[r][chan] are digital samples."""
     pad = lambda x, n: str(x).ljust(n).encode("latin-1")
     n = len(names)
     head = pad("0", 8) + pad("", 80) + pad("", 80) + pad("01.01.24", 8) + pad("00.00.00", 8) + pad(256 * (1 + n), 8) + pad("", 44) + pad(len(records), 8) + pad(1, 8) + pad(n, 4)
     for values, width in ((names, 16), ([""] * n, 80), (["uV"] * n, 8), ([low] * n, 8), ([high] * n, 8), ([-32768] * n, 8), ([32767] * n, 8), ([""] * n, 80), ([fs] * n, 8), ([""] * n, 32)):
         head += b"".join(pad(v, width) for v in values)
     return head + b"".join(struct.pack(f"<{len(c)}h", *c) for r in records for c in r)
+
+
+def write_files(recordings, path: str, fs: int):
+    """Write recordings (rec_id, names, records) as files <rec_id>.edf under a path, each in the task that holds its row; (rec_id, bytes) comes back."""
+
+    def batches(rows):
+        for b in rows:
+            out = []
+            for rec, names, records in zip(b["rec_id"], b["names"], b["records"]):
+                data = sample_file(list(names), [[list(c) for c in r] for r in records], fs)
+                store, base = store_of(path)
+                store.create_dir(base)
+                with store.open_output_stream(f"{base}/{rec}.edf") as f:
+                    f.write(data)
+                out.append(len(data))
+            yield b[["rec_id"]].assign(bytes=out)
+
+    return recordings.select("rec_id", "names", "records").mapInPandas(batches, f"rec_id {dict(recordings.dtypes)['rec_id']}, bytes long")

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What one array entry of a stored run becomes: its key, place and value as a number or text.
+#: Tasks that write one run at most; what one array entry of a stored run becomes: its key, place and value as a number or text.
+WRITERS = 16
 ENTRY = "run_id string, key string, i long, j long, num double, txt string"
 
 
@@ -20,24 +21,29 @@ def read_runs(spark: SparkSession, path: str, kind: str | None = None) -> DataFr
     return rows if kind is None else rows.where(F.col("run_kind") == kind)
 
 
-def write_runs(rows: DataFrame, path: str) -> None:
-    """Write rows by run_id; runs that the rows hold are replaced, others stay as they are."""
-    rows.repartition("run_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+def write_runs(rows: DataFrame, path: str, **settings) -> None:
+    """Write rows by run_id; runs that the rows hold are replaced, others stay as they are. settings go beside every row as `provenance`.
 
+    Each run is written by up to WRITERS tasks, so a large one does not wait for one of them.
+    """
+    kept = rows.withColumn("provenance", F.lit(provenance(**settings))) if settings else rows
+    dealt = kept.repartition("run_id", F.pmod(F.xxhash64(*rows.columns), F.lit(WRITERS)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
-def entries_of(name: str, data: bytes) -> list[tuple]:
-    """Every entry of every array of one .npz file; only plain numbers, flags and text are read."""
-    out = []
+
+def entries_of(name: str, data: bytes):
+    """(run_id, key, i, j, num, txt) of every entry of every array of one .npz file, as columns array by array; only plain numbers, flags and text are read."""
     with np.load(io.BytesIO(data), allow_pickle=False) as stored:
         for key in stored.files:
-            a = stored[key]
-            flat = np.atleast_1d(a)
-            flat = flat.reshape(len(flat), -1) if flat.ndim != 1 else flat[:, None]
-            for i, row in enumerate(flat):
-                for j, v in enumerate(row):
-                    text = flat.dtype.kind in "US"
-                    out.append((name, key, i, j, None if text or v != v else float(v), (v.decode() if isinstance(v, bytes) else str(v)) if text else None))
-    return out
+            a = np.atleast_1d(stored[key])
+            rows, n = len(a), a.size
+            width = n // rows if rows else 0
+            flat = a.reshape(-1)
+            if flat.dtype.kind in "US":
+                num, txt = pa.nulls(n, pa.float64()), pa.array([v.decode() if isinstance(v, bytes) else str(v) for v in flat], pa.string())
+            else:
+                num, txt = pa.array(flat.astype(np.float64), from_pandas=True), pa.nulls(n, pa.string())
+            yield [pa.array([name] * n, pa.string()), pa.array([key] * n, pa.string()), pa.array(np.repeat(np.arange(rows), width)), pa.array(np.tile(np.arange(width), rows)), num, txt]
 
 
 def read_npz(spark: SparkSession, pattern: str) -> DataFrame:
@@ -46,10 +52,8 @@ def read_npz(spark: SparkSession, pattern: str) -> DataFrame:
     def batches(rows):
         for b in rows:
             for path, data in zip(b.column(0).to_pylist(), b.column(1)):
-                found = entries_of(path.rsplit("/", 1)[-1].removesuffix(".npz"), data.as_py())
-                cols = list(zip(*found)) or [[]] * 6
-                kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["run_id", "key", "i", "j", "num", "txt"])
+                for columns in entries_of(path.rsplit("/", 1)[-1].removesuffix(".npz"), data.as_py()):
+                    yield pa.RecordBatch.from_arrays(columns, ["run_id", "key", "i", "j", "num", "txt"])
 
     return spark.read.format("binaryFile").load(pattern).select("path", "content").mapInArrow(batches, ENTRY)
 
