@@ -40,7 +40,7 @@ def plain_mix(docs):
     own = Counter()
     for i, (_, s) in docs.items():
         own[s] += size[i]
-    key = {i: int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16) for i in docs}
+    key = {i: int(hashlib.md5(f"{i}/{t}".encode()).hexdigest()[:15], 16) for i, (t, _) in docs.items()}
     queue = []
     for s in sources:
         done = 0
