@@ -8,14 +8,15 @@ from collections import Counter
 import pytest
 
 from eventloom.llm import pieces, pii, quality
-from tests.llm.test_deduplication import slow_fingerprint
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
 def smallest_of_groups(docs):
-    prints = {i: slow_fingerprint(t) for i, t in docs.items()}
+    """The smallest id of each group that links of five-word Jaccard 0.8 or more join."""
+    words = {i: (t or "").encode().lower().split() for i, t in docs.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} for i, w in words.items()}
     root = {i: i for i in docs}
 
     def find(i):
@@ -26,7 +27,7 @@ def smallest_of_groups(docs):
     ids = sorted(docs)
     for a in ids:
         for b in ids:
-            if a < b and bin(prints[a] ^ prints[b]).count("1") <= 3:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {i for i in ids if find(i) == i}
