@@ -37,15 +37,22 @@ def band_fraction(isi: DataFrame, by: list[str], under_us: int) -> DataFrame:
 def synchrony(events: DataFrame, by: list[str], window_us: int, slice_us: int) -> DataFrame:
     """Per group: the share of events with one on another channel within the window, bounds included.
 
-    Events of all channels in the window, less those of the same channel. Windows run over time slices: each event
-    is also copied to the slices that its window reaches, and counted only at home, so that one busy group is many
-    small sorts.
+    The nearest event of another channel before an event is the one before its run of events of one channel, carried
+    along the run; the nearest after it likewise from the end. Both run over time slices: each event is also copied to
+    the slices that its window reaches, and counted only at home, so that one busy group is many small sorts.
     """
     at = F.floor(F.col("t_us") / slice_us)
     copies = events.select(*by, "chan", "t_us", at.alias("_home"), F.explode(F.sequence(F.floor((F.col("t_us") - window_us) / slice_us), F.floor((F.col("t_us") + window_us) / slice_us))).alias("_slice"))
-    near = lambda *more: F.count("*").over(W.partitionBy(*by, "_slice", *more).orderBy("t_us").rangeBetween(-window_us, window_us))
-    counted = copies.withColumn("_other", near() - near("chan")).where("_home = _slice")
-    return counted.groupBy(*by).agg(F.count("*").alias("n"), F.avg((F.col("_other") > 0).cast("double")).alias("synchrony"))
+
+    def other(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+        line = W.partitionBy(*by, "_slice").orderBy(*order)
+        beside = rows.withColumn("_c", F.lag("chan").over(line)).withColumn("_t", F.lag("t_us").over(line))
+        turn = F.when(F.col("_t").isNotNull() & ~F.col("_c").eqNullSafe(F.col("chan")), F.col("_t"))
+        return beside.withColumn(name, F.last(turn, ignorenulls=True).over(line.rowsBetween(W.unboundedPreceding, 0))).drop("_c", "_t")
+
+    placed = other(other(copies, "_before", F.asc("t_us"), F.asc("chan")), "_after", F.desc("t_us"), F.desc("chan")).where("_home = _slice")
+    near = F.coalesce(F.col("t_us") - F.col("_before") <= window_us, F.lit(False)) | F.coalesce(F.col("_after") - F.col("t_us") <= window_us, F.lit(False))
+    return placed.groupBy(*by).agg(F.count("*").alias("n"), F.avg(near.cast("double")).alias("synchrony"))
 
 
 def shift(chan: Column, rep: Column, total_us: int) -> Column:
