@@ -95,14 +95,44 @@ def decimate(x: np.ndarray, factor: int) -> np.ndarray:
     return y[pad : pad + len(x)][::factor]
 
 
+def smoothed(x: np.ndarray, width: int) -> np.ndarray:
+    """A running mean of `width` values forth and back, with turned ends."""
+    box = np.ones(width) / width
+    p = padded(x, 3 * width)
+    pad = (len(p) - len(x)) // 2
+    return np.convolve(p, np.convolve(box, box), "same")[pad : pad + len(x)]
+
+
+def spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The cubic spline through points whose first two pieces, and last two, are one cubic; a line or parabola for two or three points."""
+    n = len(x)
+    if n < 4:
+        return np.polyval(np.polyfit(x - x[0], y, n - 1), at - x[0])
+    h = np.diff(x)
+    a, r = np.zeros((n, n)), np.zeros(n)  # for the second derivatives at the points
+    for k in range(1, n - 1):
+        a[k, k - 1 : k + 2] = h[k - 1], 2 * (h[k - 1] + h[k]), h[k]
+        r[k] = 6 * ((y[k + 1] - y[k]) / h[k] - (y[k] - y[k - 1]) / h[k - 1])
+    a[0, :3], a[-1, -3:] = (h[1], -h[0] - h[1], h[0]), (h[-1], -h[-2] - h[-1], h[-2])
+    m = np.linalg.solve(a, r)
+    k = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 2)
+    left, right = at - x[k], x[k + 1] - at
+    return (m[k] * right**3 + m[k + 1] * left**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * right + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * left
+
+
 def background(env: np.ndarray, window: int, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and spread (ddof 1) of the log envelope by window, drawn out to every sample by straight lines."""
+    """Mean and spread (ddof 1) of the log envelope by window, smoothed over neighbouring windows and drawn out to every sample by a spline, level before the first window's middle and after the last's."""
     log = np.log(np.maximum(env, 1e-12))
     starts = np.arange(0, max(len(log) - window, 0) + 1, step)
     parts = [log[a : a + window] for a in starts]
-    mean, spread = np.array([p.mean() for p in parts]), np.array([p.std(ddof=1) if len(p) > 1 else 0.0 for p in parts])
-    at = np.arange(len(log))
-    return np.interp(at, starts + window / 2, mean), np.interp(at, starts + window / 2, spread)
+    both = [np.array([p.mean() for p in parts]), np.array([p.std(ddof=1) if len(p) > 1 else 0.0 for p in parts])]
+    width = round(window / (len(log) / len(starts)))
+    if width > 1 and len(starts) > 3 * width:
+        both = [smoothed(x, width) for x in both]
+    middle = starts + window / 2
+    at = np.clip(np.arange(len(log)), middle[0], middle[-1])
+    mean, spread = (spline(middle, x, at) if len(starts) > 1 else np.full(len(log), x[0]) for x in both)
+    return mean, np.maximum(spread, 0.0)
 
 
 def threshold(mean: np.ndarray, spread: np.ndarray, k1: float, k3: float = 0.0) -> np.ndarray:
@@ -160,12 +190,15 @@ def density(x: np.ndarray, fs: float, window: int) -> tuple[np.ndarray, np.ndarr
     return np.fft.rfftfreq(window, 1 / fs), p
 
 
-def detect(x: np.ndarray, fs: float, low: float, high: float, window: int, step: int, k1: float, k3: float, join: int, mains: float | None = None) -> list[tuple[int, float, float, float]]:
-    """(sample, envelope, weight, density) of each mark of the envelope detector on one channel's buffer."""
+def detect(x: np.ndarray, fs: float, low: float, high: float, window: int, step: int, k1: float, k3: float, join: int, mains: float | None = None, k2: float | None = None) -> list[tuple[int, float, float, float, float]]:
+    """(sample, envelope, weight, density, confidence) of each mark of the envelope detector on one channel's buffer: confidence 1 over the threshold of k1, and 0.5 for other marks over that of k2, a lower one."""
     if len(x) < 8:
         return []
     if mains:
         x = zero_phase(x, fs, notch(mains, fs))
     env = envelope(zero_phase(x, fs, band_pass(low, high, fs)))
     mean, spread = background(env, min(window, len(env)), step)
-    return [(int(i), float(env[i]), *lognormal_weight(float(env[i]), float(mean[i]), float(spread[i]))) for i in maxima(env, threshold(mean, spread, k1, k3), join)]
+    found = {int(i): 1.0 for i in maxima(env, threshold(mean, spread, k1, k3), join)}
+    if k2 is not None and k2 != k1:
+        found = {int(i): 0.5 for i in maxima(env, threshold(mean, spread, k2, k3), join)} | found
+    return [(i, float(env[i]), *lognormal_weight(float(env[i]), float(mean[i]), float(spread[i])), con) for i, con in sorted(found.items())]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from eventloom.functions import dsp
 from eventloom.operators.matching import islands, near_any
 
-#: Detectors by name: functions of (samples, fs, **parameters) that give (sample, value, weight, density) tuples.
+#: Detectors by name: functions of (samples, fs, **parameters) that give (sample, value, weight, density, confidence) tuples.
 DETECTORS = {"envelope": dsp.detect}
 
 
@@ -43,9 +43,9 @@ def stretches(rows: pd.DataFrame):
 
 
 def run_detector(signals: DataFrame, name: str, blocks: int, halo: int, **given) -> DataFrame:
-    """(rec_id, chan, t_us, value, weight, density): a detector on every channel's buffers; marks count in the buffer whose own blocks hold them. A task holds one channel's buffer and its halo; where a block is missing, either side is a signal by itself."""
+    """(rec_id, chan, t_us, value, weight, density, con): a detector on every channel's buffers; marks count in the buffer whose own blocks hold them. A task holds one channel's buffer and its halo; where a block is missing, either side is a signal by itself."""
     fn, arguments = DETECTORS[name], parameters(name, **given)
-    names = ["rec_id", "chan", "t_us", "value", "weight", "density"]
+    names = ["rec_id", "chan", "t_us", "value", "weight", "density", "con"]
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -58,7 +58,7 @@ def run_detector(signals: DataFrame, name: str, blocks: int, halo: int, **given)
         return pd.DataFrame(out, columns=names)
 
     kinds = dict(signals.dtypes)
-    schema = f"rec_id {kinds['rec_id']}, chan {kinds['chan']}, t_us long, value double, weight double, density double"
+    schema = f"rec_id {kinds['rec_id']}, chan {kinds['chan']}, t_us long, value double, weight double, density double, con double"
     return buffers(signals, blocks, halo).groupBy("rec_id", "chan", "buffer").applyInPandas(one, schema)
 
 
@@ -97,6 +97,13 @@ def with_ambiguous(obvious: DataFrame, low: DataFrame, keys: list[str], dt_us: i
     return obvious.select(*keys, "chan", "t_us", F.lit(1.0).alias("con")).unionByName(kept)
 
 
+def tiers(marks: DataFrame, keys: list[str], dt_us: int) -> DataFrame:
+    """Marks of confidence 1, and of the others those that have such a mark of any channel within dt."""
+    sure, other = marks.where("con >= 1"), marks.where("con < 1")
+    kept = near_any(other, sure.select(*keys, "t_us"), keys, dt_us).where("near").select(*marks.columns)
+    return sure.unionByName(kept)
+
+
 def discharges(marks: DataFrame, dt_us: int) -> DataFrame:
     """(rec_id, t0_us, t1_us, duration_us, chan, marks, last_us and the greatest of each other column): marks of all channels, each active for dt, united to events.
 

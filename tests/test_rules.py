@@ -102,19 +102,23 @@ def test_detector_and_rhythm_windows_equal_plain_loops(spark):
         for first in range(0, 30, 10):
             held = range(max(first - 3, 0), min(first + 13, 30))
             x = np.concatenate([days[d] for d in held])
-            for i, *_ in dsp.detect(x, Q.FS, **Q.ENVELOPE):
+            for i, *_, con in dsp.detect(x, Q.FS, **Q.ENVELOPE):
                 t = held[0] * DAY + i * HOUR
                 if first * DAY <= t < (first + 10) * DAY:
-                    marks.add((rec, chan, t))
+                    marks.add((rec, chan, t, con))
             for a in (0, 5):
                 part = np.concatenate([days[first + a + k] for k in range(5)])
                 if part.std() > 0 and Q.FS / 48 < dsp.rhythm_peak(part, Q.FS) < Q.FS / 12:
                     windows.add((rec, chan, (first + a) * DAY, (first + a + 5) * DAY))
+    sure = {(m[0], m[2]) for m in marks if m[3] == 1}
+    low = {m for m in marks if m[3] < 1}
+    marks = {m for m in marks if m[3] == 1 or any((m[0], m[2] + k * HOUR) in sure for k in range(-2, 3))}
+    assert low and low & marks and low - marks
     run = lambda name: Q.QUERIES[name](spark, DATA).collect()
-    assert {(r.rec_id, r.chan, r.t_us) for r in run("d1_envelope")} == marks
+    assert {(r.rec_id, r.chan, r.t_us, r.con) for r in run("d1_envelope")} == marks
     assert {(r.rec_id, r.chan, r.t0_us, r.t1_us) for r in run("d8_rhythm_mask")} == windows
     inside = lambda m: any(m[:2] == w[:2] and w[2] <= m[2] < w[3] for w in windows)
-    assert {(r.rec_id, r.chan, r.t_us) for r in run("d8_suppressed")} == {m for m in marks if not inside(m)}
+    assert {(r.rec_id, r.chan, r.t_us, r.con) for r in run("d8_suppressed")} == {m for m in marks if not inside(m)}
 
 
 @needs_data
@@ -133,6 +137,25 @@ def test_a_missing_block_parts_a_signal(spark):
     assert seen[0][0] == seen[1][0] == 200 and seen[3][0] == 100
 
 
+def test_spline_and_smoothing():
+    rnd = np.random.default_rng(3)
+    x = np.cumsum(rnd.uniform(0.5, 2, 12))
+    cubic = lambda t: 0.3 * t**3 - 2 * t**2 + t - 5
+    at = np.linspace(x[0], x[-1], 200)
+    assert dsp.spline(x, cubic(x), at) == pytest.approx(cubic(at), abs=1e-7)  # it is one cubic throughout
+    y = rnd.normal(size=12)
+    assert dsp.spline(x, y, x) == pytest.approx(y, abs=1e-9)
+    step = 1e-4
+    for k in range(1, 11):  # value, slope and bend run on at the points
+        side = lambda f: (f(x[k] - 3 * step), f(x[k] - 2 * step), f(x[k] - step), f(x[k]), f(x[k] + step), f(x[k] + 2 * step), f(x[k] + 3 * step))
+        v = side(lambda t: dsp.spline(x, y, np.array([t]))[0])
+        assert (v[0] - 2 * v[1] + v[2]) / step**2 == pytest.approx((v[4] - 2 * v[5] + v[6]) / step**2, abs=0.05)
+    assert dsp.spline(x[:3], y[:3], x[:3]) == pytest.approx(y[:3]) and dsp.spline(x[:2], y[:2], x[:2]) == pytest.approx(y[:2])
+    z = rnd.normal(size=60)
+    want = [sum(z[i + d] * (4 - abs(d)) / 16 for d in range(-3, 4)) for i in range(5, 55)]
+    assert dsp.smoothed(z, 4)[5:55] == pytest.approx(want)
+
+
 # p-values
 
 
