@@ -81,8 +81,9 @@ def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
     """(u, v) with u < v: all pairs of different fingerprints (column fp) at 3 or fewer differing bits.
 
     Two such fingerprints differ in at most one bit in one of their halves, so one's home anchor for that half
-    is among the other's anchors within covering radius plus one. Each fingerprint is sent to about 29 anchors,
-    however many rows it stands for, and compared only there.
+    is among the other's anchors within covering radius plus one. Of the four bytes of the other half, which differs in
+    three bits at most, one is equal, so an anchor is parted by each of them. Each fingerprint is sent to about 29
+    anchors, four times over, however many rows it stands for, and compared only there.
     """
     if bits > 3:
         raise ValueError("the anchors of two halves cover three bits at most")
@@ -94,7 +95,10 @@ def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
             for part in range(2):
                 at = anchors((fp >> np.uint64(32 * part) & np.uint64(0xFFFFFFFF)).astype(np.int64), leaders)
                 row, col = np.nonzero(at >= 0)
-                yield pa.RecordBatch.from_arrays([pa.array(at[row, col] | part << 32), pa.array(fp.view(np.int64)[row]), pa.array(col == 0)], ["anchor", "fp", "home"])
+                for byte in range(4):
+                    value = (fp >> np.uint64(32 * (1 - part) + 8 * byte) & np.uint64(0xFF)).astype(np.int64)
+                    key = at[row, col] | part << 32 | byte << 33 | value[row] << 35
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp.view(np.int64)[row]), pa.array(col == 0)], ["anchor", "fp", "home"])
 
     spread = prints.select("fp").where("fp is not null").distinct().mapInArrow(replicate, "anchor long, fp long, home boolean")
     homes = spread.where("home").select("anchor", F.col("fp").alias("u"))
