@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 
@@ -95,6 +96,31 @@ def decimate(x: np.ndarray, factor: int) -> np.ndarray:
     return y[pad : pad + len(x)][::factor]
 
 
+def resample(x: np.ndarray, up: int, down: int) -> np.ndarray:
+    """x at up / down times its rate: zeros put between, a sinc low-pass under a Kaiser window, every down-th sample; zeros beyond the ends."""
+    if up == down:
+        return x
+    most = max(up, down)
+    half = 10 * most
+    k = np.arange(-half, half + 1)
+    taps = np.sinc(k / most) * np.kaiser(2 * half + 1, 5.0)
+    wide = np.zeros(len(x) * up)
+    wide[::up] = x
+    y = np.convolve(np.concatenate((wide, np.zeros(half))), up * taps / taps.sum())[half:]
+    return y[: len(x) * up : down]
+
+
+def resampled(x: np.ndarray, fs: float, to: float) -> tuple[np.ndarray, float]:
+    """(x, rate) at another rate, in as many steps of equal ratio as the whole ratio has powers of ten, each a ratio of whole numbers."""
+    steps = max(math.ceil(math.log10(fs / to)), 1) if fs > to else 1
+    ratio = (fs / to) ** (1 / steps)
+    for i in range(steps):
+        after = to if i == steps - 1 else round(fs / ratio) or fs / ratio
+        part = Fraction(after / fs).limit_denominator(10_000)
+        x, fs = resample(x, part.numerator, part.denominator), after
+    return x, float(fs)
+
+
 def smoothed(x: np.ndarray, width: int) -> np.ndarray:
     """A running mean of `width` values forth and back, with turned ends."""
     box = np.ones(width) / width

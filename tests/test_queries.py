@@ -10,7 +10,7 @@ from tests.compare import connection, same
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 #: Queries that SQL cannot say: tests/test_signals_sources.py and tests/test_rules.py hold them against plain Python.
-ROWS_ONLY = {"a11_effect_p", "a13_contamination_p", "d1_envelope", "d2_d3_filtered", "d8_rhythm_mask", "d8_suppressed"}
+ROWS_ONLY = {"a11_effect_p", "a13_contamination_p", "d1_envelope", "d2_d3_filtered", "d3_resampled", "d8_rhythm_mask", "d8_suppressed"}
 
 
 @pytest.fixture(scope="module")

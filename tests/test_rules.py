@@ -130,6 +130,31 @@ def test_filtered_blocks_show_no_edges(spark):
         assert np.abs(np.array(r.samples) - y[r.block * 12 : r.block * 12 + 12]).max() <= 0.01 * max(np.abs(y).max(), 1)
 
 
+@needs_data
+def test_resampled_blocks_show_no_edges(spark):
+    want = {k: dsp.resampled(np.concatenate([days[d] for d in range(30)]), Q.FS, Q.FS * 3 / 4)[0] for k, days in channels(spark).items()}
+    for r in Q.QUERIES["d3_resampled"](spark, DATA).collect():
+        y = want[r.rec_id, r.chan]
+        assert len(r.samples) == 18 and r.fs == Q.FS * 3 / 4
+        assert np.abs(np.array(r.samples) - y[r.block * 18 : r.block * 18 + 18]).max() <= 1e-3 * max(np.abs(y).max(), 1)
+
+
+def test_resampling_equals_the_sum_over_taps():
+    rnd = np.random.default_rng(6)
+    x = rnd.normal(size=50)
+    for up, down in ((3, 4), (5, 2), (1, 3)):
+        most = max(up, down)
+        taps = [np.sinc(k / most) * np.kaiser(20 * most + 1, 5.0)[k + 10 * most] for k in range(-10 * most, 10 * most + 1)]
+        y = dsp.resample(x, up, down)
+        assert len(y) == -(-50 * up // down)
+        for m in range(len(y)):
+            want = sum(x[k] * up * taps[m * down - k * up + 10 * most] / sum(taps) for k in range(50) if abs(m * down - k * up) <= 10 * most)
+            assert y[m] == pytest.approx(want, abs=1e-9)
+    t = np.arange(4000) / 2000
+    y, fs = dsp.resampled(np.sin(2 * np.pi * 7 * t), 2000, 150)
+    assert fs == 150 and np.abs(y - np.sin(2 * np.pi * 7 * np.arange(len(y)) / 150))[15:-15].max() < 0.01
+
+
 def test_a_missing_block_parts_a_signal(spark):
     rows = [(1, 1, b, b * 1_000_000, 100.0, [float(b)] * 100) for b in (0, 1, 3)]
     sig = spark.createDataFrame(rows, "rec_id int, chan int, block long, t0_us long, fs double, samples array<float>")
