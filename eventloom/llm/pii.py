@@ -176,22 +176,27 @@ _ARROW = pa.schema([
 ])
 
 
-def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, n): in how many rows a term occurs, in parts to be summed."""
+def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, n): in how many rows each of the listed terms occurs. A longer list than BROADCAST_TERMS is joined instead of broadcast."""
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    listed = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in terms.collect())) if few else None
 
     def batches(rows):
         held: Counter = Counter()
+        known = listed.value if listed else None
         for b in rows:
             for t in b.column(0):
                 if t.is_valid:
-                    held.update(set(_TERM.findall(t.as_py().lower())))
+                    found = set(_TERM.findall(t.as_py().lower()))
+                    held.update(found if known is None else found & known)
             if len(held) > HELD_TERMS:
                 yield pa.RecordBatch.from_pydict({"term": list(held), "n": list(held.values())})
                 held.clear()
         if held:
             yield pa.RecordBatch.from_pydict({"term": list(held), "n": list(held.values())})
 
-    return rows_as(docs, text=text_col).selectExpr("cast(text as string) text").mapInArrow(batches, "term string, n long")
+    counts = rows_as(docs, text=text_col).selectExpr("cast(text as string) text").mapInArrow(batches, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return counts if few else counts.join(terms, "term", "left_semi")
 
 
 def _held_with(rows: DataFrame, found: DataFrame, name: str) -> DataFrame:
@@ -217,8 +222,7 @@ def revealing(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_co
     kinds = found.select(F.explode(F.array_distinct("held.kind")).alias("kind")).groupBy("kind").agg(F.count("*").alias("in_kind"))
     entities = alone.join(groups, "grp").join(F.broadcast(kinds), "kind")
     near = written(near, "pii-pairs")
-    terms = near.select("term").distinct()
-    counted = term_counts(docs, text_col).join(F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
+    counted = term_counts(docs, near.select("term").distinct(), text_col)
     # no smoothing gives more than all rows with both: pairs that cannot reach the bar go before their rows are counted
     most = (F.least("alone", "n") + weight) / (F.col("n") + weight)
     content = F.log(F.lit(total) / F.col("alone"))
