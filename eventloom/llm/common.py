@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -27,6 +28,12 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def settle(spark: SparkSession) -> None:
+    """Between large steps: let both sides of the driver collect garbage, upon which Spark's cleaner removes the shuffle files and broadcasts of finished steps."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only a session on one machine may leave it unset."""
     set_to = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)

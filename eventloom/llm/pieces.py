@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import rows_as, written
+from eventloom.llm.common import rows_as, settle, written
 
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 #: Words whose ids are broadcast: the most frequent ones of the corpus, this many at most; all others are joined. The most
@@ -338,7 +338,9 @@ def word_ids(docs: DataFrame, pieces: Pieces, text_col: str = "text", most: int
     kind = (level > bound(most)).cast("int") + (level > bound(min(most, BY_NAME))).cast("int")
     words = counts.repartition(sum(n for _, n in sizes) // LATTICE_WORDS + 1, "word")
     found = lattice(words, pieces).select("word", ids_of(F.col("word"), F.col("edges"), pieces).alias("ids"), "n")
-    return written(found.withColumn("kind", kind), "piece-ids")
+    known = written(found.withColumn("kind", kind), "piece-ids")
+    settle(docs.sparkSession)
+    return known
 
 
 def packed(known: DataFrame) -> tuple:
@@ -378,6 +380,8 @@ def packed(known: DataFrame) -> tuple:
     starts, sizes = (np.cumsum(lengths) - lengths)[order], lengths[order]
     upto = np.cumsum(sizes)
     flat = flat[np.repeat(starts - upto + sizes, sizes) + np.arange(int(upto[-1]) if len(upto) else 0)]
+    del parts, order, starts
+    pa.default_memory_pool().release_unused()
     return {w: int(places[i]) for w, i in names.items()}, first, second, places, sizes.astype(np.int32), (upto - sizes).astype(np.int32), flat
 
 
