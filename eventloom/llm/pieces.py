@@ -372,17 +372,19 @@ def packed(known: DataFrame) -> tuple:
             parts.append((part.column("high").to_numpy(), part.column("low").to_numpy(), part.column("n").to_numpy(), pc.binary_length(ids).to_numpy(zero_copy_only=False) // 4, flat.astype(np.uint16 if not len(flat) or flat.max() < 1 << 16 else np.int32)))
             names.update((w, count + i) for i, w in enumerate(part.column("name").to_pylist()) if w is not None)
             count += part.num_rows
-    none = (np.zeros(0, np.int64),) * 5
-    first, second, n, lengths, flat = (np.concatenate(c) for c in zip(*(parts or [none])))
-    order = np.argsort(-n, kind="stable")
+    columns = [list(c) for c in zip(*parts)] or [[np.zeros(0, np.int64)] for _ in range(5)]
+    del parts
+    joined = []
+    while columns:  # one column at a time, so that little stands twice
+        joined.append(np.concatenate(columns.pop(0)))
+    first, second, n, lengths, flat = joined
+    order = np.argsort(-n, kind="stable").astype(np.int32)
+    del joined, n
     places = np.empty(len(order), np.int32)
-    places[order] = np.arange(len(order))
-    starts, sizes = (np.cumsum(lengths) - lengths)[order], lengths[order]
-    upto = np.cumsum(sizes)
-    flat = flat[np.repeat(starts - upto + sizes, sizes) + np.arange(int(upto[-1]) if len(upto) else 0)]
-    del parts, order, starts
+    places[order] = np.arange(len(order), dtype=np.int32)
+    starts = (np.cumsum(lengths, dtype=np.int32) - lengths)[order].astype(np.int32)
     pa.default_memory_pool().release_unused()
-    return {w: int(places[i]) for w, i in names.items()}, first, second, places, sizes.astype(np.int32), (upto - sizes).astype(np.int32), flat
+    return {w: int(places[i]) for w, i in names.items()}, first, second, places, lengths[order].astype(np.int32), starts, flat
 
 
 def by_digest(words: list[str], first: np.ndarray, second: np.ndarray, places: np.ndarray) -> np.ndarray:
