@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventloom.llm import languages, licenses, media, mixing, pieces, pii, quality, simhash, topk, urls
+from eventloom.llm import alignment, languages, licenses, media, mixing, pieces, pii, quality, simhash, topk, urls
 from eventloom.llm.common import table
 
 
@@ -63,6 +63,11 @@ def op10_topk(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op13_align(spark, sf_dir):
+    """Every document by two tokenizers, aligned, with counts of linked ids over all documents."""
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pieces": op1_pieces,
     "op2_mixing": op2_mixing,
@@ -74,6 +79,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_urls": op9_urls,
     "op10_topk": op10_topk,
+    "op13_align": op13_align,
 }
 ORACLES = {
     "op2_mixing": mixing.ORACLE,
