@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventloom.llm import alignment, languages, licenses, media, mixing, pieces, pii, quality, simhash, topk, urls
+from eventloom.llm import alignment, languages, licenses, media, mixing, negatives, pieces, pii, quality, simhash, topk, urls
 from eventloom.llm.common import table
 
 
@@ -63,6 +63,11 @@ def op10_topk(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op12_negatives(spark, sf_dir):
+    """Hard negatives of every 100th vector, between three and nine tenths of each of its positives' scores."""
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def op13_align(spark, sf_dir):
     """Every document by two tokenizers, aligned, with counts of linked ids over all documents."""
     return alignment.align(table(spark, sf_dir, "documents"))
@@ -79,6 +84,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_urls": op9_urls,
     "op10_topk": op10_topk,
+    "op12_negatives": op12_negatives,
     "op13_align": op13_align,
 }
 ORACLES = {
@@ -86,4 +92,5 @@ ORACLES = {
     "op5_licenses": licenses.oracle("select doc_id, coalesce(source, '-') || '/' || coalesce(doc_id::varchar, '-') as path, text from documents"),
     "op9_urls": urls.ORACLE,
     "op10_topk": topk.ORACLE,
+    "op12_negatives": negatives.ORACLE,
 }
