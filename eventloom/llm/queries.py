@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventloom.llm import alignment, languages, licenses, media, mixing, negatives, pieces, pii, quality, simhash, topk, urls
+from eventloom.llm import alignment, extraction, languages, licenses, media, mixing, negatives, pieces, pii, quality, simhash, topk, urls
 from eventloom.llm.common import table
 
 
@@ -63,6 +63,11 @@ def op10_topk(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_extraction(spark, sf_dir):
+    """The main text of every page."""
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op12_negatives(spark, sf_dir):
     """Hard negatives of every 100th vector, between three and nine tenths of each of its positives' scores."""
     return negatives.mine(table(spark, sf_dir, "embeddings"))
@@ -84,6 +89,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_urls": op9_urls,
     "op10_topk": op10_topk,
+    "op11_extraction": op11_extraction,
     "op12_negatives": op12_negatives,
     "op13_align": op13_align,
 }
