@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections import deque
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from eventloom.operators.selection import counted, joined, quantiles
+
 
 def pair_off(rows, n_keys: int, tol):
     """(row, partner's time or None) for rows (keys..., time, ..., side) sorted by keys and time.
@@ -46,11 +49,15 @@ def islands(rows: DataFrame, keys: list[str], tol, time: str = "t_us") -> DataFr
     row each, have last.
     """
     width = SLICE_TOLERANCES * max(tol, 1)
-    sliced = rows.withColumn("_slice", F.floor(F.col(time) / width))
+    # the condition stands here because the join below infers it for one of the two uses alone
+    sliced = rows.withColumn("_slice", F.floor(F.col(time) / width)).where("_slice is not null")
     inside = W.partitionBy(*keys, "_slice").orderBy(time)
     new = F.when(F.col(time) - F.lag(time).over(inside) > tol, F.col(time))
     begun = sliced.withColumn("_new", new)
-    per = begun.groupBy(*keys, "_slice").agg(F.min(time).alias("_first"), F.max(time).alias("_last"), F.max("_new").alias("_latest"))
+    # the last event with all its columns: so both uses of the slices want the same columns, and share one shuffle
+    rest = [c for c in rows.columns if c not in (*keys, time)]
+    per = begun.groupBy(*keys, "_slice").agg(F.min(time).alias("_first"), F.max(F.struct(time, *rest)).alias("_end"), F.max("_new").alias("_latest"))
+    per = per.withColumn("_last", F.col("_end").getField(time)).drop("_end")
     line = W.partitionBy(*keys).orderBy("_slice")
     fresh = F.coalesce(F.col("_first") - F.lag("_last").over(line) > tol, F.lit(True))
     per = per.withColumn("_begins", F.when(fresh, F.col("_first"))).withColumn("_own", F.coalesce("_latest", "_begins"))
@@ -69,31 +76,43 @@ def match(a: DataFrame, b: DataFrame, keys: list[str], tol, time: str = "t_us",
     Pairs are one-to-one within |a - b| <= tol and greedy in time. carry names columns of both inputs to keep. No pair
     crosses a gap of more than tol, so trains fall into islands, which are dealt out by their starts: a busy train is
     spread over tasks. Islands of one side have no pairs, those of one event a side have one; only the others are walked
-    in their tasks, as a stream that holds the events within one tolerance. Events with a null time go.
+    in their tasks, as a stream that holds the events within one tolerance. Events with a null time go. Among equal events
+    those that come first by carry are paired first.
     """
     cols = [*keys, time, *carry]
     both = a.select(*cols, F.lit(0).alias("side")).unionByName(b.select(*cols, F.lit(1).alias("side"))).where(F.col(time).isNotNull())
     kinds = dict(both.dtypes)
-    whole = W.partitionBy(*keys, "island")
-    counted = islands(both, keys, tol, time).withColumn("_n", F.count("*").over(whole)).withColumn("_b", F.sum("side").over(whole))
+    order = [time, "side", *carry]
+    whole = W.partitionBy(*keys, "island").orderBy(*order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    counted = islands(both, keys, tol, time).withColumn("_n", F.count("*").over(whole)).withColumn("_b", F.sum("side").over(whole)).withColumn("_both", F.sum(time).over(whole))
     one_sided, lone = (F.col("_b") == 0) | (F.col("_b") == F.col("_n")), (F.col("_b") == 1) & (F.col("_n") == 2)
-    other = F.sum(time).over(whole) - F.col(time)
-    easy = counted.withColumn("_other", other).where(one_sided | lone).select(*cols, "side", F.when(lone, F.col("_other")).cast(kinds[time]).alias("partner"))
-    mixed = counted.where(~(one_sided | lone)).select(*keys, "island", time, *carry, "side")
-    ordered = mixed.sortWithinPartitions(*keys, "island", time, "side", *carry)
-    n = len(keys) + 1
+    partner = F.when(lone, F.col("_both") - F.col(time)).cast(kinds[time])
+    placed = counted.select(*keys, "island", *order, (one_sided | lone).alias("_easy"), partner.alias("partner"))
+    ordered = placed.sortWithinPartitions(*keys, "island", *order)
+    n, names, kept = len(keys) + 1, [*keys, "island", time, "side", *carry], [*keys, time, *carry, "side", "partner"]
+    walked = [*range(n), n, *range(n + 2, n + 2 + len(carry)), n + 1]
 
     def walk(batches):
-        fields: list = []
+        easy, kinds = [], []
 
         def rows():
             for batch in batches:
-                fields[:] = list(batch.schema)
-                yield from zip(*(c.to_pylist() for c in batch.columns))
+                kinds[:] = [batch.schema.field(i).type for i in walked]
+                mask = batch.column(batch.num_columns - 2)
+                easy.append(batch.filter(mask))
+                hard = batch.filter(pc.invert(mask))
+                yield from zip(*(hard.column(i).to_pylist() for i in walked))
 
         def packed(done):
-            arrays = [pa.array([r[k] for r, _ in done], f.type) for k, f in enumerate(fields)]
-            return pa.RecordBatch.from_arrays([*arrays, pa.array([p for _, p in done], fields[n].type)], [*(f.name for f in fields), "partner"])
+            arrays = [pa.array([r[k] for r, _ in done], kind) for k, kind in enumerate(kinds)]
+            found = dict(zip([*keys, "island", time, *carry, "side"], arrays)) | {"partner": pa.array([p for _, p in done], kinds[n])}
+            return pa.RecordBatch.from_arrays([found[c] for c in kept], kept)
+
+        def plain():
+            while easy:
+                batch = easy.pop(0)
+                at = {c: i for i, c in enumerate([*names, "_easy", "partner"])}
+                yield pa.RecordBatch.from_arrays([batch.column(at[c]) for c in kept], kept)
 
         done = []
         for found in pair_off(rows(), n, tol):
@@ -101,11 +120,13 @@ def match(a: DataFrame, b: DataFrame, keys: list[str], tol, time: str = "t_us",
             if len(done) == 10_000:
                 yield packed(done)
                 done = []
+                yield from plain()
         if done:
             yield packed(done)
+        yield from plain()
 
-    schema = ", ".join(f"`{c}` {kinds.get(c, kinds[time])}" for c in ordered.columns) + f", partner {kinds[time]}"
-    return easy.unionByName(ordered.mapInArrow(walk, schema).drop("island"))
+    schema = ", ".join(f"`{c}` {kinds.get(c, kinds[time])}" for c in kept)
+    return ordered.mapInArrow(walk, schema)
 
 
 def detector_pairs(detections: DataFrame, detectors: list[str], keys: list[str] = ["run_id", "chan"]) -> tuple[DataFrame, DataFrame]:
@@ -119,8 +140,11 @@ def agreement(detections: DataFrame, detectors: list[str], tol: int, by: list[st
     """Per pair of detectors (and `by`): events of each, pairs, Jaccard index, median |dt| in ms, and what only one found."""
     keys = ["det_a", "det_b", "run_id", "chan"]
     found = match(*detector_pairs(detections, detectors), keys, tol)
-    n_a, n_b, m = F.sum((F.col("side") == 0).cast("long")), F.sum((F.col("side") == 1).cast("long")), F.sum(((F.col("side") == 0) & F.col("partner").isNotNull()).cast("long"))
-    out = found.groupBy("det_a", "det_b", *by).agg(n_a.alias("n_a"), n_b.alias("n_b"), m.alias("matched"), F.median(F.when(F.col("side") == 0, F.abs(F.col("t_us") - F.col("partner")))).alias("_dt"))
+    group = ["det_a", "det_b", *by]
+    counts = counted(found, [*group, "side"], F.abs(F.col("t_us") - F.col("partner")))
+    n_a, n_b, m = (F.sum(F.when(c, F.col("n")).otherwise(0)) for c in (F.col("side") == 0, F.col("side") == 1, (F.col("side") == 0) & F.col("value").isNotNull()))
+    # a pair stands once on either side: both sides' distances have the median of one
+    out = joined(counts.groupBy(*group).agg(n_a.alias("n_a"), n_b.alias("n_b"), m.alias("matched")), quantiles(counts, group, {"_dt": 0.5}), group, "left")
     union = F.col("n_a") + F.col("n_b") - F.col("matched")
     return out.select(
         "det_a", "det_b", *by, "n_a", "n_b", "matched", (F.col("matched") / F.when(union > 0, union)).alias("jaccard"), (F.col("_dt") / 1000).alias("median_dt_ms"),
@@ -158,15 +182,20 @@ def run_delta(before: DataFrame, after: DataFrame, others_before: DataFrame, oth
 
 
 def classified(a: DataFrame, b: DataFrame, others: list[DataFrame], keys: list[str], tol: int) -> DataFrame:
-    """Events of a with lost (no partner in b) and corroborated (a one-to-one partner in any of the others)."""
-    base = match(a, b, keys, tol).where("side = 0").select(*keys, "t_us", F.col("partner").isNull().alias("lost"))
+    """Events of a with lost (no partner in b) and corroborated (a one-to-one partner in any of the others).
+
+    All are matched in one call, under a label; events of a at one time are told apart by a number, and the first of
+    them are paired first with each.
+    """
+    many = a.groupBy(*keys, "t_us").agg(F.count("*").cast("int").alias("_many"))
+    numbered = many.select(*keys, "t_us", F.explode(F.sequence(F.lit(1), F.col("_many"))).alias("_number"))
+    left = numbered.withColumn("_with", F.explode(F.sequence(F.lit(0), F.lit(len(others)))))
+    right = b.select(*keys, "t_us", F.lit(0).alias("_number"), F.lit(0).alias("_with"))
     for k, other in enumerate(others):
-        hit = match(a, other, keys, tol).where("side = 0").select(*keys, "t_us", F.col("partner").isNotNull().alias(f"_c{k}"))
-        base = base.join(hit, [*keys, "t_us"])
-    any_ = F.lit(False)
-    for k in range(len(others)):
-        any_ = any_ | F.col(f"_c{k}")
-    return base.select(*keys, "t_us", "lost", any_.alias("corroborated"))
+        right = right.unionByName(other.select(*keys, "t_us", F.lit(0).alias("_number"), F.lit(k + 1).alias("_with")))
+    found = match(left, right, ["_with", *keys], tol, carry=("_number",)).where("side = 0")
+    lost, hit = F.max(F.when(F.col("_with") == 0, F.col("partner").isNull())), F.max(F.when(F.col("_with") > 0, F.col("partner").isNotNull()))
+    return found.groupBy(*keys, "t_us", "_number").agg(lost.alias("lost"), F.coalesce(hit, F.lit(False)).alias("corroborated")).drop("_number")
 
 
 def resolve_contacts(marks: DataFrame, channels: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.columns import measured_rate
 from eventloom.functions.pvalues import spearman_p, wilcoxon_p
+from eventloom.operators.selection import counted, joined, quantiles
 
 
 def counts(events: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
@@ -87,9 +88,11 @@ def ceiling(pairs: DataFrame, own: DataFrame) -> DataFrame:
 
 def median_mad(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Per group: median and 1.4826 times the median distance from it, nulls left out."""
-    middle = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.median(value).alias("median"), F.count("*").alias("n"))
-    spread = rows.join(middle, by).where(F.col(value).isNotNull()).groupBy(*by).agg((F.median(F.abs(F.col(value) - F.col("median"))) * 1.4826).alias("mad"))
-    return middle.join(spread, by)
+    counts = counted(rows, by, value)
+    many = counts.where(F.when(F.col("value").isNotNull(), F.col("n")) > 0).groupBy(*by).agg(F.sum("n").alias("n"))
+    middle = joined(quantiles(counts, by, {"median": 0.5}), many, by)
+    away = joined(counts, middle.select(*by, "median"), by).groupBy(*by, F.abs(F.col("value") - F.col("median")).alias("value")).agg(F.sum("n").alias("n"))
+    return joined(middle, quantiles(away, by, {"mad": 0.5}).withColumn("mad", F.col("mad") * 1.4826), by)
 
 
 def box(rows: DataFrame, value: str, by: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from eventloom.functions.columns import wilson
 from eventloom.operators.matching import match
 from eventloom.operators.rates import average_rank, correlation
+from eventloom.operators.selection import counted, joined, medians_of
 
 
 def hits(truth: DataFrame, detections: DataFrame, by: list[str], tol: int) -> DataFrame:
@@ -26,10 +27,11 @@ def hits(truth: DataFrame, detections: DataFrame, by: list[str], tol: int) -> Da
 
 def event_scores(found: DataFrame, by: list[str], minutes: Column | None = None) -> DataFrame:
     """Per group: tp, fp, fn, recall, precision, F1, bias and median distance in ms (detection less truth), and false positives a channel-minute if `minutes` gives their number."""
-    truth, hit = F.col("side") == 0, F.col("partner").isNotNull()
-    tp, n_true, n_det = (F.sum(c.cast("long")) for c in (truth & hit, truth, ~truth))
-    off = F.when(truth & hit, F.col("partner") - F.col("t_us"))
-    out = found.groupBy(*by).agg(tp.alias("tp"), n_true.alias("n_true"), n_det.alias("n_det"), F.median(off).alias("_bias"), F.median(F.abs(off)).alias("_dt"))
+    counts = counted(found, [*by, "side"], F.when(F.col("side") == 0, F.col("partner") - F.col("t_us")))
+    truth, hit = F.col("side") == 0, F.col("value").isNotNull()
+    tp, n_true, n_det = (F.sum(F.when(c, F.col("n")).otherwise(0)) for c in (truth & hit, truth, ~truth))
+    middle = medians_of(counts.where(F.when(hit, F.col("n")) > 0), by, {"_bias": F.col("value"), "_dt": F.abs("value")}, F.col("n"))
+    out = joined(counts.groupBy(*by).agg(tp.alias("tp"), n_true.alias("n_true"), n_det.alias("n_det")), middle, by, "left")
     fp, fn = F.col("n_det") - F.col("tp"), F.col("n_true") - F.col("tp")
     recall, precision = F.col("tp") / F.greatest("n_true", F.lit(1)), F.col("tp") / F.greatest("n_det", F.lit(1))
     out = out.select(*by, "tp", fp.alias("fp"), fn.alias("fn"), "n_true", "n_det", recall.alias("recall"), precision.alias("precision"), (2 * recall * precision / F.greatest(recall + precision, F.lit(1e-12))).alias("f1"), (F.col("_bias") / 1000).alias("bias_ms"), (F.col("_dt") / 1000).alias("dt_ms"))
@@ -130,7 +132,8 @@ def pooled_report(scores: DataFrame) -> DataFrame:
 
     scores has a row a subject and detector (tp, n_true, n_det, dt_ms, bias_ms).
     """
-    out = scores.groupBy("detector").agg(F.sum("tp").alias("tp"), F.sum("n_true").alias("n_true"), F.sum("n_det").alias("n_det"), F.median("dt_ms").alias("dt_ms"), F.median("bias_ms").alias("bias_ms"))
+    out = scores.groupBy("detector").agg(F.sum("tp").alias("tp"), F.sum("n_true").alias("n_true"), F.sum("n_det").alias("n_det"))
+    out = joined(out, medians_of(scores, ["detector"], {"dt_ms": F.col("dt_ms"), "bias_ms": F.col("bias_ms")}), ["detector"], "left")
     r, p = wilson(F.col("tp"), F.col("n_true")), wilson(F.col("tp"), F.col("n_det"))
     return out.select("detector", "tp", "n_true", "n_det", (F.col("tp") / F.greatest("n_true", F.lit(1))).alias("recall"), r[0].alias("recall_low"), r[1].alias("recall_high"), (F.col("tp") / F.greatest("n_det", F.lit(1))).alias("precision"), p[0].alias("precision_low"), p[1].alias("precision_high"), "dt_ms", "bias_ms")
 

@@ -9,11 +9,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from eventloom.operators.selection import counted, joined, quantiles
+
 
 def isi_summary(isi: DataFrame, by: list[str], burst_us: int) -> DataFrame:
     """Per group, channels pooled: CV of intervals (population), their median and least, and intervals under burst_us per event."""
-    mean = F.avg("isi_us")
-    return isi.groupBy(*by).agg(F.try_divide(F.stddev_pop("isi_us"), mean).alias("cv"), F.median("isi_us").alias("median_us"), F.min("isi_us").alias("min_us"), (F.sum((F.col("isi_us") < burst_us).cast("long")) / F.count("*")).alias("burst_fraction"))
+    counts = counted(isi, by, "isi_us")
+    n, x = F.col("n"), F.col("value").cast("double")
+    some = F.sum(F.when(F.col("value").isNotNull(), n))
+    mean = F.sum(x * n) / some
+    out = counts.groupBy(*by).agg(F.sum("n").alias("_n"), some.alias("_some"), mean.alias("_mean"), F.min("value").alias("min_us"), F.sum(F.when(F.col("value") < burst_us, n).otherwise(0)).alias("_burst"))
+    spread = joined(counts, out.select(*by, F.col("_mean").alias("_about")), by).groupBy(*by).agg(F.sum((x - F.col("_about")) * (x - F.col("_about")) * n).alias("_square"))
+    out = joined(joined(out, spread, by), quantiles(counts, by, {"median_us": 0.5}), by, "left")
+    return out.select(*by, F.try_divide(F.sqrt(F.col("_square") / F.col("_some")), F.col("_mean")).alias("cv"), "median_us", "min_us", (F.col("_burst") / F.col("_n")).alias("burst_fraction"))
 
 
 def isi_histogram(isi: DataFrame, by: list[str], low: float, high: float, bins: int = 59, log: bool = True) -> DataFrame:
