@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from eventloom.operators.scans import SLICE_US, previous, running
 
-def union(intervals: DataFrame, keys: list[str], grow_us: int = 0) -> DataFrame:
-    """Intervals grown by grow_us on both sides and merged where they overlap or touch: an island starts where the greatest end so far lies before."""
-    order = W.partitionBy(*keys).orderBy("t0_us", "t1_us")
+
+def union(intervals: DataFrame, keys: list[str], grow_us: int = 0, slice_us: int = SLICE_US) -> DataFrame:
+    """Intervals grown by grow_us on both sides and merged where they overlap or touch: an island starts where the greatest end so far lies before. Runs go in slices, so a channel of very many intervals is many small sorts."""
     grown = intervals.select(*keys, (F.col("t0_us") - grow_us).alias("t0_us"), (F.col("t1_us") + grow_us).alias("t1_us")).where("t1_us > t0_us")
-    ends = grown.withColumn("_end", F.max("t1_us").over(order.rowsBetween(W.unboundedPreceding, -1)))
-    marked = ends.withColumn("_island", F.sum(F.when(F.col("_end") >= F.col("t0_us"), 0).otherwise(1)).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    ends = running(grown, keys, ["t0_us", "t1_us"], slice_us, {"_end": ("max", F.col("t1_us"))}, before=True)
+    start = F.when(F.col("_end") >= F.col("t0_us"), None).otherwise(F.col("t0_us"))
+    marked = running(ends, keys, ["t0_us", "t1_us"], slice_us, {"_island": ("last", start)})
     return marked.groupBy(*keys, "_island").agg(F.min("t0_us").alias("t0_us"), F.max("t1_us").alias("t1_us")).drop("_island")
 
 
@@ -23,8 +25,8 @@ def complement(intervals: DataFrame, spans: DataFrame, keys: list[str]) -> DataF
     """The gaps of the intervals inside [0, T), with T from spans (keys, total_us); spans without intervals are one gap."""
     tail = spans.select(*keys, F.col("total_us").alias("t0_us"), F.col("total_us").alias("t1_us"))
     inside = intervals.select(*keys, "t0_us", "t1_us").join(spans.select(*keys, "total_us"), keys).select(*keys, F.greatest("t0_us", F.lit(0)).alias("t0_us"), F.least("t1_us", "total_us").alias("t1_us")).where("t1_us > t0_us")
-    order = W.partitionBy(*keys).orderBy("t0_us", "t1_us").rowsBetween(W.unboundedPreceding, -1)
-    gaps = inside.unionByName(tail).select(*keys, F.coalesce(F.max("t1_us").over(order), F.lit(0)).alias("from"), F.col("t0_us").alias("to"))
+    ends = running(inside.unionByName(tail), keys, ["t0_us", "t1_us"], SLICE_US, {"_end": ("max", F.col("t1_us"))}, before=True)
+    gaps = ends.select(*keys, F.coalesce("_end", F.lit(0)).alias("from"), F.col("t0_us").alias("to"))
     return gaps.where(F.col("from") < F.col("to")).select(*keys, F.col("from").cast("long").alias("t0_us"), F.col("to").alias("t1_us"))
 
 
@@ -97,7 +99,7 @@ def described(segments: DataFrame) -> DataFrame:
 def isis(events: DataFrame, segments: DataFrame, keys: list[str], width_us: int) -> DataFrame:
     """Events with seg and isi_us: the time since the event before in the same segment (null for its first); events in gaps go."""
     tagged = within(events, segments, ["run_id"], width_us)
-    return tagged.withColumn("isi_us", F.col("t_us") - F.lag("t_us").over(W.partitionBy(*keys, "seg").orderBy("t_us")))
+    return previous(tagged, [*keys, "seg"], "t_us", SLICE_US, "_before").withColumn("isi_us", F.col("t_us") - F.col("_before")).drop("_before")
 
 
 def bins(segments: DataFrame, width_us: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.columns import normalise_label, to_samples
 from eventloom.operators import intervals
+from eventloom.operators.matching import islands
 
 TRAIN = ["run_id", "detector", "chan"]
 
@@ -34,9 +35,8 @@ def reject_masked(detections: DataFrame, mask: DataFrame, width_us: int) -> Data
 
 def merge_close(detections: DataFrame, gap_us: int, keys: list[str] = TRAIN) -> DataFrame:
     """Chains of events closer than gap_us become their first event."""
-    order = W.partitionBy(*keys).orderBy("t_us")
-    step = F.when(F.col("t_us") - F.lag("t_us").over(order) < gap_us, 0).otherwise(1)
-    return detections.withColumn("_new", step).withColumn("_island", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))).groupBy(*keys, "_island").agg(F.min("t_us").alias("t_us"), F.count("*").alias("merged")).drop("_island")
+    chains = islands(detections.select(*keys, "t_us"), keys, gap_us - 1)
+    return chains.groupBy(*keys, "island").agg(F.min("t_us").alias("t_us"), F.count("*").alias("merged")).drop("island")
 
 
 def label_on(events: DataFrame, on: DataFrame, width_us: int) -> DataFrame:

@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import dsp
 from eventloom.operators.matching import islands, near_any
+from eventloom.operators.scans import neighbourhoods, running
+
+#: Samples of one slice of a channel, and places of one slice while they are numbered.
+SLICE_ROWS, SLICE_PLACES = 1 << 16, 1 << 16
 
 #: Detectors by name: functions of (samples, fs, **parameters) that give (sample, value, weight, density, confidence) tuples.
 DETECTORS = {"envelope": dsp.detect}
@@ -65,28 +69,31 @@ def run_detector(signals: DataFrame, name: str, blocks: int, halo: int, **given)
 def lognormal_background(samples: DataFrame, keys: list[str], at: str, value: str, before: int, after: int, k1: float, k3: float) -> DataFrame:
     """Samples with mode, median and mean of a lognormal background over a window of rows, and the threshold.
 
-    The window's moments are differences of running sums of ln x and its square, so a row costs the same however
-    wide the window is. Sums run over ln x less the channel's mean of it, which keeps them small.
+    Samples are numbered along their channel, and slices of numbers carry copies of the samples that their windows reach,
+    so a long channel is many tasks. A window's moments are differences of a slice's running sums of ln x and its
+    square, so a row costs the same however wide the window is. Sums run over ln x less the slice's mean of it, which
+    keeps them small. A null sample counts as a row but not in the moments.
     """
-    order, whole = W.partitionBy(*keys).orderBy(at), W.partitionBy(*keys)
+    size = max(SLICE_ROWS, 4 * (before + after))
+    numbered = running(samples, keys, [at], SLICE_PLACES, {"_i": ("sum", F.lit(1))}).withColumn("_x", F.log(value))
+    inside_of = [*keys, "_slice"]
+    order, whole = W.partitionBy(*inside_of).orderBy("_i"), W.partitionBy(*inside_of)
     so_far = order.rowsBetween(W.unboundedPreceding, 0)
-    out = samples.withColumn("_x", F.log(value)).withColumn("_c", F.avg("_x").over(whole)).withColumn("_x", F.col("_x") - F.col("_c"))
+    out = neighbourhoods(numbered, keys, "_i", before + 1, after, size).withColumn("_c", F.avg("_x").over(whole)).withColumn("_x", F.col("_x") - F.col("_c"))
     out = out.withColumn("_1", F.count("_x").over(so_far)).withColumn("_2", F.sum("_x").over(so_far)).withColumn("_3", F.sum(F.col("_x") * F.col("_x")).over(so_far))
     all_of = {"_1": F.count("_x").over(whole), "_2": F.sum("_x").over(whole), "_3": F.sum(F.col("_x") * F.col("_x")).over(whole)}
     inside = lambda c: F.coalesce(F.lead(c, after).over(order), all_of[c]) - F.coalesce(F.lag(c, before + 1).over(order), F.lit(0))
-    out = out.withColumn("_n", inside("_1")).withColumn("_s1", inside("_2")).withColumn("_s2", inside("_3"))
+    out = out.withColumn("_n", inside("_1")).withColumn("_s1", inside("_2")).withColumn("_s2", inside("_3")).where("_home")
     spread = F.when(F.col("_n") > 1, F.greatest(F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("_n"), F.lit(0.0)) / (F.col("_n") - 1)).otherwise(F.lit(0.0))
     out = out.withColumn("_m", F.col("_c") + F.col("_s1") / F.col("_n")).withColumn("_v", spread)
     mode, median, mean = F.exp(F.col("_m") - F.col("_v")), F.exp("_m"), F.exp(F.col("_m") + F.col("_v") / 2)
     out = out.withColumn("mode", mode).withColumn("median", median).withColumn("mean", mean)
-    return out.withColumn("threshold", k1 * (F.col("mode") + F.col("median")) - k3 * (F.col("mean") - F.col("mode"))).drop("_x", "_c", "_1", "_2", "_3", "_n", "_s1", "_s2", "_m", "_v")
+    return out.withColumn("threshold", k1 * (F.col("mode") + F.col("median")) - k3 * (F.col("mean") - F.col("mode"))).drop("_x", "_c", "_1", "_2", "_3", "_n", "_s1", "_s2", "_m", "_v", "_i", "_slice", "_home")
 
 
 def crossings(samples: DataFrame, keys: list[str], at: str, value: str, bound: str, join: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """(keys, start, stop, peak_at, peak, carry): runs of samples above their bound, runs at most `join` places apart united, with their highest sample (the first of equals) and its other columns named in carry."""
-    order = W.partitionBy(*keys).orderBy(at)
-    above = samples.where(F.col(value) > F.col(bound)).withColumn("_new", F.when(F.col(at) - F.lag(at).over(order) <= join, 0).otherwise(1))
-    runs = above.withColumn("_run", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    runs = islands(samples.where(F.col(value) > F.col(bound)), keys, join, at).withColumnRenamed("island", "_run")
     return runs.groupBy(*keys, "_run").agg(F.min(at).alias("start"), F.max(at).alias("stop"), (-F.max_by(-F.col(at), F.struct(F.col(value), -F.col(at)))).alias("peak_at"), F.max(value).alias("peak"), *(F.max_by(c, F.struct(F.col(value), -F.col(at))).alias(c) for c in carry)).drop("_run")
 
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import islice
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -141,36 +140,67 @@ def absorption(isi: DataFrame, by: list[str], cuts: list[int], unit_total: float
     return line.select(*by, "cut_us", (F.col("_under") / F.col("_all")).alias("absorbed"), ((F.col("_all") - F.col("_under")) / unit_total).alias("surviving"))
 
 
-def thin_out(rows, n_keys: int, window):
-    """Of rows (keys..., time, ...) sorted by keys and time those not closer than the window to the last one kept."""
-    group = last = None
-    for row in rows:
-        if row[:n_keys] != group:
-            group, last = row[:n_keys], None
-        if last is None or row[n_keys] - last >= window:
-            last = row[n_keys]
-            yield row
+#: Windows in one slice of a train of seeds.
+SLICE_WINDOWS = 1024
+
 
+def collapsed(seeds: DataFrame, keys: list[str], window_us: int, windows: int = SLICE_WINDOWS) -> DataFrame:
+    """Seeds (keys, t_us, ...) without those closer than the window to the one kept before; of equal times the first by the other columns.
 
-def collapsed(seeds: DataFrame, keys: list[str], window_us: int) -> DataFrame:
-    """Seeds (keys, t_us, ...) without those closer than the window to the one kept before; ties by the other columns. A sorted partition is one stream with one number as state."""
+    A kept seed's successor is the first one at least a window later, so what is kept is the orbit of the first seed.
+    Trains are cut into slices. In each, pointers to successors are doubled until they leave it: that gives, for the few
+    seeds where an orbit can enter, the time from which it goes on. One stream a train then steps from slice to slice,
+    a row for each such seed, and every slice takes its part of the orbit from where it enters. Seeds without a time go.
+    """
+    if window_us <= 0:
+        return seeds.where("t_us is not null")
     rest = [c for c in seeds.columns if c not in (*keys, "t_us")]
-    ordered = seeds.select(*keys, "t_us", *rest).repartition(*keys).sortWithinPartitions(*keys, "t_us", *rest)
+    width = windows * window_us
+    placed = seeds.select(*keys, "t_us", *rest, F.floor(F.col("t_us") / width).alias("_slice")).where("_slice is not null")
+    group = [*keys, "_slice"]
+
+    def entries(part: pa.Table) -> pa.Table:
+        t = np.unique(part["t_us"].to_numpy())
+        start = part["_slice"][0].as_py() * width
+        to = np.searchsorted(t, t + window_us)
+        to = np.where(to < len(t), to, np.arange(len(t)))  # the last one within the slice points to itself
+        while not np.array_equal(to[to], to):
+            to = to[to]
+        some = t[: np.searchsorted(t, start + window_us) + 1]
+        first = part.slice(0, 1).select(group)
+        return pa.table({**{c: pa.repeat(first[c][0], len(some)) for c in group}, "_enter": some, "_from": t[to[: len(some)]] + window_us})
+
+    kinds = dict(placed.dtypes)
+    named = lambda columns: ", ".join(f"`{c}` {kinds[c]}" for c in columns)
+    ways = placed.groupBy(*group).applyInArrow(entries, named(group) + ", _enter long, _from long")
+    ordered = ways.repartition(*keys).sortWithinPartitions(*keys, "_slice", "_enter")
     n = len(keys)
 
-    def walk(batches):
-        fields: list = []
-
-        def rows():
-            for b in batches:
-                fields[:] = list(b.schema)
-                yield from zip(*(c.to_pylist() for c in b.columns))
-
-        kept = thin_out(rows(), n, window_us)
-        while part := list(islice(kept, 10_000)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), fields)], [f.name for f in fields])
-
-    return ordered.mapInArrow(walk, ordered.schema)
+    def steps(batches):
+        train, done, due = None, None, None
+        for b in batches:
+            kept = []
+            for i, row in enumerate(zip(*(c.to_pylist() for c in b.columns))):
+                if row[:n] != train:
+                    train, done, due = row[:n], None, None
+                if row[n] != done and (due is None or row[n + 1] >= due):
+                    done, due = row[n], row[n + 2]
+                    kept.append(i)
+            yield b.take(pa.array(kept, pa.int64())).select([*group, "_enter"])
+
+    chosen = ordered.mapInArrow(steps, named(group) + ", _enter long")
+
+    def walk(part: pa.Table, entered: pa.Table) -> pa.Table:
+        if not len(part) or not len(entered):
+            return part.slice(0, 0).drop_columns("_slice")
+        part = part.sort_by([("t_us", "ascending"), *((c, "ascending") for c in rest)])
+        t, kept, at = part["t_us"].to_numpy(), [], int(np.searchsorted(part["t_us"].to_numpy(), entered["_enter"][0].as_py()))
+        while at < len(t):
+            kept.append(at)
+            at = int(np.searchsorted(t, t[at] + window_us))
+        return part.take(pa.array(kept, pa.int64())).drop_columns("_slice")
+
+    return placed.groupBy(*group).cogroup(chosen.groupBy(*group)).applyInArrow(walk, named([*keys, "t_us", *rest])).select(*seeds.columns)
 
 
 def candidates(isi: DataFrame, events: DataFrame, pair_us: int, window_us: int) -> DataFrame:

@@ -184,9 +184,9 @@ def test_synchrony_equals_brute_force(spark):
     assert got == pytest.approx(want)
 
 
-def test_thinning_keeps_the_first():
-    rows = [(1, t) for t in (0, 5, 9, 10, 19, 21)]
-    assert [r[1] for r in X.thin_out(rows, 1, 10)] == [0, 10, 21]
+def test_thinning_keeps_the_first(spark):
+    rows = spark.createDataFrame([(1, t) for t in (0, 5, 9, 10, 19, 21)], "chan int, t_us long")
+    assert sorted(r.t_us for r in X.collapsed(rows, ["chan"], 10).collect()) == [0, 10, 21]
 
 
 def test_contacts(spark):
