@@ -83,5 +83,22 @@ def rows_as(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def row_key(doc_id, text):
-    """A 64-bit number of a row's id and text."""
-    return F.xxhash64(doc_id.cast("long"), F.coalesce(text.cast("string"), F.lit("")))
+    """128 bits of a row's id and text, as bytes; a null text counts as empty."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("long").cast("string"), F.lit("-")), F.lit("/"), F.coalesce(text.cast("string"), F.lit("")))))
+
+
+def whole_row_key(docs: DataFrame):
+    """128 bits of all columns of a row, as bytes."""
+    columns = [docs[f"`{c}`"] for c in docs.columns]
+    half = lambda *x: F.lpad(F.hex(F.xxhash64(*x)), 16, "0")
+    return F.unhex(F.concat(half(*columns), half(F.lit(1), *columns)))
+
+
+def packed(docs: DataFrame, **more) -> DataFrame:
+    """(_doc, more): all columns of a row as one struct, beside what an operator works on, so that no names clash; unpacked() undoes it."""
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_doc"), *(c.alias(name) for name, c in more.items()))
+
+
+def unpacked(docs: DataFrame, columns: list[str], **new) -> DataFrame:
+    """The columns that packed() put together; those in new are replaced."""
+    return docs.select(*((new[c] if c in new else F.col(f"_doc.`{c}`")).alias(c) for c in columns))

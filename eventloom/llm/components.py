@@ -27,7 +27,7 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of the links (u, v), two longs: root is the least node that it reaches.
+    """(node, root) for every node of the links (u, v), two longs, or two byte strings: root is the least node that it reaches.
 
     Alternating large and small stars halve the depth each round, so rounds grow with the logarithm of a
     component's diameter. Each round is checkpointed; only two numbers a round come to the driver. Links to

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from eventloom.llm.common import cut, rows_as, written
 from eventloom.llm.urls import host_of
 
-#: Labelled texts that a fit uses at most (a sample by hash of doc_id when there are more), and the most frequent 3-grams that
-#: a model has a row for; all others share one row, as 3-grams that no labelled text has do. It bounds what is broadcast.
+#: Labelled texts that a fit uses at most (a sample by hash of doc_id when there are more), which bounds what is broadcast; and
+#: how many 3-grams a language is taken to have at least, for the smoothing. 3-grams that no labelled text has share one row.
 TRAIN_ROWS, GRAMS = 20_000, 1 << 18
 #: Different 3-grams that a Python worker counts before it passes them on; parts that a host's pages are joined in.
 HELD_GRAMS, SALTS = 200_000, 16
@@ -69,7 +69,7 @@ def likelihood(text: str, rows: dict[str, int], logs: np.ndarray) -> np.ndarray:
     return np.array(list(counts.values())) @ logs[at] * min(1.0, EFFECTIVE / n)
 
 
-def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", train_rows: int = TRAIN_ROWS, most: int = GRAMS) -> Model:
+def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", train_rows: int = TRAIN_ROWS) -> Model:
     """A model from labelled texts; null labels and texts are left out."""
     kept = rows_as(docs, doc_id=id_col, lang=lang_col, text=text_col).where("lang is not null and text is not null").selectExpr("doc_id", "cast(lang as string) lang", "cast(text as string) text")
     n = kept.count()
@@ -92,12 +92,12 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
         yield from passed_on()
 
     counts = written(kept.select("lang", "text").mapInArrow(batches, "lang string, gram string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")), "language-grams")
-    per = counts.groupBy("gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).orderBy(F.desc("all"), "gram").limit(most).toPandas()
+    per = counts.groupBy("gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).orderBy(F.desc("all"), "gram").toPandas()
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
     if not languages:
         return Model([], {}, np.zeros((1, 0)))
-    total = np.array([totals[x] + ADDED * (most + 1) for x in languages], float)
+    total = np.array([totals[x] + ADDED * (max(len(per), GRAMS) + 1) for x in languages], float)
     found = np.array([[dict(by).get(x, 0) for x in languages] for by in per["by"]]).reshape(-1, len(languages))
     return Model(languages, {g: i for i, g in enumerate(per["gram"])}, np.log(np.vstack((found + ADDED, np.full(len(languages), ADDED))) / total))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import cut, rows_as
+from eventloom.llm.common import cut, packed, rows_as, unpacked, whole_row_key
 
 WEIGHTS, REPEATS = (5, 2, 1), 3
 #: Rows aimed at in one slice of a source or one range of finish times, and the most slices and ranges.
@@ -103,10 +103,11 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 
     Rows are told apart by all their columns; rows that agree in all share what is taken of them.
     """
-    keyed = docs.withColumn("_row", F.xxhash64(*(docs[f"`{c}`"] for c in docs.columns)))
-    counts = mix(keyed, row_col="_row", **how).where("times > 0 and size > 0").groupBy("_row").agg(F.sum("times").cast("int").alias("times"))
-    out = keyed.dropDuplicates(["_row"]).join(counts, "_row")
-    return out.withColumn("times", F.explode(F.sequence(F.lit(1), "times"))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    held = packed(docs, _row=whole_row_key(docs))
+    keyed = docs.select(*(docs[how.get(f"{c}_col", c)].alias(c) for c in ("doc_id", "text", "source")), whole_row_key(docs).alias("row"))
+    counts = mix(keyed, row_col="row", **{k: v for k, v in how.items() if k in ("weights", "repeats")}).where("times > 0 and size > 0").groupBy("row").agg(F.sum("times").cast("int").alias("_times"))
+    out = held.dropDuplicates(["_row"]).join(counts, F.col("_row") == F.col("row"))
+    return unpacked(out.withColumn("_turn", F.explode(F.sequence(F.lit(1), "_times"))), docs.columns)
 
 
 ORACLE = f"""

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import rows_as, written
+from eventloom.llm.common import packed, rows_as, unpacked, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on either side of an entity whose terms may reveal it; documents that smoothing adds to a term; the shares of
@@ -292,14 +292,18 @@ def sanitise(docs: DataFrame, text_col: str = "text", n_chars_col: str | None =
     Only rows with spans are sent by their id to where their spans are; the others stay where they lie.
     """
     spans = sensitive(docs, text_col=text_col, **how).where("size(base) > 0 or size(terms) > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "base", "terms").dropDuplicates(["_id", "_key"])
-    joined = docs.join(spans, docs["doc_id"].cast("long").eqNullSafe(spans["_id"]) & (F.xxhash64(docs[text_col]) == spans["_key"]), "left")
+    held = packed(docs, _doc_id=docs["doc_id"].cast("long"), _doc_text=docs[text_col], _doc_key=F.xxhash64(docs[text_col]))
+    joined = held.join(spans, F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_doc_key") == F.col("_key")), "left")
 
     @F.pandas_udf("string")
     def replaced(text, base, terms):
         return pd.Series([t if t is None or b is None else sanitised(t, b, s) for t, b, s in zip(text, base, terms)])
 
-    new = joined.withColumn("_text", replaced(F.col(text_col), "base", "terms"))
-    return new.select(*(F.col("_text").alias(c) if c == text_col else F.length("_text").cast(dict(docs.dtypes)[c]).alias(c) if c == n_chars_col else docs[f"`{c}`"] for c in docs.columns))
+    done = joined.withColumn("_new", replaced(F.col("_doc_text"), "base", "terms"))
+    new = {text_col: F.col("_new")}
+    if n_chars_col in docs.columns:
+        new[n_chars_col] = F.length("_new").cast(dict(docs.dtypes)[n_chars_col])
+    return unpacked(done, docs.columns, **new)
 
 
 def sha256_of(spans: list[tuple[int, int, str]]) -> str:

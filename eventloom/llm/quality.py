@@ -49,7 +49,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     more = {"row": row_col} if row_col else {}
     kept = rows_as(docs, doc_id=id_col, text=text_col, **more).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", *more)
-    return kept.mapInArrow(batches, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS) + (", row long" if row_col else ""))
+    return kept.mapInArrow(batches, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS) + (", row binary" if row_col else ""))
 
 
 def held_out(doc_id: Column) -> Column:
