@@ -29,3 +29,21 @@ def test_context_counts_terms_not_characters():
     assert [w for _, w, _, _ in pii.context(text, spans)] == words[-5:] + ["tail"]
     text = "1 " * 300 + "word " + "1 " * 200 + "a@b.cc"
     assert [w for _, w, _, _ in pii.context(text, pii.base_spans(text))] == ["word"]
+
+
+def test_terms_counted_first_in_few_or_all_partitions_or_joined_give_equal_spans(spark, monkeypatch):
+    import random
+
+    r = random.Random(5)
+    words = [a + b + c for a in "bdfglmnprst" for b in "aeiou" for c in ("rin", "lom", "tek", "sul")]
+    line = lambda: " ".join(r.choice(words[: 5 + int(200 * r.random() ** 3)]) for _ in range(12))
+    rows = [(i, f"{line()} {f'write to n{i % 7}@d{i % 3}.example' if i % 5 == 0 else ''} {line()}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    found = lambda: sorted((x.doc_id, [tuple(s) for s in x.terms]) for x in pii.sensitive(docs).collect())
+    first = found()
+    assert any(terms for _, terms in first)
+    monkeypatch.setattr(pii, "FIRST", 1)
+    assert found() == first
+    monkeypatch.setattr(pii, "FIRST", 3)
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", 0)
+    assert found() == first
