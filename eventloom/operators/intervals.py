@@ -56,6 +56,20 @@ def within(events: DataFrame, intervals: DataFrame, keys: list[str], width_us: i
     return joined.drop("_bucket")
 
 
+def clocked(segments: DataFrame, keys: list[str]) -> DataFrame:
+    """Disjoint segments with before_us, the length of all segments of the same keys that lie ahead, and length_us, that of all of them: the condition's own clock runs from 0 to length_us and stands still between segments."""
+    length = F.col("t1_us") - F.col("t0_us")
+    line = running(segments, keys, ["t0_us", "t1_us"], SLICE_US, {"before_us": ("sum", length)}, before=True).withColumn("before_us", F.coalesce("before_us", F.lit(0).cast("long")))
+    totals = segments.groupBy(*keys).agg(F.sum(length).alias("length_us"))
+    return line.join(totals.select(*(F.col(k).alias(f"_k_{k}") for k in keys), "length_us"), [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]).drop(*(f"_k_{k}" for k in keys))
+
+
+def on_clock(events: DataFrame, segments: DataFrame, keys: list[str], width_us: int) -> DataFrame:
+    """The events inside the segments with clock_us, their time on the condition's own clock, and its length_us. width_us as in within."""
+    inside = within(events, clocked(segments.select(*keys, "t0_us", "t1_us"), keys), keys, width_us)
+    return inside.withColumn("clock_us", F.col("t_us") - F.col("t0_us") + F.col("before_us")).select(*events.columns, "clock_us", "length_us")
+
+
 def overlap_per_slice(intervals: DataFrame, keys: list[str], width_us: int) -> DataFrame:
     """(keys, slice, covered_us): how much of each slice of width_us disjoint intervals cover; slices untouched have no row."""
     cells = _bucketed(intervals, width_us)

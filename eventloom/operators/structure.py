@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from eventloom.operators.intervals import on_clock
 from eventloom.operators.selection import counted, joined, quantiles
 
 
@@ -62,7 +63,7 @@ def synchrony(events: DataFrame, by: list[str], window_us: int, slice_us: int) -
     return placed.groupBy(*by).agg(F.count("*").alias("n"), F.avg(near.cast("double")).alias("synchrony"))
 
 
-def shift(chan: Column, rep: Column, total_us: int) -> Column:
+def shift(chan: Column, rep: Column, total_us: int | Column) -> Column:
     """A channel's circular shift for one repeat: from a hash, so that reruns and engines agree."""
     return F.conv(F.substring(F.md5(F.concat_ws("/", chan.cast("string"), rep.cast("string"))), 1, 12), 16, 10).cast("long") % total_us
 
@@ -73,6 +74,21 @@ def chance_synchrony(events: DataFrame, by: list[str], window_us: int, slice_us:
     return synchrony(moved, [*by, "_rep"], window_us, slice_us).groupBy(*by).agg(F.avg("synchrony").alias("chance"))
 
 
+def synchrony_in_condition(events: DataFrame, segments: DataFrame, keys: list[str], by: list[str], window_us: int, slice_us: int, width_us: int, reps: int = 3) -> DataFrame:
+    """Per group, over the events inside segments (keys, t0_us, t1_us, disjoint): observed synchrony, and chance, the mean after each channel is shifted by its own offset.
+
+    Observed synchrony is on the recording's clock. Shifts go round the condition's own clock, which stands still
+    outside the segments, so that a shifted train keeps to the condition and its rate there; modulo the recording it
+    would be thinned by the time outside, and modulo the condition's length alone segments would fall on one another.
+    keys are columns of events and segments; by holds them and what else parts the groups.
+    """
+    inside = on_clock(events, segments, keys, width_us)
+    moved = inside.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    moved = moved.withColumn("t_us", (F.col("clock_us") + shift(F.col("chan"), F.col("_rep"), F.col("length_us"))) % F.col("length_us"))
+    chance = synchrony(moved, [*by, "_rep"], window_us, slice_us).groupBy(*by).agg(F.avg("synchrony").alias("chance"))
+    return synchrony(inside, by, window_us, slice_us).withColumnRenamed("synchrony", "observed").join(chance, by)
+
+
 def bins_by_width(events: DataFrame, by: list[str], widths: list[int]) -> DataFrame:
     """(by, width_us, bin, n) of a whole recording's bins that hold events, for all widths at once."""
     rows = events.withColumn("width_us", F.explode(F.array(*(F.lit(w).cast("long") for w in widths))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from eventloom.functions import dsp
 from eventloom.operators import rates as R
 from eventloom.operators import signals as G
-from eventloom.plans.fixtures import BASE, DAY, DETECTORS, EPOCH, HOUR, MERGE, Tables, scratch
+from eventloom.plans.fixtures import BASE, DAY, DETECTORS, EPOCH, HOUR, MERGE, TOTAL, Tables, scratch
 from eventloom.plans.rates import BOTH, both
 from eventloom.streaming import jobs
 
@@ -238,22 +238,31 @@ def _stream(t):
     return rows.select((F.col("user_id") % 5).alias("run_id"), F.col("event_type").alias("detector"), F.col("user_id").alias("chan"), F.unix_micros("ts").alias("idx"), "ts")
 
 
-def _ran(t, df, mode="complete"):
-    """A stream's result over what is there. Windows still open at the end of the input come out by complete mode, so the stream equals the batch."""
-    return jobs.run_once(df, scratch(t, "live"), mode)
+#: How late events may be, and when the end mark is: later than the last event by more than that.
+LATE, END = "40 days", EPOCH + TOTAL + 60 * DAY
+
+
+def _ended(t):
+    """The stream with end marks, which rows of the same file stand for."""
+    return jobs.with_end(_stream(t), _stream(t).where("chan = 0 and detector = 'click'"), F.timestamp_micros(F.lit(END)))
+
+
+def _ran(t, df):
+    """A stream's result over what is there, in append mode."""
+    return jobs.run_once(df, scratch(t, "live"))
 
 
 @query(f" select run_id, floor(t_us / {DAY})::bigint as day, count(*) as n from raw group by all")
 def t1_live_rate(t):
     """Daily population rate from the stream; equal to the batch."""
-    out = _ran(t, jobs.population_rate(_stream(t), "1 day", "40 days"))
+    out = _ran(t, jobs.population_rate(_ended(t), "1 day", LATE))
     return out.select("run_id", F.floor((F.unix_micros("start") - EPOCH) / DAY).alias("day"), "n")
 
 
 @query(f", a as (select *, case when t_us - lag(t_us) over w < {MERGE} then 0 else 1 end as new from raw window w as (partition by run_id, detector, chan order by t_us)), b as (select *, sum(new) over (partition by run_id, detector, chan order by t_us rows unbounded preceding) as k from a) select run_id, detector, chan, min(t_us) as t_us, count(*) as merged from b group by run_id, detector, chan, k")
 def t2_live_merge(t):
     """Close marks merged live; equal to the batch."""
-    out = _ran(t, jobs.merged_marks(_stream(t), MERGE, "40 days"))
+    out = _ran(t, jobs.merged_marks(_ended(t), MERGE, LATE))
     return out.select("run_id", "detector", "chan", (F.unix_micros("ts") - EPOCH).alias("t_us"), "merged")
 
 
@@ -262,4 +271,4 @@ def t3_live_distinct(t):
     """Doubled marks removed live; equal to the batch."""
     doubled = _stream(t)
     doubled = doubled.unionByName(_stream(t))
-    return _ran(t, jobs.without_overlap(doubled, "40 days"), "append").groupBy("run_id", "detector").agg(F.count("*").alias("n"))
+    return _ran(t, jobs.without_overlap(doubled, LATE)).groupBy("run_id", "detector").agg(F.count("*").alias("n"))

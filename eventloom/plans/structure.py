@@ -84,6 +84,20 @@ def x6_chance(t):
     return rnd(both.select(*BY, F.col("synchrony").alias("observed"), "chance", (F.col("synchrony") - F.col("chance")).alias("excess")), "observed", "chance", "excess")
 
 
+_COND = f""", sg as (select 'on' as cond, run_id, t0_us, t1_us from ons union all select 'off', run_id, t0_us, t1_us from offs), ck as (select *, coalesce(sum(t1_us - t0_us) over (partition by cond, run_id order by t0_us rows between unbounded preceding and 1 preceding), 0)::bigint as ahead, (sum(t1_us - t0_us) over (partition by cond, run_id))::bigint as total from sg),
+dc as (select cond, d.run_id, d.detector, d.chan, d.t_us, d.t_us - t0_us + ahead as c_us, total from det d join ck on ck.run_id = d.run_id and d.t_us >= t0_us and d.t_us < t1_us),
+mv as (select cond, run_id, detector, chan, rep, (c_us + ('0x' || substr(md5(chan || '/' || rep), 1, 12))::bigint % total) % total as t_us from dc, range(3) r(rep)), o as ("""
+
+
+@query(_COND + _sync_sql("dc", "cond, run_id, detector") + "), c as (select cond, run_id, detector, avg(synchrony) as chance from (" + _sync_sql("mv", "cond, run_id, detector, rep") + ") group by all) select cond, run_id, detector, n, round(synchrony, 6) as observed, round(chance, 6) as chance, round(synchrony - chance, 6) as excess from o join c using (cond, run_id, detector)")
+def x6_chance_in_condition(t):
+    """Synchrony while ON and OFF against channels shifted on the condition's own clock."""
+    on, off = (t.segments(label).select(F.lit(label).alias("cond"), "run_id", "t0_us", "t1_us") for label in ("on", "off"))
+    both = t.detections.withColumn("cond", F.explode(F.array(F.lit("on"), F.lit("off"))))
+    found = S.synchrony_in_condition(both, on.unionByName(off), ["cond", "run_id"], ["cond", *BY], SYNC, DAY, 2 * DAY)
+    return rnd(found.select("cond", *BY, "n", "observed", "chance", (F.col("observed") - F.col("chance")).alias("excess")), "observed", "chance", "excess")
+
+
 _WIDTHS = [DAY // 2, DAY, 2 * DAY, 3 * DAY, 7 * DAY]
 _W = "(select unnest([" + ", ".join(map(str, _WIDTHS)) + "]::bigint[]) as w)"
 _BINS = f", ws as {_W}, bw as (select run_id, detector, chan, w, t_us // w as bin, count(*) as n from det, ws where t_us // w < {TOTAL} // w group by all), rt as (select run_id, detector, chan, count(*) / ({TOTAL} / {DAY}) as rate from det group by all)"

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import fnmatch
-import struct
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
+#: Bytes of one read, and so about half the samples of one batch.
+READ_BYTES = 8 << 20
 SCHEMA = "rec_id string, chan int, name string, block long, t0_us long, fs double, samples array<float>"
 
 
@@ -56,42 +58,110 @@ class Records(InputPartition):
         self.path, self.first, self.stop = path, first, stop
 
 
+def recording_of(path: str) -> str:
+    """A file's rec_id."""
+    return path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+
+
+def fetched(f, at: int, size: int) -> bytes:
+    """Bytes of an open file from a place on."""
+    f.seek(at)
+    return f.read(size)
+
+
 class EdfReader(DataSourceReader):
-    """One partition for every `records` records of every file; each seeks to its own bytes."""
+    """One partition for every `records` records of every file; each seeks to its own bytes, and pieces no more than `gap` bytes apart come in one read."""
 
     def __init__(self, options: dict):
-        self.pattern, self.step = options["path"], int(options.get("records", "300"))
+        self.pattern, self.step, self.gap = options["path"], int(options.get("records", "300")), int(options.get("gap", "4096"))
+        self.sets, self.low, self.high = {}, 0, None
+
+    def _wanted(self, column: str, value) -> bool:
+        return column not in self.sets or value in self.sets[column]
 
     def partitions(self):
         out = []
         store = store_of(self.pattern)[0]
         for path in files_of(self.pattern):
+            if not self._wanted("rec_id", recording_of(path)):
+                continue
             with store.open_input_file(path) as f:
                 n = read_header(f)["records"]
-            out += [Records(path, k, min(k + self.step, n)) for k in range(0, n, self.step)]
+            low, high = self.low, n if self.high is None else min(n, self.high)
+            if "block" in self.sets:
+                inside = [k for k in self.sets["block"] if low <= k < high]
+                low, high = min(inside, default=0), max(inside, default=-1) + 1
+            out += [Records(path, k, min(k + self.step, high)) for k in range(low, high, self.step)]
         return out or [Records("", 0, 0)]
 
     def read(self, partition):
         import numpy as np
+        import pyarrow as pa
 
         if not partition.path:
             return
-        name = partition.path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+        name = recording_of(partition.path)
         with store_of(self.pattern)[0].open_input_file(partition.path) as f:
             head = read_header(f)
-            width = 2 * sum(head["samples"])
-            f.seek(256 * (1 + len(head["names"])) + partition.first * width)
-            data = np.frombuffer(f.read((partition.stop - partition.first) * width), "<i2").reshape(-1, width // 2)
-        at = 0
-        for chan, (label, n, (gain, base)) in enumerate(zip(head["names"], head["samples"], head["maps"])):
-            for k, row in enumerate(data[:, at : at + n]):
-                block = partition.first + k
-                yield name, chan, label, block, int(block * head["seconds"] * 1_000_000), n / head["seconds"], (row * gain + base).astype("float32").tolist()
-            at += n
+            sizes = head["samples"]
+            width, start = 2 * sum(sizes), 256 * (1 + len(sizes))
+            at = [2 * sum(sizes[:c]) for c in range(len(sizes))]
+            chans = [c for c, label in enumerate(head["names"]) if self._wanted("chan", c) and self._wanted("name", label)]
+            blocks = [k for k in range(partition.first, partition.stop) if self._wanted("block", k)]
+            pieces = [(start + k * width + at[c], 2 * sizes[c], k, c) for k in blocks for c in chans]
+            for run in together(pieces, self.gap):
+                base = run[0][0]
+                data = fetched(f, base, run[-1][0] + run[-1][1] - base)
+                gain = [head["maps"][c] for _, _, _, c in run]
+                values = [np.frombuffer(data, "<i2", size // 2, place - base) * a + b for (place, size, _, _), (a, b) in zip(run, gain)]
+                ends = np.cumsum([0, *(len(v) for v in values)], dtype=np.int32)
+                samples = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values).astype(np.float32)))
+                k, c = [x[2] for x in run], [x[3] for x in run]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([name] * len(run)), pa.array(c, pa.int32()), pa.array([head["names"][x] for x in c]), pa.array(k, pa.int64()),
+                        pa.array([int(x * head["seconds"] * 1_000_000) for x in k], pa.int64()), pa.array([sizes[x] / head["seconds"] for x in c], pa.float64()), samples,
+                    ],
+                    ["rec_id", "chan", "name", "block", "t0_us", "fs", "samples"],
+                )
+
+
+class FilteringReader(EdfReader):
+    """The same with filters on rec_id, chan, name and block answered here: files that they leave out are not opened, records and channels not read."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            column = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            if column in ("rec_id", "chan", "name", "block") and isinstance(f, (EqualTo, In)):
+                wanted = set(f.value if isinstance(f, In) else [f.value])
+                self.sets[column] = self.sets.get(column, wanted) & wanted
+            elif column == "block" and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                self.low = max(self.low, f.value + isinstance(f, GreaterThan))
+            elif column == "block" and isinstance(f, (LessThan, LessThanOrEqual)):
+                stop = f.value + isinstance(f, LessThanOrEqual)
+                self.high = stop if self.high is None else min(self.high, stop)
+            else:
+                yield f
+
+
+def together(pieces: list[tuple], gap: int, most: int = READ_BYTES):
+    """Runs of (place, size, ...) pieces, which are in order: pieces no more than a gap apart are one run, of `most` bytes unless a piece is larger."""
+    run: list[tuple] = []
+    for piece in pieces:
+        if run and (piece[0] - (run[-1][0] + run[-1][1]) > gap or piece[0] + piece[1] - run[0][0] > most):
+            yield run
+            run = []
+        run.append(piece)
+    if run:
+        yield run
 
 
 class Edf(DataSource):
-    """spark.read.format("edf").option("records", 300).load(pattern): one row a channel and record. Files lie in any store that pyarrow reaches from all executors."""
+    """spark.read.format("edf").option("records", 300).load(pattern): one row a channel and record.
+
+    With the option pushdown, which needs spark.sql.python.filterPushdown.enabled, filters on rec_id, chan, name and block
+    reach the files; read() sets both. Files lie in any store that pyarrow reaches from all executors.
+    """
 
     @classmethod
     def name(cls):
@@ -101,32 +171,11 @@ class Edf(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return EdfReader(self.options)
-
-
-def sample_file(names: list[str], records: list[list[list[int]]], fs: int, low: float = -3276.8, high: float = 3276.7) -> bytes:
-    """The bytes of a file with one-second records: records[r][chan] are digital samples."""
-    pad = lambda x, n: str(x).ljust(n).encode("latin-1")
-    n = len(names)
-    head = pad("0", 8) + pad("", 80) + pad("", 80) + pad("01.01.24", 8) + pad("00.00.00", 8) + pad(256 * (1 + n), 8) + pad("", 44) + pad(len(records), 8) + pad(1, 8) + pad(n, 4)
-    for values, width in ((names, 16), ([""] * n, 80), (["uV"] * n, 8), ([low] * n, 8), ([high] * n, 8), ([-32768] * n, 8), ([32767] * n, 8), ([""] * n, 80), ([fs] * n, 8), ([""] * n, 32)):
-        head += b"".join(pad(v, width) for v in values)
-    return head + b"".join(struct.pack(f"<{len(c)}h", *c) for r in records for c in r)
-
-
-def write_files(recordings, path: str, fs: int):
-    """Write recordings (rec_id, names, records) as files <rec_id>.edf under a path, each in the task that holds its row; (rec_id, bytes) comes back."""
-
-    def batches(rows):
-        for b in rows:
-            out = []
-            for rec, names, records in zip(b["rec_id"], b["names"], b["records"]):
-                data = sample_file(list(names), [[list(c) for c in r] for r in records], fs)
-                store, base = store_of(path)
-                store.create_dir(base)
-                with store.open_output_stream(f"{base}/{rec}.edf") as f:
-                    f.write(data)
-                out.append(len(data))
-            yield b[["rec_id"]].assign(bytes=out)
-
-    return recordings.select("rec_id", "names", "records").mapInPandas(batches, f"rec_id {dict(recordings.dtypes)['rec_id']}, bytes long")
+        return (FilteringReader if str(self.options.get("pushdown", "false")).lower() == "true" else EdfReader)(self.options)
+
+
+def read(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The recordings that a path or pattern names, as rows of SCHEMA; filters reach the files. Registers the source in the session and turns its filters on."""
+    spark.dataSource.register(Edf)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("edf").options(pushdown="true", **options).load(path)

@@ -31,6 +31,25 @@ def write_runs(rows: DataFrame, path: str, **settings) -> None:
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
+class BrokenRuns(ValueError):
+    """Runs that break an invariant, found before anything of them was written."""
+
+
+def write_checked_runs(rows: DataFrame, path: str, broken: DataFrame, skip: bool = False, **settings) -> None:
+    """write_runs behind the invariants: broken (run_id, rule, detail), as scoring.violations gives it, names what is wrong with the runs.
+
+    If a run of the rows is named, nothing is written and BrokenRuns says how often which rule is broken, the first
+    20 of them by run. With skip only the runs that are named stay out; what is stored of them stays as it was.
+    """
+    ours = broken.join(rows.select("run_id").distinct(), "run_id", "left_semi")
+    if skip:
+        return write_runs(rows.join(ours.select("run_id").distinct(), "run_id", "left_anti"), path, **settings)
+    found = ours.groupBy("run_id", "rule").agg(F.count("*").alias("n"), F.min("detail").alias("detail")).orderBy("run_id", "rule").limit(20).collect()
+    if found:
+        raise BrokenRuns("; ".join(f"run {r.run_id}: {r.rule}, {r.n} times, {r.detail} among them" for r in found))
+    write_runs(rows, path, **settings)
+
+
 def entries_of(name: str, data: bytes):
     """(run_id, key, i, j, num, txt) of every entry of every array of one .npz file, as columns array by array; only plain numbers, flags and text are read."""
     with np.load(io.BytesIO(data), allow_pickle=False) as stored:

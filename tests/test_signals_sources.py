@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import dsp
 from eventloom.operators import signals as G
+from eventloom.plans.recordings import sample_file
 from eventloom.sources import edf, runs
 from eventloom.streaming import jobs
 
@@ -105,7 +106,7 @@ def test_expert_files(spark, tmp_path):
 
 def test_recording_files(spark, tmp_path):
     records = [[[k, k + 1, k + 2, k + 3], [0, 0, 0, 0]] for k in range(5)]
-    (tmp_path / "rec.edf").write_bytes(edf.sample_file(["A1", "A2"], records, 4))
+    (tmp_path / "rec.edf").write_bytes(sample_file(["A1", "A2"], records, 4))
     spark.dataSource.register(edf.Edf)
     rows = spark.read.format("edf").option("records", "2").load(str(tmp_path / "*.edf")).orderBy("chan", "block").collect()
     assert len(rows) == 10 and rows[3].name == "A1" and rows[3].t0_us == 3_000_000 and rows[3].fs == 4.0
@@ -130,3 +131,63 @@ def test_live_jobs_equal_batch(spark, tmp_path):
     assert [(r.ts - t0).seconds for r in merged] == [0, 24, 60]
     rate = jobs.run_once(jobs.population_rate(stream, "30 seconds"), str(tmp_path / "c"), "complete").agg(F.sum("n")).first()[0]
     assert rate == 6
+
+
+def test_live_chains_end_in_append_mode(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    kind = "run_id int, detector string, chan int, idx long, ts timestamp"
+    put = lambda seconds, name: spark.createDataFrame([(1, "d", 1, k, t0 + dt.timedelta(seconds=s)) for k, s in enumerate(seconds)], kind).coalesce(1).write.parquet(str(tmp_path / name))
+    stream = lambda name: spark.readStream.schema(kind).parquet(str(tmp_path / name))
+    put((0, 5, 14, 24, 60, 200), "in")
+    put((0,), "end")
+    ended = lambda: jobs.with_end(stream("in"), stream("end"), F.lit(t0 + dt.timedelta(days=2)))
+    chains = lambda name, df: sorted(((r.ts - t0).seconds, r.merged) for r in jobs.run_once(jobs.merged_marks(df, 10_000_000, "20 seconds"), str(tmp_path / name)).collect())
+    assert chains("a", stream("in")) == [(0, 3), (24, 1), (60, 1)]
+    assert chains("b", ended()) == [(0, 3), (24, 1), (60, 1), (200, 1)]
+    rate = jobs.run_once(jobs.population_rate(ended(), "30 seconds", "20 seconds"), str(tmp_path / "c")).collect()
+    assert sorted(((r.start - t0).seconds, r.n) for r in rate) == [(0, 4), (60, 1), (180, 1)]
+
+
+def test_a_late_mark_is_left_out_once_its_chain_is_closed(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    kind = "run_id int, detector string, chan int, idx long, ts timestamp"
+    put = lambda seconds: spark.createDataFrame([(1, "d", 1, s, t0 + dt.timedelta(seconds=s)) for s in seconds], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run = lambda: sorted(((r.ts - t0).seconds, r.merged) for r in jobs.run_once(jobs.merged_marks(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), 10_000_000, "20 seconds"), str(tmp_path / "job")).collect())
+    put((0, 5, 100))
+    assert run() == [(0, 2)]
+    put((7, 95, 101))
+    put((5000,))
+    assert run() == [(0, 2), (95, 3)]
+
+
+def test_filters_reach_recordings(spark, tmp_path, monkeypatch):
+    names, n = ["A1", "A2", "A3"], 50
+    for rec in ("one", "two"):
+        (tmp_path / f"{rec}.edf").write_bytes(sample_file(names, [[[100 * k + c] * n for c in range(3)] for k in range(6)], n))
+    load = lambda: edf.read(spark, str(tmp_path), records=4)
+    key = lambda df: sorted((r.rec_id, r.chan, r.name, r.block, r.t0_us, round(r.samples[0], 1), len(r.samples)) for r in df.collect())
+    every = key(load())
+    assert len(every) == 36 and every[0][:5] == ("one", 0, "A1", 0, 0)
+    for rule, keep in (
+        ("name = 'A2'", lambda r: r[2] == "A2"), ("chan in (0, 2) and block >= 2 and block < 5", lambda r: r[1] != 1 and 2 <= r[3] < 5),
+        ("rec_id = 'two' and block in (0, 5)", lambda r: r[0] == "two" and r[3] in (0, 5)), ("block > 3 and block <= 4 and rec_id <> 'one'", lambda r: r[0] == "two" and r[3] == 4),
+        ("name = 'A2' and chan = 0", lambda r: False), ("block > 9", lambda r: False),
+    ):
+        assert key(load().where(rule)) == [r for r in every if keep(r)], rule
+    sizes, fetched = [], edf.fetched
+    monkeypatch.setattr(edf, "fetched", lambda f, at, size: sizes.append(size) or fetched(f, at, size))
+    reader = edf.FilteringReader({"path": str(tmp_path), "records": "4", "gap": "0"})
+    assert list(reader.pushFilters([edf.EqualTo(("name",), "A2"), edf.EqualTo(("rec_id",), "one"), edf.LessThan(("block",), 5)])) == []
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 5 and sizes == [2 * n] * 5
+
+
+def test_broken_runs_are_not_written(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", 5), (2, "a", 50)], "run_id long, detector string, t_us long")
+    broken = spark.createDataFrame([(2, "event outside", "50"), (3, "event outside", "7")], "run_id long, rule string, detail string")
+    with pytest.raises(runs.BrokenRuns, match="run 2: event outside, 1 times"):
+        runs.write_checked_runs(rows, str(tmp_path / "x"), broken)
+    assert not (tmp_path / "x").exists()
+    runs.write_checked_runs(rows, str(tmp_path / "y"), broken, skip=True)
+    assert [r.run_id for r in runs.read_runs(spark, str(tmp_path / "y")).collect()] == [1]
+    runs.write_checked_runs(rows, str(tmp_path / "z"), broken.where("run_id = 3"))
+    assert runs.read_runs(spark, str(tmp_path / "z")).count() == 2
