@@ -40,12 +40,15 @@ def _bucketed(intervals: DataFrame, width_us: int) -> DataFrame:
     return intervals.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("t0_us") / width_us), F.floor((F.col("t1_us") - 1) / width_us))))
 
 
-def within(events: DataFrame, intervals: DataFrame, keys: list[str], width_us: int, how: str = "inner") -> DataFrame:
+def within(events: DataFrame, intervals: DataFrame, keys: list[str], width_us: int | None, how: str = "inner") -> DataFrame:
     """Events joined to the intervals that hold them: an equi-join on keys and time bucket, then the bounds.
 
-    width_us should be near the intervals' usual length: each interval is copied to the buckets that it meets.
+    width_us should be near the intervals' usual length: each interval is copied to the buckets that it meets. Intervals
+    that do not overlap may have any mix of lengths if width_us is None: then nothing is copied, see carried.
     how: inner, left, left_semi or left_anti.
     """
+    if width_us is None:
+        return carried(events, intervals, keys, how)
     cells = _bucketed(intervals, width_us)
     cells = cells.select(*(F.col(c).alias(f"_i_{c}") for c in cells.columns))
     placed = events.withColumn("_bucket", F.floor(F.col("t_us") / width_us))
@@ -56,6 +59,28 @@ def within(events: DataFrame, intervals: DataFrame, keys: list[str], width_us: i
     return joined.drop("_bucket")
 
 
+def carried(events: DataFrame, intervals: DataFrame, keys: list[str], how: str = "inner", slice_us: int = SLICE_US) -> DataFrame:
+    """within for disjoint intervals of any lengths: one scan over both, in time slices, carries the last interval that began up to each event, which alone can hold it.
+
+    Every event and interval is one row, whether an interval lasts a millisecond or a month. An empty interval holds
+    nothing; an event without a time is in none. Null keys equal each other here.
+    """
+    given = intervals.where("t1_us > t0_us")
+    held = F.struct(*(c for c in intervals.columns if c not in keys))
+    nothing = lambda like: F.lit(None).cast(like.schema["_x"].dataType)
+    starts, marks = given.select(*keys, F.col("t0_us").alias("_at"), held.alias("_x")), events.select(*keys, F.col("t_us").alias("_at"), F.struct(*events.columns).alias("_x"))
+    both = starts.select(*keys, "_at", F.lit(0).alias("_kind"), F.col("_x").alias("_span"), nothing(marks).alias("_row"))
+    both = both.unionByName(marks.where("_at is not null").select(*keys, "_at", F.lit(1).alias("_kind"), nothing(starts).alias("_span"), F.col("_x").alias("_row")))
+    line = running(both, keys, ["_at", "_kind"], slice_us, {"_last": ("last", F.col("_span"))}).where("_kind = 1")
+    inside = F.coalesce(F.col("_at") < F.col("_last.t1_us"), F.lit(False))
+    own = [F.col("_row")[c].alias(c) for c in events.columns]
+    if how in ("left_semi", "left_anti"):
+        found = line.where(inside if how == "left_semi" else ~inside).select(*own)
+    else:
+        found = (line if how == "left" else line.where(inside)).select(*own, *(F.when(inside, F.col("_last")[c]).alias(c) for c in intervals.columns if c not in keys))
+    return found.unionByName(events.where("t_us is null"), allowMissingColumns=True) if how in ("left", "left_anti") else found
+
+
 def clocked(segments: DataFrame, keys: list[str]) -> DataFrame:
     """Disjoint segments with before_us, the length of all segments of the same keys that lie ahead, and length_us, that of all of them: the condition's own clock runs from 0 to length_us and stands still between segments."""
     length = F.col("t1_us") - F.col("t0_us")

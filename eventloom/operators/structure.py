@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -90,9 +92,15 @@ def synchrony_in_condition(events: DataFrame, segments: DataFrame, keys: list[st
 
 
 def bins_by_width(events: DataFrame, by: list[str], widths: list[int]) -> DataFrame:
-    """(by, width_us, bin, n) of a whole recording's bins that hold events, for all widths at once."""
-    rows = events.withColumn("width_us", F.explode(F.array(*(F.lit(w).cast("long") for w in widths))))
-    return rows.groupBy(*by, "width_us", F.floor(F.col("t_us") / F.col("width_us")).alias("bin")).agg(F.count("*").alias("n"))
+    """(by, width_us, bin, n) of a whole recording's bins that hold events, for all widths at once.
+
+    Events are counted once, in bins of the widths' greatest common divisor, which no bin's edge cuts; only these
+    counts go on to every width.
+    """
+    least = math.gcd(*widths)
+    fine = events.groupBy(*by, F.floor(F.col("t_us") / least).alias("_fine")).agg(F.count("*").alias("_n"))
+    rows = fine.withColumn("width_us", F.explode(F.array(*(F.lit(w).cast("long") for w in widths))))
+    return rows.groupBy(*by, "width_us", F.floor(F.col("_fine") * least / F.col("width_us")).alias("bin")).agg(F.sum("_n").alias("n"))
 
 
 def fano(events: DataFrame, by: list[str], widths: list[int], total_us: int, least_rate: float, unit_us: int) -> DataFrame:

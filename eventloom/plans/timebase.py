@@ -132,6 +132,17 @@ def i6_reject(t):
     return P.reject_masked(t.detections, t.mask(), 6 * HOUR).groupBy("run_id", "detector", "chan").agg(F.count("*").alias("n"), F.sum("t_us").alias("sum_t"))
 
 
+_MIXED = f"select run_id, chan, t0_us, t1_us from mask where chan % 10 <> 0 union all select run_id, chan, {2 * DAY}::bigint, {23 * DAY}::bigint from channels where chan % 10 = 0"
+
+
+@query(f", mx as ({_MIXED}) select run_id, detector, count(*) as n, sum(t_us)::bigint as sum_t from det d where not exists (select 1 from mx where mx.run_id = d.run_id and mx.chan = d.chan and d.t_us >= mx.t0_us and d.t_us < mx.t1_us) group by all")
+def i6_reject_any_length(t):
+    """Events outside a mask whose intervals last hours on some channels and weeks on others, by one scan."""
+    weeks = t.channels.where("chan % 10 = 0").select("run_id", "chan", F.lit(2 * DAY).cast("long").alias("t0_us"), F.lit(23 * DAY).cast("long").alias("t1_us"))
+    mask = t.mask().where("chan % 10 <> 0").unionByName(weeks)
+    return I.within(t.detections, mask, ["run_id", "chan"], None, "left_anti").groupBy("run_id", "detector").agg(F.count("*").alias("n"), F.sum("t_us").alias("sum_t"))
+
+
 @query(f", s as (select *, unnest(range(t0_us // {DAY}, (t1_us - 1) // {DAY} + 1)) as slice from mask) select run_id, chan, slice, ({DAY} - sum(least(t1_us, (slice + 1) * {DAY}) - greatest(t0_us, slice * {DAY})))::bigint as clean_us from s group by all")
 def i7_clean_per_day(t):
     """Unmasked time per channel and day, where a mask touches it."""

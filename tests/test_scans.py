@@ -89,3 +89,27 @@ def test_backgrounds_in_slices_equal_those_over_the_channel(spark, monkeypatch):
     for r in parts:
         for name in ("mode", "median", "mean", "threshold"):
             assert r[name] == pytest.approx(whole[r.chan, r.at][name], rel=1e-9)
+
+
+def test_intervals_of_any_length_hold_what_a_walk_says(spark):
+    rnd = random.Random(11)
+    cuts = sorted(rnd.sample(range(100_000), 60))
+    spans = [("a", x, y, k) for k, (x, y) in enumerate(zip(cuts[::2], cuts[1::2]))] + [("b", 0, 90_000, 100), ("c", 5, 5, 101)]
+    spans += [("a", x, x + 1, 200 + k) for k, x in enumerate(range(200_000, 200_050, 2))]
+    events = [(i, rnd.choice("abcd"), rnd.choice([rnd.randrange(100_000), 200_000 + rnd.randrange(60), *cuts])) for i in range(500)] + [(500, "a", None)]
+    I_, E = spark.createDataFrame(spans, "k string, t0_us long, t1_us long, name long"), spark.createDataFrame(events, "id long, k string, t_us long").repartition(5)
+    of = {i: next((n for key, x, y, n in spans if t is not None and key == k and x <= t < y), None) for i, k, t in events}
+    for slice_us in (7, 1_000, 10**9):
+        got = {r.id: r.name for r in intervals.carried(E, I_, ["k"], "left", slice_us).collect()}
+        assert got == of
+    for how, keep in (("inner", True), ("left_semi", True), ("left_anti", False)):
+        got = sorted(r.id for r in intervals.within(E, I_, ["k"], None, how).collect())
+        assert got == sorted(i for i, n in of.items() if (n is not None) == keep), how
+    assert intervals.within(E, I_.where("false"), ["k"], None, "left_anti").count() == 501
+
+
+def test_the_clock_of_a_condition_stands_still_between_segments(spark):
+    segments = spark.createDataFrame([("r", 10, 20), ("r", 50, 55), ("s", 0, 7)], "k string, t0_us long, t1_us long")
+    events = spark.createDataFrame([("r", 10), ("r", 20), ("r", 52), ("s", 6), ("s", 7), ("q", 1)], "k string, t_us long")
+    got = sorted(tuple(r) for r in intervals.on_clock(events, segments, ["k"], 10).collect())
+    assert got == [("r", 10, 0, 15), ("r", 52, 12, 15), ("s", 6, 6, 7)]
