@@ -125,6 +125,34 @@ def discharges(marks: DataFrame, dt_us: int) -> DataFrame:
     return out.withColumn("duration_us", F.col("t1_us") - F.col("t0_us"))
 
 
+def discharges_with_signal(marks: DataFrame, signals: DataFrame, dt_us: int, width_us: int) -> DataFrame:
+    """(rec_id, t0_us, t1_us, duration_us, chan, con, marks, last_us, height, raw) of every event on every channel of its recording.
+
+    signals has channel-blocks with two arrays of equal length: samples, and heights, the envelope over its background;
+    width_us should be near a block's usual length. Events are those of discharges. Over an event's time, bounds included,
+    height is the greatest absolute height and raw the sample of greatest absolute value with its sign, the first of
+    equal ones. con and marks are 0 and last_us null where a channel has no mark; channels without samples then have no
+    row. Events meet blocks by an equi-join on recording and time bucket, and only the touched part of a block is
+    looked at; what leaves a block is one row.
+    """
+    found = discharges(marks.select("rec_id", "chan", "t_us", "con"), dt_us)
+    events = found.select("rec_id", "t0_us", "t1_us").distinct()
+    end = F.col("t0_us") + F.ceil(F.size("samples") * 1e6 / F.col("fs"))
+    cells = lambda a, b: F.explode(F.sequence(F.floor(a / width_us), F.floor(b / width_us)))
+    blocks = signals.where(F.size("samples") > 0).withColumn("_c", cells(F.col("t0_us"), end - 1)).select("rec_id", "chan", "fs", "samples", "heights", "_c", F.col("t0_us").alias("_b0"), end.alias("_b1"))
+    met = events.withColumn("_c", cells(F.col("t0_us"), F.col("t1_us"))).join(blocks, ["rec_id", "_c"])
+    met = met.where((F.col("_b0") <= F.col("t1_us")) & (F.col("t0_us") < F.col("_b1")) & (F.col("_c") == F.floor(F.greatest("t0_us", "_b0") / width_us)))
+    place = lambda t: (t - F.col("_b0")) * F.col("fs") / 1e6
+    first = F.greatest(F.ceil(F.round(place(F.col("t0_us")), 6)), F.lit(0))
+    size = F.least(F.floor(F.round(place(F.col("t1_us")), 6)) + 1, F.size("samples").cast("long")) - first
+    part = lambda c: F.slice(c, (first + 1).cast("int"), F.greatest(size, F.lit(0)).cast("int"))
+    high = F.array_max(F.transform(part("heights"), F.abs))
+    far = F.array_max(F.transform(part("samples"), lambda x, i: F.struct(F.abs(x).alias("far"), (-(F.col("_b0") + (first + i) * 1e6 / F.col("fs"))).alias("before"), x.alias("raw"))))
+    per = met.select("rec_id", "t0_us", "t1_us", "chan", high.alias("_high"), far.alias("_far")).groupBy("rec_id", "t0_us", "t1_us", "chan").agg(F.max("_high").alias("height"), F.max("_far")["raw"].alias("raw"))
+    out = per.join(found, ["rec_id", "t0_us", "t1_us", "chan"], "full")
+    return out.select("rec_id", "t0_us", "t1_us", (F.col("t1_us") - F.col("t0_us")).alias("duration_us"), "chan", F.coalesce("con", F.lit(0.0)).alias("con"), F.coalesce("marks", F.lit(0)).alias("marks"), "last_us", "height", "raw")
+
+
 def rhythm_mask(signals: DataFrame, window: int, low: float, high: float, blocks: int = 10) -> DataFrame:
     """(rec_id, chan, t0_us, t1_us) of windows whose autoregressive spectrum peaks between two frequencies.
 

@@ -87,6 +87,20 @@ def d7_discharges(t):
     return G.discharges(marks, 2 * HOUR)
 
 
+_EVENTS = _CROSS + f", nw as (select rec_id, chan, (peak_at * {HOUR})::bigint as t_us, case when peak > 150 then 1.0 else 0.5 end as con, case when peak_at - lag(peak_at) over (partition by rec_id order by peak_at, chan) <= 2 then 0 else 1 end as new from cr), en as (select *, sum(new) over (partition by rec_id order by t_us, chan rows unbounded preceding) as event from nw), ee as (select rec_id, event, min(t_us) as t0_us, max(t_us) + {2 * HOUR} as t1_us from en group by all), ma as (select rec_id, event, chan, max(con)::double as con, count(*) as marks, max(t_us) + {2 * HOUR} as last_us from en group by all), sg as (select ee.rec_id, event, t0_us, t1_us, chan, max(abs(v - mode - median)) as height, arg_max(v - 60, (abs(v - 60), -hour)) as raw from ee join tt on tt.rec_id = ee.rec_id and hour * {HOUR} between t0_us and t1_us group by all)"
+
+
+@query(_EVENTS + " select sg.rec_id, t0_us, t1_us, t1_us - t0_us as duration_us, sg.chan, coalesce(con, 0) as con, coalesce(marks, 0) as marks, last_us, round(height, 5) as height, round(raw, 5) as raw from sg left join ma on ma.rec_id = sg.rec_id and ma.event = sg.event and ma.chan = sg.chan")
+def d7_with_signal(t):
+    """The same events on every channel, marked or not, with the height over the background and the signed extreme of the sum less 60."""
+    rows = _background(t).select("rec_id", "chan", F.floor(F.col("hour") / 24).alias("block"), F.struct("hour", (F.col("v") - 60).alias("x"), (F.col("v") - F.col("mode") - F.col("median")).alias("height")).alias("s"))
+    days = rows.groupBy("rec_id", "chan", "block").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    signals = days.select("rec_id", "chan", (F.col("block") * DAY).alias("t0_us"), F.lit(FS).alias("fs"), F.col("s.x").alias("samples"), F.col("s.height").alias("heights"))
+    marks = _crossings(t).select("rec_id", "chan", (F.col("peak_at") * HOUR).alias("t_us"), F.when(F.col("peak") > 150, 1.0).otherwise(0.5).alias("con"))
+    found = G.discharges_with_signal(marks, signals, 2 * HOUR, DAY)
+    return found.withColumn("height", F.round("height", 5)).withColumn("raw", F.round("raw", 5))
+
+
 def _power_sql() -> str:
     part = lambda f: f"list_sum(list_transform(range(64), lambda i: (embedding[i + 1]::double - mu) * (0.5 - 0.5 * cos(2 * pi() * i / 64)) * {f}(2 * pi() * k * i / 64)))"
     return f", mm as (select vec_id, embedding, list_avg(list_transform(embedding, lambda x: x::double)) as mu from embeddings), fk as (select unnest(range(33)) as k), pk as (select vec_id, k, {part('cos')} as re, {part('sin')} as im from mm, fk), pw as (select vec_id, k, (re * re + im * im) * case when k in (0, 32) then 1 else 2 end / (64 * 24.0) as p from pk)"

@@ -191,3 +191,23 @@ def test_broken_runs_are_not_written(spark, tmp_path):
     assert [r.run_id for r in runs.read_runs(spark, str(tmp_path / "y")).collect()] == [1]
     runs.write_checked_runs(rows, str(tmp_path / "z"), broken.where("run_id = 3"))
     assert runs.read_runs(spark, str(tmp_path / "z")).count() == 2
+
+
+def test_discharges_look_at_all_channels_samples(spark):
+    rnd = np.random.default_rng(3)
+    n, per, dt_us, step = 120, 10, 25, 10
+    raw, high = np.round(rnd.normal(size=(3, n)), 1), np.round(rnd.normal(size=(3, n)), 2)
+    rows = [("r", c, b * per * step, 1e6 / step, raw[c, b * per : (b + 1) * per].tolist(), high[c, b * per : (b + 1) * per].tolist()) for c in range(3) for b in range(n // per) if (c, b) != (1, 4)]
+    signals = spark.createDataFrame(rows, "rec_id string, chan int, t0_us long, fs double, samples array<double>, heights array<double>")
+    marks = [(0, 93), (0, 100), (1, 118), (0, 400), (1, 431), (0, 1180)]
+    frame = spark.createDataFrame([("r", c, t, 1.0 if c else 0.5) for c, t in marks], "rec_id string, chan int, t_us long, con double")
+    expected = set()
+    for t0, t1 in ((93, 143), (400, 425), (431, 456), (1180, 1205)):
+        for c in range(3):
+            own = [t for k, t in marks if k == c and t0 <= t < t1]
+            at = [k for k in range(n) if t0 <= k * step <= t1 and not (c == 1 and 40 <= k < 50)]
+            if own or at:
+                expected.add((t0, t1, c, (1.0 if c else 0.5) if own else 0.0, len(own), max(own) + dt_us if own else None, max(abs(high[c, at])) if at else None, max(raw[c, at], key=abs) if at else None))
+    for width in (100, 37, 5000):
+        got = G.discharges_with_signal(frame, signals, dt_us, width).collect()
+        assert {(r.t0_us, r.t1_us, r.chan, r.con, r.marks, r.last_us, r.height, r.raw) for r in got} == expected and len(got) == len(expected)
