@@ -257,8 +257,8 @@ LATE, END = "40 days", EPOCH + TOTAL + 60 * DAY
 
 
 def _ended(t):
-    """The stream with end marks, which rows of the same file stand for."""
-    return jobs.with_end(_stream(t), _stream(t).where("chan = 0 and detector = 'click'"), F.timestamp_micros(F.lit(END)))
+    """The stream with end marks, for which channel 0's rows of the same file stand."""
+    return jobs.with_end(_stream(t), _stream(t).where("chan = 0"), F.timestamp_micros(F.lit(END)))
 
 
 def _ran(t, df):
