@@ -21,8 +21,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW, SMOOTHING, GENERALISE, REMOVE = 5, 1, 0.8, 0.95
 #: The largest set of candidate terms that is broadcast; more are joined by shuffling.
 BROADCAST_TERMS = 200_000
-#: One of so many partitions is counted first, as no term that is too frequent there can reveal anything.
-FIRST = 32
+#: One of so many partitions is counted before all are, in turn, as no term that is too frequent there can reveal anything.
+ROUNDS = (32, 8, 2)
 #: Terms counted in a Python worker before their counts are passed on.
 HELD_TERMS = 400_000
 
@@ -224,14 +224,17 @@ def revealing(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_co
     kinds = found.select(F.explode(F.array_distinct("held.kind")).alias("kind")).groupBy("kind").agg(F.count("*").alias("in_kind"))
     entities = alone.join(groups, "grp").join(F.broadcast(kinds), "kind")
     # no smoothing gives more than all rows with both: pairs that cannot reach the bar go before their rows are counted,
-    # first by lower bounds of n: the rows with the term beside any entity, then those of a few whole partitions. So
-    # what tasks pass on are counts of rare terms, not every common word once a task
+    # by lower bounds of n: the rows with the term beside any entity, then those of ever more whole partitions. A term
+    # that outlives a round has few rows in its partitions, so it has few in the next ones as well: what tasks pass on
+    # grows with the terms that can reveal something, not with terms times tasks. Rounds overlap, and the last one counts
+    # all rows, so nothing rests on a partition holding the same rows twice
     content = F.log(F.lit(total) / F.col("alone"))
     reach = lambda n: (content > 0) & (1 + F.log((F.least("alone", n) + weight) / (F.col(n) + weight)) / content >= least)
     beside = found.select(F.explode(F.array_distinct("near.term")).alias("term")).groupBy("term").agg(F.count("*").alias("beside"))
     near = written(near.join(entities, "entity").join(beside, "term").where(reach("beside")).drop("beside"), "pii-pairs")
-    some = term_counts(docs.where(F.pmod(F.spark_partition_id(), F.lit(FIRST)) == 0), near.select("term").distinct(), text_col)
-    near = written(near.join(some, "term", "left").fillna(0, ["n"]).where(reach("n")).drop("n"), "pii-rare-pairs")
+    for one_in in ROUNDS:
+        some = term_counts(docs.where(F.pmod(F.spark_partition_id(), F.lit(one_in)) == 0), near.select("term").distinct(), text_col)
+        near = written(near.join(some, "term", "left").fillna(0, ["n"]).where(reach("n")).drop("n"), "pii-rare-pairs")
     counted = term_counts(docs, near.select("term").distinct(), text_col)
     pairs = written(near.join(counted, "term").where(reach("n")), "pii-candidates")
     seen = written(occurrences(docs, pairs.select("term").distinct(), True, id_col, text_col), "pii-occurrences")

@@ -42,8 +42,8 @@ def test_terms_counted_first_in_few_or_all_partitions_or_joined_give_equal_spans
     found = lambda: sorted((x.doc_id, [tuple(s) for s in x.terms]) for x in pii.sensitive(docs).collect())
     first = found()
     assert any(terms for _, terms in first)
-    monkeypatch.setattr(pii, "FIRST", 1)
-    assert found() == first
-    monkeypatch.setattr(pii, "FIRST", 3)
+    for rounds in ((), (1,), (5, 3)):
+        monkeypatch.setattr(pii, "ROUNDS", rounds)
+        assert found() == first
     monkeypatch.setattr(pii, "BROADCAST_TERMS", 0)
     assert found() == first
