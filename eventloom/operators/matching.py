@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import deque
+from collections import defaultdict, deque
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -129,6 +129,101 @@ def match(a: DataFrame, b: DataFrame, keys: list[str], tol, time: str = "t_us",
     return ordered.mapInArrow(walk, schema)
 
 
+def pair_off_points(rows, n_keys: int, tol):
+    """(row, partners' times or None, one a point) for rows (keys..., time, side, lo, hi) sorted by keys and time.
+
+    A row takes part in the points lo to hi - 1; each point has its own queue, which pairs as pair_off does. What is out
+    of reach is settled at all points, so one line of the events within one tolerance holds all that waits.
+    """
+    queues: dict = defaultdict(deque)
+    line: deque = deque()
+    group = None
+    for row in rows:
+        if row[:n_keys] != group:
+            yield from line
+            line.clear()
+            queues.clear()
+            group = row[:n_keys]
+        now, side, lo, hi = row[n_keys:]
+        while line and now - line[0][0][n_keys] > tol:
+            yield line.popleft()
+        event = (row, [None] * (hi - lo))
+        line.append(event)
+        for point in range(lo, hi):
+            queue = queues[point]
+            while queue and now - queue[0][0][n_keys] > tol:
+                queue.popleft()
+            if queue and queue[0][0][n_keys + 1] != side:
+                other, partners = queue.popleft()
+                partners[point - other[n_keys + 2]] = now
+                event[1][point - lo] = other[n_keys]
+            else:
+                queue.append(event)
+    yield from line
+
+
+def match_points(a: DataFrame, b: DataFrame, keys: list[str], tol, points: int, time: str = "t_us") -> DataFrame:
+    """(keys, time, side, lo, partners): events of a (side 0) matched with those of b (side 1) at every point of a sweep, in one walk.
+
+    b has columns lo and hi: an event is there at the points lo to hi - 1 (a threshold's sweep is such a range); a is there
+    at all points, 0 to points - 1. partners has the partner's time, or null, of each of an event's points, from lo on. Pairs
+    are those of match() at each point by itself, but every event is shuffled as one row, whatever the number of
+    points. Events with a null time or without a point go. Islands are those of all events together.
+    """
+    kinds = dict(a.dtypes)
+    sides = [a.select(*keys, time, F.lit(0).alias("side"), F.lit(0).alias("lo"), F.lit(points).alias("hi")), b.select(*keys, time, F.lit(1).alias("side"), F.col("lo").cast("int"), F.col("hi").cast("int"))]
+    both = sides[0].unionByName(sides[1]).where(F.col(time).isNotNull() & (F.col("lo") < F.col("hi")))
+    names = [*keys, "island", time, "side", "lo", "hi"]
+    # a number of its own: rows are short and the walk is long, so partitions are not to be put together by their bytes
+    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = islands(both, keys, tol, time).select(*names).repartition(parts, *keys, "island").sortWithinPartitions(*names[:-2])
+    n = len(keys) + 1
+
+    def walk(batches):
+        types = []
+
+        def rows():
+            for batch in batches:
+                types[:] = [field.type for field in batch.schema]
+                yield from zip(*(c.to_pylist() for c in batch.columns))
+
+        def packed(done):
+            kept = [i for i in range(n + 3) if i != n - 1]
+            arrays = [pa.array([row[i] for row, _ in done], types[i]) for i in kept]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array([p for _, p in done], pa.list_(types[n]))], [*(names[i] for i in kept), "partners"])
+
+        done = []
+        for found in pair_off_points(rows(), n, tol):
+            done.append(found)
+            if len(done) == 10_000:
+                yield packed(done)
+                done = []
+        if done:
+            yield packed(done)
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, time]) + f", side int, lo int, partners array<{kinds[time]}>"
+    return ordered.mapInArrow(walk, schema)
+
+
+def sweep_counts(truth: DataFrame, detections: DataFrame, groups: list[str], values: list, keys: list[str], tol: int, by: list[str]) -> DataFrame:
+    """(by, detector, value, tp, n_true, n_det): detections (detector, keys, t_us, score) of at least each value, matched with truth.
+
+    by is among keys. All detectors and values are points of one walk, so truth and detections are shuffled once; detectors
+    that are not in groups, and null scores, are left out. Where there are events of neither side there is no row.
+    """
+    steps = sorted(set(values))
+    names, bounds = F.array(*map(F.lit, groups)), F.array(*map(F.lit, steps))
+    first = (F.array_position(names, F.col("detector")) - 1) * len(steps)
+    rows = detections.select(*keys, "t_us", first.alias("lo"), (first + F.size(F.filter(bounds, lambda v: v <= F.col("score")))).alias("hi")).where("lo >= 0")
+    found = match_points(truth, rows, keys, tol, len(groups) * len(steps))
+    every = found.select(*by, "side", "lo", F.posexplode("partners").alias("_at", "_partner"))
+    is_true, hit = F.col("side") == 0, F.col("_partner").isNotNull()
+    count = lambda c: F.sum(c.cast("long"))
+    per = every.groupBy(*by, (F.col("lo") + F.col("_at")).alias("_point")).agg(count(is_true & hit).alias("tp"), count(is_true).alias("n_true"), count(~is_true).alias("n_det"))
+    at = lambda line, i: F.element_at(line, (i + 1).cast("int"))
+    return per.select(*by, at(names, F.floor(F.col("_point") / len(steps))).alias("detector"), at(bounds, F.col("_point") % len(steps)).alias("value"), "tp", "n_true", "n_det")
+
+
 def detector_pairs(detections: DataFrame, detectors: list[str], keys: list[str] = ["run_id", "chan"]) -> tuple[DataFrame, DataFrame]:
     """Both sides of every unordered pair of detectors, labelled det_a and det_b; each event is copied to the pairs it is in."""
     pairs = F.array(*(F.struct(F.lit(a).alias("det_a"), F.lit(b).alias("det_b")) for i, a in enumerate(sorted(detectors)) for b in sorted(detectors)[i + 1 :]))
@@ -246,13 +341,16 @@ def both_measurable(on: DataFrame, off: DataFrame, keys: list[str]) -> DataFrame
     return side(on, "on").join(side(off, "off"), keys)
 
 
-def sweep_against(sweep: DataFrame, fixed: DataFrame, keys: list[str], tol: int) -> DataFrame:
-    """Per value of a moved parameter: events, pairs with the fixed detector, Jaccard, and whether the count never moves."""
-    values = sweep.select("value").distinct()
-    side_b = fixed.select(*keys, "t_us").crossJoin(F.broadcast(values))
-    found = match(sweep, side_b, ["value", *keys], tol)
-    n_a, n_b = F.sum((F.col("side") == 0).cast("long")), F.sum((F.col("side") == 1).cast("long"))
-    m = F.sum(((F.col("side") == 0) & F.col("partner").isNotNull()).cast("long"))
-    out = found.groupBy("value").agg(n_a.alias("n"), m.alias("matched"), (m / (n_a + n_b - m)).alias("jaccard"))
+def sweep_against(moved: DataFrame, fixed: DataFrame, values: list, keys: list[str], tol: int) -> DataFrame:
+    """Per value of a moved threshold: events of moved (detector, keys, t_us, score) that reach it, pairs with the fixed detector, Jaccard, and whether the count never moves.
+
+    All values are matched in one walk. A value that no event reaches has no row.
+    """
+    detector = moved.select("detector").distinct().limit(2).collect()
+    if len(detector) > 1:
+        raise ValueError("a sweep moves one detector")
+    counts = sweep_counts(fixed, moved, [r[0] for r in detector] or [""], values, keys, tol, [keys[0]])
+    out = counts.groupBy("value").agg(F.sum("n_det").alias("n"), F.sum("tp").alias("matched"), F.sum("n_true").alias("_fixed")).where("n > 0")
     every = W.partitionBy()
+    out = out.select("value", "n", "matched", (F.col("matched") / (F.col("n") + F.col("_fixed") - F.col("matched"))).alias("jaccard"))
     return out.withColumn("constant", F.min("n").over(every) == F.max("n").over(every))

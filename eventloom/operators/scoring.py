@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventloom.functions.columns import wilson
-from eventloom.operators.matching import match
+from eventloom.operators.matching import match, sweep_counts
 from eventloom.operators.rates import average_rank, correlation
 from eventloom.operators.selection import counted, joined, medians_of
 
@@ -149,10 +149,21 @@ def matrix(found: DataFrame, channels: DataFrame, points: DataFrame, by: list[st
     """(subject, by, tp, n_true, n_det, chan_min): counts of every subject and sweep point; points without events stay at zero."""
     truth, hit = F.col("side") == 0, F.col("partner").isNotNull()
     per = found.groupBy(F.col("run_id").alias("subject"), *by).agg(F.sum((truth & hit).cast("long")).alias("tp"), F.sum(truth.cast("long")).alias("n_true"), F.sum((~truth).cast("long")).alias("n_det"))
+    return _at_all_points(per, channels, points, by, minutes)
+
+
+def _at_all_points(per: DataFrame, channels: DataFrame, points: DataFrame, by: list[str], minutes: float) -> DataFrame:
     size = channels.groupBy(F.col("run_id").alias("subject")).agg((F.count("*") * minutes).alias("chan_min"))
     return size.crossJoin(F.broadcast(points.select(*by).distinct())).join(per, ["subject", *by], "left").fillna(0, ["tp", "n_true", "n_det"])
 
 
+def sweep_matrix(truth: DataFrame, detections: DataFrame, channels: DataFrame, detectors: list[str], values: list, tol: int, minutes: float) -> DataFrame:
+    """matrix() of every detector and threshold from detections with their score: all points in one walk, truth shuffled once."""
+    per = sweep_counts(truth, detections, detectors, values, ["run_id", "chan"], tol, ["run_id"]).withColumnRenamed("run_id", "subject")
+    points = truth.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, detectors))).alias("detector")).select("detector", F.explode(F.array(*map(F.lit, values))).alias("value"))
+    return _at_all_points(per, channels, points, ["detector", "value"], minutes)
+
+
 def budget_recall(rows: DataFrame, by: list[str]) -> DataFrame:
     """Pooled over subjects: budget (detections a channel-minute), recall and precision per sweep point."""
     out = rows.groupBy(*by).agg(F.sum("tp").alias("tp"), F.sum("n_true").alias("n_true"), F.sum("n_det").alias("n_det"), F.sum("chan_min").alias("chan_min"))

@@ -134,4 +134,4 @@ def sweep(t, detector: str = "view"):
 @query(", " + matched("m", _MOVED, _FIXED, TOL) + f", c as (select split_part(g, '/', 1)::int as value, count(*) as m from m group by 1), n as (select v.v as value, count(*) as n from det, (select unnest([{', '.join(map(str, THRESHOLDS))}]) as v) v where detector = 'view' and det.value >= v.v group by 1), f as (select count(*) as nf from det where detector = 'click') select n.value, n.n, coalesce(c.m, 0) as matched, round(coalesce(c.m, 0) / (n + nf - coalesce(c.m, 0)), 6) as jaccard, min(n) over () = max(n) over () as constant from n left join c using (value), f")
 def g22_sweep_fixed(t):
     """One detector's threshold moved against a fixed detector."""
-    return M.sweep_against(sweep(t), side(t, "click"), KEYS, TOL).withColumn("jaccard", F.round("jaccard", 6))
+    return M.sweep_against(t.detections.where("detector = 'view'").withColumn("score", F.col("value")), side(t, "click"), list(THRESHOLDS), KEYS, TOL).withColumn("jaccard", F.round("jaccard", 6))

@@ -106,21 +106,14 @@ def g3_g4_detection_by_amplitude(t):
     return rnd(S.detection_by_amplitude(found, ["detector"]), "p", "low", "high")
 
 
-def swept(t):
-    """Detections of every detector at every threshold, and their matches with truth; no guard."""
-    values = F.explode(F.array(*map(F.lit, THRESHOLDS)))
-    rows = t.detections.withColumn("score", F.col("value")).withColumn("value", values).where("score >= value")
-    return S.hits(t.truth, rows.select("detector", "value", "run_id", "chan", "t_us"), ["detector", "value"], TOL)
-
-
 def points(t):
     """Every detector and threshold."""
     return t.spark.range(1).select(F.explode(F.array(*map(F.lit, DETECTORS))).alias("detector")).select("detector", F.explode(F.array(*map(F.lit, THRESHOLDS))).alias("value"))
 
 
 def matrix(t):
-    """(subject, detector, value) counts."""
-    return S.matrix(swept(t), t.channels, points(t), ["detector", "value"], TOTAL / DAY)
+    """(subject, detector, value) counts of every detector at every threshold; no guard."""
+    return S.sweep_matrix(t.truth, t.detections.withColumn("score", F.col("value")), t.channels, list(DETECTORS), list(THRESHOLDS), TOL, TOTAL / DAY)
 
 
 _V = "(select unnest([" + ", ".join(map(str, THRESHOLDS)) + "]) as v)"
