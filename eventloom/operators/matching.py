@@ -84,7 +84,9 @@ def match(a: DataFrame, b: DataFrame, keys: list[str], tol, time: str = "t_us",
     kinds = dict(both.dtypes)
     order = [time, "side", *carry]
     whole = W.partitionBy(*keys, "island").orderBy(*order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    counted = islands(both, keys, tol, time).withColumn("_n", F.count("*").over(whole)).withColumn("_b", F.sum("side").over(whole)).withColumn("_both", F.sum(time).over(whole))
+    # a number of its own: rows are short and the walk is long, so partitions are not to be put together by their bytes
+    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = islands(both, keys, tol, time).repartition(parts, *keys, "island").withColumn("_n", F.count("*").over(whole)).withColumn("_b", F.sum("side").over(whole)).withColumn("_both", F.sum(time).over(whole))
     one_sided, lone = (F.col("_b") == 0) | (F.col("_b") == F.col("_n")), (F.col("_b") == 1) & (F.col("_n") == 2)
     partner = F.when(lone, F.col("_both") - F.col(time)).cast(kinds[time])
     placed = counted.select(*keys, "island", *order, (one_sided | lone).alias("_easy"), partner.alias("partner"))
