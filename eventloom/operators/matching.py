@@ -210,7 +210,7 @@ def match_points(a: DataFrame, b: DataFrame, keys: list[str], tol, points: int,
 def sweep_counts(truth: DataFrame, detections: DataFrame, groups: list[str], values: list, keys: list[str], tol: int, by: list[str]) -> DataFrame:
     """(by, detector, value, tp, n_true, n_det): detections (detector, keys, t_us, score) of at least each value, matched with truth.
 
-    by is among keys. All detectors and values are points of one walk, so truth and detections are shuffled once; detectors
+    by is among keys. All detectors and values are points of one walk, so truth and detections are shuffled as one row each; detectors
     that are not in groups, and null scores, are left out. Where there are events of neither side there is no row.
     """
     steps = sorted(set(values))

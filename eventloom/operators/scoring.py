@@ -158,7 +158,7 @@ def _at_all_points(per: DataFrame, channels: DataFrame, points: DataFrame, by: l
 
 
 def sweep_matrix(truth: DataFrame, detections: DataFrame, channels: DataFrame, detectors: list[str], values: list, tol: int, minutes: float) -> DataFrame:
-    """matrix() of every detector and threshold from detections with their score: all points in one walk, truth shuffled once."""
+    """matrix() of every detector and threshold from detections with their score: all points in one walk, truth not copied to them."""
     per = sweep_counts(truth, detections, detectors, values, ["run_id", "chan"], tol, ["run_id"]).withColumnRenamed("run_id", "subject")
     points = truth.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, detectors))).alias("detector")).select("detector", F.explode(F.array(*map(F.lit, values))).alias("value"))
     return _at_all_points(per, channels, points, ["detector", "value"], minutes)

@@ -45,7 +45,7 @@ def test_partners_are_those_of_match(spark):
     assert empty.where("side = 1 or partner is not null").count() == 0 and empty.count() == 2 * 100
 
 
-def test_empty_sides_and_a_plan_that_shuffles_truth_once(spark):
+def test_empty_sides_and_a_plan_of_as_many_shuffles_for_more_points(spark):
     truth, found = trains(spark, 4, 20, 500)
     channels = truth.select("run_id", "chan").distinct()
     none = S.sweep_matrix(truth, found.limit(0), channels, ["p", "q"], [0, 2], 10, 1.0).collect()
