@@ -19,7 +19,7 @@ def classify(spark, docs, sf_dir):
 
 
 def deduplicate(spark, docs, sf_dir):
-    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) the document with the smallest id stays."""
+    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) the document with the smallest id stays; candidates come from SimHash anchors, then from min-hash bands."""
     ready(spark)
     return copies.one_of_each(docs)
 

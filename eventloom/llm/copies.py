@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from eventloom.llm import simhash
 from eventloom.llm.common import packed, row_key, rows_as, unpacked, written
 from eventloom.llm.components import components
 
@@ -46,17 +47,18 @@ def _key(words: list[bytes]) -> bytes:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, key, n, bands) for every row: key stands for the words of the text, n counts distinct shingles."""
+    """(row, doc_id, key, n, fp, bands) for every row: key stands for the words of the text, n counts distinct shingles, fp is their SimHash."""
 
     def batches(rows):
         for b in rows:
             words = [words_of(t.as_py()) for t in b.column(2)]
             sets = [shingles(w) for w in words]
             signed = pa.array([bands(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(_key, words), pa.binary()), pa.array(map(len, sets), pa.int64()), signed], ["row", "doc_id", "key", "n", "bands"])
+            prints = pa.array(map(simhash.fingerprint_of, sets), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(_key, words), pa.binary()), pa.array(map(len, sets), pa.int64()), prints, signed], ["row", "doc_id", "key", "n", "fp", "bands"])
 
     kept = rows_as(docs, doc_id="doc_id", text="text").select(row_key(F.col("doc_id"), F.col("text")).alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return kept.mapInArrow(batches, "row binary, doc_id long, key binary, n long, bands array<long>")
+    return kept.mapInArrow(batches, "row binary, doc_id long, key binary, n long, fp long, bands array<long>")
 
 
 def sets_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -132,26 +134,47 @@ def rare_pairs(rows: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFr
     return found.select(*_ordered(F.col("p"), F.col("q"))).distinct()
 
 
+def anchored(prints: DataFrame) -> DataFrame:
+    """(u, v), u < v: the pairs of texts (key, fp) that meet at an anchor of the SimHash cover within its three bits.
+
+    Each text meets the first of its own fingerprint, and firsts meet across the links of fingerprints, so a
+    crowded fingerprint costs one pair a text.
+    """
+    firsts = prints.groupBy("fp").agg(F.min("key").alias("first"))
+    own = prints.join(firsts, "fp").where("key <> first").select(*_ordered(F.col("key"), F.col("first")))
+    at = lambda side: firsts.select(F.col("fp").alias(side), F.col("first").alias(f"first_{side}"))
+    across = simhash.links(firsts).join(at("u"), "u").join(at("v"), "v").select(*_ordered(F.col("first_u"), F.col("first_v")))
+    return own.unionByName(across)
+
+
 def near_copies(docs: DataFrame, prints: DataFrame) -> DataFrame:
     """(node, root) of the texts (by key) that links of near copies join.
 
-    Texts that share a band are candidates. First each is compared with two leaders of the band; then, in bands whose
-    texts are still in different components, with the one that has most links, as an original that copies were made
-    from has; what is then still apart is compared as rare_pairs() says. So all candidates end up compared, joined or known to
-    differ too much, and a large group of near copies costs a few comparisons a text.
+    Texts whose SimHash fingerprints meet at an anchor come first, and are checked exactly. Two texts at the bound differ by
+    more bits than an anchor reaches, so texts that share a band are candidates as well. In bands whose texts the anchors
+    leave apart each is compared with two leaders of the band; then, in those still open, with the one that has most links,
+    as an original that copies were made from has; what is then still apart is compared as rare_pairs() says. So all
+    candidates end up compared, joined or known to differ too much, and a large group of near copies costs a few comparisons a text.
     """
-    spread = prints.dropDuplicates(["key"]).select("key", F.explode("bands").alias("band"))
+    texts = prints.where("n > 0").dropDuplicates(["key"])
+    met = written(anchored(texts.select("key", "fp")), "copies-anchored")
+    spread = texts.select("key", F.explode("bands").alias("band"))
     leads = spread.groupBy("band").agg(F.count("*").alias("many"), F.min("key").alias("a"), F.min_by("key", F.xxhash64("key")).alias("b")).where("many > 1")
-    members = written(spread.join(leads.drop("many"), "band"), "copies-members")
-    rows = prints.join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("row").alias("row")).select("row")
+    leads = written(leads.drop("many"), "copies-leads")
+    members = written(spread.join(leads, "band", "left_semi"), "copies-members")
+    wanted = members.select("key").unionByName(met.select(F.col("u").alias("key"))).unionByName(met.select(F.col("v").alias("key"))).distinct()
+    rows = prints.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row")).select("row")
     sets = written(sets_of(docs, rows), "copies-sets")
-    pairs = members.select("key", F.explode(F.array("a", "b")).alias("to")).where("key <> `to`").select(*_ordered(F.col("key"), F.col("to"))).distinct()
-    first = written(verified(pairs, sets), "copies-first")
+    near = written(verified(met, sets), "copies-near")
+    open_ = _several(members, near).join(leads, "band")
+    pairs = open_.select("key", F.explode(F.array("a", "b")).alias("to")).where("key <> `to`").select(*_ordered(F.col("key"), F.col("to"))).distinct()
+    pairs = written(pairs.join(met, ["u", "v"], "left_anti"), "copies-pairs")
+    first = written(near.unionByName(verified(pairs, sets)), "copies-first")
     apart = _several(members, first)
     degree = first.select("u").union(first.select("v")).groupBy(F.col("u").alias("key")).agg(F.count("*").alias("links"))
     centres = apart.join(degree, "key").groupBy("band").agg(F.max(F.struct("links", "key", "root")).alias("c")).select("band", F.col("c.key").alias("to"), F.col("c.root").alias("to_root"))
     spokes = apart.join(centres, "band").where("root <> to_root").select(*_ordered(F.col("key"), F.col("to"))).distinct()
-    second = written(verified(spokes.join(pairs, ["u", "v"], "left_anti"), sets), "copies-second")
+    second = written(verified(spokes.join(pairs.unionByName(met), ["u", "v"], "left_anti"), sets), "copies-second")
     linked = first.unionByName(second)
     rest = rare_pairs(_several(members, linked).select("key", "root").distinct(), sets)
     third = written(verified(rest, sets), "copies-third")

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import cut, rows_as
 from eventloom.llm.components import components
-from eventloom.llm.copies import one_of_each  # noqa: F401
 
 SEED, SHINGLE, BITS = 42, 3, 3
 #: Generator polynomial of the perfect binary Golay code (23, 12), whose covering radius is 3.
@@ -35,6 +34,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of unsigned 64-bit hashes: a bit is 1 if set in over half of them; 0 if there are none."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): the 64-bit fingerprint of every whole text, as a signed long. Null and empty texts have 0."""
 
@@ -121,3 +128,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(least.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(classes.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each group of near copies by Jaccard similarity; see copies.one_of_each()."""
+    from eventloom.llm import copies
+
+    return copies.one_of_each(docs)

@@ -2,7 +2,9 @@
 
 import random
 
-from eventloom.llm import copies
+from pyspark.sql import functions as F
+
+from eventloom.llm import copies, simhash
 
 
 def jaccard(a, b):
@@ -51,3 +53,23 @@ def test_a_large_group_is_joined_through_its_members(spark):
     rnd.shuffle(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in copies.one_of_each(docs).collect()} == groups(texts, 0.8)
+
+
+def test_texts_meet_at_the_anchors_of_their_fingerprints(spark):
+    rnd = random.Random(5)
+    base = [f"w{rnd.randint(0, 99999)}" for _ in range(600)]
+    print_of = lambda words: simhash.fingerprint_of(copies.shingles([w.encode() for w in words]))
+    changed = [[*base[:-k], *(f"y{i}" for i in range(k))] for k in range(1, 40)]
+    near = next(c for c in changed if bin((print_of(c) ^ print_of(base)) & (1 << 64) - 1).count("1") == 3)
+    texts = [" ".join(base), " ".join(near), " ".join(f"x{rnd.randint(0, 99999)}" for _ in range(600))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = copies.signatures(docs).withColumn("bands", F.array().cast("array<long>"))  # so that anchors alone can join
+    key = {r.doc_id: (bytes(r.key), r.fp) for r in prints.collect()}
+    assert bin((key[0][1] ^ key[1][1]) & (1 << 64) - 1).count("1") == 3
+    assert {bytes(r.node): bytes(r.root) for r in copies.near_copies(docs, prints).collect()} == {key[i][0]: min(key[0][0], key[1][0]) for i in (0, 1)}
+
+
+def test_a_crowded_fingerprint_costs_one_pair_a_text(spark):
+    rows = [(bytes([i]), 7) for i in range(50)] + [(bytes([50]), 6), (bytes([51]), -1)]
+    got = {(r.u[0], r.v[0]) for r in copies.anchored(spark.createDataFrame(rows, "key binary, fp long")).collect()}
+    assert got == {(0, i) for i in range(1, 51)}
