@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import cut
+from eventloom.llm.common import clear, made, swept, written
 
 
 def _turn(links: DataFrame) -> DataFrame:
@@ -30,15 +30,18 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the links (u, v), two longs, or two byte strings: root is the least node that it reaches.
 
     Alternating large and small stars halve the depth each round, so rounds grow with the logarithm of a
-    component's diameter. Each round is checkpointed; only two numbers a round come to the driver. Links to
+    component's diameter. Each round is written, and the one before removed; only two numbers a round come to the driver. Links to
     oneself, doubled links and either direction are allowed; nulls are dropped; an empty table gives none.
     """
-    now = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    spark, before = links.sparkSession, made()
+    now = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
     last = None
     for _ in range(max_rounds):
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        with swept(spark):
+            mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == last or not mark[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
         last = mark
-        now = cut(_small_star(_large_star(now)))
+        now = written(_small_star(_large_star(now)), "components")
+        clear(spark, since=before, keep=1)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
