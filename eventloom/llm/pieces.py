@@ -13,7 +13,7 @@ import heapq
 import os
 import re
 from collections import Counter
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,8 @@ DICTIONARY, BY_NAME = 1 << 21, 1 << 17
 WORD_CHARS = 60
 #: Distinct words that a Python worker counts before it passes them on, and rows whose ids it turns to text at once.
 HELD_WORDS, HELD_TEXTS = 200_000, 64
+#: Bytes of the texts (of their packets, a quarter) that a Python worker looks up, or puts ids together for, at once.
+HELD_BYTES = 1 << 19
 #: Words in one task that groups edges, about: each has some thirty.
 LATTICE_WORDS = 8192
 #: Scores under this mark pieces that are never to be chosen; a character in no piece costs this much more than the worst other.
@@ -104,14 +106,21 @@ class Splitter:
             self.tables = self._made()
         text = " " + text
         try:
-            raw = np.frombuffer(text.encode("latin-1"), np.uint8)
+            code, raw = "latin-1", np.frombuffer(text.encode("latin-1"), np.uint8)
             apart = self.tables[2][raw[:-1].astype(np.uint16) << 8 | raw[1:]]
         except UnicodeEncodeError:
-            kinds = self.tables[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+            code, raw = "utf-32-le", np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            kinds = self.tables[0][raw]
             apart = self.tables[1][kinds[:-1], kinds[1:]]
-        ends = (np.flatnonzero(apart) + 1).tolist()
-        ends.append(len(text))
-        return [text[a:b] for a, b in zip([0, *ends], ends)]
+        ends = np.flatnonzero(apart) + 1
+        if "\0" in text:
+            ends = [*ends.tolist(), len(text)]
+            return [text[a:b] for a, b in zip([0, *ends], ends)]
+        # a mark in each cut, so that one split() makes all words
+        marked, kept = np.zeros(len(raw) + len(ends), raw.dtype), np.ones(len(raw) + len(ends), bool)
+        kept[ends + np.arange(len(ends))] = False
+        marked[kept] = raw
+        return marked.tobytes().decode(code, "surrogatepass").split("\0")
 
     def _made(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The number of each character, whether two numbers stand apart, and the same for two of the first 256 characters."""
@@ -396,32 +405,61 @@ def by_digest(words: list[str], first: np.ndarray, second: np.ndarray, places: n
     return np.where((first[at] == own[:, 0]) & (second[at] == own[:, 1]), places[at], -1)
 
 
-def to_packet(places: np.ndarray, words: list[str]) -> bytes:
-    """A split text in few bytes: the places of its broadcast words plus one, seven bits a byte (0: another word stands here), and those other words."""
-    digits = np.stack([places >> 7 * k & 127 for k in range(5)], axis=1)
-    kept = np.stack([places >= 0, *(places >> 7 * k > 0 for k in range(1, 5))], axis=1)
-    digits[:, :4] += 128 * kept[:, 1:]
+def digits_of(places: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Numbers from 0 on, seven bits a byte, and where each ends."""
+    sizes = np.ones(len(places), np.int64)
+    for k in range(1, 5):
+        sizes += places >> 7 * k > 0
+    ends = np.cumsum(sizes)
+    digits = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    left, at, sizes = places, ends - sizes, sizes - 1
+    while len(left):
+        digits[at] = left & 127 | (sizes > 0) << 7
+        more = np.flatnonzero(sizes)
+        left, at, sizes = left[more] >> 7, at[more] + 1, sizes[more] - 1
+    return digits.tobytes(), ends
+
+
+def to_packet(digits: bytes, words: list[str], compress=zstandard.compress) -> bytes:
+    """A split text in few bytes: the places of its broadcast words plus one, as digits_of() writes them (0: another word stands here), and those other words."""
     raw = [w.encode() for w in words]
-    head = np.array([len(raw), *map(len, raw)], np.uint32).tobytes()
-    return zstandard.compress(head + b"".join(raw) + digits.astype(np.uint8)[kept].tobytes())
+    return compress(np.array([len(raw), *map(len, raw)], np.uint32).tobytes() + b"".join(raw) + digits)
 
 
-def words_in(packet: bytes) -> tuple[list[str], bytes]:
+def words_in(packet: bytes, decompress=zstandard.decompress) -> tuple[list[str], bytes]:
     """The other words of a packet, and what follows them."""
-    data = zstandard.decompress(packet)
-    n = int(np.frombuffer(data, np.uint32, 1)[0])
+    data = decompress(packet)
+    n = int.from_bytes(data[:4], "little")
+    if not n:
+        return [], data[4:]
     ends = 4 * n + 4 + np.concatenate(([0], np.cumsum(np.frombuffer(data, np.uint32, n, 4), dtype=np.int64)))
     return [data[a:b].decode() for a, b in zip(ends.tolist(), ends[1:].tolist())], data[ends[-1] :]
 
 
-def places_in(rest: bytes) -> np.ndarray:
-    """The numbers written seven bits a byte."""
-    digits = np.frombuffer(rest, np.uint8).astype(np.int64)
-    if not len(digits):
-        return digits
-    starts = np.concatenate(([0], np.flatnonzero(digits < 128)[:-1] + 1))
-    at = np.arange(len(digits)) - np.repeat(starts, np.diff(np.append(starts, len(digits))))
-    return np.add.reduceat((digits & 127) << 7 * at, starts)
+def places_in(digits: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers written seven bits a byte, and where each ends."""
+    raw = np.frombuffer(digits, np.uint8)
+    ends = np.flatnonzero(raw < 128) + 1
+    at = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+    found, sizes, k = np.zeros(len(ends), np.int64), ends - at, 0
+    rows = np.arange(len(ends))
+    while len(rows):
+        found[rows] |= (raw[at[rows] + k].astype(np.int64) & 127) << 7 * k
+        k += 1
+        rows = rows[sizes[rows] > k]
+    return found, ends
+
+
+def _held(sizes, most: int = HELD_BYTES):
+    """(first, end) of runs of neighbours whose sizes add up to `most` or little more: what is worked on at once."""
+    first = total = 0
+    for i, x in enumerate(sizes):
+        total += x
+        if total >= most:
+            yield first, i + 1
+            first, total = i + 1, 0
+    if first < len(sizes):
+        yield first, len(sizes)
 
 
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", most: int = DICTIONARY) -> DataFrame:
@@ -445,24 +483,31 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
         names, first, second, places = shared.value[:4]
         if not looked_up:
             looked_up.update(names)
+        compress = zstandard.ZstdCompressor().compress
         for b in rows:
             keys, out = [], []
-            for t in b.column(1):
-                text = t.as_py() or ""
-                key = xxhash.xxh64_intdigest(text.encode(), 42)
-                keys.append(key - (1 << 64) if key >> 63 else key)
-                found = splitter.words_of(text)
-                where = np.fromiter(map(looked_up.get, found, repeat(-1)), np.int64, len(found))
+            for x, y in _held(pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()):
+                texts = [t or "" for t in b.column(1).slice(x, y - x).to_pylist()]
+                keys += [xxhash.xxh64_intdigest(t.encode(), 42) for t in texts]
+                found = [splitter.words_of(t) for t in texts]
+                words = list(chain.from_iterable(found))
+                where = np.fromiter(map(looked_up.get, words, repeat(-1)), np.int64, len(words))
                 new = np.flatnonzero(where < 0)
-                where[new] = by_digest([found[k] for k in new.tolist()], first, second, places)
-                out.append(to_packet(where + 1, [found[k] for k in new[where[new] < 0].tolist()]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "text_key", "packet"])
+                where[new] = by_digest([words[k] for k in new.tolist()], first, second, places)
+                digits, ends = digits_of(where + 1)
+                ends, upto = np.concatenate(([0], ends)), np.cumsum([0, *map(len, found)])
+                others = new[where[new] < 0]
+                cuts, others = np.searchsorted(others, upto).tolist(), others.tolist()
+                for p, q, i, j in zip(ends[upto[:-1]].tolist(), ends[upto[1:]].tolist(), cuts, cuts[1:]):
+                    out.append(to_packet(digits[p:q], [words[k] for k in others[i:j]], compress))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(out, pa.binary())], ["doc_id", "text_key", "packet"])
 
     def others(rows):
+        decompress = zstandard.ZstdDecompressor().decompress
         for b in rows:
             at, place, words = [], [], []
             for row, packet in zip(b.column(0).to_pylist(), b.column(1).field("packet")):
-                for k, w in enumerate(words_in(packet.as_py())[0]):
+                for k, w in enumerate(words_in(packet.as_py(), decompress)[0]):
                     if len(w) <= WORD_CHARS:
                         at.append(row)
                         place.append(k)
@@ -471,21 +516,26 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
 
     def whole(rows):
         lengths, starts, flat = shared.value[4:]
+        decompress = zstandard.ZstdDecompressor().decompress
         for b in rows:
-            out = []
-            for packet, rare in zip(b.column(2), b.column(3)):
-                words, rest = words_in(packet.as_py())
-                where = places_in(rest) - 1
+            for x, y in _held(pc.binary_length(b.column(2)).to_pylist(), HELD_BYTES // 4):
+                read = [words_in(p.as_py(), decompress) for p in b.column(2).slice(x, y - x)]
+                where, ends = places_in(b"".join(rest for _, rest in read))
+                where -= 1
                 n = np.where(where < 0, 0, lengths[where]) if len(lengths) else np.zeros(len(where), np.int64)
                 upto = np.cumsum(n, dtype=np.int64)
-                total = int(upto[-1]) if len(upto) else 0
-                ids = flat[np.repeat((starts[where] if len(lengths) else n) - upto + n, n) + np.arange(total)].astype(np.int32) if total else np.zeros(0, np.int32)
-                if words:
-                    short = iter(rare.as_py() or ())
-                    more = [spell_long(w, table, byte_ids, longest, model_kind, floor) if len(w) > WORD_CHARS else next(short) for w in words]
-                    ids = np.insert(ids, np.repeat(upto[where < 0], [len(x) for x in more]), [i for x in more for i in x])
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32())), b.column(1)], ["doc_id", "ids", "text_key"])
+                ids = flat[np.repeat((starts[where] if len(lengths) else n) - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)].astype(np.int32)
+                if any(words for words, _ in read):
+                    more = []
+                    for (words, _), rare in zip(read, b.column(3).slice(x, y - x)):
+                        short = iter(rare.as_py() or ()) if words else ()
+                        more += [spell_long(w, table, byte_ids, longest, model_kind, floor) if len(w) > WORD_CHARS else next(short) for w in words]
+                    ids = np.insert(ids, np.repeat(upto[where < 0], [len(m) for m in more]), [i for m in more for i in m])
+                    n[where < 0] = [len(m) for m in more]
+                    upto = np.cumsum(n, dtype=np.int64)
+                last = np.searchsorted(ends, np.cumsum([len(rest) for _, rest in read]), "right")
+                offsets = np.concatenate(([0], upto))[np.concatenate(([0], last))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids)), b.column(1).slice(x, y - x)], ["doc_id", "ids", "text_key"])
 
     kept = rows_as(docs, doc_id=id_col, text=text_col).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     texts = kept.mapInArrow(packets, "doc_id long, text_key long, packet binary").withColumn("row", F.monotonically_increasing_id())

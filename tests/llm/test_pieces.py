@@ -1,6 +1,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -100,3 +101,26 @@ def test_words_are_cut_only_where_no_piece_crosses():
         assert "".join(words) == " " + text
         for a, b in zip(words, words[1:]):
             assert not any(a[-k:] + b[:n] in pieces for k in range(1, 16) for n in range(1, 16) if k <= len(a) and n <= len(b))
+
+
+def test_texts_are_cut_as_their_pairs_say_whatever_their_characters():
+    model = P.Pieces()
+    pairs, letters = model.splitter.pairs, set(model.splitter.letters)
+    for text in ("plain words, and more.", "caf\xe9 \xff\x80", "你好  ▁x \U0001f600", "a\0b\0\0 c", "\ud800 lone", "\n\n", "\0"):
+        want, line = [], " " + text
+        for i, c in enumerate(line):
+            if i and line[i - 1] in letters and c in letters and line[i - 1] + c in pairs:
+                want[-1] += c
+            else:
+                want.append(c)
+        assert model.splitter.words_of(text) == want
+
+
+def test_places_of_many_texts_are_written_and_read_at_once():
+    numbers = np.array([0, 1, 127, 128, 129, 16383, 16384, 0, 2097151, 2097152, 268435455, 268435456, (1 << 31) - 1, 5])
+    digits, ends = P.digits_of(numbers)
+    read, again = P.places_in(digits)
+    assert read.tolist() == numbers.tolist() and again.tolist() == ends.tolist() and ends[-1] == len(digits)
+    assert P.digits_of(numbers[:0])[0] == b"" and not len(P.places_in(b"")[0])
+    assert P.words_in(P.to_packet(digits, ["你", "", "x"])) == (["你", "", "x"], digits) and P.words_in(P.to_packet(b"", [])) == ([], b"")
+    assert list(P._held([3, 3, 9, 0, 1], 6)) == [(0, 2), (2, 3), (3, 5)] and not list(P._held([], 6))
