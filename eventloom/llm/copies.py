@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -10,8 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventloom.llm import simhash
-from eventloom.llm.common import packed, row_key, rows_as, unpacked, written
-from eventloom.llm.components import components
+from eventloom.llm.common import clear, made, packed, row_key, rows_as, unpacked, written
+from eventloom.llm.components import components, followed
 
 SEED, SHINGLE, LEAST = 42, 5, 0.8
 #: Bands of a min-hash signature and hashes in a band: a pair at 0.8 shares no band in 1 of 40,000 cases.
@@ -75,38 +77,51 @@ def sets_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
-    """The pairs (u, v) whose exact Jaccard similarity is at least `least`; sizes too far apart are left out first."""
-    size = sets.select("key", "n")
-    pairs = pairs.join(size.withColumnsRenamed({"key": "u", "n": "nu"}), "u").join(size.withColumnsRenamed({"key": "v", "n": "nv"}), "v")
-    pairs = pairs.where(F.least("nu", "nv") >= least * F.greatest("nu", "nv")).select("u", "v")
-    both = pairs.join(sets.select(F.col("key").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("set").alias("b")), "v")
+    """The pairs (u, v, more) whose exact Jaccard similarity is at least `least`; sizes too far apart are left out first."""
+    of = lambda side: sets.select(F.col("key").alias(side), F.col("n").alias(f"_n{side}"), F.col("set").alias(f"_{side}"))
+    both = pairs.join(of("u"), "u").join(of("v"), "v").where(_like_sizes(F.col("_nu"), F.col("_nv"), least))
+    width = len(pairs.columns)
 
     def batches(rows):
         for b in rows:
             keep = []
-            for x, y in zip(b.column(2), b.column(3)):
+            for x, y in zip(b.column(width), b.column(width + 1)):
                 x, y = x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(common >= least * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            yield b.select(list(range(width))).filter(pa.array(keep, pa.bool_()))
+
+    return both.select(*pairs.columns, "_u", "_v").mapInArrow(batches, pairs.schema)
 
-    return both.select("u", "v", "a", "b").mapInArrow(batches, "u binary, v binary")
+
+def _like_sizes(n, m, least: float = LEAST):
+    return F.least(n, m) >= least * F.greatest(n, m)
 
 
 def _ordered(u, v):
     return [F.least(u, v).alias("u"), F.greatest(u, v).alias("v")]
 
 
-def _several(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(band, key, root) of the members of bands whose texts the links leave in different components."""
-    roots = components(links).withColumnRenamed("node", "key")
-    placed = members.select("band", "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    open_ = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
-    return written(placed.join(open_, "band", "left_semi"), "copies-several")
+def _with_roots(u, root_u, v, root_v):
+    """(u, v, ru, rv), u < v: two texts and their roots."""
+    return [*_ordered(u, v), F.when(u < v, root_u).otherwise(root_v).alias("ru"), F.when(u < v, root_v).otherwise(root_u).alias("rv")]
+
+
+def _joined(links: DataFrame) -> DataFrame:
+    """(node, root) of the roots that links (u, v, ru, rv) join."""
+    return components(links.select(F.col("ru").alias("u"), F.col("rv").alias("v")))
+
+
+def _several(placed: DataFrame) -> DataFrame:
+    """(band, key, n, root, a, b) of the members (band, key, n, root) of bands that still have different roots; a and b are two leaders of the band (key, n, root)."""
+    placed = written(placed, "copies-placed")
+    own = ["key", "n", "root"]
+    bands = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min(F.struct(*own)).alias("a"), F.min_by(F.struct(*own), F.xxhash64("key")).alias("b"))
+    return written(placed.join(bands.where("x <> y").select("band", "a", "b"), "band"), "copies-several")
 
 
 def rare_pairs(rows: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
-    """(u, v), u < v: of texts (key, root) all pairs of different roots that can have a Jaccard similarity of `least` or more.
+    """(u, v, ru, rv), u < v: of texts (key, root) all pairs of different roots that can have a Jaccard similarity of `least` or more.
 
     Shingles stand in one order, rare ones first. If two sets are that similar, the first shingle that they share is among
     the first n - ceil(least * n) + 1 of the larger and, of the smaller, even among the first
@@ -131,7 +146,7 @@ def rare_pairs(rows: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFr
     # from the first shared shingle on, enough of both must be left
     enough = F.least(F.col("np") - F.col("at_p"), F.col("nq") - F.col("at_q")) + 1 >= F.ceil((F.col("np") + F.col("nq")) * (least / (1 + least)) - 1e-9)
     found = meets.join(probe, ["token", "a"]).join(index, ["token", "b"]).where(larger & enough & (F.col("nq") >= least * F.col("np") - 1e-9))
-    return found.select(*_ordered(F.col("p"), F.col("q"))).distinct()
+    return found.select(*_with_roots(F.col("p"), F.col("a"), F.col("q"), F.col("b"))).distinct()
 
 
 def anchored(prints: DataFrame) -> DataFrame:
@@ -155,30 +170,42 @@ def near_copies(docs: DataFrame, prints: DataFrame) -> DataFrame:
     leave apart each is compared with two leaders of the band; then, in those still open, with the one that has most links,
     as an original that copies were made from has; what is then still apart is compared as rare_pairs() says. So all
     candidates end up compared, joined or known to differ too much, and a large group of near copies costs a few comparisons a text.
+    Each step joins only the roots that the step before has left, and looks only at bands that it has left open. All is
+    written, and removed but for the result.
     """
+    spark, before = docs.sparkSession, made()
     texts = prints.where("n > 0").dropDuplicates(["key"])
     met = written(anchored(texts.select("key", "fp")), "copies-anchored")
-    spread = texts.select("key", F.explode("bands").alias("band"))
-    leads = spread.groupBy("band").agg(F.count("*").alias("many"), F.min("key").alias("a"), F.min_by("key", F.xxhash64("key")).alias("b")).where("many > 1")
-    leads = written(leads.drop("many"), "copies-leads")
-    members = written(spread.join(leads, "band", "left_semi"), "copies-members")
+    spread = texts.select("key", "n", F.explode("bands").alias("band"))
+    shared = written(spread.groupBy("band").agg(F.count("*").alias("many")).where("many > 1").select("band"), "copies-bands")
+    members = written(spread.join(shared, "band", "left_semi"), "copies-members")
     wanted = members.select("key").unionByName(met.select(F.col("u").alias("key"))).unionByName(met.select(F.col("v").alias("key"))).distinct()
     rows = prints.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row")).select("row")
     sets = written(sets_of(docs, rows), "copies-sets")
     near = written(verified(met, sets), "copies-near")
-    open_ = _several(members, near).join(leads, "band")
-    pairs = open_.select("key", F.explode(F.array("a", "b")).alias("to")).where("key <> `to`").select(*_ordered(F.col("key"), F.col("to"))).distinct()
-    pairs = written(pairs.join(met, ["u", "v"], "left_anti"), "copies-pairs")
-    first = written(near.unionByName(verified(pairs, sets)), "copies-first")
-    apart = _several(members, first)
-    degree = first.select("u").union(first.select("v")).groupBy(F.col("u").alias("key")).agg(F.count("*").alias("links"))
-    centres = apart.join(degree, "key").groupBy("band").agg(F.max(F.struct("links", "key", "root")).alias("c")).select("band", F.col("c.key").alias("to"), F.col("c.root").alias("to_root"))
-    spokes = apart.join(centres, "band").where("root <> to_root").select(*_ordered(F.col("key"), F.col("to"))).distinct()
-    second = written(verified(spokes.join(pairs.unionByName(met), ["u", "v"], "left_anti"), sets), "copies-second")
-    linked = first.unionByName(second)
-    rest = rare_pairs(_several(members, linked).select("key", "root").distinct(), sets)
+    steps = [components(near)]
+    open_ = _several(followed(members, steps[-1], "key", to="root"))
+    pairs = open_.select("key", "n", "root", F.explode(F.array("a", "b")).alias("to")).where((F.col("root") != F.col("to.root")) & _like_sizes(F.col("n"), F.col("to.n")))
+    pairs = written(pairs.select(*_with_roots(F.col("key"), F.col("root"), F.col("to.key"), F.col("to.root"))).distinct(), "copies-pairs")
+    first = written(verified(pairs, sets), "copies-first")
+    steps.append(_joined(first))
+    apart = _several(followed(open_.drop("a", "b"), steps[-1], "root"))
+    ends = [t.select(F.col(c).alias("key")) for t in (near, first) for c in ("u", "v")]
+    degree = reduce(DataFrame.unionByName, ends).groupBy("key").agg(F.count("*").alias("links"))
+    centres = apart.join(degree, "key").groupBy("band").agg(F.max(F.struct("links", "key", "root", "n")).alias("to"))
+    spokes = apart.join(centres, "band").where((F.col("root") != F.col("to.root")) & _like_sizes(F.col("n"), F.col("to.n")))
+    spokes = spokes.select(*_with_roots(F.col("key"), F.col("root"), F.col("to.key"), F.col("to.root"))).distinct()
+    second = written(verified(spokes.join(pairs, ["u", "v"], "left_anti"), sets), "copies-second")
+    steps.append(_joined(second))
+    rest = rare_pairs(_several(followed(apart.drop("a", "b"), steps[-1], "root")).select("key", "root").distinct(), sets)
     third = written(verified(rest, sets), "copies-third")
-    return components(linked.unionByName(third))
+    steps.append(_joined(third))
+    every = reduce(DataFrame.unionByName, (s.select("node") for s in steps)).distinct().select("node", F.col("node").alias("root"))
+    for step in steps:
+        every = followed(every, step, "root")
+    every = written(every, "copies-roots")
+    clear(spark, since=before, keep=1)
+    return every
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
