@@ -90,7 +90,8 @@ def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
     Two such fingerprints differ in at most one bit in one of their halves, so one's home anchor for that half
     is among the other's anchors within covering radius plus one. Of the four bytes of the other half, which differs in
     three bits at most, one is equal, so an anchor is parted by each of them. Each fingerprint is sent to about 29
-    anchors, four times over, however many rows it stands for, and compared only there.
+    anchors, four times over, however many rows it stands for, and compared only there. Spark sizes what replicate()
+    gives by what goes in, a 230th, and would broadcast it; so the join is a merge by hint.
     """
     if bits > 3:
         raise ValueError("the anchors of two halves cover three bits at most")
@@ -110,7 +111,7 @@ def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
     spread = prints.select("fp").where("fp is not null").distinct().mapInArrow(replicate, "anchor long, fp long, home boolean")
     homes = spread.where("home").select("anchor", F.col("fp").alias("u"))
     others = spread.select("anchor", F.col("fp").alias("v"))
-    return homes.join(others, "anchor").where((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= bits)).select("u", "v").distinct()
+    return homes.join(others.hint("merge"), "anchor").where((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= bits)).select("u", "v").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
