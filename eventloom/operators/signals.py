@@ -9,9 +9,11 @@ import inspect
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from eventloom.functions import dsp
 from eventloom.operators.matching import islands, near_any
@@ -20,8 +22,11 @@ from eventloom.operators.scans import neighbourhoods, running
 #: Samples of one slice of a channel, and places of one slice while they are numbered.
 SLICE_ROWS, SLICE_PLACES = 1 << 16, 1 << 16
 
-#: Detectors by name: functions of (samples, fs, **parameters) that give (sample, value, weight, density, confidence) tuples.
-DETECTORS = {"envelope": dsp.detect}
+#: Samples that a numpy helper takes at once, of buffers of one length, unless one buffer has more.
+AT_ONCE = 1 << 18
+
+#: Detectors by name: functions of (buffers of one length as rows, fs, **parameters) that give each row's list of (sample, value, weight, density, confidence) tuples.
+DETECTORS = {"envelope": dsp.detect_rows}
 
 
 def parameters(name: str, **given) -> dict:
@@ -39,31 +44,75 @@ def buffers(signals: DataFrame, blocks: int, halo: int) -> DataFrame:
     return signals.withColumn("buffer", F.explode(reach)).withColumn("inner", F.col("buffer") == own)
 
 
-def stretches(rows: pd.DataFrame):
-    """(rows, samples) of each run of blocks that follow each other: a missing block parts them."""
-    rows = rows.sort_values("block")
-    for _, part in rows.groupby((rows["block"].diff().fillna(1) != 1).cumsum()):
-        yield part, np.concatenate([np.asarray(s, float) for s in part["samples"]])
+def in_buffers(signals: DataFrame, blocks: int, halo: int, one, schema: str) -> DataFrame:
+    """What one(rec_id, chan, stretches) gives as an Arrow batch of the schema, for buffers of `blocks` blocks and `halo` blocks on either side.
+
+    A stretch is a run of blocks that follow each other, as (place of its buffer in rec_id and chan, first block's
+    t0_us, fs, blocks, their t0_us, which of them are the buffer's own, where each ends in the samples, samples); a missing
+    block parts two. A buffer is one row with its samples end to end, and buffers without blocks of their own go. They
+    are dealt to a number of partitions of its own: what is done with them takes longer than their bytes tell.
+    """
+    parts = int(signals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = buffers(signals.select("rec_id", "chan", "block", "t0_us", "fs", "samples"), blocks, halo).repartition(parts, "rec_id", "chan", "buffer")
+    held = F.sort_array(F.collect_list(F.struct("block", "inner", "t0_us", "fs", F.size("samples").alias("size"), "samples")))
+    rows = rows.groupBy("rec_id", "chan", "buffer").agg(F.max("inner").alias("own"), held.alias("b")).where("own")
+    every = F.flatten(F.transform("b", lambda x: x["samples"].cast("array<double>")))
+    rows = rows.select("rec_id", "chan", *(F.col(f"b.{c}").alias(c) for c in ("block", "inner", "t0_us", "size", "fs")), every.alias("samples"))
+
+    def batches(found):
+        for b in found:
+            at = {c: b.column(c).offsets.to_numpy() for c in ("block", "samples")}
+            flat = {c: b.column(c).values.to_numpy(zero_copy_only=False) for c in ("block", "inner", "t0_us", "size", "fs", "samples")}
+            out = []
+            for k in range(b.num_rows):
+                a, z = at["block"][k], at["block"][k + 1]
+                ends = np.concatenate(([0], np.cumsum(flat["size"][a:z])))
+                cuts = [a, *(a + 1 + np.flatnonzero(np.diff(flat["block"][a:z]) != 1)), z]
+                for x, y in zip(cuts, cuts[1:]):
+                    if flat["inner"][x:y].any():
+                        first, last = at["samples"][k] + ends[x - a], at["samples"][k] + ends[y - a]
+                        out.append((k, int(flat["t0_us"][x]), float(flat["fs"][x]), flat["block"][x:y], flat["t0_us"][x:y], flat["inner"][x:y], ends[x - a + 1 : y - a + 1] - ends[x - a], flat["samples"][first:last]))
+            yield one(b.column("rec_id"), b.column("chan"), out)
+
+    return rows.mapInArrow(batches, schema)
+
+
+def alike(stretches: list[tuple]):
+    """(places in the list, samples as rows, fs) of stretches of one length and rate, at most AT_ONCE samples at once unless one has more."""
+    groups: dict = {}
+    for i, (_, _, fs, *_, x) in enumerate(stretches):
+        groups.setdefault((len(x), fs), []).append(i)
+    for (n, fs), places in groups.items():
+        step = max(AT_ONCE // max(n, 1), 1)
+        for a in range(0, len(places), step):
+            some = places[a : a + step]
+            yield some, np.stack([stretches[i][-1] for i in some]), fs
 
 
 def run_detector(signals: DataFrame, name: str, blocks: int, halo: int, **given) -> DataFrame:
-    """(rec_id, chan, t_us, value, weight, density, con): a detector on every channel's buffers; marks count in the buffer whose own blocks hold them. A task holds one channel's buffer and its halo; where a block is missing, either side is a signal by itself."""
+    """(rec_id, chan, t_us, value, weight, density, con): a detector on every channel's buffers; marks count in the buffer whose own blocks hold them. A task holds a batch of buffers with their halo; where a block is missing, either side is a signal by itself."""
     fn, arguments = DETECTORS[name], parameters(name, **given)
-    names = ["rec_id", "chan", "t_us", "value", "weight", "density", "con"]
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for part, x in stretches(rows):
-            fs, start, inner = float(part["fs"].iloc[0]), int(part["t0_us"].iloc[0]), part[part["inner"]]
-            if len(inner):
-                first, last = int(inner["t0_us"].min()), int(inner["t0_us"].max() + len(inner["samples"].iloc[-1]) / fs * 1e6)
-                marks = [(part["rec_id"].iloc[0], part["chan"].iloc[0], start + round(i / fs * 1e6), *rest) for i, *rest in fn(x, fs, **arguments)]
-                out += [m for m in marks if first <= m[2] < last]
-        return pd.DataFrame(out, columns=names)
+    numbers = ["value", "weight", "density", "con"]
+
+    def one(recs, chans, stretches):
+        at, times, values = [], [], []
+        for places, x, fs in alike(stretches):
+            for i, marks in zip(places, fn(x, fs, **arguments)):
+                k, start, _, _, t0_us, inner, ends, _ = stretches[i]
+                sizes = np.diff(ends, prepend=0)
+                first, last = int(t0_us[inner].min()), int(t0_us[inner].max() + sizes[inner][-1] / fs * 1e6)
+                for m, *rest in marks:
+                    t = start + round(m / fs * 1e6)
+                    if first <= t < last:
+                        at.append(k)
+                        times.append(t)
+                        values.append(rest)
+        at = pa.array(at, pa.int32())
+        columns = [pa.array([v[c] for v in values], pa.float64()) for c in range(len(numbers))]
+        return pa.RecordBatch.from_arrays([recs.take(at), chans.take(at), pa.array(times, pa.int64()), *columns], ["rec_id", "chan", "t_us", *numbers])
 
     kinds = dict(signals.dtypes)
-    schema = f"rec_id {kinds['rec_id']}, chan {kinds['chan']}, t_us long, value double, weight double, density double, con double"
-    return buffers(signals, blocks, halo).groupBy("rec_id", "chan", "buffer").applyInPandas(one, schema)
+    return in_buffers(signals, blocks, halo, one, f"rec_id {kinds['rec_id']}, chan {kinds['chan']}, t_us long, value double, weight double, density double, con double")
 
 
 def lognormal_background(samples: DataFrame, keys: list[str], at: str, value: str, before: int, after: int, k1: float, k3: float) -> DataFrame:
@@ -105,9 +154,9 @@ def with_ambiguous(obvious: DataFrame, low: DataFrame, keys: list[str], dt_us: i
 
 
 def tiers(marks: DataFrame, keys: list[str], dt_us: int) -> DataFrame:
-    """Marks of confidence 1, and of the others those that have such a mark of any channel within dt."""
+    """Marks of confidence 1, and of the others those that have such a mark of any channel within dt. Marks are read three times, so they should be stored."""
     sure, other = marks.where("con >= 1"), marks.where("con < 1")
-    kept = near_any(other, sure.select(*keys, "t_us"), keys, dt_us).where("near").select(*marks.columns)
+    kept = near_any(other, sure.select(*keys, "t_us").distinct(), keys, dt_us).where("near").select(*marks.columns)
     return sure.unionByName(kept)
 
 
@@ -160,18 +209,20 @@ def rhythm_mask(signals: DataFrame, window: int, low: float, high: float, blocks
     shorter rest counts as a window.
     """
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
+    def one(recs, chans, stretches):
         out = []
-        for part_rows, x in stretches(rows):
-            fs, start = float(part_rows["fs"].iloc[0]), int(part_rows["t0_us"].iloc[0])
-            for a in range(0, len(x), window):
-                part = x[a : a + window]
-                if len(part) > 12 and part.std() > 0 and low < dsp.rhythm_peak(part, fs) < high:
-                    out.append((part_rows["rec_id"].iloc[0], part_rows["chan"].iloc[0], start + round(a / fs * 1e6), start + round((a + len(part)) / fs * 1e6)))
-        return pd.DataFrame(out, columns=["rec_id", "chan", "t0_us", "t1_us"])
+        cut = [(k, start, fs, a, x[a : a + window]) for k, start, fs, *_, x in stretches for a in range(0, len(x), window)]
+        cut = [w for w in cut if len(w[-1]) > 12]
+        for places, parts, fs in alike(cut):
+            for i, varies, peak in zip(places, parts.std(-1) > 0, dsp.rhythm_peak(parts, fs)):
+                if varies and low < peak < high:
+                    k, start, _, a, part = cut[i]
+                    out.append((k, start + round(a / fs * 1e6), start + round((a + len(part)) / fs * 1e6)))
+        at = pa.array([r[0] for r in out], pa.int32())
+        return pa.RecordBatch.from_arrays([recs.take(at), chans.take(at), *(pa.array([r[c] for r in out], pa.int64()) for c in (1, 2))], ["rec_id", "chan", "t0_us", "t1_us"])
 
     kinds = dict(signals.dtypes)
-    return buffers(signals, blocks, 0).groupBy("rec_id", "chan", "buffer").applyInPandas(one, f"rec_id {kinds['rec_id']}, chan {kinds['chan']}, t0_us long, t1_us long")
+    return in_buffers(signals, blocks, 0, one, f"rec_id {kinds['rec_id']}, chan {kinds['chan']}, t0_us long, t1_us long")
 
 
 def without_rhythm(marks: DataFrame, mask: DataFrame, width_us: int) -> DataFrame:
@@ -182,26 +233,37 @@ def without_rhythm(marks: DataFrame, mask: DataFrame, width_us: int) -> DataFram
     return m.join(c, same & (F.col("m.t_us") >= F.col("c.t0_us")) & (F.col("m.t_us") < F.col("c.t1_us")), "left_anti").drop("_cell")
 
 
-def per_channel(signals: DataFrame, fn, blocks: int, halo: int) -> DataFrame:
+def per_channel(signals: DataFrame, fn, blocks: int, halo: int, rows: bool = False) -> DataFrame:
     """Signals with samples replaced by fn(samples, fs), a numpy helper such as a filter, median or decimation, and fs by what it gives beside.
 
     fn sees a buffer of blocks and `halo` blocks on either side, so block edges do not show; each block of the buffer
     itself then gets its share of the result. The rate may only change by a factor that divides a block's samples.
+    With rows, fn takes many buffers of one length and rate at once, as the rows of a matrix.
     """
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for part, x in stretches(rows):
-            y, fs = fn(x, float(part["fs"].iloc[0]))
-            ends = np.cumsum([len(s) for s in part["samples"]]) * len(y) // max(len(x), 1)
-            for k, (a, z) in enumerate(zip([0, *ends], ends)):
-                if part["inner"].iloc[k]:
-                    row = part.iloc[k]
-                    out.append((row["rec_id"], row["chan"], row["block"], row["t0_us"], fs, np.asarray(y[a:z], np.float32)))
-        return pd.DataFrame(out, columns=["rec_id", "chan", "block", "t0_us", "fs", "samples"])
+    def one(recs, chans, stretches):
+        at, block, t0_us, rate, parts = [], [], [], [], []
+        for places, x, fs in alike(stretches):
+            done, after = fn(x, fs) if rows else (None, None)
+            for n, i in enumerate(places):
+                k, _, _, own, times, inner, ends, _ = stretches[i]
+                y, to = (done[n], after) if rows else fn(x[n], fs)
+                edges = np.concatenate(([0], ends * len(y) // max(x.shape[1], 1)))
+                for b in np.flatnonzero(inner):
+                    at.append(k)
+                    block.append(own[b])
+                    t0_us.append(times[b])
+                    rate.append(to)
+                    parts.append(np.asarray(y[edges[b] : edges[b + 1]], np.float32))
+        offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
+        samples = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.float32)))
+        at = pa.array(at, pa.int32())
+        columns = [recs.take(at), chans.take(at), pa.array(block, kinds["block"]), pa.array(t0_us, kinds["t0_us"]), pa.array(rate, kinds["fs"]), samples.cast(kinds["samples"])]
+        return pa.RecordBatch.from_arrays(columns, list(kinds))
 
     kept = signals.select("rec_id", "chan", "block", "t0_us", "fs", "samples")
-    return buffers(kept, blocks, halo).groupBy("rec_id", "chan", "buffer").applyInPandas(one, kept.schema)
+    kinds = {f.name: f.type for f in to_arrow_schema(kept.schema)}
+    return in_buffers(signals, blocks, halo, one, ", ".join(f"{c} {k}" for c, k in kept.dtypes))
 
 
 def spectra(blocks: DataFrame, keys: list[str], fs: float, window: int, samples: str = "samples") -> DataFrame:
