@@ -16,6 +16,8 @@ CELL_ROWS, QUERY_ROWS = 2048, 2048
 #: Rows of a sample by hash, about, on which the driver builds the top of the tree; it only places rows, all rows are searched.
 SAMPLE = 2048
 BASE, LEAF = 1.3, 32
+#: Scores that a comparison of two leaves holds at once: rows without near ones share a leaf, so it may be a whole block or cell.
+AT_ONCE = 1 << 18
 #: Components from this size on are searched apart, with exact whole numbers of any length.
 BIG = float(1 << 22)
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
@@ -31,34 +33,41 @@ class Node:
 
 
 def cover_tree(x: np.ndarray, leaf: int = LEAF) -> Node:
-    """A cover tree of the rows of x, built from the top: a node of radius r has children of radius r / BASE at most, whose centres lie further apart than that; lone rows share one leaf."""
+    """A cover tree of the rows of x, built from the top: a node of radius r has children of radius r / BASE at most, whose centres lie further apart than that; lone rows share one leaf.
+
+    Nodes wait on a list, not in calls of an inner function of itself: such a function is a cycle, which keeps all products
+    of rows until Python happens to look for cycles.
+    """
     gram = x @ x.T
     square = gram.diagonal()
 
     def distance(at: int, rows: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(square[at] + square[rows] - 2 * gram[at, rows], 0))
 
-    def build(at: int, rows: np.ndarray) -> Node:
-        d = distance(at, rows)
-        radius = float(d.max())
-        if len(rows) <= leaf or radius == 0:
-            return Node(at, radius, rows, [])
-        inner = d <= radius / BASE
-        children, lone, rest = [build(at, rows[inner])], [], rows[~inner]
+    root = Node(0, 0.0, np.arange(len(x)), [])
+    waiting = [root]
+    while waiting:
+        node = waiting.pop()
+        d = distance(node.at, node.rows)
+        node.radius = float(d.max())
+        if len(node.rows) <= leaf or node.radius == 0:
+            continue
+        inner = d <= node.radius / BASE
+        lone, rest = [], node.rows[~inner]
+        node.children.append(Node(node.at, 0.0, node.rows[inner], []))
         while len(rest):
-            near = distance(int(rest[0]), rest) <= radius / BASE
+            near = distance(int(rest[0]), rest) <= node.radius / BASE
             near[0] = True
             if near.sum() == 1:
                 lone.append(rest[0])
             else:
-                children.append(build(int(rest[0]), rest[near]))
+                node.children.append(Node(int(rest[0]), 0.0, rest[near], []))
             rest = rest[~near]
+        waiting += node.children
         if lone:
             lone = np.array(lone)
-            children.append(Node(at, float(distance(at, lone).max()), lone, []))
-        return Node(at, radius, rows, children)
-
-    return build(0, np.arange(len(x)))
+            node.children.append(Node(node.at, float(distance(node.at, lone).max()), lone, []))
+    return root
 
 
 def leaves(node: Node) -> list[Node]:
@@ -88,11 +97,21 @@ def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_id
         return float(most(queries[q.at] @ data[d.at], lengths_q[q.at], q.radius, lengths_d[d.at], d.radius))
 
     def compare(q: np.ndarray, d: np.ndarray) -> None:
-        scores = queries[q] @ data[d].T
-        row, col = np.nonzero((scores >= bound[q][:, None]) & (query_ids[q][:, None] != data_ids[d][None, :]))
+        x, names, step = data[d].T, data_ids[d], max(AT_ONCE // len(d), 1)
+        for at in range(0, len(q), step):
+            better(q[at : at + step], x, names)
+
+    def better(q: np.ndarray, x: np.ndarray, names: np.ndarray) -> None:
+        scores = queries[q] @ x
+        scores[query_ids[q][:, None] == names[None, :]] = -np.inf
+        least = bound[q]
+        if len(names) > k:
+            # what is under the kth score here is none of the k best; equal ones stay for their ids
+            least = np.maximum(least, np.partition(scores, len(names) - k, axis=1)[:, len(names) - k])
+        row, col = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
         if not len(row):
             return
-        score, name = np.concatenate((scores[row, col], best[q].ravel())), np.concatenate((data_ids[d][col], ids[q].ravel()))
+        score, name = np.concatenate((scores[row, col], best[q].ravel())), np.concatenate((names[col], ids[q].ravel()))
         row = np.concatenate((row, np.repeat(np.arange(len(q)), k)))
         order = np.lexsort((name, -score, row))
         first = np.searchsorted(row[order], np.arange(len(q)))
@@ -100,20 +119,20 @@ def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_id
         best[q], ids[q] = score[chosen], name[chosen]
         bound[q] = np.maximum(bound[q], best[q, -1])
 
-    def visit(q: Node, d: Node, largest: float) -> None:
+    q, d = cover_tree(queries), cover_tree(data)
+    waiting = [(limit(q, d), q, d)]  # the next pair last
+    while waiting:
+        largest, q, d = waiting.pop()
         if largest < bound[q.rows].min():
-            return
+            continue
         if not q.children and not d.children:
-            return compare(q.rows, d.rows)
+            compare(q.rows, d.rows)
+            continue
         if d.children and (d.radius >= q.radius or not q.children):
             pairs = [(q, c) for c in d.children]
         else:
             pairs = [(c, d) for c in q.children]
-        for largest, a, b in sorted(((limit(a, b), a, b) for a, b in pairs), key=lambda p: -p[0]):
-            visit(a, b, largest)
-
-    q, d = cover_tree(queries), cover_tree(data)
-    visit(q, d, limit(q, d))
+        waiting += sorted(((limit(a, b), a, b) for a, b in pairs), key=lambda p: p[0])
     return best, ids
 
 
